@@ -37,9 +37,10 @@ def measure(df: DataFrame, by: list[str]) -> GroupSizes:
     return GroupSizes(row["total"] or 0, row["largest"] or 0)
 
 
-def fits(df: DataFrame, by: list[str], bound: int | None = None) -> bool:
-    """Whether every group of ``by`` may be handled by one task."""
+def oversized(df: DataFrame, by: list[str], bound: int | None = None) -> GroupSizes | None:
+    """None if every group of ``by`` may be handled by one task, else the measured sizes."""
     limit = row_limit(df.sparkSession)
     if bound is not None and bound <= limit:
-        return True
-    return measure(df, by).largest <= limit
+        return None
+    sizes = measure(df, by)
+    return sizes if sizes.largest > limit else None

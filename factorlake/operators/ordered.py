@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window, WindowSpec
 
-from factorlake.operators.groups import fits, measure, row_limit
+from factorlake.operators.groups import oversized, row_limit
 from factorlake.session import durable
 
 POS = "__pos"
@@ -55,15 +55,13 @@ class Series:
         return F.col(c) - self.prev(c)
 
 
-def split_ranges(df: DataFrame, by: list[str], order: str) -> DataFrame:
-    """Range-partition by (group, order) and number the ranges in ``__range``.
+def split_ranges(df: DataFrame, by: list[str], order: str, total: int) -> DataFrame:
+    """Range-partition ``total`` rows by (group, order) and number the ranges in ``__range``.
 
     The result is checkpointed: range bounds come from sampling, so the numbering must
     be stored before two branches of a plan read it.
     """
-    spark = df.sparkSession
-    total = measure(df, by).total
-    parts = max(2, -(-2 * total // row_limit(spark)))
+    parts = max(2, -(-2 * total // row_limit(df.sparkSession)))
     return durable(
         df.repartitionByRange(parts, *by, order).withColumn(RANGE, F.spark_partition_id())
     )
@@ -77,22 +75,29 @@ def _carried(ranges: DataFrame, by: list[str], carries: dict[str, Column],
     return totals.select(*by, RANGE, *[before[n](n).over(earlier).alias(n) for n in carries])
 
 
-def positions(df: DataFrame, by: list[str], order: str, bound: int | None = None) -> DataFrame:
-    """Add ``__pos``, the 0-based position of each row in its group."""
-    if fits(df, by, bound):
-        w = Window.partitionBy(*by).orderBy(order)
-        return df.withColumn(POS, F.row_number().over(w).cast("long") - 1)
-    ranges = split_ranges(df, by, order)
-    local = F.row_number().over(Window.partitionBy(*by, RANGE).orderBy(order)).cast("long") - 1
+def _row_in(*by: str, order: str) -> Column:
+    return F.row_number().over(Window.partitionBy(*by).orderBy(order)).cast("long") - 1
+
+
+def _split_positions(df: DataFrame, by: list[str], order: str, total: int) -> DataFrame:
+    ranges = split_ranges(df, by, order, total)
     offset = _carried(ranges, by, {"__offset": F.count(F.lit(1))}, {"__offset": F.sum})
     return (
-        ranges.withColumn(POS, local)
+        ranges.withColumn(POS, _row_in(*by, RANGE, order=order))
         .join(offset, [*by, RANGE])
         .withColumn(POS, F.col(POS) + F.coalesce("__offset", F.lit(0)))
         .drop("__offset", RANGE)
     )
 
 
+def positions(df: DataFrame, by: list[str], order: str, bound: int | None = None) -> DataFrame:
+    """Add ``__pos``, the 0-based position of each row in its group."""
+    sizes = oversized(df, by, bound)
+    if sizes is None:
+        return df.withColumn(POS, _row_in(*by, order=order))
+    return _split_positions(df, by, order, sizes.total)
+
+
 def over_series(df: DataFrame, add: Callable[[DataFrame, Series], DataFrame], *,
                 by: list[str], order: str, before: int = 0, after: int = 0,
                 bound: int | None = None) -> DataFrame:
@@ -102,8 +107,10 @@ def over_series(df: DataFrame, add: Callable[[DataFrame, Series], DataFrame], *,
     only add columns. Groups above the row limit are cut into blocks of consecutive rows;
     each block carries copies of the rows its windows reach for, which are dropped again.
     """
-    if fits(df, by, bound):
-        return add(positions(df, by, order, bound=0), Series(tuple(by), order)).drop(POS)
+    sizes = oversized(df, by, bound)
+    if sizes is None:
+        placed = df.withColumn(POS, _row_in(*by, order=order))
+        return add(placed, Series(tuple(by), order)).drop(POS)
     size = max(row_limit(df.sparkSession), before, after, 1)
     block, inside = F.floor(F.col(POS) / size), F.col(POS) % size
     copies = F.array_compact(F.array(
@@ -111,7 +118,7 @@ def over_series(df: DataFrame, add: Callable[[DataFrame, Series], DataFrame], *,
         F.when(inside >= size - before, block + 1),
         F.when((inside < after) & (block > 0), block - 1),
     ))
-    blocks = positions(df, by, order).withColumn(BLOCK, F.explode(copies))
+    blocks = _split_positions(df, by, order, sizes.total).withColumn(BLOCK, F.explode(copies))
     added = add(blocks, Series((*by, BLOCK), order))
     return added.filter(F.col(BLOCK) == F.floor(F.col(POS) / size)).drop(POS, BLOCK)
 
@@ -138,12 +145,13 @@ class Running:
 def cumulative(df: DataFrame, by: list[str], order: str, steps: list[Running],
                bound: int | None = None) -> DataFrame:
     """Add running aggregates; a step may use the columns of the steps before it."""
-    if fits(df, by, bound):
+    sizes = oversized(df, by, bound)
+    if sizes is None:
         w = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
         for step in steps:
             df = df.withColumn(step.name, step.aggregate(step.value).over(w))
         return df
-    rows = split_ranges(df, by, order)
+    rows = split_ranges(df, by, order, sizes.total)
     local = Window.partitionBy(*by, RANGE).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     for step in steps:
         carry = f"__carry_{step.name}"

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from factorlake.functions.stats import safe_corr
-from factorlake.operators.groups import fits
+from factorlake.operators.groups import oversized
 from factorlake.operators.ordered import Running, cumulative
 
 
@@ -24,7 +24,7 @@ def with_avg_ranks(df: DataFrame, by: list[str], columns: dict[str, str],
     Beyond the row limit the rank comes from value counts: copies of a value combine before
     the shuffle, running counts are taken per value range, and the rank joins back by value.
     """
-    if fits(df, by, bound):
+    if oversized(df, by, bound) is None:
         return df.select("*", *[avg_rank(c, by).alias(n) for n, c in columns.items()])
     for new, source in columns.items():
         counts = df.groupBy(*by, source).agg(F.count(F.lit(1)).alias("__n"))

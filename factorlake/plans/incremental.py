@@ -7,6 +7,7 @@ from datetime import date, timedelta
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from factorlake.operators.columns import in_range
 from factorlake.operators.joins import keep_dates, missing_dates
 from factorlake.plans.factors import compute_factors
 from factorlake.sources.lake import Lake
@@ -74,28 +75,10 @@ def update_bars(lake: Lake, landed: DataFrame, calendar: DataFrame, as_of: date,
     """
     start = as_of - timedelta(days=lookback_days)
     end = as_of + timedelta(days=1)
-    expected = calendar.filter(F.col("time").between(F.lit(start), F.lit(end)))
-    gaps = missing_dates(expected, lake.scan("daily", start, end), force)
-    bars = normalize_bars(landed)
-    if order:
-        bars = normalize_bars_with(landed, order)
-    rows = keep_dates(bars, gaps)
-    last = _last_day(rows)
+    expected = in_range(calendar, "time", start, end, "left")
+    gaps = missing_dates(expected, lake.scan("daily", start, end, closed="left"), force)
+    rows = keep_dates(normalize_bars(landed, [order] if order else []), gaps)
     n = lake.upsert("daily", rows, order)
-    if last is None:
-        last = _last_day(lake.scan("daily", start, end))
-    record_sync(lake, "daily", last)
+    record_sync(lake, "daily", _last_day(lake.scan("daily", start, end, closed="left")))
     return n
 
-
-def normalize_bars_with(landed: DataFrame, order: str) -> DataFrame:
-    """Normalised bars that keep the ingest sequence column."""
-    from factorlake.sources.landing import BAR_COLUMNS, VENDOR_NAMES
-
-    renamed = landed.withColumnsRenamed(VENDOR_NAMES)
-    plain = [c for c in BAR_COLUMNS if c not in ("time", "symbol", "volume")]
-    return renamed.select(
-        F.to_timestamp("time", "yyyyMMdd").alias("time"), "symbol",
-        *[F.col(c).cast("double").alias(c) for c in plain],
-        F.col("volume").cast("double").cast("long").alias("volume"), order,
-    )

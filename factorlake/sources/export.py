@@ -40,7 +40,7 @@ def dense_panel(exported: DataFrame, fields: dict[str, str] | None = None,
     rows = F.sort_array(F.collect_list(F.struct("time", *fields)))
     arrays = panel.groupBy("instrument").agg(rows.alias("rows"))
     return arrays.select("instrument", *[
-        F.transform("rows", lambda r, n=n: r[n].cast("float")).alias(n) for n in fields])
+        F.col("rows").getField(n).cast("array<float>").alias(n) for n in fields])
 
 
 def calendar_lines(exported: DataFrame) -> DataFrame:

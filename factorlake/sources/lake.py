@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from datetime import date, datetime
+from dataclasses import replace
+from datetime import date, datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -89,8 +90,6 @@ class Lake:
 
     def load_returns(self, start: date, end: date, max_lag: int) -> DataFrame:
         """Returns up to ``2 * max_lag + 5`` days past the end, for the forward returns."""
-        from datetime import timedelta
-
         padded = end + timedelta(days=2 * max_lag + 5)
         return as_double(self.scan("daily", start, padded)).select("time", "symbol", "pct_change")
 
@@ -130,20 +129,30 @@ class Lake:
         for column, value in table.defaults:
             if column in partitions and column not in incoming.columns:
                 incoming = incoming.withColumn(column, F.lit(value))
-        n = incoming.count()
-        if n == 0:
-            return 0
+        # The batch is read for its size, its partitions and the merge: keep it until then.
+        incoming = incoming.persist()
+        try:
+            n = incoming.count()
+            if n:
+                self._merge_into(table, incoming, extra, order)
+            return n
+        finally:
+            incoming.unpersist()
+
+    def _merge_into(self, table: Table, incoming: DataFrame, extra: list[str],
+                    order: str | None) -> None:
         base = self._read(table)
+        partitions = list(table.partitions)
         if partitions:
             touched = incoming.select(*partitions).distinct()
             base = base.join(touched, partitions, "left_semi")
-        merged = merge_table(_with_partition_key(table, extra), base.select(*table.columns, *extra),
-                             incoming, order)
-        staging = f"{self.root}/_staging/{name}"
+        # The month follows from the key, so grouping by it keeps rows in their partition.
+        keyed = replace(table, key=(*table.key, *extra))
+        merged = merge_table(keyed, base.select(*table.columns, *extra), incoming, order)
+        staging = f"{self.root}/_staging/{table.name}"
         merged.write.mode("overwrite").option("partitionOverwriteMode", "static").parquet(staging)
         staged = self.spark.read.schema(merged.schema).parquet(staging)
-        self._overwrite(table, staged, self.path(name))
-        return n
+        self._overwrite(table, staged, self.path(table.name))
 
     def replace(self, name: str, rows: DataFrame) -> None:
         """Replace the partitions that ``rows`` falls into (the whole table if unpartitioned)."""
@@ -193,9 +202,3 @@ class Lake:
                 self.spark.sql(f"ALTER TABLE {database}.{table.name} RECOVER PARTITIONS")
             self.spark.sql(f"REFRESH TABLE {database}.{table.name}")
 
-
-def _with_partition_key(table: Table, extra: list[str]) -> Table:
-    """The partition value follows from the key, so grouping by it keeps rows in their month."""
-    from dataclasses import replace
-
-    return replace(table, key=(*table.key, *extra))

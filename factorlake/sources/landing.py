@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factorlake.functions.scalars import VENDOR_DAY, fmt_day, parse_day
+from factorlake.operators.columns import in_range, in_universe
 
 # Vendor column names, output columns and the landing schema.
 VENDOR_NAMES = {"ts_code": "symbol", "trade_date": "time", "vol": "volume", "pct_chg": "pct_change"}
@@ -14,17 +15,19 @@ LANDING_SCHEMA = ("ts_code string, trade_date string, open double, high double,
                   "close double, pct_chg double, vol double, amount double")
 
 
-def normalize_bars(raw: DataFrame) -> DataFrame:
-    """Vendor columns to bar columns: renamed, dates parsed, volume whole."""
-    df = raw.withColumnsRenamed(VENDOR_NAMES)
-    prices = {c: F.col(c).cast("double") for c in BAR_COLUMNS if c not in ("time", "symbol", "volume")}
-    return df.withColumns({
+def normalize_bars(raw: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """Vendor columns to bar columns: renamed, dates parsed, volume whole.
+
+    ``keep`` names further columns to carry along, such as an ingest sequence.
+    """
+    volume = F.col("volume").cast("double")
+    text = ("time", "symbol", "volume")
+    return raw.withColumnsRenamed(VENDOR_NAMES).withColumns({
         "time": parse_day("time"),
-        # Decimal quantities such as 123.0 are cut to whole ones; NaN becomes null.
-        "volume": F.when(~F.isnan(F.col("volume").cast("double")),
-                         F.col("volume").cast("double")).cast("long"),
-        **prices,
-    }).select(*BAR_COLUMNS)
+        # Quantities such as 123.0 become whole numbers; NaN becomes null.
+        "volume": F.when(~F.isnan(volume), volume).cast("long"),
+        **{c: F.col(c).cast("double") for c in BAR_COLUMNS if c not in text},
+    }).select(*BAR_COLUMNS, *(keep or []))
 
 
 def to_vendor(bars: DataFrame) -> DataFrame:
@@ -46,7 +49,5 @@ def scan_landing(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFr
 
 def scan_bars(bars: DataFrame, symbols=None, dates=None, start=None, end=None) -> DataFrame:
     """Bars of some symbols, some days, a range of days, or any mix of these."""
-    from factorlake.operators.columns import in_range, in_universe
-
     return in_range(in_universe(in_universe(bars, "symbol", symbols), "time", dates),
                     "time", start, end)
