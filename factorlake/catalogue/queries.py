@@ -29,7 +29,7 @@ from factorlake.session import shared_dir
 from factorlake.sources import export, landing
 from factorlake.sources import testdata as td
 from factorlake.sources.lake import Lake, as_double
-from factorlake.sources.upsert import merge, merge_table
+from factorlake.sources.upsert import merge_table
 from factorlake.schemas import DAILY, FACTORS, SIGNALS, SYNC_STATUS
 from factorlake.streaming import ingest, rollups
 
@@ -503,7 +503,7 @@ def daily_ic_lag1(i: Inputs) -> DataFrame:
 
 @query
 def daily_ic_long_lag5(i: Inputs) -> DataFrame:
-    return ic.daily_ic(i.long(), i.bars, [5], i.rows, i.day)
+    return ic.daily_ic(i.long(), i.bars, fac.DEFAULT_NAMES, [5], i.rows, i.day)
 
 
 @query

@@ -12,14 +12,14 @@ from factorlake.operators.ordered import Running, cumulative
 
 
 def avg_rank(c: str, by: list[str]) -> Column:
-    """1-based rank in the group; ties share their mean rank."""
-    w = Window.partitionBy(*by).orderBy(c)
-    return (F.rank().over(w) + F.count(F.lit(1)).over(w)) / F.lit(2.0)
+    """1-based rank among the non-null values of the group; ties share their mean rank."""
+    w = Window.partitionBy(*by).orderBy(F.asc_nulls_last(c))
+    return F.when(F.col(c).isNotNull(), (F.rank().over(w) + F.count(c).over(w)) / F.lit(2.0))
 
 
 def with_avg_ranks(df: DataFrame, by: list[str], columns: dict[str, str],
                    bound: int | None = None) -> DataFrame:
-    """Add ``{new: source}`` average ranks of null-free sources.
+    """Add ``{new: source}`` average ranks; null values stay out and get no rank.
 
     Beyond the row limit the rank comes from value counts: copies of a value combine before
     the shuffle, running counts are taken per value range, and the rank joins back by value.
@@ -27,15 +27,38 @@ def with_avg_ranks(df: DataFrame, by: list[str], columns: dict[str, str],
     if oversized(df, by, bound) is None:
         return df.select("*", *[avg_rank(c, by).alias(n) for n, c in columns.items()])
     for new, source in columns.items():
-        counts = df.groupBy(*by, source).agg(F.count(F.lit(1)).alias("__n"))
-        ranks = (
-            cumulative(counts, by, source, [Running("__upto", "sum", F.col("__n"))])
-            .select(*by, source, (F.col("__upto") - (F.col("__n") - 1) / F.lit(2.0)).alias(new))
-        )
-        df = df.join(ranks, [*by, source])
+        df = _ranks_by_value(df, by, source, {new: F.lit(1)})
     return df
 
 
+def _ranks_by_value(df: DataFrame, by: list[str], source: str,
+                    weights: dict[str, Column]) -> DataFrame:
+    counts = df.filter(F.col(source).isNotNull()).groupBy(*by, source).agg(
+        *[F.sum(m).alias(f"__n_{n}") for n, m in weights.items()])
+    steps = [Running(f"__upto_{n}", "sum", F.col(f"__n_{n}")) for n in weights]
+    ranks = cumulative(counts, by, source, steps).select(*by, source, *[
+        (F.col(f"__upto_{n}") - (F.col(f"__n_{n}") - 1) / F.lit(2.0)).alias(n) for n in weights])
+    return df.join(ranks, [*by, source], "left")
+
+
+def with_masked_ranks(df: DataFrame, by: list[str], source: str, masks: dict[str, Column],
+                      bound: int | None = None) -> DataFrame:
+    """Add, per ``{new: mask}``, the average rank of ``source`` among the rows of that mask.
+
+    One ordering serves every mask: with ``n`` mask rows up to a value and ``m`` at it, the
+    rank is ``n - (m - 1) / 2``. Ranks of rows outside the mask mean nothing.
+    """
+    inside = {n: m.cast("int") for n, m in masks.items()}
+    if oversized(df, by, bound) is None:
+        w = Window.partitionBy(*by).orderBy(source)
+        upto = w.rangeBetween(Window.unboundedPreceding, Window.currentRow)
+        here = w.rangeBetween(Window.currentRow, Window.currentRow)
+        return df.select("*", *[
+            (F.sum(m).over(upto) - (F.sum(m).over(here) - 1) / F.lit(2.0)).alias(n)
+            for n, m in inside.items()])
+    return _ranks_by_value(df, by, source, inside)
+
+
 def rank_corr(df: DataFrame, by: list[str], x: str, y: str, bound: int | None = None) -> DataFrame:
     """Per group: Pearson ``ic``, Spearman ``rank_ic`` and the row count of null-free pairs."""
     ranked = with_avg_ranks(df, by, {"__rx": x, "__ry": y}, bound)

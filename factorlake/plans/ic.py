@@ -1,7 +1,6 @@
 """Information coefficients: factor values against later returns, day by day.
 
-All lags and all factors go through one plan: pairs of (value, later return) are keyed by
-(lag, factor, day), ranked and correlated together.
+All lags and all factors go through one plan and one shuffle by day.
 """
 
 from __future__ import annotations
@@ -10,13 +9,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factorlake.functions.missing import finite
-from factorlake.functions.stats import win_rate
+from factorlake.functions.stats import safe_corr, win_rate
+from factorlake.operators.groups import oversized
 from factorlake.operators.joins import join_panel
 from factorlake.operators.ordered import Series, over_series
-from factorlake.operators.ranks import rank_corr
-from factorlake.operators.reshape import ID
-
-SERIES = ["lag", "factor_name", "time"]
+from factorlake.operators.ranks import with_avg_ranks, with_masked_ranks
+from factorlake.operators.reshape import ID, to_wide
+from factorlake.session import durable
 
 
 def _lag_columns(lags: list[int]) -> list[str]:
@@ -40,39 +39,58 @@ def forward_return(returns: DataFrame, lag: int, bound: int | None = None) -> Da
     return ahead.select(*ID, F.col(f"fwd_{lag}").alias("fwd_ret")).na.drop(subset=["fwd_ret"])
 
 
-def _ic_of_pairs(pairs: DataFrame, bound: int | None) -> DataFrame:
-    usable = pairs.filter(finite("factor_value") & finite("fwd_ret"))
-    # The day leads the key: it is the field that tells most groups apart when sorting.
-    return rank_corr(usable, ["time", "lag", "factor_name"], "factor_value", "fwd_ret", bound)
-
+def daily_ic_wide(panel: DataFrame, names: list[str], lags: list[int],
+                  symbol_bound: int | None = None, day_bound: int | None = None) -> DataFrame:
+    """Daily ic, rank_ic and n_stocks per (lag, factor, day) from factor columns and
+    ``pct_change`` in one row.
 
-def _by_lag(df: DataFrame, keep: list[str], lags: list[int]) -> DataFrame:
-    names = F.array(*[F.struct(F.lit(n).alias("lag"), F.col(c).alias("fwd_ret"))
-                      for n, c in zip(lags, _lag_columns(lags))])
-    return df.select(*keep, F.inline(names))
+    Forward returns use the partitioning the factors were computed in.
+    """
+    ahead = with_forward_returns(panel, lags, bound=symbol_bound)
+    return _daily_ic(ahead.select("time", *names, *_lag_columns(lags)), names, lags, day_bound)
 
 
-def daily_ic(factors: DataFrame, returns: DataFrame, lags: list[int],
-             symbol_bound: int | None = None, day_bound: int | None = None) -> DataFrame:
-    """Daily ic, rank_ic and n_stocks per (lag, factor, day) from a long factor table."""
-    ahead = with_forward_returns(returns.select(*ID, "pct_change"), lags, bound=symbol_bound)
-    joined = join_panel(factors, ahead)
-    return _ic_of_pairs(_by_lag(joined, [*ID, "factor_name", "factor_value"], lags), day_bound)
+def _daily_ic(rows: DataFrame, names: list[str], lags: list[int], bound: int | None) -> DataFrame:
+    """Wide rows are shuffled by day once and expanded by factor inside their partition.
 
+    Values are ordered once for every lag (their rank among the rows that have a return is
+    a masked count), returns once per lag; rows are expanded by lag only to aggregate.
+    """
+    returns = _lag_columns(lags)
+    if oversized(rows, ["time"], bound) is None:
+        rows, bound = rows.repartition("time"), 0
+    else:
+        rows, bound = durable(rows), None
+    # A number stands for the factor while rows are sorted.
+    values = F.array(*[F.struct(F.lit(k).alias("factor"), F.col(x).cast("double").alias("x"))
+                       for k, x in enumerate(names)])
+    known = [F.when(finite(y), F.col(y)).alias(y) for y in returns]
+    rows = rows.select("time", *known, F.inline(values)).filter(finite("x"))
+    group = ["time", "factor"]
+    rows = with_masked_ranks(
+        rows, group, "x", {f"rx_{y}": F.col(y).isNotNull() for y in returns}, bound)
+    rows = with_avg_ranks(rows, group, {f"ry_{y}": y for y in returns}, bound)
+    pairs = F.array(*[
+        F.struct(F.lit(n).alias("lag"), F.col(y).alias("y"), F.col(f"rx_{y}").alias("rx"),
+                 F.col(f"ry_{y}").alias("ry")) for n, y in zip(lags, returns)])
+    name = F.element_at(F.array(*[F.lit(n) for n in names]), F.col("factor") + 1)
+    return (
+        rows.select(*group, "x", F.inline(pairs))
+        .filter(F.col("y").isNotNull())
+        .groupBy(*group, "lag")
+        .agg(safe_corr("x", "y").alias("ic"), safe_corr("rx", "ry").alias("rank_ic"),
+             F.count(F.lit(1)).alias("n_stocks"))
+        .select("time", "lag", name.alias("factor_name"), "ic", "rank_ic", "n_stocks")
+    )
 
-def daily_ic_wide(panel: DataFrame, names: list[str], lags: list[int],
-                  symbol_bound: int | None = None, day_bound: int | None = None) -> DataFrame:
-    """The same from a table with factor columns and ``pct_change`` in one row.
 
-    Forward returns use the partitioning the factors were computed in, so the panel join
-    disappears, and rows are expanded only once the returns are attached. A factor row
-    must exist for every return row (values may be null).
-    """
-    ahead = with_forward_returns(panel, lags, bound=symbol_bound)
-    values = F.array(*[F.struct(F.lit(n).alias("factor_name"), F.col(n).alias("factor_value"))
-                       for n in names])
-    lagged = _by_lag(ahead, [*ID, *names], lags)
-    return _ic_of_pairs(lagged.select(*ID, "lag", "fwd_ret", F.inline(values)), day_bound)
+def daily_ic(factors: DataFrame, returns: DataFrame, names: list[str], lags: list[int],
+             symbol_bound: int | None = None, day_bound: int | None = None) -> DataFrame:
+    """The same from a long factor table: its ``names`` become columns in the shuffle by
+    (time, symbol) that the join with the returns needs anyway."""
+    ahead = with_forward_returns(returns.select(*ID, "pct_change"), lags, bound=symbol_bound)
+    joined = join_panel(to_wide(factors, names), ahead)
+    return _daily_ic(joined.select("time", *names, *_lag_columns(lags)), names, lags, day_bound)
 
 
 def ic_summary(daily: DataFrame) -> DataFrame:
