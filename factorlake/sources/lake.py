@@ -197,7 +197,8 @@ class Lake:
 
     def refresh_tables(self, database: str) -> None:
         """Make partitions written by path visible to the catalog tables."""
-        for table in TABLES.values():
+        written = [t for t in TABLES.values() if self._exists(self.path(t.name))]
+        for table in written:
             if table.partitions:
                 self.spark.sql(f"ALTER TABLE {database}.{table.name} RECOVER PARTITIONS")
             self.spark.sql(f"REFRESH TABLE {database}.{table.name}")
