@@ -212,6 +212,26 @@ CTES = {
     "five": "SELECT bucket AS time, * EXCLUDE (bucket) FROM (" + _minute_roll(5, "event_bars") + ")",
     "days": "SELECT DISTINCT time FROM raw",
     "long2": _unpivot(["price_to_ma20", "ma_cross"], "sma_factors"),
+    "warm_bars": f"""
+        SELECT time, symbol, close, lag(close) OVER ({WINDOW}) AS prev_close,
+               row_number() OVER ({WINDOW}) - 1 AS rn,
+               {_sma('close', 20)} AS ma20, {_sma('close', 60)} AS ma60
+        FROM raw
+        WHERE time >= (SELECT min(time) FROM days WHERE time >= '2001-01-01') - INTERVAL 90 DAY""",
+    "warm_moves": """
+        SELECT *, greatest(coalesce(close - prev_close, 0), 0) AS gain,
+               greatest(coalesce(prev_close - close, 0), 0) AS loss FROM warm_bars""",
+    "warm_rsis": f"""
+        SELECT t.symbol, t.rn, {_ewm('gain', '(1 / 14.0)')} AS avg_gain,
+               {_ewm('loss', '(1 / 14.0)')} AS avg_loss
+        FROM warm_moves t JOIN warm_moves s ON s.symbol = t.symbol AND s.rn <= t.rn
+        GROUP BY t.symbol, t.rn""",
+    "warm_factors": """
+        SELECT b.*, (close - ma20) / nullif(ma20, 0) AS price_to_ma20,
+               (ma20 - ma60) / nullif(ma60, 0) AS ma_cross,
+               CASE WHEN rn >= 13 THEN CASE WHEN avg_loss = 0 THEN 100
+                    ELSE 100 - 100 / (1 + avg_gain / avg_loss) END END AS rsi14
+        FROM warm_bars b JOIN warm_rsis USING (symbol, rn)""",
     "base_bars": f"""
         SELECT {BAR}, pct_change, 2.5 AS adj_factor, true AS is_st, false AS is_suspended
         FROM bars WHERE day(time) % 2 = 0""",
@@ -512,6 +532,7 @@ ORACLE = {
                count(*) FILTER (WHERE signal = -1) AS n_sell,
                count(*) FILTER (WHERE signal <> 0) AS n_active FROM signals GROUP BY strategy"""),
     "signal_returns": _shown("time:d symbol:s strategy:s strategy_ret:f", "SELECT * FROM returns"),
+    "signal_returns_joined": _shown("time:d symbol:s strategy:s strategy_ret:f", "SELECT * FROM returns"),
     "equity_curve": _shown("time:d symbol:s strategy:s equity:f drawdown:f", "SELECT * FROM curves"),
     "metrics": _shown("strategy:s symbol:s " + _METRIC, _metrics("returns", "strategy, symbol")),
     "metrics_weekly": _shown("strategy:s symbol:s " + _METRIC, _metrics(
@@ -563,9 +584,39 @@ ORACLE = {
         FROM raw, (VALUES ('daily', 'ok', NULL), ('factors', 'error', 'a; b')) v(data_type, status, error_msg)
         GROUP BY data_type, status, error_msg"""),
     "incremental_factors": _shown(_LONG, "SELECT * FROM long2 WHERE time >= '2001-01-01'"),
+    "incremental_factors_warmup": _shown(_LONG, f"""
+        SELECT * FROM ({_unpivot(["price_to_ma20", "ma_cross", "rsi14"], "warm_factors")})
+        WHERE time >= '2001-01-01'"""),
     "lake_round_trip": _shown(_BARS + _FLAGS, """
         SELECT * REPLACE (round(pct_change, 4) AS pct_change) FROM stored_bars
         WHERE time BETWEEN '1996-01-01' AND '1999-12-31'"""),
+    "catalog_tables": _shown("symbol:s n_weeks:i top_close:f", """
+        SELECT symbol, count(*) AS n_weeks, max(close) AS top_close FROM weekly_bars
+        WHERE bucket >= '1997-01-01' GROUP BY symbol"""),
+    "minute_table": _shown(_MINUTE, f"""
+        SELECT *, bucket AS time, '60m' AS freq FROM ({_minute_roll(60, 'event_bars')})
+        WHERE bucket BETWEEN '2024-01-10' AND '2024-01-20' AND symbol IN ('click', 'error')"""),
+    "index_table": _shown("time:d symbol:s pct_change:f", """
+        SELECT time, '000300.SH' AS symbol, round(avg(pct_change), 4) AS pct_change FROM bars
+        WHERE time BETWEEN '1997-01-01' AND '1997-12-31' GROUP BY time"""),
+    "update_bars_run": _shown(_BARS, """
+        SELECT * REPLACE (round(pct_change, 4) AS pct_change) FROM bars
+        WHERE (time BETWEEN '1996-12-31' AND '1997-12-31' AND day(time) <> 15)
+           OR time BETWEEN '1997-09-02' AND '1997-12-31'"""),
+    "update_factors_run": _shown(_LONG, f"""
+        SELECT * FROM ({_unpivot(["price_to_ma20", "limit_up"], "sma_factors")})
+        WHERE time BETWEEN '1999-05-31' AND '1999-07-31'"""),
+    "sync_status_run": _shown(
+        "data_type:s symbol:s last_sync_time:d last_date:d status:s error_msg:s updated_at:d", """
+        SELECT data_type, CAST(NULL AS VARCHAR) AS symbol, DATE '2024-01-01' AS last_sync_time,
+               max(time) AS last_date, status, error_msg, DATE '2024-01-01' AS updated_at
+        FROM raw, (VALUES ('daily', 'ok', NULL), ('factors', 'error', 'a; b')) v(data_type, status, error_msg)
+        GROUP BY data_type, status, error_msg"""),
+    "ic_report": _shown(_SUMMARY, "SELECT * FROM summary WHERE lag = 1"),
+    "export_files": _shown("kind:s line:s", f"""
+        SELECT 'day' AS kind, strftime(time, '%Y-%m-%d') AS line FROM days UNION ALL
+        SELECT 'instrument', {_code('symbol')} || ' ' || strftime(min(time), '%Y-%m-%d') || ' '
+               || strftime(max(time), '%Y-%m-%d') FROM exported GROUP BY symbol"""),
     "retention": _shown(_OHLCV, _ROLLED + "weekly_bars WHERE bucket >= '1998-01-01'"),
     "weekly_refresh": _shown(_OHLCV, f"""
         SELECT date_trunc('week', time) AS time, symbol, {_ROLL} FROM raw

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from datetime import date, datetime
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
@@ -24,11 +25,12 @@ from factorlake.operators.resample import resample, resample_minutes
 from factorlake.plans import backtest as bt
 from factorlake.plans import factors as fac
 from factorlake.plans import ic, strategy, study
-from factorlake.plans.incremental import factor_gaps
+from factorlake.plans.incremental import factor_gaps, update_bars, update_factors
 from factorlake.session import shared_dir
 from factorlake.sources import export, landing
 from factorlake.sources import testdata as td
 from factorlake.sources.lake import Lake, as_double
+from factorlake.sources.status import record_sync
 from factorlake.sources.upsert import merge_table
 from factorlake.schemas import DAILY, FACTORS, SIGNALS, SYNC_STATUS
 from factorlake.streaming import ingest, rollups
@@ -98,7 +100,9 @@ class Inputs:
 
     @cached_property
     def returns(self) -> DataFrame:
-        return bt.signal_returns(self.signals, self.bars, self.rows)
+        panel = fac.factor_columns(self.bars, strategy.MOMENTUM_FACTORS, self.rows)
+        priced = strategy.momentum_from_wide(panel, bound=self.rows, keep=("pct_change",))
+        return bt.signal_returns(priced, bound=self.rows)
 
     @cached_property
     def topk(self) -> DataFrame:
@@ -624,6 +628,11 @@ def signal_returns(i: Inputs) -> DataFrame:
     return i.returns
 
 
+@query
+def signal_returns_joined(i: Inputs) -> DataFrame:
+    return bt.signal_returns(i.signals, i.bars, i.rows)
+
+
 @query
 def equity_curve(i: Inputs) -> DataFrame:
     return bt.equity_curve(i.returns, ["strategy", "symbol"], bound=i.rows).select(
@@ -768,6 +777,93 @@ def lake_round_trip(i: Inputs) -> DataFrame:
     return as_double(lake.scan("daily", "1996-01-01", "1999-12-31"))
 
 
+@query
+def catalog_tables(i: Inputs) -> DataFrame:
+    lake = i.lake()
+    database = "factorlake_check"
+    # The tables are external: dropping last run's entries touches no data.
+    i.spark.sql(f"DROP DATABASE IF EXISTS {database} CASCADE")
+    lake.create_tables(database)
+    lake.replace("weekly", resample(i.raw, "week"))
+    lake.refresh_tables(database)
+    return i.spark.sql(f"""
+        SELECT symbol, count(*) AS n_weeks, CAST(max(close) AS DOUBLE) AS top_close
+        FROM {database}.weekly WHERE ym >= '1997-01' GROUP BY symbol""")
+
+
+@query
+def minute_table(i: Inputs) -> DataFrame:
+    lake = i.lake()
+    ticks = td.event_ticks(i.spark, i.dir)
+    for freq in ("5m", "60m"):
+        lake.upsert("minute", resample_minutes(ticks, freq))
+    stored = lake.load_minute("60m", "2024-01-10", "2024-01-20", ["click", "error"])
+    return stored.withColumn("time", F.date_format("time", "yyyy-MM-dd HH:mm:ss"))
+
+
+@query
+def index_table(i: Inputs) -> DataFrame:
+    lake = i.lake()
+    lake.upsert("index_daily", td.index_daily(i.bars))
+    return lake.load_index("000300.SH", "1997-01-01", "1997-12-31").select(
+        "time", "symbol", "pct_change")
+
+
+@query
+def update_bars_run(i: Inputs) -> DataFrame:
+    lake = i.lake()
+    landed = landing.to_vendor(i.bars)
+    calendar = agg.calendar(i.raw)
+    some = landed.filter("substr(trade_date, 7, 2) <> '15'")
+    update_bars(lake, some, calendar, date(1997, 12, 31), 365)
+    update_bars(lake, landed, calendar, date(1997, 12, 31), 120)
+    return as_double(lake.scan("daily")).select(*landing.BAR_COLUMNS)
+
+
+@query
+def update_factors_run(i: Inputs) -> DataFrame:
+    lake = i.lake()
+    lake.upsert("daily", i.bars)
+    names = ["price_to_ma20", "limit_up"]
+    update_factors(lake, date(1999, 6, 30), 30, names=names, warmup_days=None)
+    update_factors(lake, date(1999, 7, 31), 60, names=names, warmup_days=None)
+    return lake.load_factors(names=names)
+
+
+@query
+def sync_status_run(i: Inputs) -> DataFrame:
+    lake = i.lake()
+    last = i.raw.agg(F.max("time").cast("date").alias("d")).first()["d"]
+    when = datetime(2024, 1, 1)
+    record_sync(lake, "daily", date(1995, 1, 1), as_of=when)
+    record_sync(lake, "daily", last, as_of=when)
+    record_sync(lake, "factors", last, ["a", "b", "c"], error_limit=2, as_of=when)
+    return lake.scan("sync_status")
+
+
+@query
+def ic_report(i: Inputs) -> DataFrame:
+    path = f"{i.lake().root}/report"
+    export.write_report(ic.ic_summary(i.daily_ic([1])), path)
+    return i.spark.read.schema(
+        "lag int, factor_name string, mean_rank_ic double, rank_ic_std double, rank_ic_ir double, "
+        "mean_ic double, ic_std double, ic_ir double, t_stat double, win_rate double, n_days long",
+    ).option("header", True).csv(path)
+
+
+@query
+def export_files(i: Inputs) -> DataFrame:
+    root = i.lake().root
+    exported = export.scan_export(i.bars)
+    export.write_calendar(exported, f"{root}/calendar")
+    export.write_instruments(exported, f"{root}/instruments")
+    days = i.spark.read.text(f"{root}/calendar").select(
+        F.lit("day").alias("kind"), F.col("value").alias("line"))
+    lines = i.spark.read.text(f"{root}/instruments").select(
+        F.lit("instrument").alias("kind"), F.translate("value", "\t", " ").alias("line"))
+    return days.unionByName(lines)
+
+
 @query
 def retention(i: Inputs) -> DataFrame:
     lake = i.lake()
@@ -778,8 +874,6 @@ def retention(i: Inputs) -> DataFrame:
 
 @query
 def weekly_refresh(i: Inputs) -> DataFrame:
-    from datetime import date
-
     lake = i.lake()
     lake.upsert("daily", i.bars)
     rollups.refresh_window(lake, "week", date(1999, 6, 30), 400, 1)

@@ -9,6 +9,7 @@ from factorlake.functions.scalars import VENDOR_DAY, fmt_day
 from factorlake.functions.stats import safe_corr, win_rate
 from factorlake.operators.columns import in_range
 from factorlake.operators.ranks import exact_median
+from factorlake.session import durable
 
 
 def symbols(bars: DataFrame) -> DataFrame:
@@ -74,8 +75,9 @@ def histogram(df: DataFrame, c: str, bins: int, limits: tuple[float, float] | No
     by = by or []
     values = df.filter(F.col(c).isNotNull()).select(*by, F.col(c).cast("double").alias(c))
     if limits is None:
-        ends = values.agg(F.min(c).alias("lo"), F.max(c).alias("hi"))
-        lo, hi = ends.select("lo").scalar(), ends.select("hi").scalar()
+        values = durable(values)  # read for its range and again for the counts
+        ends = values.agg(F.struct(F.min(c).alias("lo"), F.max(c).alias("hi")).alias("ends")).scalar()
+        lo, hi = ends["lo"], ends["hi"]
     else:
         lo, hi = F.lit(float(limits[0])), F.lit(float(limits[1]))
     width = (F.col("hi") - F.col("lo")) / bins

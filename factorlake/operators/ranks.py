@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from factorlake.functions.stats import safe_corr
 from factorlake.operators.groups import oversized
 from factorlake.operators.ordered import Running, cumulative
+from factorlake.session import durable
 
 
 def avg_rank(c: str, by: list[str]) -> Column:
@@ -85,6 +86,9 @@ def exact_median(df: DataFrame, by: list[str], c: str, bound: int | None = None)
         df.filter(F.col(c).isNotNull()).groupBy(*by, c)
         .agg(F.count(F.lit(1)).alias("__n"))
     )
+    if bound is None:
+        # Read several times below, and smaller than the rows it came from.
+        counts = durable(counts)
     upto = cumulative(counts, by, c, [Running("__upto", "sum", F.col("__n"))], bound)
     totals = counts.groupBy(*by).agg(F.sum("__n").alias("__all"))
 

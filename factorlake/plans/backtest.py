@@ -19,10 +19,16 @@ METRICS = ["annualized_return", "annualized_vol", "sharpe", "max_drawdown", "cal
 REBALANCE = {"weekly": "week", "monthly": "month"}
 
 
-def signal_returns(signals: DataFrame, bars: DataFrame, bound: int | None = None) -> DataFrame:
-    """Yesterday's signal times today's change, per strategy and symbol."""
-    joined = join_panel(signals.select("time", "symbol", "strategy", "signal"),
-                        bars.select("time", "symbol", "pct_change"))
+def signal_returns(signals: DataFrame, bars: DataFrame | None = None,
+                   bound: int | None = None) -> DataFrame:
+    """Yesterday's signal times today's change, per strategy and symbol.
+
+    Without ``bars`` the signals carry ``pct_change`` themselves, which saves the join.
+    """
+    joined = signals.select("time", "symbol", "strategy", "signal",
+                            *(["pct_change"] if bars is None else []))
+    if bars is not None:
+        joined = join_panel(joined, bars.select("time", "symbol", "pct_change"))
     lagged = over_series(joined, lambda df, s: df.withColumn("held", s.prev("signal")),
                          by=["strategy", "symbol"], order="time", before=1, bound=bound)
     ret = F.col("held") * F.col("pct_change") / 100

@@ -24,8 +24,11 @@ class Strategy(Protocol):
 
 
 def momentum_from_wide(wide: DataFrame, rsi_overbought: float = 70.0, rsi_sell: float = 80.0,
-                       bound: int | None = None) -> DataFrame:
-    """Golden cross below the RSI cap buys; a death cross, or a hot RSI, sells."""
+                       bound: int | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Golden cross below the RSI cap buys; a death cross, or a hot RSI, sells.
+
+    ``keep`` names further columns of ``wide`` to carry along.
+    """
     require(wide, MOMENTUM_FACTORS)
     known = drop_any_nan(wide, MOMENTUM_FACTORS)
     lagged = over_series(
@@ -45,7 +48,7 @@ def momentum_from_wide(wide: DataFrame, rsi_overbought: float = 70.0, rsi_sell:
     return lagged.select(
         "time", "symbol", F.lit(MOMENTUM).alias("strategy"),
         signal.cast("short").alias("signal"), (short - long).alias("score"),
-        F.lit(None).cast("string").alias("metadata"),
+        F.lit(None).cast("string").alias("metadata"), *keep,
     )
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import replace
 from datetime import date, datetime, timedelta
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,6 +15,8 @@ from factorlake.schemas import TABLES, Table, month_of
 from factorlake.sources.upsert import merge_table
 
 Day = str | date | datetime
+# Partition values of a batch that are listed on the driver.
+MAX_LISTED = 10_000
 
 
 def as_double(df: DataFrame) -> DataFrame:
@@ -111,6 +114,11 @@ class Lake:
 
     # -- writes --------------------------------------------------------------------------
 
+    def _clustered(self, table: Table, rows: DataFrame) -> DataFrame:
+        """Rows of one partition close together, so that files are few; AQE cuts a partition
+        that holds many rows into several tasks and merges small ones."""
+        return rows.hint("rebalance", *table.partitions) if table.partitions else rows
+
     def _overwrite(self, table: Table, rows: DataFrame, path: str) -> None:
         if table.partitions:
             # The extra sort columns keep each file ordered for later range scans.
@@ -119,6 +127,26 @@ class Lake:
         writer = rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
         (writer.partitionBy(*table.partitions) if table.partitions else writer).parquet(path)
 
+    def _touched(self, table: Table, base: DataFrame, incoming: DataFrame) -> DataFrame:
+        """The part of ``base`` in the partitions of the batch.
+
+        Up to ``MAX_LISTED`` partition values become a literal filter, so that only these
+        directories are scanned; a batch that touches more joins on them instead.
+        """
+        partitions = list(table.partitions)
+        values = incoming.select(*partitions).distinct()
+        listed = values.limit(MAX_LISTED + 1).collect()
+        if len(listed) > MAX_LISTED:
+            return base.join(values, partitions, "left_semi")
+        tail: dict[tuple, list[str]] = {}
+        for row in listed:
+            tail.setdefault(tuple(row)[:-1], []).append(row[-1])
+        conditions = [
+            reduce(lambda a, b: a & b, [F.col(c) == v for c, v in zip(partitions, head)],
+                   F.col(partitions[-1]).isin(last))
+            for head, last in tail.items()]
+        return base.filter(reduce(lambda a, b: a | b, conditions))
+
     def upsert(self, name: str, incoming: DataFrame, order: str | None = None) -> int:
         """Insert or update by key; returns the number of batch rows."""
         table = TABLES[name]
@@ -142,15 +170,14 @@ class Lake:
     def _merge_into(self, table: Table, incoming: DataFrame, extra: list[str],
                     order: str | None) -> None:
         base = self._read(table)
-        partitions = list(table.partitions)
-        if partitions:
-            touched = incoming.select(*partitions).distinct()
-            base = base.join(touched, partitions, "left_semi")
+        if table.partitions:
+            base = self._touched(table, base, incoming)
         # The month follows from the key, so grouping by it keeps rows in their partition.
         keyed = replace(table, key=(*table.key, *extra))
         merged = merge_table(keyed, base.select(*table.columns, *extra), incoming, order)
         staging = f"{self.root}/_staging/{table.name}"
-        merged.write.mode("overwrite").option("partitionOverwriteMode", "static").parquet(staging)
+        self._clustered(table, merged).write.mode("overwrite").option(
+            "partitionOverwriteMode", "static").parquet(staging)
         staged = self.spark.read.schema(merged.schema).parquet(staging)
         self._overwrite(table, staged, self.path(table.name))
 
@@ -161,7 +188,7 @@ class Lake:
             rows = rows.withColumn("ym", month_of())
         stored = self._stored(table)
         rows = rows.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in stored])
-        self._overwrite(table, rows, self.path(name))
+        self._overwrite(table, self._clustered(table, rows), self.path(name))
 
     def drop_partitions_before(self, name: str, day: Day) -> int:
         """Retention: remove whole months that end before ``day``; returns how many."""
