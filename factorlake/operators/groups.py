@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 LIMIT_KEY = "factorlake.maxGroupRows"
-DEFAULT_LIMIT = 2_000_000
+DEFAULT_LIMIT = 10_000_000
 
 
 class GroupSizes(NamedTuple):
@@ -37,9 +37,10 @@ def measure(df: DataFrame, by: list[str]) -> GroupSizes:
     return GroupSizes(row["total"] or 0, row["largest"] or 0)
 
 
-def oversized(df: DataFrame, by: list[str], bound: int | None = None) -> GroupSizes | None:
+def oversized(df: DataFrame, by: list[str], bound: int | None = None,
+              limit: int | None = None) -> GroupSizes | None:
     """None if every group of ``by`` may be handled by one task, else the measured sizes."""
-    limit = row_limit(df.sparkSession)
+    limit = limit or row_limit(df.sparkSession)
     if bound is not None and bound <= limit:
         return None
     sizes = measure(df, by)

@@ -100,18 +100,20 @@ def positions(df: DataFrame, by: list[str], order: str, bound: int | None = None
 
 def over_series(df: DataFrame, add: Callable[[DataFrame, Series], DataFrame], *,
                 by: list[str], order: str, before: int = 0, after: int = 0,
-                bound: int | None = None) -> DataFrame:
+                bound: int | None = None, limit: int | None = None) -> DataFrame:
     """Add columns that look at most ``before`` rows back and ``after`` rows ahead.
 
     ``add`` gets the rows with ``__pos`` and the layout to build its windows from, and may
     only add columns. Groups above the row limit are cut into blocks of consecutive rows;
     each block carries copies of the rows its windows reach for, which are dropped again.
+    ``limit`` replaces the row limit of the session.
     """
-    sizes = oversized(df, by, bound)
+    limit = limit or row_limit(df.sparkSession)
+    sizes = oversized(df, by, bound, limit)
     if sizes is None:
         placed = df.withColumn(POS, _row_in(*by, order=order))
         return add(placed, Series(tuple(by), order)).drop(POS)
-    size = max(row_limit(df.sparkSession), before, after, 1)
+    size = max(limit, before, after, 1)
     block, inside = F.floor(F.col(POS) / size), F.col(POS) % size
     copies = F.array_compact(F.array(
         block,

@@ -20,6 +20,7 @@ from pyspark.sql import types as T
 
 from factorlake.functions.ewm import MEMORY, Ewm, add_ewms
 from factorlake.functions.missing import clean
+from factorlake.operators.groups import row_limit
 from factorlake.operators.ordered import BLOCK, POS, Series, over_series
 from factorlake.operators.reshape import ID, to_long
 
@@ -28,6 +29,9 @@ SHORT_MA, LONG_MA, RSI_N = 20, 60, 14
 MACD_FAST, MACD_SLOW, MACD_SIGN = 12, 26, 9
 LIMIT_RATIO = Decimal("1.1")
 
+# Most rows of one symbol that are handed to pandas at once.
+PANDAS_ROWS = 1_000_000
+
 
 @dataclass(frozen=True)
 class LookBack:
@@ -188,8 +192,8 @@ def compute_factors(bars: DataFrame, names: list[str] | None = None,
 class PandasFactor:
     """A factor that only pandas can express: ``fn`` maps the bars of one symbol to a series.
 
-    ``lookback`` is the number of earlier rows a value depends on. Groups above the row
-    limit are handed over in blocks that carry that many earlier rows, so that no
+    ``lookback`` is the number of earlier rows a value depends on. Groups above ``PANDAS_ROWS``
+    (or the row limit, if lower) are handed over in blocks that carry that many earlier rows, so that no
     task ever holds a whole large symbol.
     """
 
@@ -209,6 +213,8 @@ class PandasFactor:
 
             return df.groupBy(*series.by).applyInPandas(one, schema)
 
-        wide = over_series(bars, add, by=["symbol"], order="time", before=self.lookback, bound=bound)
+        limit = min(PANDAS_ROWS, row_limit(bars.sparkSession))
+        wide = over_series(bars, add, by=["symbol"], order="time", before=self.lookback,
+                           bound=bound, limit=limit)
         return clean(wide.select(*ID, F.lit(name).alias("factor_name"),
                                  F.col(name).alias("factor_value")))
