@@ -13,7 +13,7 @@ from factorlake.functions.stats import safe_corr, win_rate
 from factorlake.operators.groups import oversized
 from factorlake.operators.joins import join_panel
 from factorlake.operators.ordered import Series, over_series
-from factorlake.operators.ranks import with_avg_ranks, with_masked_ranks
+from factorlake.operators.ranks import with_masked_ranks
 from factorlake.operators.reshape import ID, to_wide
 from factorlake.session import durable
 
@@ -51,25 +51,32 @@ def daily_ic_wide(panel: DataFrame, names: list[str], lags: list[int],
 
 
 def _daily_ic(rows: DataFrame, names: list[str], lags: list[int], bound: int | None) -> DataFrame:
-    """Wide rows are shuffled by day once and expanded by factor inside their partition.
+    """Wide rows are shuffled by day once; all further work stays inside that partitioning.
 
-    Values are ordered once for every lag (their rank among the rows that have a return is
-    a masked count), returns once per lag; rows are expanded by lag only to aggregate.
+    A rank is taken among the rows that have both a value and a return, which is a masked
+    count over one ordering: returns are ordered once per lag for all factors, values once
+    per factor for all lags. Rows are expanded by factor only after the returns are ranked,
+    and by lag only to aggregate.
     """
     returns = _lag_columns(lags)
     if oversized(rows, ["time"], bound) is None:
         rows, bound = rows.repartition("time"), 0
     else:
         rows, bound = durable(rows), None
+    rows = rows.select("time", *[F.when(finite(c), F.col(c).cast("double")).alias(c)
+                                 for c in [*names, *returns]])
+    for y in returns:
+        masks = {f"ry_{y}_{k}": F.col(x).isNotNull() for k, x in enumerate(names)}
+        rows = with_masked_ranks(rows, ["time"], y, masks, bound)
     # A number stands for the factor while rows are sorted.
-    values = F.array(*[F.struct(F.lit(k).alias("factor"), F.col(x).cast("double").alias("x"))
-                       for k, x in enumerate(names)])
-    known = [F.when(finite(y), F.col(y)).alias(y) for y in returns]
-    rows = rows.select("time", *known, F.inline(values)).filter(finite("x"))
+    values = F.array(*[
+        F.struct(F.lit(k).alias("factor"), F.col(x).alias("x"),
+                 *[F.col(f"ry_{y}_{k}").alias(f"ry_{y}") for y in returns])
+        for k, x in enumerate(names)])
+    rows = rows.select("time", *returns, F.inline(values)).filter(F.col("x").isNotNull())
     group = ["time", "factor"]
     rows = with_masked_ranks(
         rows, group, "x", {f"rx_{y}": F.col(y).isNotNull() for y in returns}, bound)
-    rows = with_avg_ranks(rows, group, {f"ry_{y}": y for y in returns}, bound)
     pairs = F.array(*[
         F.struct(F.lit(n).alias("lag"), F.col(y).alias("y"), F.col(f"rx_{y}").alias("rx"),
                  F.col(f"ry_{y}").alias("ry")) for n, y in zip(lags, returns)])
