@@ -206,9 +206,11 @@ class PandasFactor:
 
         def add(df: DataFrame, series: Series) -> DataFrame:
             schema = T.StructType([*df.schema.fields, T.StructField(name, T.DoubleType())])
+            # Only plain values go into the task: workers need not have this package.
+            order = series.order
 
             def one(rows: pd.DataFrame) -> pd.DataFrame:
-                rows = rows.sort_values(series.order, ignore_index=True)
+                rows = rows.sort_values(order, ignore_index=True)
                 return rows.assign(**{name: fn(rows).astype("float64")})
 
             return df.groupBy(*series.by).applyInPandas(one, schema)
