@@ -1,0 +1,134 @@
+"""Secret scans over a ledger of blobs.
+
+A text is a blob named by its digest; paths (documents, revisions of files) point to blobs.
+A ledger holds what is known about (blob, rule version) pairs: the spans found, or none.
+A scan looks up the blobs of its paths, searches only pairs that the ledger lacks, appends
+them to the ledger and joins the spans back to all paths. A blob that a third of the paths
+share is searched once.
+"""
+
+from __future__ import annotations
+
+from typing import NamedTuple
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from factorlake.llm.common import scratch
+
+#: Fixed values. (?i:) covers the letters of ``assign`` that stand for themselves.
+ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]+"""
+ASSIGN_HEAD = r"""^(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?"""
+ASSIGN_SIGN = r"""(?i:passw(?:or)?d|secret|token|api_?key)["']?\x20*[:=]"""
+
+
+class Rule(NamedTuple):
+    """A kind of span. ``least`` is the length that the match, after ``head`` is cut off, needs;
+    every text with a span passes the cheaper test ``sign``."""
+
+    kind: str
+    version: int
+    pattern: str
+    least: int
+    sign: str
+    head: str | None = None
+
+
+#: In the order in which spans of one start are listed.
+RULES = (
+    Rule("assign", 1, ASSIGN, 6, ASSIGN_SIGN, ASSIGN_HEAD),
+    Rule("access", 1, r"AKIA[A-Z0-9]+", 20, "AKIA[A-Z0-9]{16}"),
+    Rule("hex", 1, r"[0-9a-f]+", 24, "[0-9a-f]{24}"),
+    Rule("pem", 1, r"-----BEGIN [A-Z ]*PRIVATE KEY-----", 1, "PRIVATE KEY-----"),
+    Rule("github", 1, r"gh[pousr]_[A-Za-z0-9]{36,}", 40, "gh[pousr]_"),
+    Rule("jwt", 1, r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 28, "eyJ[A-Za-z0-9_-]{8}"),
+    Rule("slack", 1, r"xox[abprs]-[A-Za-z0-9-]{10,}", 15, "xox[abprs]-"),
+)
+BASE = ("assign", "access", "hex")
+
+SPAN = "struct<start:int,rank:int,kind:string,end:int>"
+LEDGER = f"blob binary, kind string, version int, spans array<{SPAN}>"
+
+
+def rule_spans(text: Column, rule: Rule, rank: int) -> Column:
+    """All spans of a rule, by start, in code points, end exclusive.
+
+    The pieces between matches and the matches themselves alternate, so the end of the k-th
+    match is the length of the first k of both. Matches that are too short are dropped afterwards:
+    they still hide what they cover.
+    """
+    found = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0))
+    gaps = F.split(text, rule.pattern, -1)
+    pairs = F.transform(found, lambda m, k: F.struct(
+        F.length(F.element_at(gaps, k + 1)).alias("gap"), F.length(m).alias("size"), m.alias("match")))
+    start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{SPAN}>").alias("spans"))
+
+    def step(state: Column, x: Column) -> Column:
+        begin = state["at"] + x["gap"]
+        end = begin + x["size"]
+        body = F.regexp_replace(x["match"], rule.head, "") if rule.head else x["match"]
+        span = F.struct(begin.alias("start"), F.lit(rank).alias("rank"), F.lit(rule.kind).alias("kind"),
+                        end.alias("end"))
+        spans = F.when(F.length(body) >= rule.least, F.array_append(state["spans"], span)).otherwise(
+            state["spans"])
+        return F.struct(end.alias("at"), spans.alias("spans"))
+
+    walked = F.aggregate(pairs, start, step, lambda s: s["spans"])
+    # Most texts have none of a kind: one test instead of the walk.
+    return F.when(F.rlike(text, F.lit(rule.sign)), walked).otherwise(
+        F.array().cast(f"array<{SPAN}>"))
+
+
+def new_ledger(spark: SparkSession) -> str:
+    """An empty ledger in the shared folder."""
+    path = scratch(spark, "ledger")
+    spark.createDataFrame([], LEDGER).write.parquet(path)
+    return path
+
+
+def scan(docs: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id",
+         text_col: str = "text") -> DataFrame:
+    """doc_id, blob, spans (array of kind, start, end by start, then rule order) of every row.
+
+    Appends what was searched to the ledger at path ``ledger``; the append is a set of whole
+    files, and a pair that a broken run leaves twice reads as one. Null text counts as empty and
+    has no spans; rows that repeat an identifier each get their spans.
+    """
+    spark = docs.sparkSession
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    blob = F.unhex(F.sha2(text, 256))
+    paths = docs.select(F.col(id_col).alias("doc_id"), blob.alias("blob"))
+    # Blobs of which every rule version is known are left out by their digest alone.
+    ruled = [F.struct(F.lit(r.kind).alias("kind"), F.lit(r.version).alias("version")) for r in rules]
+    known = (spark.read.schema(LEDGER).parquet(ledger)
+             .where(F.struct("kind", "version").isin(*ruled) if ruled else F.lit(False))
+             .groupBy("blob").agg(F.collect_set(F.struct("kind", "version")).alias("done")))
+    # One row per blob: equal blobs are combined before and after the shuffle.
+    blobs = (docs.select(blob.alias("blob"), text.alias("text")).where("text <> ''")
+             .dropDuplicates(["blob"]))
+    wanted = blobs.join(known.withColumnRenamed("blob", "seen"), F.col("blob") == F.col("seen"), "left")
+    entries = []
+    for rank, rule in enumerate(rules):
+        done = F.array_contains(F.col("done"), ruled[rank])
+        spans = F.when(F.coalesce(done, F.lit(False)), F.lit(None)).otherwise(
+            rule_spans(F.col("text"), rule, rank))
+        entries.append(F.struct(F.lit(rule.kind).alias("kind"), F.lit(rule.version).alias("version"),
+                                spans.alias("spans")))
+    fresh = (wanted.select("blob", F.explode(F.array(*entries)).alias("e"))
+             .select("blob", "e.*").where("spans is not null"))
+    fresh.write.mode("append").parquet(ledger)
+
+    found = (spark.read.schema(LEDGER).parquet(ledger)
+             .where((F.struct("kind", "version").isin(*ruled)) & (F.size("spans") > 0))
+             .groupBy("blob").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("spans"))))
+                                  .alias("spans"))
+             .withColumnRenamed("blob", "hit"))
+    joined = paths.join(found, F.col("blob") == F.col("hit"), "left")
+    return joined.select("doc_id", F.lower(F.hex("blob")).alias("blob"),
+                         F.coalesce("spans", F.array().cast(f"array<{SPAN}>")).alias("spans"))
+
+
+def listed(spans: Column) -> Column:
+    """kind:start:end, comma-joined."""
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(
+        ":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
