@@ -10,6 +10,8 @@ sys.path.insert(0, str(Path(__file__).resolve().parent.parent / "tools"))
 
 from __spark_entry__ import entry, oracle_sql, queries  # noqa: E402
 from check_oracle import compare, connect  # noqa: E402
+from factorlake.catalogue.oracle import ORACLE  # noqa: E402
+from factorlake.catalogue.queries import QUERIES  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
 SAMPLE = ["bars_daily", "bars_weekly", "factors_long", "daily_ic_lag1", "ic_decay", "group_stats",
@@ -22,8 +24,9 @@ def db():
     return connect(SF)
 
 
-def test_every_query_has_sql():
-    assert sorted(queries()) == sorted(oracle_sql())
+def test_every_query_of_the_library_has_sql():
+    assert sorted(QUERIES) == sorted(ORACLE)
+    assert set(oracle_sql()) <= set(queries())
 
 
 @pytest.mark.parametrize("name", SAMPLE)
