@@ -61,6 +61,3 @@ def ascii_lower(text: Column) -> Column:
     return F.when(F.length(text) == F.octet_length(text), F.lower(text)).otherwise(
         F.translate(text, upper, upper.lower()))
 
-
-def same_row(left: Column, right: Column) -> Column:
-    return left.eqNullSafe(right)

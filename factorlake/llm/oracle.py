@@ -92,3 +92,39 @@ summed AS (
 SELECT doc_id, size::BIGINT AS size, source_size::BIGINT AS source_size, round(target, 6) AS target,
        (epoch * size + greatest(0, least(size, rest - before)))::BIGINT AS taken
 FROM summed"""
+
+ORACLE["op8_substring_fm"] = f"""
+WITH rows AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{WORD}') AS w FROM documents),
+long AS (SELECT doc_id, w, unnest(range(1, len(w) - 33)) AS k FROM rows WHERE len(w) >= 35),
+windows AS (SELECT doc_id, k, array_to_string(w[k:k + 34], ' ') AS s FROM long),
+again AS (SELECT s FROM windows GROUP BY s HAVING count(*) > 1),
+hits AS (SELECT doc_id, k FROM windows JOIN again USING (s)),
+gone AS (SELECT doc_id, list(DISTINCT p) AS ps FROM (
+           SELECT doc_id, unnest(range(k, k + 35)) AS p FROM hits) GROUP BY doc_id),
+kept AS (SELECT doc_id, w, coalesce(len(ps), 0) AS n_removed,
+                coalesce(list_filter(w, lambda x, i: NOT list_contains(ps, i)), w) AS left_over
+         FROM rows LEFT JOIN gone USING (doc_id))
+SELECT doc_id, len(w)::BIGINT AS n_words, n_removed::BIGINT AS n_removed,
+       sha256(array_to_string(CASE WHEN n_removed = 0 THEN w ELSE left_over END, ' ')) AS kept_sha256
+FROM kept"""
+
+ORACLE["op9_setsketch"] = f"""
+WITH RECURSIVE rows AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{UPPER.lower()}'), '{WORD}') AS w
+  FROM documents),
+sets AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN []
+    WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 3), lambda k: array_to_string(w[k:k + 4], ' ')) END) AS s
+  FROM rows),
+sizes AS (SELECT doc_id, count(*) AS n FROM sets GROUP BY doc_id),
+common AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c
+           FROM sets x JOIN sets y ON x.s = y.s AND x.doc_id < y.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM common JOIN sizes p ON p.doc_id = a JOIN sizes q ON q.doc_id = b
+          WHERE 100 * c >= 85 * (p.n + q.n - c)),
+ways AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+reach(a, b) AS (SELECT doc_id, doc_id FROM documents
+                UNION SELECT r.a, w.b FROM reach r JOIN ways w ON r.b = w.a),
+least AS (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id, doc_id = component_id AS kept
+FROM least LEFT JOIN sizes USING (doc_id)"""

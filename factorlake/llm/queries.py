@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factorlake.llm import bpe, exact_dedup, mixing, secrets, token_counts
+from factorlake.llm import bpe, exact_dedup, mixing, secret_ledger, setsketch, token_counts
 from factorlake.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -39,15 +39,15 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op5_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = secrets.scan(table(spark, sf_dir, "documents"), secrets.new_ledger(spark))
+    found = secret_ledger.scan(table(spark, sf_dir, "documents"), secret_ledger.new_ledger(spark))
 
     def spans_of(*kinds: str) -> Column:
         return F.filter("spans", lambda s: s["kind"].isin(*kinds))
 
-    counts = [F.size(spans_of(k)).cast("long").alias(f"n_{k}") for k in secrets.BASE]
-    base = spans_of(*secrets.BASE)
-    return found.select("doc_id", *counts, F.sha2(secrets.listed(base), 256).alias("base_sha256"),
-                        secrets.listed(F.col("spans")).alias("spans"))
+    counts = [F.size(spans_of(k)).cast("long").alias(f"n_{k}") for k in secret_ledger.BASE]
+    base = spans_of(*secret_ledger.BASE)
+    return found.select("doc_id", *counts, F.sha2(secret_ledger.listed(base), 256).alias("base_sha256"),
+                        secret_ledger.listed(F.col("spans")).alias("spans"))
 
 
 @query
@@ -59,3 +59,8 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken")
+
+
+@query
+def op9_setsketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return setsketch.near_duplicates(table(spark, sf_dir, "documents"), percent=85)
