@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from factorlake.llm.common import WORD, stored
 
-BIN_ROWS = 20_000
+BIN_ROWS = 2_000
 EPOCHS = 3
 #: Qualities are clamped to this range; the levels only shape the bins.
 LEVELS = (0.01, 0.03, 0.1, 0.3, 1.0)

@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factorlake.llm import bpe, exact_dedup, mixing, secret_ledger, setsketch, token_counts
+from factorlake.llm import (bpe, exact_dedup, mixing, secret_ledger, setsketch, substring_dedup,
+                            token_counts)
 from factorlake.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -61,6 +62,11 @@ def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken")
 
 
+@query
+def op8_substring_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.remove_repeats(table(spark, sf_dir, "documents"), width=35, digest=True)
+
+
 @query
 def op9_setsketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return setsketch.near_duplicates(table(spark, sf_dir, "documents"), percent=85)
