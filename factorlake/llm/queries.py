@@ -8,9 +8,9 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factorlake.llm import (bpe, exact_dedup, mixing, secret_ledger, setsketch, substring_dedup,
-                            token_counts)
-from factorlake.llm.common import table
+from factorlake.llm import (bpe, decision_list, exact_dedup, language_crf, license_scan, mixing,
+                            secret_ledger, setsketch, substring_dedup, token_counts)
+from factorlake.llm.common import stored, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -25,6 +25,15 @@ def query(fn: Query) -> Query:
     return fn
 
 
+@query
+def op1_language_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
+    model = language_crf.fit(docs.where(~held_out))
+    found = language_crf.languages(docs, model)
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 @query
 def op2_bpe_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digests(table(spark, sf_dir, "documents"),
@@ -38,6 +47,11 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
 
 
+@query
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.licenses(table(spark, sf_dir, "documents"))
+
+
 @query
 def op5_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_ledger.scan(table(spark, sf_dir, "documents"), secret_ledger.new_ledger(spark))
@@ -70,3 +84,12 @@ def op8_substring_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op9_setsketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return setsketch.near_duplicates(table(spark, sf_dir, "documents"), percent=85)
+
+
+@query
+def op10_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stats = stored(decision_list.statistics(table(spark, sf_dir, "documents")), "statistics")
+    rules = decision_list.fit(stats, table(spark, sf_dir, "labels"))
+    return decision_list.judge(stats, rules).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
+        "kept", "rule")
