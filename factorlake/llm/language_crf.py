@@ -291,10 +291,11 @@ def languages(docs: DataFrame, model: Model | None, id_col: str = "doc_id",
     ``und`` with score 0 for null texts and texts without a letter, and for all if there is no
     model. Rows that repeat an identifier are labelled one by one; an empty table gives no row.
     """
-    known = docs.sparkSession.sparkContext.broadcast(model)
+    # A plain tuple: broadcasts are read where this package may not be installed.
+    known = docs.sparkSession.sparkContext.broadcast(tuple(model) if model else None)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        labeller = Labeller(known.value) if known.value else None
+        labeller = Labeller(Model(*known.value)) if known.value else None
         for batch in batches:
             texts = batch.column(1).to_pylist()
             best, score = [], []
@@ -309,7 +310,7 @@ def languages(docs: DataFrame, model: Model | None, id_col: str = "doc_id",
                 if len(some):
                     starts = np.cumsum(lengths[some]) - lengths[some]
                     sums[some] = np.add.reduceat(chance, starts) / lengths[some, None]
-                labels = known.value.labels
+                labels = labeller.model.labels
                 for k, n in enumerate(lengths):
                     top = int(sums[k].argmax())
                     best.append(labels[top] if n else UNKNOWN)
@@ -331,10 +332,10 @@ def language_spans(docs: DataFrame, model: Model, id_col: str = "doc_id",
     One row for each run of words that are most likely of one language; score is their mean
     probability. Texts without a letter have no row.
     """
-    known = docs.sparkSession.sparkContext.broadcast(model)
+    known = docs.sparkSession.sparkContext.broadcast(tuple(model))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        labeller = Labeller(known.value)
+        labeller = Labeller(Model(*known.value))
         for batch in batches:
             rows = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -344,7 +345,7 @@ def language_spans(docs: DataFrame, model: Model, id_col: str = "doc_id",
                 chance, _ = labeller.label([[m.group() for m in found]])
                 top = chance.argmax(1)
                 cuts = [0, *(np.flatnonzero(top[1:] != top[:-1]) + 1).tolist(), len(top)]
-                rows += [(doc_id, found[a].start(), found[b - 1].end(), known.value.labels[top[a]], b - a,
+                rows += [(doc_id, found[a].start(), found[b - 1].end(), labeller.model.labels[top[a]], b - a,
                           float(chance[a:b, top[a]].mean())) for a, b in zip(cuts, cuts[1:])]
             columns = list(zip(*rows)) if rows else [()] * 6
             kinds = (pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.int32(), pa.float64())
