@@ -37,8 +37,9 @@ class Rule(NamedTuple):
 #: In the order in which spans of one start are listed.
 RULES = (
     Rule("assign", 1, ASSIGN, 6, ASSIGN_SIGN, ASSIGN_HEAD),
-    Rule("access", 1, r"AKIA[A-Z0-9]+", 20, "AKIA[A-Z0-9]{16}"),
-    Rule("hex", 1, r"[0-9a-f]+", 24, "[0-9a-f]{24}"),
+    # A run that is too short holds no match that starts later: counting in the pattern is the same.
+    Rule("access", 1, r"AKIA[A-Z0-9]{16,}", 20, "AKIA[A-Z0-9]{16}"),
+    Rule("hex", 1, r"[0-9a-f]{24,}", 24, "[0-9a-f]{24}"),
     Rule("pem", 1, r"-----BEGIN [A-Z ]*PRIVATE KEY-----", 1, "PRIVATE KEY-----"),
     Rule("github", 1, r"gh[pousr]_[A-Za-z0-9]{36,}", 40, "gh[pousr]_"),
     Rule("jwt", 1, r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 28, "eyJ[A-Za-z0-9_-]{8}"),
@@ -59,8 +60,9 @@ def rule_spans(text: Column, rule: Rule, rank: int) -> Column:
     """
     found = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0))
     gaps = F.split(text, rule.pattern, -1)
-    pairs = F.transform(found, lambda m, k: F.struct(
-        F.length(F.element_at(gaps, k + 1)).alias("gap"), F.length(m).alias("size"), m.alias("match")))
+    # One piece more than matches: the last pair has no match and adds nothing.
+    pairs = F.zip_with(found, gaps, lambda m, g: F.struct(
+        F.length(g).alias("gap"), F.length(m).alias("size"), m.alias("match")))
     start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{SPAN}>").alias("spans"))
 
     def step(state: Column, x: Column) -> Column:
