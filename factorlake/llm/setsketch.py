@@ -67,11 +67,12 @@ def merge(left: bytes, right: bytes) -> bytes:
     return np.maximum(np.frombuffer(left, np.uint16), np.frombuffer(right, np.uint16)).tobytes()
 
 
-SKETCH = "doc_id long, n_shingles long, set binary, registers binary"
+SKETCH = "doc_id long, mark long, n_shingles long, set binary, registers binary"
 
 
 def sketches(docs: DataFrame, k: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, digest of the set and its registers; both null without words."""
+    """doc_id, hash of the text, n_shingles, digest of the set and its registers; the last two are null
+    without words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHash()
@@ -98,11 +99,13 @@ def sketches(docs: DataFrame, k: int = 5, id_col: str = "doc_id", text_col: str
             flush()
             rows = iter(registers)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()),
+                [batch.column(0), batch.column(2), pa.array(sizes, pa.int64()),
+                 pa.array(digests, pa.binary()),
                  pa.array([None if d is None else next(rows) for d in digests], pa.binary())],
-                names=["doc_id", "n_shingles", "set", "registers"])
+                names=["doc_id", "mark", "n_shingles", "set", "registers"])
 
-    return plain(docs, id_col, text_col).mapInArrow(run, SKETCH)
+    docs = plain(docs, id_col, text_col)
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("mark")).mapInArrow(run, SKETCH)
 
 
 def likely(left: np.ndarray, right: np.ndarray, n_left: np.ndarray, n_right: np.ndarray,
@@ -257,7 +260,11 @@ def near_duplicates(docs: DataFrame, percent: int = 80, k: int = 5, id_col: str
     by their sets; a null identifier stays only where its component has no other. An empty table
     gives no row.
     """
-    docs = plain(docs, id_col, text_col)
+    return _grouped(plain(docs, id_col, text_col), percent, k).drop("mark")
+
+
+def _grouped(docs: DataFrame, percent: int, k: int) -> DataFrame:
+    """``near_duplicates`` with the hash of each row's text."""
     rows = stored(sketches(docs, k), "sketches")
     classes = stored(rows.where("set is not null").groupBy("set").agg(
         F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"),
@@ -285,7 +292,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, k: int = 5, id_col: str
     named = member.join(least, "root").select("set", "component")
     found = rows.join(named, "set", "left")
     component = F.when(F.col("set").isNull(), F.col("doc_id")).otherwise(F.col("component"))
-    return found.select("doc_id", "n_shingles", component.alias("component_id"),
+    return found.select("doc_id", "mark", "n_shingles", component.alias("component_id"),
                         F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
@@ -293,9 +300,11 @@ def drop_near_duplicates(docs: DataFrame, percent: int = 80, k: int = 5, id_col:
                          text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stand for their group, all columns.
 
-    Rows that share the identifier that stays, under different texts, stay together.
+    Rows that repeat both identifier and text stay or go together.
     """
-    kept = near_duplicates(docs, percent, k, id_col, text_col).where("kept")
-    kept = kept.select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(kept, F.col(id_col).eqNullSafe(F.col("__id")), "left_semi")
+    kept = _grouped(plain(docs, id_col, text_col), percent, k).where("kept").select(
+        F.col("doc_id").alias("__id"), F.col("mark").alias("__mark"))
+    mark = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+    return docs.join(kept, F.col(id_col).eqNullSafe(F.col("__id")) & (mark == F.col("__mark")),
+                     "left_semi")
 
