@@ -189,19 +189,24 @@ CTES = {
     "chosen": """
         SELECT time, symbol FROM signals
         QUALIFY row_number() OVER (PARTITION BY time ORDER BY score DESC, symbol) <= 3""",
-    "wanted": """
-        SELECT b.time, b.symbol, b.pct_change,
-               lag(c.symbol IS NOT NULL, 1, false) OVER (PARTITION BY b.symbol ORDER BY b.time) AS want,
-               lag(c.symbol IS NOT NULL, 2, false) OVER (PARTITION BY b.symbol ORDER BY b.time) AS had,
-               coalesce(abs(b.pct_change) >= 9.5, false) AS blocked
+    # An order is what was chosen at the bar before; the position is the last order that was filled.
+    "orders": """
+        SELECT b.time, b.symbol, b.pct_change, coalesce(abs(b.pct_change) >= 9.5, false) AS blocked,
+               lag(c.symbol IS NOT NULL, 1, false) OVER (PARTITION BY b.symbol ORDER BY b.time) AS want
         FROM bars b LEFT JOIN chosen c ON c.time = b.time AND c.symbol = b.symbol""",
+    "fills": """
+        SELECT o.time, o.symbol, o.pct_change, coalesce(f.want, false) AS held
+        FROM orders o ASOF LEFT JOIN (SELECT symbol, time, want FROM orders WHERE NOT blocked) f
+          ON f.symbol = o.symbol AND f.time <= o.time""",
+    "trades": """
+        SELECT *, lag(held, 1, false) OVER (PARTITION BY symbol ORDER BY time) AS had FROM fills""",
     "topk": """
         SELECT time, count(*) FILTER (WHERE held) AS n_held,
-               sum(CASE WHEN held THEN coalesce(pct_change, 0) / 100 ELSE 0 END) / 3 AS gross_ret,
-               sum(CASE WHEN want AND NOT had AND NOT blocked THEN 0.0005::DOUBLE
-                        WHEN had AND NOT want AND NOT blocked THEN 0.0015::DOUBLE ELSE 0 END) / 3 AS cost
-        FROM (SELECT *, (want AND (had OR NOT blocked)) OR (had AND NOT want AND blocked) AS held
-              FROM wanted WHERE want OR had)
+               sum(CASE WHEN held THEN coalesce(pct_change, 0) / 100 ELSE 0 END)
+                 / greatest(3, count(*) FILTER (WHERE held)) AS gross_ret,
+               sum(CASE WHEN held AND NOT had THEN 0.0005::DOUBLE
+                        WHEN had AND NOT held THEN 0.0015::DOUBLE ELSE 0 END) / 3 AS cost
+        FROM trades WHERE held OR had
         GROUP BY time""",
     "net": "SELECT *, gross_ret - cost AS strategy_ret FROM topk",
     "weekly_bars": f"SELECT date_trunc('week', time) AS bucket, symbol, {_ROLL} FROM raw GROUP BY 1, 2",
@@ -621,7 +626,7 @@ ORACLE = {
     "weekly_refresh": _shown(_OHLCV, f"""
         SELECT date_trunc('week', time) AS time, symbol, {_ROLL} FROM raw
         WHERE time >= date_trunc('week', DATE '1999-06-30' - INTERVAL 400 DAY)
-          AND time < DATE '1999-06-29' GROUP BY date_trunc('week', raw.time), symbol"""),
+          AND time < date_trunc('week', DATE '1999-06-28') + INTERVAL 7 DAY GROUP BY date_trunc('week', raw.time), symbol"""),
     "weekly_stream": _shown(_OHLCV, _ROLLED + "weekly_bars"),
     "bar_stream": _shown(_OHLCV, "SELECT * FROM raw"),
     "monthly_stream": _shown(_OHLCV, _ROLLED + "monthly_bars"),

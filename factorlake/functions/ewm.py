@@ -1,14 +1,15 @@
 """Exponentially weighted means as window sums.
 
 ``y[t] = a*x[t] + (1-a)*y[t-1]`` seeded with ``y[seed] = x[seed]`` unrolls to
-``sum((1-a)^(t-i) * w[i] * x[i])``. With positions cut into segments of ``SEGMENT`` rows, the
-sum inside a segment is a running sum of ``(1-a)^-j * w * x`` whose exponents stay far from
-overflow, and the earlier segments enter through their closing values: two are enough,
-because a weight of ``(1-a)^(2*SEGMENT)`` is below double precision for every alpha used.
+``sum((1-a)^(t-i) * w[i] * x[i])``. Positions are cut into segments; the sum inside a segment is a
+running sum of ``(1-a)^-j * w * x``, and earlier segments enter through their closing
+values. A segment is short enough that the fastest mean of a call does not overflow, and
+as many closing values are taken as the slowest one remembers at double precision.
 """
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -17,9 +18,11 @@ from pyspark.sql.window import Window
 
 from factorlake.operators.ordered import POS, Series
 
-SEGMENT = 512
-# Rows after which an exponentially weighted mean no longer depends on what came before.
-MEMORY = 2 * SEGMENT
+# Decimal digits that the weights inside a segment may span, and what double precision forgets.
+DIGITS = 200.0
+FORGOTTEN = 40.0
+# Rows after which the means of the default factors no longer depend on what came before.
+MEMORY = 1024
 _SEG = "__segment"
 
 
@@ -34,39 +37,50 @@ class Ewm:
     min_periods: int = 1
 
     def __post_init__(self):
-        if (1 - self.alpha) ** SEGMENT > 1e-8:
-            raise ValueError(f"alpha {self.alpha} remembers more than {MEMORY} rows")
+        if not 0 < self.alpha <= 1:
+            raise ValueError(f"alpha {self.alpha} is not in (0, 1]")
+
+    @property
+    def keep(self) -> float:
+        """What is kept of the mean so far, with a floor that stands for nothing."""
+        return max(1 - self.alpha, 1e-30)
+
+    @property
+    def memory(self) -> int:
+        """Rows after which a value no longer matters."""
+        return math.ceil(FORGOTTEN / -math.log(self.keep))
 
 
 def add_ewms(df: DataFrame, series: Series, specs: list[Ewm]) -> DataFrame:
     """Add the columns of ``specs``; the sources must have no null from their seed on."""
     kept = df.columns
-    inside = F.col(POS) % SEGMENT
+    segment_rows = min(max(1, int(DIGITS / -math.log10(s.keep))) for s in specs)
+    inside = F.col(POS) % segment_rows
     running = (
         Window.partitionBy(*series.by, _SEG).orderBy(series.order)
         .rowsBetween(Window.unboundedPreceding, 0)
     )
 
     def local(s: Ewm) -> Column:
-        keep = F.lit(1 - s.alpha)
+        keep = F.lit(s.keep)
         weight = F.when(F.col(POS) > s.seed, s.alpha).when(F.col(POS) == s.seed, 1.0)
         term = F.coalesce(weight * F.col(s.source), F.lit(0.0)) * F.pow(keep, -inside)
         return F.pow(keep, inside) * F.sum(term).over(running)
 
     def closing(s: Ewm, back: int) -> Column:
         segment = Window.partitionBy(*series.by).orderBy(_SEG).rangeBetween(-back, -back)
-        last = F.when(inside == SEGMENT - 1, F.col(f"__local_{s.name}"))
+        last = F.when(inside == segment_rows - 1, F.col(f"__local_{s.name}"))
         return F.coalesce(F.sum(last).over(segment), F.lit(0.0))
 
-    df = df.withColumn(_SEG, F.floor(F.col(POS) / SEGMENT))
+    backs = {s.name: range(1, -(-s.memory // segment_rows) + 1) for s in specs}
+    df = df.withColumn(_SEG, F.floor(F.col(POS) / segment_rows))
     df = df.select("*", *[local(s).alias(f"__local_{s.name}") for s in specs])
-    df = df.select("*", *[closing(s, b).alias(f"__close{b}_{s.name}")
-                          for s in specs for b in (1, 2)])
+    df = df.select("*", *[closing(s, b).alias(f"__close{b}_{s.name}") for s in specs for b in backs[s.name]])
 
     def total(s: Ewm) -> Column:
-        keep = 1 - s.alpha
-        carried = F.col(f"__close1_{s.name}") + F.lit(keep ** SEGMENT) * F.col(f"__close2_{s.name}")
-        y = F.col(f"__local_{s.name}") + carried * F.pow(F.lit(keep), inside + 1)
+        carried = sum(F.col(f"__close{b}_{s.name}") * F.lit(s.keep ** (segment_rows * (b - 1)))
+                      for b in backs[s.name])
+        y = F.col(f"__local_{s.name}") + carried * F.pow(F.lit(s.keep), inside + 1)
         return F.when(F.col(POS) >= s.seed + s.min_periods - 1, y)
 
     return df.select(*kept, *[total(s).alias(s.name) for s in specs])

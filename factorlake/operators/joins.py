@@ -15,10 +15,12 @@ def join_panel(left: DataFrame, right: DataFrame) -> DataFrame:
 
 
 def attach_dim(df: DataFrame, dim: DataFrame | None, on: str, fill: dict[str, object]) -> DataFrame:
-    """Left join of a dimension; missing attributes, or a missing dimension, get ``fill``."""
-    if dim is None:
-        return df.withColumns({c: F.lit(v) for c, v in fill.items()})
-    return df.join(dim.select(on, *fill), on, "left").na.fill(fill)
+    """Left join of a dimension; missing attributes, columns or a missing dimension get ``fill``."""
+    known = [c for c in fill if dim is not None and c in dim.columns]
+    absent = {c: F.lit(v) for c, v in fill.items() if c not in known}
+    if known:
+        df = df.join(dim.select(on, *known), on, "left").na.fill({c: fill[c] for c in known})
+    return df.withColumns(absent) if absent else df
 
 
 def missing_dates(expected: DataFrame, existing: DataFrame, force: bool = False,

@@ -127,18 +127,29 @@ def over_series(df: DataFrame, add: Callable[[DataFrame, Series], DataFrame], *,
 
 @dataclass(frozen=True)
 class Running:
-    """A running ``sum``, ``product`` or ``max`` of a column or expression."""
+    """A running ``sum``, ``product``, ``max`` or ``last`` non-null value of an expression."""
 
     name: str
     kind: str
     value: Column
 
     def aggregate(self, c) -> Column:
+        """Over the rows of an ordered window."""
+        if self.kind == "last":
+            return F.last(c, ignorenulls=True)
         return {"sum": F.sum, "product": F.product, "max": F.max}[self.kind](c)
 
+    def total(self, order: str) -> Column:
+        """Over all rows of a range, in whatever order they come."""
+        if self.kind == "last":
+            return F.max_by(self.value, F.when(self.value.isNotNull(), F.col(order)))
+        return self.aggregate(self.value)
+
     def combine(self, local: Column, carried: Column) -> Column:
         if self.kind == "max":
             return F.greatest(local, carried)
+        if self.kind == "last":
+            return F.coalesce(local, carried)
         if self.kind == "sum":
             return local + F.coalesce(carried, F.lit(0))
         return local * F.coalesce(carried, F.lit(1.0))
@@ -157,7 +168,7 @@ def cumulative(df: DataFrame, by: list[str], order: str, steps: list[Running],
     local = Window.partitionBy(*by, RANGE).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     for step in steps:
         carry = f"__carry_{step.name}"
-        carried = _carried(rows, by, {carry: step.aggregate(step.value)}, {carry: step.aggregate})
+        carried = _carried(rows, by, {carry: step.total(order)}, {carry: step.aggregate})
         rows = (
             rows.withColumn(step.name, step.aggregate(step.value).over(local))
             .join(carried, [*by, RANGE])

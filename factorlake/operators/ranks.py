@@ -47,15 +47,17 @@ def with_masked_ranks(df: DataFrame, by: list[str], source: str, masks: dict[str
     """Add, per ``{new: mask}``, the average rank of ``source`` among the rows of that mask.
 
     One ordering serves every mask: with ``n`` mask rows up to a value and ``m`` at it, the
-    rank is ``n - (m - 1) / 2``. Ranks of rows outside the mask mean nothing.
+    rank is ``n - (m - 1) / 2``. Rows without a value count nowhere and have no rank; ranks of
+    rows outside the mask mean nothing.
     """
-    inside = {n: m.cast("int") for n, m in masks.items()}
+    there = F.col(source).isNotNull()
+    inside = {n: (m & there).cast("int") for n, m in masks.items()}
     if oversized(df, by, bound) is None:
         w = Window.partitionBy(*by).orderBy(source)
         upto = w.rangeBetween(Window.unboundedPreceding, Window.currentRow)
         here = w.rangeBetween(Window.currentRow, Window.currentRow)
         return df.select("*", *[
-            (F.sum(m).over(upto) - (F.sum(m).over(here) - 1) / F.lit(2.0)).alias(n)
+            F.when(there, F.sum(m).over(upto) - (F.sum(m).over(here) - 1) / F.lit(2.0)).alias(n)
             for n, m in inside.items()])
     return _ranks_by_value(df, by, source, inside)
 

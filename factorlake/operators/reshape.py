@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factorlake.functions.missing import clean
@@ -25,13 +25,23 @@ def to_long(wide: DataFrame, factors: list[str]) -> DataFrame:
 
 
 def to_wide(long: DataFrame, names: list[str]) -> DataFrame:
-    """One column per name; the list is given, so no job looks for the distinct names."""
-    return (
-        long.filter(F.col("factor_name").isin(names))
-        .groupBy(*ID)
-        .agg(*[F.first(F.when(F.col("factor_name") == n, F.col("factor_value")), True).alias(n)
-               for n in names])
-    )
+    """One column per name; the list is given, so no job looks for the distinct names.
+
+    Two rows of one (time, symbol, factor) are an error when the result is computed.
+    """
+
+    def only(name: str) -> Column:
+        mine = F.col("factor_name") == name
+        return F.when(F.count_if(mine) > 1, F.raise_error(F.lit(f"repeated key for factor {name}")).cast("double")
+                      ).otherwise(F.first(F.when(mine, F.col("factor_value")), True)).alias(name)
+
+    return long.filter(F.col("factor_name").isin(names)).groupBy(*ID).agg(*map(only, names))
+
+
+def require_factors(long: DataFrame, names: list[str]) -> None:
+    """Raise if one of ``names`` has no row: one small aggregate over the name column."""
+    found = long.filter(F.col("factor_name").isin(names)).select("factor_name").distinct().collect()
+    require([r["factor_name"] for r in found], names)
 
 
 def duplicate_keys(df: DataFrame, key: list[str]) -> DataFrame:

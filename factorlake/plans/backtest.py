@@ -109,35 +109,41 @@ def topk_backtest(scores: DataFrame, bars: DataFrame, k: int = 1, open_cost: flo
                   notional: float = 1_000_000.0, bound: int | None = None) -> DataFrame:
     """Hold each day's top ``k`` on the next bar, in equal slots, after costs.
 
-    A symbol chosen at one bar is bought for the next, and sold on the bar after it is no
-    longer chosen. An order on a bar that moves by ``limit`` or more is not filled: an
-    entry is skipped, an exit waits one bar. Costs are a share of the slot with a floor of
-    ``min_cost`` per trade. Days without a position or trade have no row.
+    A symbol chosen at one bar is wanted on its next bar. On a bar that moves by ``limit`` or more
+    nothing is filled, so the position of a symbol is what was wanted on its last bar that
+    could be filled. It is bought and sold where the position changes; a blocked entry
+    opens nothing and costs nothing, a blocked exit is sold, at a cost, on the first bar that
+    can be filled. Costs are a share of the slot with a floor of ``min_cost`` per trade. While
+    exits wait, more than ``k`` names may be held; the day's gain is then shared among them.
+    Days without a position or trade have no row.
     """
     chosen = top_k(scores.select("time", "symbol", "score"), ["time"], "score", k)
     marked = bars.select("time", "symbol", "pct_change").join(
         chosen.select("time", "symbol", F.lit(True).alias("chosen")), ["time", "symbol"], "left")
 
-    def add(df, series):
-        flag = [F.coalesce(series.prev("chosen", n), F.lit(False)) for n in (1, 2)]
-        return df.select("*", flag[0].alias("want"), flag[1].alias("had"))
+    def wanted(df, series):
+        return df.withColumn("want", F.coalesce(series.prev("chosen"), F.lit(False)))
 
-    rows = over_series(marked, add, by=["symbol"], order="time", before=2, bound=bound)
-    slot = notional / k
-    want, had = F.col("want"), F.col("had")
+    def before(df, series):
+        return df.withColumn("had", F.coalesce(series.prev("held"), F.lit(False)))
+
+    rows = over_series(marked, wanted, by=["symbol"], order="time", before=1, bound=bound)
     blocked = F.coalesce(F.abs("pct_change") >= limit * 100, F.lit(False))
-    held = (want & (had | ~blocked)) | (had & ~want & blocked)
-    buys = want & ~had & ~blocked
-    sells = had & ~want & ~blocked
+    filled = Running("held", "last", F.when(~blocked, F.col("want")))
+    rows = cumulative(rows, ["symbol"], "time", [filled], bound).withColumn(
+        "held", F.coalesce("held", F.lit(False)))
+    rows = over_series(rows, before, by=["symbol"], order="time", before=1, bound=bound)
+    held, had = F.col("held"), F.col("had")
+    slot = notional / k
     buy_rate, sell_rate = max(open_cost, min_cost / slot), max(close_cost, min_cost / slot)
     gain = F.when(held, F.coalesce(F.col("pct_change"), F.lit(0.0)) / 100).otherwise(0.0)
-    cost = F.when(buys, buy_rate).when(sells, sell_rate).otherwise(0.0)
+    cost = F.when(held & ~had, buy_rate).when(had & ~held, sell_rate).otherwise(0.0)
     return (
-        rows.filter(want | had)
+        rows.filter(held | had)
         .groupBy("time")
         .agg(
             F.count_if(held).alias("n_held"),
-            (F.sum(gain) / k).alias("gross_ret"),
+            (F.sum(gain) / F.greatest(F.lit(k), F.count_if(held))).alias("gross_ret"),
             (F.sum(cost) / k).alias("cost"),
         )
         .withColumn("strategy_ret", F.col("gross_ret") - F.col("cost"))

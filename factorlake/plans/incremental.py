@@ -11,12 +11,11 @@ from factorlake.operators.columns import in_range
 from factorlake.operators.joins import keep_dates, missing_dates
 from factorlake.plans.factors import compute_factors
 from factorlake.sources.lake import Lake
-from factorlake.sources.landing import normalize_bars
-from factorlake.sources.status import record_sync
+from factorlake.sources.landing import ingest_order, normalize_bars
+from factorlake.sources.status import record_sync, reported
 
-# Days re-checked by a run, and calendar days loaded before the first gap.
+# Fixed value: days re-checked by a run.
 LOOKBACK_DAYS = 7
-WARMUP_DAYS = 90
 # Errors kept in the status text of a factor run.
 FACTOR_ERRORS = 5
 
@@ -40,12 +39,21 @@ def factor_gaps(bars: DataFrame, gaps: DataFrame, names: list[str] | None = None
 
 
 def update_factors(lake: Lake, as_of: date, lookback_days: int = LOOKBACK_DAYS, force: bool = False,
-                   names: list[str] | None = None, warmup_days: int | None = WARMUP_DAYS,
+                   names: list[str] | None = None, warmup_days: int | None = None,
                    grain: list[str] | None = None) -> int:
     """Compute and store the factors of recent market days that have none; returns the row count.
 
-    ``grain=["time", "symbol"]`` looks for gaps per symbol as well.
+    Values come from the whole history of each symbol, so they do not depend on when the run
+    happened; ``warmup_days`` starts that many calendar days before the first gap instead.
+    ``grain=["time", "symbol"]`` looks for gaps per symbol as well. A failing run leaves an error
+    status and raises.
     """
+    with reported(lake, "factors"):
+        return _update_factors(lake, as_of, lookback_days, force, names, warmup_days, grain)
+
+
+def _update_factors(lake: Lake, as_of: date, lookback_days: int, force: bool, names: list[str] | None,
+                    warmup_days: int | None, grain: list[str] | None) -> int:
     start = as_of - timedelta(days=lookback_days)
     end = as_of + timedelta(days=1)
     recent = lake.scan("daily", start, end, closed="left")
@@ -68,16 +76,27 @@ def update_factors(lake: Lake, as_of: date, lookback_days: int = LOOKBACK_DAYS,
 
 def update_bars(lake: Lake, landed: DataFrame, calendar: DataFrame, as_of: date,
                 lookback_days: int = LOOKBACK_DAYS, force: bool = False,
-                order: str | None = None) -> int:
+                order: str | list[str] | None = None) -> int:
     """Store landed vendor bars of the calendar days that have no bar; returns the row count.
 
-    ``order`` names an ingest sequence column of ``landed`` for batches with repeated keys.
+    ``order`` names ingest sequence columns of ``landed`` for batches with repeated keys; by
+    default those of ``landing.with_ingest``, if it has them. Only days of the run are read from
+    the landing files. A failing run leaves an error status and raises.
     """
+    with reported(lake, "daily"):
+        return _update_bars(lake, landed, calendar, as_of, lookback_days, force, order)
+
+
+def _update_bars(lake: Lake, landed: DataFrame, calendar: DataFrame, as_of: date, lookback_days: int,
+                 force: bool, order: str | list[str] | None) -> int:
     start = as_of - timedelta(days=lookback_days)
     end = as_of + timedelta(days=1)
     expected = in_range(calendar, "time", start, end, "left")
     gaps = missing_dates(expected, lake.scan("daily", start, end, closed="left"), force)
-    rows = keep_dates(normalize_bars(landed, [order] if order else []), gaps)
+    order = [order] if isinstance(order, str) else order or ingest_order(landed)
+    # The text of the day is what the files hold: this filter reaches their scan.
+    recent = landed.filter(F.col("trade_date").between(start.strftime("%Y%m%d"), as_of.strftime("%Y%m%d")))
+    rows = keep_dates(normalize_bars(recent, order), gaps)
     n = lake.upsert("daily", rows, order)
     record_sync(lake, "daily", _last_day(lake.scan("daily", start, end, closed="left")))
     return n

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from factorlake.functions.missing import drop_any_nan
 from factorlake.operators.columns import in_universe
 from factorlake.operators.ordered import over_series
-from factorlake.operators.reshape import require, to_wide
+from factorlake.operators.reshape import require, require_factors, to_wide
 
 SIGNAL_COLUMNS = ["time", "symbol", "strategy", "signal", "score", "metadata"]
 MOMENTUM = "momentum_v1"
@@ -54,7 +54,11 @@ def momentum_from_wide(wide: DataFrame, rsi_overbought: float = 70.0, rsi_sell:
 
 def momentum_signals(factors: DataFrame, universe=None, rsi_overbought: float = 70.0,
                      rsi_sell: float = 80.0, bound: int | None = None) -> DataFrame:
-    """Momentum signals from a long factor table; an empty universe means every symbol."""
+    """Momentum signals from a long factor table; an empty universe means every symbol.
+
+    A factor of which the table has no row at all is an error.
+    """
+    require_factors(factors, MOMENTUM_FACTORS)
     wide = to_wide(in_universe(factors, "symbol", universe), MOMENTUM_FACTORS)
     return momentum_from_wide(wide, rsi_overbought, rsi_sell, bound)
 

@@ -6,7 +6,7 @@ from dataclasses import replace
 from datetime import date, datetime, timedelta
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -131,23 +131,31 @@ class Lake:
         """The part of ``base`` in the partitions of the batch.
 
         Up to ``MAX_LISTED`` partition values become a literal filter, so that only these
-        directories are scanned; a batch that touches more joins on them instead.
+        directories are scanned; a batch that touches more joins on them instead. A null value
+        is a partition like any other.
         """
         partitions = list(table.partitions)
         values = incoming.select(*partitions).distinct()
         listed = values.limit(MAX_LISTED + 1).collect()
         if len(listed) > MAX_LISTED:
-            return base.join(values, partitions, "left_semi")
+            wanted = values.select(*[F.col(c).alias(f"__{c}") for c in partitions])
+            same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in partitions])
+            return base.join(wanted, same, "left_semi")
         tail: dict[tuple, list[str]] = {}
         for row in listed:
             tail.setdefault(tuple(row)[:-1], []).append(row[-1])
+
+        def among(column: str, values: list) -> Column:
+            inside = F.col(column).isin([v for v in values if v is not None])
+            return inside | F.col(column).isNull() if None in values else inside
+
         conditions = [
-            reduce(lambda a, b: a & b, [F.col(c) == v for c, v in zip(partitions, head)],
-                   F.col(partitions[-1]).isin(last))
+            reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.lit(v)) for c, v in zip(partitions, head)],
+                   among(partitions[-1], last))
             for head, last in tail.items()]
         return base.filter(reduce(lambda a, b: a | b, conditions))
 
-    def upsert(self, name: str, incoming: DataFrame, order: str | None = None) -> int:
+    def upsert(self, name: str, incoming: DataFrame, order: str | list[str] | None = None) -> int:
         """Insert or update by key; returns the number of batch rows."""
         table = TABLES[name]
         partitions = list(table.partitions)
@@ -168,7 +176,7 @@ class Lake:
             incoming.unpersist()
 
     def _merge_into(self, table: Table, incoming: DataFrame, extra: list[str],
-                    order: str | None) -> None:
+                    order: str | list[str] | None) -> None:
         base = self._read(table)
         if table.partitions:
             base = self._touched(table, base, incoming)

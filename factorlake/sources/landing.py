@@ -15,11 +15,27 @@ LANDING_SCHEMA = ("ts_code string, trade_date string, open double, high double,
                   "close double, pct_chg double, vol double, amount double")
 
 
+# Where a landed row comes from: later files, and later rows of a file, replace earlier ones.
+INGEST = ["ingest_time", "ingest_file", "ingest_row"]
+
+
+def with_ingest(landed: DataFrame) -> DataFrame:
+    """Add the ingest order of rows that were read from files."""
+    meta = ("file_modification_time", "file_path", "row_index")
+    return landed.select("*", *[F.col(f"_metadata.{m}").alias(c) for m, c in zip(meta, INGEST)])
+
+
+def ingest_order(df: DataFrame) -> list[str]:
+    return [c for c in INGEST if c in df.columns]
+
+
 def normalize_bars(raw: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """Vendor columns to bar columns: renamed, dates parsed, volume whole.
 
-    ``keep`` names further columns to carry along, such as an ingest sequence.
+    ``keep`` names further columns to carry along, such as an ingest sequence; the columns of
+    ``with_ingest`` are carried in any case.
     """
+    keep = [*(keep or []), *[c for c in ingest_order(raw) if c not in (keep or [])]]
     volume = F.col("volume").cast("double")
     text = ("time", "symbol", "volume")
     return raw.withColumnsRenamed(VENDOR_NAMES).withColumns({
@@ -27,7 +43,7 @@ def normalize_bars(raw: DataFrame, keep: list[str] | None = None) -> DataFrame:
         # Quantities such as 123.0 become whole numbers; NaN becomes null.
         "volume": F.when(~F.isnan(volume), volume).cast("long"),
         **{c: F.col(c).cast("double") for c in BAR_COLUMNS if c not in text},
-    }).select(*BAR_COLUMNS, *(keep or []))
+    }).select(*BAR_COLUMNS, *keep)
 
 
 def to_vendor(bars: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
 from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
@@ -33,3 +35,15 @@ def record_sync(lake: Lake, data_type: str, last_date, errors: list[str] | None
     """Insert or replace the row of ``data_type``."""
     lake.upsert("sync_status",
                 status_row(lake.spark, data_type, last_date, errors, error_limit, as_of))
+
+
+@contextmanager
+def reported(lake: Lake, data_type: str, as_of: datetime | None = None) -> Iterator[None]:
+    """Leave an error status of ``data_type`` if the work inside raises; its last day stays."""
+    try:
+        yield
+    except Exception as error:
+        known = lake.scan("sync_status").filter(F.col("data_type") == data_type).select("last_date").first()
+        text = f"{type(error).__name__}: {str(error).splitlines()[0] if str(error) else ''}"
+        record_sync(lake, data_type, known["last_date"] if known else None, [text], as_of=as_of)
+        raise

@@ -2,7 +2,7 @@
 
 ``merge`` is the pure DataFrame part: base and incoming rows meet in one aggregation by
 key, so there is a single shuffle, null keys match each other, duplicates inside the batch
-resolve to the last row, and everything combines before the shuffle.
+resolve to the last row as a whole, and everything combines before the shuffle.
 """
 
 from __future__ import annotations
@@ -16,12 +16,14 @@ _SEQ = "__seq"
 
 
 def merge(base: DataFrame, incoming: DataFrame, keys: list[str], update: list[str],
-          order: str | None = None, defaults: dict[str, object] | None = None) -> DataFrame:
+          order: str | list[str] | None = None,
+          defaults: dict[str, object] | None = None) -> DataFrame:
     """``base`` with the rows of ``incoming`` inserted or, by key, updated.
 
     Only the ``update`` columns of existing rows change. New rows get ``defaults`` where the
-    batch has no such column. Among batch rows of one key the last in ``order`` wins (``order``
-    names an ingest sequence; without it the batch must be unique by key).
+    batch has no such column. Among batch rows of one key the last in ``order`` (one or several
+    ingest columns) gives all ``update`` columns, and the first the others, as if they
+    came one by one; ties go by the values, so a rerun gives the same row.
     """
     defaults = defaults or {}
     types = dict(base.dtypes)
@@ -30,16 +32,23 @@ def merge(base: DataFrame, incoming: DataFrame, keys: list[str], update: list[st
         c = F.col(name) if name in incoming.columns else F.lit(defaults.get(name))
         return c.cast(types[name]).alias(name)
 
-    sequence = F.col(order).cast("long") if order else F.lit(0).cast("long")
+    names = [order] if isinstance(order, str) else list(order or [])
+    sequence = F.struct(F.lit(1).alias("batch"), *[F.col(c) for c in names])
     batch = incoming.select(*[column(c) for c in base.columns], sequence.alias(_SEQ))
-    rows = base.withColumn(_SEQ, F.lit(None).cast("long")).unionByName(batch)
     # A base row sorts before every batch row.
-    rank = F.coalesce(F.col(_SEQ), F.lit(-(2 ** 63)).cast("long"))
-    others = [c for c in base.columns if c not in keys]
-    picked = [(F.max_by if c in update else F.min_by)(F.col(c), rank).alias(c) for c in others]
-    return rows.groupBy(*keys).agg(*picked).select(*base.columns)
+    before = F.struct(F.lit(0).alias("batch"), *[F.lit(None).cast(incoming.schema[c].dataType).alias(c)
+                                                 for c in names])
+    rows = base.withColumn(_SEQ, before).unionByName(batch)
+    changed = [c for c in base.columns if c in update]
+    fixed = [c for c in base.columns if c not in update and c not in keys]
+    picked = [pick(F.struct(*columns), F.struct(_SEQ, *columns)).alias(name)
+              for name, pick, columns in (("__new", F.max_by, changed), ("__old", F.min_by, fixed)) if columns]
+    merged = rows.groupBy(*keys).agg(*picked)
+    parts = {**dict.fromkeys(changed, "__new"), **dict.fromkeys(fixed, "__old")}
+    return merged.select(*[F.col(f"{parts[c]}.{c}").alias(c) if c in parts else F.col(c)
+                           for c in base.columns])
 
 
 def merge_table(table: Table, base: DataFrame, incoming: DataFrame,
-                order: str | None = None) -> DataFrame:
+                order: str | list[str] | None = None) -> DataFrame:
     return merge(base, incoming, list(table.key), list(table.update), order, dict(table.defaults))

@@ -5,17 +5,13 @@ Both are at-least-once: a micro-batch that runs twice upserts the same rows by k
 
 from __future__ import annotations
 
-from datetime import timedelta
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from factorlake.plans.factors import compute_factors
-from factorlake.operators.joins import keep_dates
-from factorlake.plans.incremental import WARMUP_DAYS
 from factorlake.sources.lake import Lake
-from factorlake.sources.landing import LANDING_SCHEMA, normalize_bars
+from factorlake.sources.landing import LANDING_SCHEMA, ingest_order, normalize_bars, with_ingest
 from factorlake.streaming.rollups import _start
 
 
@@ -23,34 +19,37 @@ def read_landing(spark: SparkSession, path: str, files_per_batch: int | None = N
     reader = spark.readStream.schema(LANDING_SCHEMA)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    return reader.parquet(path)
+    return with_ingest(reader.parquet(path))
 
 
 def stream_bars(landed: DataFrame, lake: Lake, checkpoint: str, once: bool = True) -> StreamingQuery:
-    """Normalise landed rows and upsert them into the daily table."""
+    """Normalise landed rows and upsert them into the daily table.
+
+    Of rows with one key in a micro-batch the last one landed wins as a whole.
+    """
     return _start(normalize_bars(landed), checkpoint, once,
-                  lambda rows, _: lake.upsert("daily", rows), mode="append")
+                  lambda rows, _: lake.upsert("daily", rows, ingest_order(rows)), mode="append")
 
 
 def stream_factors(bars: DataFrame, lake: Lake, checkpoint: str, names: list[str] | None = None,
-                   warmup_days: int | None = WARMUP_DAYS, once: bool = True) -> StreamingQuery:
-    """Upsert arriving bars and the factors of their days.
+                   once: bool = True) -> StreamingQuery:
+    """Upsert arriving bars and the factors that depend on them.
 
-    Factors are computed from the stored bars, from ``warmup_days`` before the earliest
-    arriving day (``None``: from the start), so arrival in any order gives stored values.
+    An average looks back, so a bar that arrives late changes the factors of its day and of all
+    later days of its symbol. Each touched symbol is recomputed from its whole stored
+    history and stored from its earliest arriving day on: arrival in any order gives the factors
+    of a full run.
     """
 
     def refresh(rows: DataFrame, _: int) -> None:
         rows = rows.persist()
         try:
-            lake.upsert("daily", rows)
-            span = rows.agg(F.min("time").alias("lo"), F.max("time").alias("hi")).first()
-            if span["lo"] is None:
+            if not lake.upsert("daily", rows, ingest_order(rows)):
                 return
-            since = None if warmup_days is None else span["lo"].date() - timedelta(days=warmup_days)
-            stored = lake.load_ohlcv(since, span["hi"])
-            days = rows.select("time").distinct()
-            lake.upsert("daily_factors", keep_dates(compute_factors(stored, names), days))
+            since = rows.groupBy("symbol").agg(F.min("time").alias("__since"))
+            stored = lake.load_ohlcv().join(since.select("symbol"), "symbol", "left_semi")
+            computed = compute_factors(stored, names).join(since, "symbol").filter("time >= __since")
+            lake.upsert("daily_factors", computed.drop("__since"))
         finally:
             rows.unpersist()
 

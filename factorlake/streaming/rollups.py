@@ -10,71 +10,73 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from factorlake.functions.scalars import bucket
-from factorlake.operators.resample import ohlcv, resample
+from factorlake.operators.resample import resample
 from factorlake.sources.lake import Lake, as_double
+from factorlake.sources.landing import ingest_order
 
-# Refresh windows in days (start and end offset from now), the late-data
-# allowance of the weekly stream, and the shift that aligns 7-day windows with Mondays.
+# Refresh windows in days (start and end offset from now).
 REFRESH_DAYS = {"week": (21, 1), "month": (92, 1)}
 VIEWS = {"week": "weekly", "month": "monthly"}
-WATERMARK = "21 days"
-WEEK = ("7 days", "7 days", "4 days")
+
+
+def _bucket_start(day: date, unit: str) -> date:
+    return day - timedelta(days=day.weekday() if unit == "week" else day.day - 1)
 
 
 def refresh_window(lake: Lake, unit: str, as_of: date, start_days: int | None = None,
                    end_days: int | None = None) -> None:
-    """Recompute the buckets that lie between the two offsets before ``as_of``.
+    """Recompute the buckets that the days between the two offsets before ``as_of`` fall into.
 
-    Only whole buckets are written: the start is moved back to the start of its bucket.
+    Only whole buckets are written: the window is widened to the start of its first bucket and
+    the end of its last one, so a stored bucket is never replaced by a part of itself.
     """
     default = REFRESH_DAYS[unit]
     first = as_of - timedelta(days=start_days if start_days is not None else default[0])
     last = as_of - timedelta(days=end_days if end_days is not None else default[1])
-    first -= timedelta(days=first.weekday() if unit == "week" else first.day - 1)
-    bars = as_double(lake.scan("daily", first, last, closed="left"))
+    if last <= first:
+        return
+    # 31 days after the start of a month and 7 after a Monday lie in the next bucket.
+    final = _bucket_start(last - timedelta(days=1), unit)
+    end = _bucket_start(final + timedelta(days=7 if unit == "week" else 31), unit)
+    bars = as_double(lake.scan("daily", _bucket_start(first, unit), end, closed="left"))
     lake.upsert(VIEWS[unit], resample(bars, unit))
 
 
-def weekly_aggregate(bars: DataFrame, order="time", keys: tuple[str, ...] = ("symbol",)) -> DataFrame:
-    """Watermarked weekly bars of a stream (or batch) of bars or single trades."""
-    weeks = bars.withWatermark("time", WATERMARK).groupBy(F.window("time", *WEEK), *keys)
-    return weeks.agg(*ohlcv(order)).select(
-        F.col("window.start").alias("time"), *keys, "open", "high", "low", "close", "volume", "amount")
-
-
-def stream_weekly(bars: DataFrame, lake: Lake, checkpoint: str, order="time",
-                  once: bool = True) -> StreamingQuery:
-    """Keep the weekly table current: each micro-batch upserts the weeks it changed."""
-    return _start(weekly_aggregate(bars, order), checkpoint, once,
-                  lambda rows, _: lake.upsert("weekly", rows), mode="update")
-
-
-def stream_monthly(bars: DataFrame, lake: Lake, checkpoint: str, once: bool = True) -> StreamingQuery:
-    """Store daily bars as they arrive and recompute the months they fall into.
+def _stream(bars: DataFrame, lake: Lake, checkpoint: str, unit: str, once: bool) -> StreamingQuery:
+    """Store daily bars as they arrive and recompute the buckets they fall into from stored bars.
 
-    A month has no fixed length, so it is no streaming window; no state is kept at all.
+    No state and no watermark: a bar may be as late as it likes.
     """
 
     def refresh(rows: DataFrame, _: int) -> None:
         rows = rows.persist()
         try:
-            lake.upsert("daily", rows)
-            months = rows.select(bucket("time", "month").alias("month")).distinct()
-            ends = months.agg(F.min("month").alias("lo"), F.max("month").alias("hi")).first()
+            if not lake.upsert("daily", rows, ingest_order(rows)):
+                return
+            buckets = rows.select(bucket("time", unit).alias("bucket")).distinct()
+            ends = buckets.agg(F.min("bucket").alias("lo"), F.max("bucket").alias("hi")).first()
             if ends["lo"] is None:
                 return
             stored = lake.scan("daily", ends["lo"].date(), ends["hi"].date() + timedelta(days=31))
-            touched = (
-                as_double(stored).withColumn("month", bucket("time", "month"))
-                .join(months, "month", "left_semi")
-            )
-            lake.upsert("monthly", resample(touched, "month"))
+            touched = (as_double(stored).withColumn("bucket", bucket("time", unit))
+                       .join(buckets, "bucket", "left_semi"))
+            lake.upsert(VIEWS[unit], resample(touched, unit))
         finally:
             rows.unpersist()
 
     return _start(bars, checkpoint, once, refresh, mode="append")
 
 
+def stream_weekly(bars: DataFrame, lake: Lake, checkpoint: str, once: bool = True) -> StreamingQuery:
+    """Keep the daily and weekly tables current from a stream of daily bars."""
+    return _stream(bars, lake, checkpoint, "week", once)
+
+
+def stream_monthly(bars: DataFrame, lake: Lake, checkpoint: str, once: bool = True) -> StreamingQuery:
+    """Keep the daily and monthly tables current from a stream of daily bars."""
+    return _stream(bars, lake, checkpoint, "month", once)
+
+
 def _start(df: DataFrame, checkpoint: str, once: bool, write: Callable, mode: str) -> StreamingQuery:
     writer = df.writeStream.outputMode(mode).option("checkpointLocation", checkpoint)
     writer = writer.foreachBatch(lambda rows, n: (write(rows, n), None)[1])

@@ -118,3 +118,15 @@ def test_pandas_factor_in_blocks(make_bars, tiny_limit):
     split, plain = seen.compute(bars), seen.compute(bars, bound=1)
     assert rows_of(split) == rows_of(plain)
     assert split.count() == 126
+
+
+def test_repeated_keys_and_missing_factors_are_errors(spark):
+    long = spark.createDataFrame([(1, "a", "ma20", 1.0), (1, "a", "ma20", 2.0)],
+                                 "time int, symbol string, factor_name string, factor_value double")
+    with pytest.raises(Exception, match="repeated key for factor ma20"):
+        to_wide(long, ["ma20"]).collect()
+    assert to_wide(long.limit(1), ["ma20", "ma60"]).collect()[0]["ma60"] is None
+    from factorlake.plans.strategy import momentum_signals
+
+    with pytest.raises(ValueError, match="missing ma60, rsi14; available: ma20"):
+        momentum_signals(long)

@@ -169,9 +169,9 @@ def test_update_factors_equals_full_run(lake, make_bars):
     closes = [100 + (k * k) % 17 for k in range(150)]
     bars = make_bars({"a": [float(c) for c in closes], "b": [float(c + 1) for c in closes]})
     lake.upsert("daily", bars.filter(F.col("time") < "2024-05-01"))
-    update_factors(lake, date(2024, 4, 30), lookback_days=200, warmup_days=None)
+    update_factors(lake, date(2024, 4, 30), lookback_days=200)
     lake.upsert("daily", bars)
-    n = update_factors(lake, date(2024, 6, 1), lookback_days=60, warmup_days=None)
+    n = update_factors(lake, date(2024, 6, 1), lookback_days=60)
     full = compute_factors(bars.select("time", "symbol", "open", "high", "low", "close", "volume"))
     assert n == full.filter(F.col("time") >= "2024-05-01").count()
     assert rows_of(lake.load_factors()) == rows_of(full)
@@ -206,3 +206,51 @@ def test_exports(spark, bars, folder):
     assert lines[0] == "SH000002\t2024-01-01\t2024-02-09"
     export.write_report(spark.createDataFrame([(1, "f", 0.5)], "lag int, factor_name string, ic_ir double"), f"{folder}/ic")
     assert spark.read.option("header", True).csv(f"{folder}/ic").first()["ic_ir"] == "0.5"
+
+
+def test_rows_without_a_time_are_stored_and_merged(lake, bars):
+    first = bars.limit(1).withColumns({"time": F.lit(None).cast("timestamp"), "symbol": F.lit("A")})
+    lake.upsert("daily", first)
+    lake.upsert("daily", first.withColumn("symbol", F.lit("B")).unionByName(bars.limit(2)))
+    lake.upsert("daily", first.withColumn("close", F.lit(3.0)))
+    rows = lake.scan("daily").filter("time is null").select("symbol", F.col("close").cast("double")).collect()
+    assert sorted((r.symbol, r.close) for r in rows) == [("A", 3.0), ("B", 10.0)]
+    assert lake.scan("daily").count() == 4
+
+
+def test_null_partitions_merge_by_join_too(lake, bars, monkeypatch):
+    from factorlake.sources import lake as module
+
+    monkeypatch.setattr(module, "MAX_LISTED", 0)
+    test_rows_without_a_time_are_stored_and_merged(lake, bars)
+
+
+def test_repeated_keys_without_an_order_give_one_whole_row(spark):
+    base = spark.createDataFrame([], "k int, v int, w int")
+    batch = spark.createDataFrame([(1, 2, 5), (1, None, 7)], "k int, v int, w int")
+    assert rows_of(merge(base, batch, ["k"], ["v", "w"]), "k", "v", "w") in ([(1, 2, 5)], [(1, None, 7)])
+
+
+def test_a_failing_run_leaves_an_error_status(lake, bars):
+    lake.upsert("daily", bars)
+    update_factors(lake, date(2024, 2, 9), names=["limit_up"])
+    with pytest.raises(ValueError, match="unknown"):
+        update_factors(lake, date(2024, 2, 9), names=["nothing"], force=True)
+    row = lake.scan("sync_status").first()
+    assert row["status"] == "error" and row["last_date"] == date(2024, 2, 9) and "nothing" in row["error_msg"]
+
+
+def test_landing_scan_reads_only_the_days_of_the_run(lake, bars, folder):
+    to_vendor(bars).write.parquet(f"{folder}/landing")
+    landed = scan_landing(lake.spark, f"{folder}/landing")
+    n = update_bars(lake, landed, bars.select("time").distinct(), date(2024, 2, 9), 7)
+    assert n == 16 and lake.scan("daily").count() == 16
+
+
+def test_stock_flags_missing_from_the_dimension_are_filled(lake, bars, spark):
+    from factorlake.operators.joins import attach_dim
+
+    lake.upsert("stocks", spark.createDataFrame([("000001.SZ", "A")], "symbol string, name string"))
+    got = attach_dim(bars, lake.load_stocks(), "symbol", {"is_st": 0, "name": "?"})
+    assert {(r.symbol, r["name"], r.is_st) for r in got.select("symbol", "name", "is_st").distinct().collect()} == {
+        ("000001.SZ", "A", 0), ("000002.SH", "?", 0)}

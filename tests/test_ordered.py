@@ -98,6 +98,7 @@ def test_ranks_match_pandas_and_skip_nulls(skewed, tiny_limit):
 
 
 def test_masked_ranks_equal_ranks_of_the_filtered_rows(skewed, tiny_limit):
+    skewed = skewed.withColumn("tied", F.when(F.col("k") < 7, F.col("tied")))
     mask = F.col("k") > -3
     want = rows_of(with_avg_ranks(skewed.filter(mask), ["symbol"], {"r": "tied"}, bound=1),
                    "symbol", "time", "r")
@@ -124,6 +125,13 @@ def test_exact_median_split_and_plain(skewed, tiny_limit):
         assert got == want
 
 
+def test_running_last_split_equals_plain(skewed, tiny_limit):
+    step = Running("last", "last", F.when(F.col("k") > 5, F.col("x")))
+    split = rows_of(cumulative(skewed, ["symbol"], "time", [step]), "symbol", "time", "last")
+    assert split == rows_of(cumulative(skewed, ["symbol"], "time", [step], 1), "symbol", "time", "last")
+    assert any(v is not None for _, _, v in split)
+
+
 def test_top_k_limits_before_the_shuffle(skewed):
     top = top_k(skewed, ["symbol"], "x", 3, tie="time")
     assert top.count() == 3 * 4 + 1
@@ -131,7 +139,8 @@ def test_top_k_limits_before_the_shuffle(skewed):
     assert "WindowGroupLimit" in plan
 
 
-@pytest.mark.parametrize("alpha,seed,least", [(1 / 14, 0, 14), (2 / 13, 0, 12), (2 / 27, 0, 26), (0.2, 25, 9)])
+@pytest.mark.parametrize("alpha,seed,least", [(1 / 14, 0, 14), (2 / 13, 0, 12), (2 / 27, 0, 26), (0.2, 25, 9),
+                                              (2 / 121, 0, 120), (0.8, 0, 1), (0.9, 3, 1), (1.0, 0, 1)])
 def test_ewm_matches_recursion(spark, alpha, seed, least):
     random.seed(5)
     values = [100 + random.gauss(0, 5) for _ in range(2600)]
@@ -148,7 +157,7 @@ def test_ewm_matches_recursion(spark, alpha, seed, least):
         want.append(y if k >= seed + least - 1 else None)
     for limit in ("2000000", "700"):  # the second cuts the series into blocks
         spark.conf.set(LIMIT_KEY, limit)
-        got = over_series(df, add, by=["symbol"], order="time", before=1024).orderBy("time").collect()
+        got = over_series(df, add, by=["symbol"], order="time", before=spec.memory).orderBy("time").collect()
         spark.conf.unset(LIMIT_KEY)
         for row, w in zip(got, want):
             assert (row["y"] is None) == (w is None)
@@ -156,6 +165,19 @@ def test_ewm_matches_recursion(spark, alpha, seed, least):
                 assert row["y"] == pytest.approx(w, rel=1e-11)
 
 
-def test_ewm_refuses_long_memory():
+def test_fast_and_slow_means_in_one_call(spark):
+    df = spark.range(1500).select(F.lit("s").alias("symbol"), F.col("id").alias("time"),
+                                  (F.col("id") % 17).cast("double").alias("v"))
+    specs = [Ewm("fast", "v", 0.95), Ewm("slow", "v", 0.02)]
+    got = over_series(df, lambda d, s: add_ewms(d, s, specs), by=["symbol"], order="time").orderBy("time")
+    fast = slow = 0.0
+    for k, row in enumerate(got.collect()):
+        fast, slow = (row["v"], row["v"]) if k == 0 else (
+            0.95 * row["v"] + 0.05 * fast, 0.02 * row["v"] + 0.98 * slow)
+        assert (row["fast"], row["slow"]) == (pytest.approx(fast, rel=1e-11), pytest.approx(slow, rel=1e-11))
+
+
+@pytest.mark.parametrize("alpha", [0.0, -0.1, 1.5])
+def test_ewm_refuses_impossible_weights(alpha):
     with pytest.raises(ValueError):
-        Ewm("y", "v", 0.01)
+        Ewm("y", "v", alpha)

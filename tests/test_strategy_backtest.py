@@ -98,11 +98,40 @@ def test_topk_trades_next_day_with_costs_and_limits(spark):
     assert got[days[2]]["strategy_ret"] == pytest.approx(0.02)
     # Day 3 switches from a to b, but both move by the limit: a is kept, b not bought.
     assert (got[days[3]]["n_held"], got[days[3]]["strategy_ret"]) == (1, pytest.approx(0.10))
-    assert got[days[4]]["strategy_ret"] == pytest.approx(0.03)
+    # Day 4 can be filled: b is bought and a sold, both at a cost.
+    assert got[days[4]]["strategy_ret"] == pytest.approx(0.03 - 0.0005 - 0.0015)
     floor = bt.topk_backtest(scores, bars, k=1, notional=1000.0).filter(F.col("time") == days[1])
     assert floor.first()["cost"] == pytest.approx(5 / 1000)
 
 
+def test_topk_positions_come_from_fills(spark):
+    days = [START + timedelta(days=k) for k in range(7)]
+    # Entry blocked on day 1 and wanted again on day 2; exit blocked on day 4, sold on day 5.
+    moves, chosen = [0, 9.9, 1, 2, -9.9, 3, 1], [True, True, True, False, False, False, False]
+    scores = spark.createDataFrame([(d, "a" if c else "z", 1.0) for d, c in zip(days, chosen)],
+                                   "time timestamp, symbol string, score double")
+    bars = spark.createDataFrame([(d, "a", float(m)) for d, m in zip(days, moves)],
+                                 "time timestamp, symbol string, pct_change double")
+    got = {r["time"]: (r["n_held"], round(r["gross_ret"], 9), r["cost"])
+           for r in bt.topk_backtest(scores, bars, k=1).collect()}
+    assert got == {days[2]: (1, 0.01, 0.0005), days[3]: (1, 0.02, 0.0), days[4]: (1, -0.099, 0.0),
+                   days[5]: (0, 0.0, 0.0015)}
+    # A blocked entry that is not wanted again opens nothing, so nothing is sold.
+    once = scores.withColumn("symbol", F.when(F.col("time") == days[0], "a").otherwise("z"))
+    assert bt.topk_backtest(once, bars, k=1).count() == 0
+
+
+def test_waiting_exits_share_the_day(spark):
+    days = [START + timedelta(days=k) for k in range(4)]
+    scores = spark.createDataFrame([(d, s, 1.0) for d, s in zip(days, "abbb")],
+                                   "time timestamp, symbol string, score double")
+    moves = {"a": [0, 1, 10, 1], "b": [0, 0, 2, 1]}
+    bars = spark.createDataFrame([(d, s, float(m)) for s, ms in moves.items() for d, m in zip(days, ms)],
+                                 "time timestamp, symbol string, pct_change double")
+    row = bt.topk_backtest(scores, bars, k=1).filter(F.col("time") == days[2]).first()
+    assert (row["n_held"], row["gross_ret"]) == (2, pytest.approx((0.10 + 0.02) / 2))
+
+
 def test_excess_rebalance_and_scores(spark):
     r = returns(spark, {"a": [0.02, 0.01]})
     index = spark.createDataFrame([(START, 1.0)], "time timestamp, pct_change double")
