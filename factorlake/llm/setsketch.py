@@ -42,8 +42,11 @@ TOP = 2 ** 12 - 1
 CHUNK = 500_000
 #: Log-likelihood that a pair may lack at the threshold: 4.5 standard deviations.
 SLACK = 10.0
-#: Classes of one bucket that one task compares with as many others.
+#: Rows of a bucket that is joined with itself; classes of a larger one that one task compares with
+#: as many others, and pairs that it looks at in one go.
+SMALL = 32
 BLOCK = 2_000
+PAIRS = 50_000
 
 SEEDS = mixed(np.arange(1, REGISTERS + 1, dtype=np.uint64) * MIX[0])
 
@@ -212,42 +215,69 @@ def _with_registers(pairs: DataFrame, classes: DataFrame) -> DataFrame:
 
 
 def _across(buckets: DataFrame, classes: DataFrame, roots: DataFrame, threshold: float) -> DataFrame:
-    """Likely pairs between different components that share a bucket."""
+    """Likely pairs between different components that share a bucket.
+
+    A bucket of up to ``SMALL`` rows is joined with itself, so a row meets fewer than ``SMALL``
+    others, and a pair that shares several buckets is looked at once. Larger buckets are cut
+    into blocks, and two blocks are compared inside one task, which emits only likely pairs.
+    """
     rooted = (buckets.join(roots.withColumnRenamed("node", "set"), "set", "left")
               .withColumn("root", F.coalesce("root", "set")))
     mixed_up = (rooted.groupBy("bucket").agg(F.min("root").alias("first"), F.max("root").alias("last"),
                                              F.count("*").alias("rows"))
                 .where("first <> last").select("bucket", "rows"))
-    rows = rooted.join(mixed_up, "bucket").join(
-        classes.select("set", "n", "registers"), "set")
+    rows = durable(rooted.join(mixed_up, "bucket").join(classes.select("set", "n"), "set"))
+
+    few = rows.where(F.col("rows") <= SMALL)
+    left = few.select("bucket", F.col("set").alias("a"), F.col("root").alias("root_a"), F.col("n").alias("n_a"))
+    right = few.select("bucket", F.col("set").alias("b"), F.col("root").alias("root_b"), F.col("n").alias("n_b"))
+    near = F.least("n_a", "n_b") >= threshold * F.greatest("n_a", "n_b")
+    pairs = left.join(right, "bucket").where((F.col("a") > F.col("b")) & (F.col("root_a") != F.col("root_b"))
+                                             & near).select("a", "b").distinct()
+    pairs = _plausible(_with_registers(pairs, classes), threshold)
+
     # Block i meets every block j from i on: a row goes to each pair of blocks that has its own.
+    many = rows.where(F.col("rows") > SMALL).join(classes.select("set", "registers"), "set")
     blocks = F.ceil(F.col("rows") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("set"), F.col("blocks")).cast("int")
-    rows = rows.withColumn("blocks", blocks).withColumn("own", own).withColumn(
+    many = many.withColumn("blocks", blocks).withColumn("own", own).withColumn(
         "other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")})
+    many = many.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")})
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         group = group.reset_index(drop=True)
         registers, n = _matrix(group.registers), group.n.to_numpy()
         _, root = np.unique(group.root.to_numpy(), return_inverse=True)
         own, i, j = group.own.to_numpy(), group.i[0], group.j[0]
-        left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
-        a, b = [], []
-        for x in left:
-            cand = right[(root[right] != root[x]) & ((right > x) if i == j else True)]
-            size = np.minimum(n[cand], n[x]) / np.maximum(n[cand], n[x])
-            cand = cand[size >= threshold]
-            if len(cand):
-                passed = cand[likely(np.repeat(registers[x:x + 1], len(cand), 0), registers[cand],
-                                     np.full(len(cand), n[x]), n[cand], threshold)]
-                a += [group["set"][x]] * len(passed)
-                b += group["set"][passed].tolist()
-        return pd.DataFrame({"a": pd.Series(a, dtype=object), "b": pd.Series(b, dtype=object)})
-
-    found = rows.select("bucket", "i", "j", "own", "set", "root", "n", "registers").groupBy(
+        right = np.flatnonzero(own == j)
+        found: list[tuple[np.ndarray, np.ndarray]] = []
+        waiting: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def flush() -> None:
+            if waiting:
+                x, y = (np.concatenate(z) for z in zip(*waiting))
+                passed = likely(registers[x], registers[y], n[x], n[y], threshold)
+                found.append((x[passed], y[passed]))
+                waiting.clear()
+
+        held = 0
+        for x in np.flatnonzero(own == i):
+            size = np.minimum(n[right], n[x]) >= threshold * np.maximum(n[right], n[x])
+            y = right[size & (root[right] != root[x]) & ((right > x) if i == j else True)]
+            waiting.append((np.full(len(y), x), y))
+            held += len(y)
+            if held > PAIRS:
+                flush()
+                held = 0
+        flush()
+        x, y = (np.concatenate(z) for z in zip(*found)) if found else (np.zeros(0, int),) * 2
+        names = group["set"].to_numpy()
+        return pd.DataFrame({"a": names[x], "b": names[y]})
+
+    found = many.select("bucket", "i", "j", "own", "set", "root", "n", "registers").groupBy(
         "bucket", "i", "j").applyInPandas(run, "a binary, b binary")
-    return found.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    found = found.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    return pairs.unionByName(found).distinct()
 
 
 def near_duplicates(docs: DataFrame, percent: int = 80, k: int = 5, id_col: str = "doc_id",

@@ -87,6 +87,7 @@ def test_near_duplicates(spark, percent):
 
 def test_near_duplicates_in_small_blocks(spark, monkeypatch):
     """Chains whose ends are unlike, and buckets of several components, compared in blocks of 3."""
+    monkeypatch.setattr(setsketch, "SMALL", 2)
     monkeypatch.setattr(setsketch, "BLOCK", 3)
     base = prose(5, 100).split()
     pairs = []
