@@ -277,6 +277,12 @@ def _metric_rows(source: str, value: str) -> str:
         f"SELECT strategy, '{n}' AS metric, {n} AS {value} FROM ({source})" for n in names)
 
 
+# The evaluation of stored tables, where returns have four decimals.
+CTES["stored_returns"] = "SELECT * REPLACE (round(pct_change, 4) AS pct_change) FROM bars"
+CTES |= {f"stored_{name}": re.sub(r"\b(fwd|pairs|ranked|daily)\b", r"stored_\1",
+                                  re.sub(r"\bbars\b", "stored_returns", CTES[name]))
+         for name in ("fwd", "pairs", "ranked", "daily", "summary")}
+
 _FORMATS = {
     "d": "strftime({c}, '%Y-%m-%d')",
     "m": "strftime({c}, '%Y-%m-%d %H:%M:%S')",
@@ -614,9 +620,21 @@ ORACLE = {
     "sync_status_run": _shown(
         "data_type:s symbol:s last_sync_time:d last_date:d status:s error_msg:s updated_at:d", """
         SELECT data_type, CAST(NULL AS VARCHAR) AS symbol, DATE '2024-01-01' AS last_sync_time,
-               max(time) AS last_date, status, error_msg, DATE '2024-01-01' AS updated_at
-        FROM raw, (VALUES ('daily', 'ok', NULL), ('factors', 'error', 'a; b')) v(data_type, status, error_msg)
+               CASE WHEN data_type = 'ic' THEN DATE '1995-01-02' ELSE max(time) END AS last_date,
+               status, error_msg, DATE '2024-01-01' AS updated_at
+        FROM raw, (VALUES ('daily', 'ok', NULL), ('factors', 'error', 'a; b'),
+                          ('ic', 'error', 'ValueError: no factors')) v(data_type, status, error_msg)
         GROUP BY data_type, status, error_msg"""),
+    "ic_run": _shown(_SUMMARY, "SELECT * FROM stored_summary"),
+    "loaders": _shown("loader:s n_rows:i n_symbols:i total:f", """
+        SELECT 'returns' AS loader, count(*) AS n_rows, count(DISTINCT symbol) AS n_symbols,
+               sum(round(pct_change, 4)) AS total FROM bars
+        UNION ALL SELECT 'panel', count(*), count(DISTINCT symbol), sum(close) FROM bars
+        UNION ALL SELECT 'ohlcv', count(*), count(DISTINCT symbol), sum(close) FROM bars
+        UNION ALL SELECT 'query', count(*), count(DISTINCT symbol), sum(high) FROM bars"""),
+    "stocks_flagged": _shown("time:d symbol:s is_st:i exchange:s", """
+        SELECT b.time, b.symbol, 0 AS is_st, CASE WHEN b.symbol LIKE '%.SZ' THEN 'SZ' ELSE 'SH' END AS exchange
+        FROM raw b"""),
     "ic_report": _shown(_SUMMARY, "SELECT * FROM summary WHERE lag = 1"),
     "export_files": _shown("kind:s line:s", f"""
         SELECT 'day' AS kind, strftime(time, '%Y-%m-%d') AS line FROM days UNION ALL

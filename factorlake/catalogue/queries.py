@@ -8,8 +8,9 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
-from datetime import date, datetime
-from functools import cached_property
+from contextlib import suppress
+from datetime import date, datetime, timedelta
+from functools import cached_property, reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,13 +25,13 @@ from factorlake.operators.ordered import over_series
 from factorlake.operators.resample import resample, resample_minutes
 from factorlake.plans import backtest as bt
 from factorlake.plans import factors as fac
-from factorlake.plans import ic, strategy, study
+from factorlake.plans import ic, research, strategy, study
 from factorlake.plans.incremental import factor_gaps, update_bars, update_factors
 from factorlake.session import shared_dir
 from factorlake.sources import export, landing
 from factorlake.sources import testdata as td
 from factorlake.sources.lake import Lake, as_double
-from factorlake.sources.status import record_sync
+from factorlake.sources.status import record_sync, reported
 from factorlake.sources.upsert import merge_table
 from factorlake.schemas import DAILY, FACTORS, SIGNALS, SYNC_STATUS
 from factorlake.streaming import ingest, rollups
@@ -840,6 +841,9 @@ def sync_status_run(i: Inputs) -> DataFrame:
     record_sync(lake, "daily", date(1995, 1, 1), as_of=when)
     record_sync(lake, "daily", last, as_of=when)
     record_sync(lake, "factors", last, ["a", "b", "c"], error_limit=2, as_of=when)
+    record_sync(lake, "ic", date(1995, 1, 2), as_of=when)
+    with suppress(ValueError), reported(lake, "ic", when):
+        raise ValueError("no factors")
     return lake.scan("sync_status")
 
 
@@ -853,6 +857,43 @@ def ic_report(i: Inputs) -> DataFrame:
     ).option("header", True).csv(path)
 
 
+@query
+def ic_run(i: Inputs) -> DataFrame:
+    """The evaluation run over stored factors and returns."""
+    lake = i.lake()
+    lake.upsert("daily", i.bars)
+    lake.upsert("daily_factors", fac.compute_factors(i.bars, bound=i.rows))
+    first, last = research.stored_span(lake)
+    return research.ic_run(lake, first, last, fac.DEFAULT_NAMES, tuple(LAGS)).summary
+
+
+@query
+def loaders(i: Inputs) -> DataFrame:
+    """Rows and sums of every loader of a stored table, over all of it."""
+    lake = i.lake()
+    lake.upsert("daily", i.bars)
+    first, last = research.stored_span(lake)
+
+    def told(name: str, df: DataFrame, value: str) -> DataFrame:
+        return df.agg(F.lit(name).alias("loader"), F.count("*").alias("n_rows"),
+                      F.countDistinct("symbol").alias("n_symbols"), F.sum(value).alias("total"))
+
+    parts = [told("returns", lake.load_returns(first, last, 20), "pct_change"),
+             told("panel", lake.load_panel(first, last + timedelta(days=1)), "close"),
+             told("ohlcv", lake.load_ohlcv(), "close"),
+             told("query", lake.query("select symbol, cast(high as double) as high from daily"), "high")]
+    return reduce(DataFrame.unionByName, parts)
+
+
+@query
+def stocks_flagged(i: Inputs) -> DataFrame:
+    """Stored stocks have no flag of their own: the fill value stands for it."""
+    lake = i.lake()
+    lake.upsert("stocks", i.stocks)
+    return joins.attach_dim(i.raw, lake.load_stocks(), "symbol", {"is_st": 0, "exchange": "?"}).select(
+        "time", "symbol", "is_st", "exchange")
+
+
 @query
 def export_files(i: Inputs) -> DataFrame:
     root = i.lake().root

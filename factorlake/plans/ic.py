@@ -5,7 +5,7 @@ All lags and all factors go through one plan and one shuffle by day.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factorlake.functions.missing import finite
@@ -55,8 +55,8 @@ def _daily_ic(rows: DataFrame, names: list[str], lags: list[int], bound: int | N
 
     A rank is taken among the rows that have both a value and a return, which is a masked
     count over one ordering: returns are ordered once per lag for all factors, values once
-    per factor for all lags. Rows are expanded by factor only after the returns are ranked,
-    and by lag only to aggregate.
+    per factor for all lags. Rows are expanded by factor only after the returns are ranked, and
+    by lag only once they are aggregated.
     """
     returns = _lag_columns(lags)
     if oversized(rows, ["time"], bound) is None:
@@ -77,17 +77,24 @@ def _daily_ic(rows: DataFrame, names: list[str], lags: list[int], bound: int | N
     group = ["time", "factor"]
     rows = with_masked_ranks(
         rows, group, "x", {f"rx_{y}": F.col(y).isNotNull() for y in returns}, bound)
-    pairs = F.array(*[
-        F.struct(F.lit(n).alias("lag"), F.col(y).alias("y"), F.col(f"rx_{y}").alias("rx"),
-                 F.col(f"ry_{y}").alias("ry")) for n, y in zip(lags, returns)])
+    # One pass over the values: each lag has its own moments, over the rows that have its return.
+    # Lags become rows only in the small result.
+    def moments(y: str) -> list[Column]:
+        there = F.col(y).isNotNull()
+        columns = [F.when(there, F.col(c)) for c in ("x", f"rx_{y}", f"ry_{y}")]
+        x, rx, ry = columns
+        return [safe_corr(x, F.col(y)).alias(f"ic_{y}"), safe_corr(rx, ry).alias(f"rank_ic_{y}"),
+                F.count(y).alias(f"n_{y}")]
+
+    daily = rows.groupBy(*group).agg(*[m for y in returns for m in moments(y)])
+    by_lag = F.array(*[
+        F.struct(F.lit(n).alias("lag"), F.col(f"ic_{y}").alias("ic"), F.col(f"rank_ic_{y}").alias("rank_ic"),
+                 F.col(f"n_{y}").alias("n_stocks")) for n, y in zip(lags, returns)])
     name = F.element_at(F.array(*[F.lit(n) for n in names]), F.col("factor") + 1)
     return (
-        rows.select(*group, "x", F.inline(pairs))
-        .filter(F.col("y").isNotNull())
-        .groupBy(*group, "lag")
-        .agg(safe_corr("x", "y").alias("ic"), safe_corr("rx", "ry").alias("rank_ic"),
-             F.count(F.lit(1)).alias("n_stocks"))
-        .select("time", "lag", name.alias("factor_name"), "ic", "rank_ic", "n_stocks")
+        daily.select("time", name.alias("factor_name"), F.inline(by_lag))
+        .filter(F.col("n_stocks") > 0)
+        .select("time", "lag", "factor_name", "ic", "rank_ic", "n_stocks")
     )
 
 
