@@ -254,3 +254,20 @@ def test_stock_flags_missing_from_the_dimension_are_filled(lake, bars, spark):
     got = attach_dim(bars, lake.load_stocks(), "symbol", {"is_st": 0, "name": "?"})
     assert {(r.symbol, r["name"], r.is_st) for r in got.select("symbol", "name", "is_st").distinct().collect()} == {
         ("000001.SZ", "A", 0), ("000002.SH", "?", 0)}
+
+
+def test_jobs_from_arguments(spark, bars, folder):
+    from factorlake.jobs import run
+
+    to_vendor(bars).write.parquet(f"{folder}/landing")
+    root = ["--lake", f"{folder}/lake"]
+    day = ["--as-of", "2024-02-09", "--lookback-days", "60"]
+    assert run(spark, [*root, "bars", "--landing", f"{folder}/landing", *day]) == 80
+    assert run(spark, [*root, "factors", "--names", "price_to_ma20", *day]) == 42
+    assert run(spark, [*root, "ic", "--start", "2024-01-01", "--end", "2024-02-09", "--names", "price_to_ma20",
+                       "--lags", "1", "5", "--report", f"{folder}/report"]) == 2
+    assert spark.read.option("header", True).csv(f"{folder}/report").count() == 2
+    status = {r["data_type"]: r["status"] for r in Lake(spark, f"{folder}/lake").scan("sync_status").collect()}
+    assert status == {"daily": "ok", "factors": "ok"}
+    with pytest.raises(ValueError, match="missing rsi14"):
+        run(spark, [*root, "ic", "--start", "2024-01-01", "--end", "2024-02-09", "--names", "rsi14"])
