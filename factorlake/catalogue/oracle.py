@@ -239,7 +239,7 @@ CTES = {
         FROM warm_bars b JOIN warm_rsis USING (symbol, rn)""",
     "base_bars": f"""
         SELECT {BAR}, pct_change, 2.5 AS adj_factor, true AS is_st, false AS is_suspended
-        FROM bars WHERE day(time) % 2 = 0""",
+        FROM bars WHERE day(time) % 6 <> 3""",
     "new_bars": f"""
         SELECT time, symbol, open, high, low, close, volume + 1 AS volume, amount, pct_change
         FROM bars WHERE day(time) % 3 = 0""",
@@ -536,8 +536,9 @@ ORACLE = {
     "momentum_signals": _shown(_SIGNAL, "SELECT * FROM signals"),
     "momentum_from_long": _shown(_SIGNAL, """
         SELECT s.* REPLACE (CASE WHEN s.signal = 1 AND c.rsi14 >= 65 THEN 0 ELSE s.signal END AS signal)
-        FROM signals s JOIN crossed c USING (time, symbol)
-        WHERE symbol IN ('000001.SH', '000002.SZ', '000003.SH')"""),
+        FROM signals s JOIN crossed c USING (time, symbol)"""),
+    "momentum_universe": _shown(_SIGNAL, """
+        SELECT * FROM signals WHERE symbol IN ('000001.SH', '000002.SZ', '000003.SH')"""),
     "signal_counts": _shown("strategy:s n_signals:i n_buy:i n_sell:i n_active:i", """
         SELECT strategy, count(*) AS n_signals, count(*) FILTER (WHERE signal = 1) AS n_buy,
                count(*) FILTER (WHERE signal = -1) AS n_sell,
@@ -574,7 +575,7 @@ ORACLE = {
         SELECT n.time, 'top3' AS strategy, strategy_ret, coalesce(b.ret, 0) AS bench_ret,
                strategy_ret - coalesce(b.ret, 0) AS excess_ret
         FROM net n LEFT JOIN (SELECT time, avg(pct_change) / 100 AS ret FROM bars
-                              WHERE day(time) <> 15 GROUP BY time) b USING (time)"""),
+                              GROUP BY time) b USING (time)"""),
     **{f"rebalance_{unit}ly": _shown(_SIGNAL, f"""
         SELECT * FROM signals QUALIFY row_number() OVER (
           PARTITION BY symbol, date_trunc('{unit}', time) ORDER BY time DESC) = 1""")
@@ -583,11 +584,11 @@ ORACLE = {
     "upsert_factors": _shown(_LONG, """
         SELECT time, symbol, factor_name,
                factor_value + CASE WHEN day(time) % 3 = 0 THEN 1 ELSE 0 END AS factor_value
-        FROM long2 WHERE day(time) % 2 = 0 OR day(time) % 3 = 0"""),
+        FROM long2"""),
     "upsert_signals": _shown(_SIGNAL, """
         SELECT * REPLACE (CASE WHEN day(time) % 3 = 0 THEN 0 ELSE signal END AS signal,
                           CASE WHEN day(time) % 3 = 0 THEN '{"run":1}' ELSE '{}' END AS metadata)
-        FROM signals WHERE day(time) % 2 = 0 OR day(time) % 3 = 0"""),
+        FROM signals"""),
     "sync_status": _shown(
         "data_type:s symbol:s last_sync_time:d last_date:d status:s error_msg:s updated_at:d", """
         SELECT data_type, CAST(NULL AS VARCHAR) AS symbol, DATE '2024-01-01' AS last_sync_time,
@@ -599,24 +600,19 @@ ORACLE = {
         SELECT * FROM ({_unpivot(["price_to_ma20", "ma_cross", "rsi14"], "warm_factors")})
         WHERE time >= '2001-01-01'"""),
     "lake_round_trip": _shown(_BARS + _FLAGS, """
-        SELECT * REPLACE (round(pct_change, 4) AS pct_change) FROM stored_bars
-        WHERE time BETWEEN '1996-01-01' AND '1999-12-31'"""),
+        SELECT * REPLACE (round(pct_change, 4) AS pct_change) FROM stored_bars"""),
     "catalog_tables": _shown("symbol:s n_weeks:i top_close:f", """
         SELECT symbol, count(*) AS n_weeks, max(close) AS top_close FROM weekly_bars
-        WHERE bucket >= '1997-01-01' GROUP BY symbol"""),
+        GROUP BY symbol"""),
     "minute_table": _shown(_MINUTE, f"""
-        SELECT *, bucket AS time, '60m' AS freq FROM ({_minute_roll(60, 'event_bars')})
-        WHERE bucket BETWEEN '2024-01-10' AND '2024-01-20' AND symbol IN ('click', 'error')"""),
+        SELECT *, bucket AS time, '60m' AS freq FROM ({_minute_roll(60, 'event_bars')})"""),
     "index_table": _shown("time:d symbol:s pct_change:f", """
         SELECT time, '000300.SH' AS symbol, round(avg(pct_change), 4) AS pct_change FROM bars
-        WHERE time BETWEEN '1997-01-01' AND '1997-12-31' GROUP BY time"""),
+        GROUP BY time"""),
     "update_bars_run": _shown(_BARS, """
-        SELECT * REPLACE (round(pct_change, 4) AS pct_change) FROM bars
-        WHERE (time BETWEEN '1996-12-31' AND '1997-12-31' AND day(time) <> 15)
-           OR time BETWEEN '1997-09-02' AND '1997-12-31'"""),
+        SELECT * REPLACE (round(pct_change, 4) AS pct_change) FROM bars"""),
     "update_factors_run": _shown(_LONG, f"""
-        SELECT * FROM ({_unpivot(["price_to_ma20", "limit_up"], "sma_factors")})
-        WHERE time BETWEEN '1999-05-31' AND '1999-07-31'"""),
+        SELECT * FROM ({_unpivot(["price_to_ma20", "limit_up"], "sma_factors")})"""),
     "sync_status_run": _shown(
         "data_type:s symbol:s last_sync_time:d last_date:d status:s error_msg:s updated_at:d", """
         SELECT data_type, CAST(NULL AS VARCHAR) AS symbol, DATE '2024-01-01' AS last_sync_time,

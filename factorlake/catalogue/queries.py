@@ -6,7 +6,6 @@ rounded to six digits and 64-bit integers, so that they compare across engines.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 from contextlib import suppress
 from datetime import date, datetime, timedelta
@@ -27,7 +26,7 @@ from factorlake.plans import backtest as bt
 from factorlake.plans import factors as fac
 from factorlake.plans import ic, research, strategy, study
 from factorlake.plans.incremental import factor_gaps, update_bars, update_factors
-from factorlake.session import shared_dir
+from factorlake.session import scratch
 from factorlake.sources import export, landing
 from factorlake.sources import testdata as td
 from factorlake.sources.lake import Lake, as_double
@@ -115,7 +114,7 @@ class Inputs:
 
     def lake(self) -> Lake:
         """A fresh table folder in the shared folder."""
-        return Lake(self.spark, f"{shared_dir(self.spark)}/lake-{uuid.uuid4().hex}")
+        return Lake(self.spark, scratch(self.spark, "lake"))
 
     def stream(self, name: str) -> DataFrame:
         """One of the given tables as a file stream."""
@@ -616,9 +615,16 @@ def momentum_signals(i: Inputs) -> DataFrame:
 
 @query
 def momentum_from_long(i: Inputs) -> DataFrame:
+    factors = i.long(strategy.MOMENTUM_FACTORS)
+    return strategy.run_strategy(strategy.MOMENTUM, factors, rsi_overbought=65.0, bound=i.rows)
+
+
+@query
+def momentum_universe(i: Inputs) -> DataFrame:
+    """The universe is the feature: signals of a few named symbols."""
     factors = i.long(strategy.MOMENTUM_FACTORS)
     return strategy.run_strategy(strategy.MOMENTUM, factors, ["000001.SH", "000002.SZ", "000003.SH"],
-                                 rsi_overbought=65.0, bound=i.rows)
+                                 bound=i.rows)
 
 
 @query
@@ -684,8 +690,7 @@ def compare_metrics(i: Inputs) -> DataFrame:
 
 @query
 def excess_return(i: Inputs) -> DataFrame:
-    index = td.index_daily(i.bars).filter(F.dayofmonth("time") != 15)
-    return bt.excess_return(i.portfolio(), index).select(
+    return bt.excess_return(i.portfolio(), td.index_daily(i.bars)).select(
         "time", "strategy", "strategy_ret", "bench_ret", "excess_ret")
 
 
@@ -703,8 +708,9 @@ def rebalance_monthly(i: Inputs) -> DataFrame:
 
 
 def _base_bars(i: Inputs) -> DataFrame:
-    """Stored bars of even days, with an adjustment factor that no upsert may touch."""
-    return i.bars.filter(F.dayofmonth("time") % 2 == 0).select(
+    """Stored bars of most days, with an adjustment factor that no upsert may touch; the batch below
+    brings the days left out and some of these again."""
+    return i.bars.filter(F.dayofmonth("time") % 6 != 3).select(
         *landing.BAR_COLUMNS, F.lit(2.5).alias("adj_factor"), F.lit(True).alias("is_st"),
         F.lit(False).alias("is_suspended"))
 
@@ -724,7 +730,7 @@ def upsert_bars(i: Inputs) -> DataFrame:
 @query
 def upsert_factors(i: Inputs) -> DataFrame:
     factors = i.long(["price_to_ma20", "ma_cross"])
-    base = factors.filter(F.dayofmonth("time") % 2 == 0)
+    base = factors.filter(F.dayofmonth("time") % 6 != 3)
     batch = factors.filter(F.dayofmonth("time") % 3 == 0).withColumn(
         "factor_value", F.col("factor_value") + 1)
     return merge_table(FACTORS, base, batch)
@@ -734,7 +740,7 @@ def upsert_factors(i: Inputs) -> DataFrame:
 def upsert_signals(i: Inputs) -> DataFrame:
     signals = i.signals.select("time", "symbol", "strategy", "signal", "score",
                                fn.metadata_to_json().alias("metadata"))
-    base = signals.filter(F.dayofmonth("time") % 2 == 0)
+    base = signals.filter(F.dayofmonth("time") % 6 != 3)
     batch = signals.filter(F.dayofmonth("time") % 3 == 0).withColumn(
         "signal", F.lit(0)).withColumn("metadata", fn.metadata_to_json(F.struct(F.lit(1).alias("run"))))
     return merge_table(SIGNALS, base, batch)
@@ -777,7 +783,7 @@ def lake_round_trip(i: Inputs) -> DataFrame:
     lake = i.lake()
     lake.upsert("daily", _base_bars(i))
     lake.upsert("daily", _incoming_bars(i), "seq")
-    return as_double(lake.scan("daily", "1996-01-01", "1999-12-31"))
+    return as_double(lake.scan("daily"))
 
 
 @query
@@ -791,7 +797,7 @@ def catalog_tables(i: Inputs) -> DataFrame:
     lake.refresh_tables(database)
     return i.spark.sql(f"""
         SELECT symbol, count(*) AS n_weeks, CAST(max(close) AS DOUBLE) AS top_close
-        FROM {database}.weekly WHERE ym >= '1997-01' GROUP BY symbol""")
+        FROM {database}.weekly GROUP BY symbol""")
 
 
 @query
@@ -800,7 +806,7 @@ def minute_table(i: Inputs) -> DataFrame:
     ticks = td.event_ticks(i.spark, i.dir)
     for freq in ("5m", "60m"):
         lake.upsert("minute", resample_minutes(ticks, freq))
-    stored = lake.load_minute("60m", "2024-01-10", "2024-01-20", ["click", "error"])
+    stored = lake.load_minute("60m")
     return stored.withColumn("time", F.date_format("time", "yyyy-MM-dd HH:mm:ss"))
 
 
@@ -808,7 +814,7 @@ def minute_table(i: Inputs) -> DataFrame:
 def index_table(i: Inputs) -> DataFrame:
     lake = i.lake()
     lake.upsert("index_daily", td.index_daily(i.bars))
-    return lake.load_index("000300.SH", "1997-01-01", "1997-12-31").select(
+    return lake.load_index("000300.SH").select(
         "time", "symbol", "pct_change")
 
 
@@ -818,8 +824,9 @@ def update_bars_run(i: Inputs) -> DataFrame:
     landed = landing.to_vendor(i.bars)
     calendar = agg.calendar(i.raw)
     some = landed.filter("substr(trade_date, 7, 2) <> '15'")
-    update_bars(lake, some, calendar, date(1997, 12, 31), 365)
-    update_bars(lake, landed, calendar, date(1997, 12, 31), 120)
+    last = calendar.agg(F.max("time").cast("date").alias("d")).first()["d"]
+    update_bars(lake, some, calendar, last, i.rows)
+    update_bars(lake, landed, calendar, last, i.rows)
     return as_double(lake.scan("daily")).select(*landing.BAR_COLUMNS)
 
 
@@ -828,8 +835,9 @@ def update_factors_run(i: Inputs) -> DataFrame:
     lake = i.lake()
     lake.upsert("daily", i.bars)
     names = ["price_to_ma20", "limit_up"]
-    update_factors(lake, date(1999, 6, 30), 30, names=names)
-    update_factors(lake, date(1999, 7, 31), 60, names=names)
+    first, last = research.stored_span(lake)
+    update_factors(lake, first + (last - first) / 2, i.rows, names=names)
+    update_factors(lake, last, i.rows, names=names)
     return lake.load_factors(names=names)
 
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -53,6 +55,30 @@ def shared_dir(spark: SparkSession) -> str:
     return own
 
 
+_written: list[tuple[SparkSession, str]] = []
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+@atexit.register
+def _clean() -> None:
+    for spark, path in _written:
+        try:
+            _delete(spark, path)
+        except Exception:  # the session is gone: the folder is left to the cluster's own clean-up
+            return
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared place, removed when the driver's process ends."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _written.append((spark, path))
+    return path
+
+
 def durable(df):
     """Reliable checkpoint: the rows are written to the shared folder and the lineage is cut."""
     spark = df.sparkSession

@@ -30,5 +30,5 @@ def read_table(spark: SparkSession, url: str, table: str, start: date, end: date
 
 def write_table(df: DataFrame, url: str, table: str, connections: int = 8, mode: str = "append",
                 **properties: str) -> None:
-    """Write through at most ``connections`` connections."""
-    df.coalesce(connections).write.jdbc(url, table, mode=mode, properties=properties)
+    """Write through ``connections`` connections; the tasks before the write keep their number."""
+    df.repartition(connections).write.jdbc(url, table, mode=mode, properties=properties)

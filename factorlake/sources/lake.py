@@ -220,8 +220,9 @@ class Lake:
     # -- catalog -------------------------------------------------------------------------
 
     def create_tables(self, database: str) -> list[str]:
-        """Register every table as an external Parquet table of ``database``."""
-        self.spark.sql(f"CREATE DATABASE IF NOT EXISTS {database}")
+        """Register every table as an external Parquet table of ``database``, whose own folder is
+        below the root, not in the session's warehouse."""
+        self.spark.sql(f"CREATE DATABASE IF NOT EXISTS {database} LOCATION '{self.path('_catalog')}'")
         for table in TABLES.values():
             columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in self._stored(table))
             by = f"PARTITIONED BY ({', '.join(table.partitions)})" if table.partitions else ""
