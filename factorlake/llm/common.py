@@ -2,19 +2,14 @@
 
 from __future__ import annotations
 
-import atexit
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factorlake.session import shared_dir
+from factorlake.session import scratch
 
 #: Fixed by the contracts: a word is a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
-_written: list[tuple[SparkSession, str]] = []
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -26,31 +21,9 @@ def plain(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
                        F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 
-def _delete(spark: SparkSession, path: str) -> None:
-    jvm = spark._jvm
-    place = jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
-
-
-@atexit.register
-def _clean() -> None:
-    for spark, path in _written:
-        try:
-            _delete(spark, path)
-        except Exception:  # the session is gone: the folder stays for the cluster's own clean-up
-            return
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder in the shared place, removed when the driver's process ends."""
-    path = f"{shared_dir(spark)}/llm-{name}-{uuid.uuid4().hex}"
-    _written.append((spark, path))
-    return path
-
-
 def stored(df: DataFrame, name: str) -> DataFrame:
     """The rows as a Parquet table in the shared folder: computed once, whatever executor is lost."""
-    path = scratch(df.sparkSession, name)
+    path = scratch(df.sparkSession, f"llm-{name}")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -14,7 +14,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factorlake.llm.common import scratch
+from factorlake.session import scratch
 
 #: Fixed values. (?i:) covers the letters of ``assign`` that stand for themselves.
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]+"""
@@ -83,7 +83,7 @@ def rule_spans(text: Column, rule: Rule, rank: int) -> Column:
 
 def new_ledger(spark: SparkSession) -> str:
     """An empty ledger in the shared folder."""
-    path = scratch(spark, "ledger")
+    path = scratch(spark, "llm-ledger")
     spark.createDataFrame([], LEDGER).write.parquet(path)
     return path
 
