@@ -6,9 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factorlake.functions.scalars import VENDOR_DAY, fmt_day
-from factorlake.functions.stats import safe_corr, win_rate
+from factorlake.functions.stats import safe_corr
 from factorlake.operators.columns import in_range
-from factorlake.operators.ranks import exact_median
+from factorlake.operators.ranks import median_of, value_counts
 from factorlake.session import durable
 
 
@@ -54,14 +54,25 @@ def count_by(df: DataFrame, **conditions: Column) -> DataFrame:
 
 
 def group_stats(panel: DataFrame, by: str, ret: str, bound: int | None = None) -> DataFrame:
-    """Count, mean, median, deviation and win rate of ``ret`` per value of ``by``, ordered."""
-    stats = panel.groupBy(by).agg(
-        F.count(F.lit(1)).alias("count"),
-        F.avg(ret).alias("mean_ret"),
-        F.stddev_samp(ret).alias("std_ret"),
-        win_rate(ret).alias("win_rate"),
-    )
-    median = exact_median(panel, [by], ret, bound).withColumnRenamed("median", "median_ret")
+    """Count, mean, median, deviation and win rate of ``ret`` per value of ``by``, ordered.
+
+    The panel is read once, for the counts of its values; all figures come from these.
+    """
+    counts = durable(value_counts(panel, [by], ret))
+    n, value = F.col("__n"), F.col(ret).cast("double")
+    there = F.when(value.isNotNull(), n)
+    means = counts.groupBy(by).agg(
+        F.sum(n).alias("count"), F.sum(there).alias("__known"),
+        F.try_divide(F.sum(value * n), F.sum(there)).alias("mean_ret"),
+        F.try_divide(F.sum(F.when(value > 0, n)), F.sum(there)).alias("__won"))
+    # Deviations are taken from the mean itself, not from sums of squares.
+    spread = counts.join(means.select(by, "mean_ret"), by).groupBy(by).agg(
+        F.sum(n * F.pow(value - F.col("mean_ret"), F.lit(2.0))).alias("__squares"))
+    stats = means.join(spread, by, "left").select(
+        by, "count", "mean_ret",
+        F.when(F.col("__known") > 1, F.sqrt(F.col("__squares") / (F.col("__known") - 1))).alias("std_ret"),
+        F.when(F.col("__known") > 0, F.coalesce("__won", F.lit(0.0))).alias("win_rate"))
+    median = median_of(counts, [by], ret, bound).withColumnRenamed("median", "median_ret")
     return stats.join(median, by, "left").orderBy(by)
 
 

@@ -82,15 +82,23 @@ def top_k(df: DataFrame, by: list[str], score: str, k: int, tie: str = "symbol")
     return df.withColumn("__rn", F.row_number().over(w)).filter(F.col("__rn") <= k).drop("__rn")
 
 
+def value_counts(df: DataFrame, by: list[str], c: str) -> DataFrame:
+    """How often each value, null included, stands in each group: ``__n``."""
+    return df.groupBy(*by, c).agg(F.count(F.lit(1)).alias("__n"))
+
+
 def exact_median(df: DataFrame, by: list[str], c: str, bound: int | None = None) -> DataFrame:
     """Exact (interpolated) ``median`` per group from combined value counts."""
-    counts = (
-        df.filter(F.col(c).isNotNull()).groupBy(*by, c)
-        .agg(F.count(F.lit(1)).alias("__n"))
-    )
+    counts = value_counts(df.filter(F.col(c).isNotNull()), by, c)
     if bound is None:
         # Read several times below, and smaller than the rows it came from.
         counts = durable(counts)
+    return median_of(counts, by, c, bound)
+
+
+def median_of(counts: DataFrame, by: list[str], c: str, bound: int | None = None) -> DataFrame:
+    """``median`` per group from the counts of its values."""
+    counts = counts.filter(F.col(c).isNotNull())
     upto = cumulative(counts, by, c, [Running("__upto", "sum", F.col("__n"))], bound)
     totals = counts.groupBy(*by).agg(F.sum("__n").alias("__all"))
 
