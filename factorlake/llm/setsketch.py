@@ -10,12 +10,13 @@ registers serve as buckets. Documents of equal sets are one class from the start
 2. Pairs pass if some similarity at or above the threshold is likely by the joint likelihood
    of their registers and set sizes, and are then verified on the full sets.
 3. Components are built from the verified links.
-4. Buckets that still hold several components are compared between components, in blocks of
-   bounded size, by the same likelihood; what passes is verified as well, and
-   the components are final.
+4. Buckets that still hold several components are compared between components. Small ones
+   give pairs, which go the same way. Large ones are cut into blocks; a task that holds two
+   blocks counts common shingles of all their classes at once and emits only links that
+   connect two components, fewer than it has rows.
 
-So a bucket that holds a third of all rows costs its size, not its square, and no link
-between different components is left out.
+So a bucket that holds a third of all rows emits its size, not its square, and no link between
+different components is left out.
 """
 
 from __future__ import annotations
@@ -43,10 +44,10 @@ CHUNK = 500_000
 #: Log-likelihood that a pair may lack at the threshold: 4.5 standard deviations.
 SLACK = 10.0
 #: Rows of a bucket that is joined with itself; classes of a larger one that one task compares with
-#: as many others, and pairs that it looks at in one go.
+#: as many others; shingles that it counts in one go.
 SMALL = 32
-BLOCK = 2_000
-PAIRS = 50_000
+BLOCK = 1_000
+SLICE = 4_096
 
 SEEDS = mixed(np.arange(1, REGISTERS + 1, dtype=np.uint64) * MIX[0])
 
@@ -158,37 +159,43 @@ def _plausible(pairs: DataFrame, threshold: float) -> DataFrame:
     return pairs.mapInPandas(run, "a binary, b binary")
 
 
-def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs of classes (a, b) whose full sets reach the threshold.
+def _full_sets(classes: DataFrame, wanted: DataFrame, docs: DataFrame, k: int) -> DataFrame:
+    """set, n, registers, shingles (sorted, 8 bytes each) of the wanted classes.
 
-    Each side's text comes from the document that stands for its class. Rows that repeat this
-    identifier with another text are told apart by the digest of their set.
+    A class is read from the document that stands for it. Rows that repeat this identifier with
+    another text are told apart by the digest of their set.
     """
-    wanted = (pairs.select(F.col("a").alias("set")).unionByName(pairs.select(F.col("b").alias("set")))
-              .distinct().join(classes.select("set", "rep"), "set"))
-    texts = docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("rep"))).select("set", "text")
-    left = texts.select(F.col("set").alias("a"), F.col("text").alias("text_a"))
-    right = texts.select(F.col("set").alias("b"), F.col("text").alias("text_b"))
-    both = pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
+    texts = docs.join(wanted.join(classes.select("set", "rep"), "set"),
+                      F.col("doc_id").eqNullSafe(F.col("rep"))).select("set", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHash()
-        kept: tuple[bytes, str, np.ndarray | None] = (b"", "", None)
-
-        def full(key: bytes, text: str) -> np.ndarray | None:
-            found = shingles(hashes.of(lower_words(text)), k)
-            return found if hashlib.sha256(found.tobytes()).digest()[:16] == key else None
+        for batch in batches:
+            sets, shingled = [], []
+            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                raw = shingles(hashes.of(lower_words(text)), k).tobytes()
+                if hashlib.sha256(raw).digest()[:16] == key:
+                    sets.append(key)
+                    shingled.append(raw)
+            yield pa.RecordBatch.from_arrays([pa.array(sets, pa.binary()), pa.array(shingled, pa.binary())],
+                                             names=["set", "shingles"])
+
+    # Rows listed twice give one set.
+    found = texts.mapInArrow(run, "set binary, shingles binary").dropDuplicates(["set"])
+    return found.join(classes.select("set", "n", "registers"), "set")
+
+
+def _verified(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
+    """The pairs of classes (a, b) whose full sets reach the threshold."""
+    for side in ("a", "b"):
+        pairs = pairs.join(full.select(F.col("set").alias(side), F.col("shingles").alias(f"set_{side}")), side)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b, text_a, text_b = (batch.column(i).to_pylist() for i in range(4))
+            a, b, set_a, set_b = (batch.column(i).to_pylist() for i in range(4))
             links = []
-            for x, y, s, t in zip(a, b, text_a, text_b):
-                if kept[:2] != (y, t):  # rows come by b: its set is made once
-                    kept = (y, t, full(y, t))
-                mine, other = full(x, s), kept[2]
-                if mine is None or other is None:
-                    continue
-                union = np.concatenate([mine, other])
+            for x, y, s, t in zip(a, b, set_a, set_b):
+                union = np.concatenate([np.frombuffer(s, np.uint64), np.frombuffer(t, np.uint64)])
                 union.sort()
                 common = int((union[1:] == union[:-1]).sum())
                 if 100 * common >= percent * (len(union) - common):
@@ -197,7 +204,31 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, per
                 [pa.array([x for x, _ in links], pa.binary()), pa.array([y for _, y in links], pa.binary())],
                 names=["a", "b"])
 
-    return both.mapInArrow(run, "a binary, b binary")
+    return pairs.select("a", "b", "set_a", "set_b").mapInArrow(run, "a binary, b binary")
+
+
+def common_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """How many values each set of the left has in common with each of the right."""
+    sizes_l, sizes_r = [len(x) for x in left], [len(x) for x in right]
+    values, column = np.unique(np.concatenate([*left, *right]), return_inverse=True)
+    row_l, row_r = np.repeat(np.arange(len(left)), sizes_l), np.repeat(np.arange(len(right)), sizes_r)
+    column_l, column_r = column[:len(row_l)], column[len(row_l):]
+    out = np.zeros((len(left), len(right)), np.float32)
+    # Values on one side only are in no intersection; the others go through in slices.
+    shared = np.flatnonzero((np.bincount(column_l, minlength=len(values)) > 0)
+                            & (np.bincount(column_r, minlength=len(values)) > 0))
+    place = np.full(len(values), -1)
+    place[shared] = np.arange(len(shared))
+    at_l, at_r = place[column_l], place[column_r]
+    for begin in range(0, len(shared), SLICE):
+        parts = []
+        for rows, at, n in ((row_l, at_l, len(left)), (row_r, at_r, len(right))):
+            inside = (at >= begin) & (at < begin + SLICE)
+            part = np.zeros((n, min(SLICE, len(shared) - begin)), np.float32)
+            part[rows[inside], at[inside] - begin] = 1
+            parts.append(part)
+        out += parts[0] @ parts[1].T
+    return out
 
 
 def _buckets(classes: DataFrame) -> DataFrame:
@@ -214,19 +245,15 @@ def _with_registers(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return pairs
 
 
-def _across(buckets: DataFrame, classes: DataFrame, roots: DataFrame, threshold: float) -> DataFrame:
-    """Likely pairs between different components that share a bucket.
-
-    A bucket of up to ``SMALL`` rows is joined with itself, so a row meets fewer than ``SMALL``
-    others, and a pair that shares several buckets is looked at once. Larger buckets are cut
-    into blocks, and two blocks are compared inside one task, which emits only likely pairs.
-    """
-    rooted = (buckets.join(roots.withColumnRenamed("node", "set"), "set", "left")
-              .withColumn("root", F.coalesce("root", "set")))
+def _across(shared: DataFrame, full: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
+    """Links between different components that share a bucket; enough of them to join these."""
+    threshold = percent / 100
+    rooted = (shared.join(roots.withColumnRenamed("node", "set"), "set", "left")
+              .select("bucket", "set", F.coalesce("root", "set").alias("root")))
     mixed_up = (rooted.groupBy("bucket").agg(F.min("root").alias("first"), F.max("root").alias("last"),
                                              F.count("*").alias("rows"))
                 .where("first <> last").select("bucket", "rows"))
-    rows = durable(rooted.join(mixed_up, "bucket").join(classes.select("set", "n"), "set"))
+    rows = durable(rooted.join(mixed_up, "bucket").join(full.select("set", "n"), "set"))
 
     few = rows.where(F.col("rows") <= SMALL)
     left = few.select("bucket", F.col("set").alias("a"), F.col("root").alias("root_a"), F.col("n").alias("n_a"))
@@ -234,50 +261,51 @@ def _across(buckets: DataFrame, classes: DataFrame, roots: DataFrame, threshold:
     near = F.least("n_a", "n_b") >= threshold * F.greatest("n_a", "n_b")
     pairs = left.join(right, "bucket").where((F.col("a") > F.col("b")) & (F.col("root_a") != F.col("root_b"))
                                              & near).select("a", "b").distinct()
-    pairs = _plausible(_with_registers(pairs, classes), threshold)
+    links = _verified(_plausible(_with_registers(pairs, full), threshold), full, percent)
 
     # Block i meets every block j from i on: a row goes to each pair of blocks that has its own.
-    many = rows.where(F.col("rows") > SMALL).join(classes.select("set", "registers"), "set")
+    many = rows.where(F.col("rows") > SMALL)
     blocks = F.ceil(F.col("rows") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("set"), F.col("blocks")).cast("int")
     many = many.withColumn("blocks", blocks).withColumn("own", own).withColumn(
         "other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    many = many.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")})
+    many = many.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")}).join(
+        full.select("set", "shingles"), "set")
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.reset_index(drop=True)
-        registers, n = _matrix(group.registers), group.n.to_numpy()
+        own, names = group.own.to_numpy(), group["set"].to_numpy()
+        sets = [np.frombuffer(x, np.uint64) for x in group.shingles]
+        n = np.array([len(x) for x in sets])
         _, root = np.unique(group.root.to_numpy(), return_inverse=True)
-        own, i, j = group.own.to_numpy(), group.i[0], group.j[0]
-        right = np.flatnonzero(own == j)
-        found: list[tuple[np.ndarray, np.ndarray]] = []
-        waiting: list[tuple[np.ndarray, np.ndarray]] = []
-
-        def flush() -> None:
-            if waiting:
-                x, y = (np.concatenate(z) for z in zip(*waiting))
-                passed = likely(registers[x], registers[y], n[x], n[y], threshold)
-                found.append((x[passed], y[passed]))
-                waiting.clear()
-
-        held = 0
-        for x in np.flatnonzero(own == i):
-            size = np.minimum(n[right], n[x]) >= threshold * np.maximum(n[right], n[x])
-            y = right[size & (root[right] != root[x]) & ((right > x) if i == j else True)]
-            waiting.append((np.full(len(y), x), y))
-            held += len(y)
-            if held > PAIRS:
-                flush()
-                held = 0
-        flush()
-        x, y = (np.concatenate(z) for z in zip(*found)) if found else (np.zeros(0, int),) * 2
-        names = group["set"].to_numpy()
-        return pd.DataFrame({"a": names[x], "b": names[y]})
-
-    found = many.select("bucket", "i", "j", "own", "set", "root", "n", "registers").groupBy(
+        x, y = np.flatnonzero(own == group.i.iloc[0]), np.flatnonzero(own == group.j.iloc[0])
+        if not len(x) or not len(y):
+            return pd.DataFrame({"a": [], "b": []})
+        common = common_counts([sets[k] for k in x], [sets[k] for k in y])
+        union = n[x][:, None] + n[y][None] - common
+        linked = (100 * common >= percent * union) & (root[x][:, None] != root[y][None])
+        # One link for each pair of components is enough, and of these those that still connect.
+        p, q = np.nonzero(linked)
+        ends = np.sort(np.stack([root[x[p]], root[y[q]]], 1), 1)
+        _, chosen = np.unique(ends, axis=0, return_index=True)
+        parent = list(range(int(root.max()) + 1))
+
+        def find(r: int) -> int:
+            while parent[r] != r:
+                parent[r] = parent[parent[r]]
+                r = parent[r]
+            return r
+
+        out = []
+        for c in chosen.tolist():
+            r, s = find(int(ends[c, 0])), find(int(ends[c, 1]))
+            if r != s:
+                parent[max(r, s)] = min(r, s)
+                out.append((names[x[p[c]]], names[y[q[c]]]))
+        return pd.DataFrame({"a": [u for u, _ in out], "b": [v for _, v in out]})
+
+    found = many.select("bucket", "i", "j", "own", "set", "root", "shingles").groupBy(
         "bucket", "i", "j").applyInPandas(run, "a binary, b binary")
-    found = found.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    return pairs.unionByName(found).distinct()
+    return links.unionByName(found)
 
 
 def near_duplicates(docs: DataFrame, percent: int = 80, k: int = 5, id_col: str = "doc_id",
@@ -300,21 +328,20 @@ def _grouped(docs: DataFrame, percent: int, k: int) -> DataFrame:
         F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"),
         F.first("registers").alias("registers")), "classes")
     buckets = _buckets(classes)
-    first = buckets.groupBy("bucket").agg(F.min("set").alias("b"), F.max("set").alias("last")).where(
-        "b <> last").select("bucket", "b")
+    # Buckets of one class say nothing and are left behind.
+    first = buckets.groupBy("bucket").agg(F.min("set").alias("first"), F.max("set").alias("last")).where(
+        "first <> last").select("bucket", "first")
+    shared = stored(buckets.join(first, "bucket"), "shared")
+    full = stored(_full_sets(classes, shared.select("set").distinct(), docs, k), "sets")
     # Each class is verified against the one head with which it shares most buckets.
-    star = (buckets.join(first, "bucket").where("set <> b")
-            .groupBy(F.col("set").alias("a"), "b").agg(F.count("*").alias("shared"))
+    star = (shared.where("set <> first")
+            .groupBy(F.col("set").alias("a"), F.col("first").alias("b")).agg(F.count("*").alias("shared"))
             .groupBy("a").agg(F.max_by("b", F.struct("shared", "b")).alias("b")))
-    threshold = percent / 100
-    star = _plausible(_with_registers(star, classes), threshold)
-    links = durable(_verified(star, classes, docs, k, percent))
+    star = _plausible(_with_registers(star, full), percent / 100)
+    links = durable(_verified(star, full, percent))
     roots = durable(components(links))
-    more = durable(_across(buckets, classes, roots, threshold))
-    if more.isEmpty():
-        final = roots
-    else:
-        final = durable(components(links.unionByName(_verified(more, classes, docs, k, percent))))
+    more = durable(_across(shared, full, roots, percent))
+    final = roots if more.isEmpty() else durable(components(links.unionByName(more)))
 
     member = classes.join(final.withColumnRenamed("node", "set"), "set", "left").select(
         "set", "rep", F.coalesce("root", "set").alias("root"))
