@@ -223,11 +223,16 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = labelled.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"),
                            F.col(label_col).cast("string").alias("label")).where(
         "label is not null and text is not null")
-    order = Window.partitionBy("label").orderBy(F.xxhash64("doc_id"), "doc_id")
-    # The limit holds before the shuffle too; the chosen rows are docs times labels at most.
-    chosen = (rows.select("label", "doc_id").withColumn("place", F.row_number().over(order))
-              .where(F.col("place") <= docs).select(F.col("label").alias("of"), F.col("doc_id").alias("id")))
-    picked = rows.join(chosen.distinct(), (F.col("label") == F.col("of"))
+    # The least hashes in two steps: inside parts of a label, then of what these leave. The limit
+    # holds before each shuffle too. The chosen rows are docs times labels at most, which bounds
+    # what is broadcast: an identifier and a label each.
+    least = [F.xxhash64("doc_id"), F.col("doc_id")]
+    chosen = rows.select("label", "doc_id", F.pmod(F.xxhash64(F.lit(1), "doc_id"), F.lit(64)).alias("part"))
+    for by in (["label", "part"], ["label"]):
+        place = F.row_number().over(Window.partitionBy(*by).orderBy(*least))
+        chosen = chosen.withColumn("place", place).where(F.col("place") <= docs).drop("place")
+    chosen = chosen.select(F.col("label").alias("of"), F.col("doc_id").alias("id"))
+    picked = rows.join(F.broadcast(chosen.distinct()), (F.col("label") == F.col("of"))
                        & F.col("doc_id").eqNullSafe(F.col("id")), "left_semi").select("label", "text")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
