@@ -44,9 +44,10 @@ CHUNK = 500_000
 #: Log-likelihood that a pair may lack at the threshold: 4.5 standard deviations.
 SLACK = 10.0
 #: Rows of a bucket that is joined with itself; classes of a larger one that one task compares with
-#: as many others; shingles that it counts in one go.
+#: as many others; shingles that it holds and counts in one go.
 SMALL = 32
 BLOCK = 1_000
+VALUES = 4_000_000
 SLICE = 4_096
 
 SEEDS = mixed(np.arange(1, REGISTERS + 1, dtype=np.uint64) * MIX[0])
@@ -208,7 +209,19 @@ def _verified(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
 
 
 def common_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
-    """How many values each set of the left has in common with each of the right."""
+    """How many values each set of the left has in common with each of the right.
+
+    Values are dealt into as many parts as keep one part small, however long the sets are.
+    """
+    parts = -(-(sum(map(len, left)) + sum(map(len, right))) // VALUES) or 1
+    out = np.zeros((len(left), len(right)), np.float32)
+    for part in range(parts):
+        out += _common([x[x % np.uint64(parts) == part] for x in left],
+                       [x[x % np.uint64(parts) == part] for x in right])
+    return out
+
+
+def _common(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
     sizes_l, sizes_r = [len(x) for x in left], [len(x) for x in right]
     values, column = np.unique(np.concatenate([*left, *right]), return_inverse=True)
     row_l, row_r = np.repeat(np.arange(len(left)), sizes_l), np.repeat(np.arange(len(right)), sizes_r)

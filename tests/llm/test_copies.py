@@ -108,6 +108,16 @@ def test_registers_merge():
     assert both.tobytes() == merged
 
 
+@pytest.mark.parametrize("values,piece", [(4_000_000, 4_096), (50, 7)])
+def test_common_counts(monkeypatch, values, piece):
+    monkeypatch.setattr(setsketch, "VALUES", values)
+    monkeypatch.setattr(setsketch, "SLICE", piece)
+    draw = np.random.default_rng(6)
+    sets = [np.unique(draw.integers(0, 60, draw.integers(1, 50))).astype(np.uint64) for _ in range(12)]
+    want = [[len(np.intersect1d(x, y)) for y in sets[5:]] for x in sets[:5]]
+    assert setsketch.common_counts(sets[:5], sets[5:]).tolist() == want
+
+
 def test_likelihood_tells_likely_pairs():
     draw = np.random.default_rng(3)
     common, extra = draw.integers(0, 2 ** 63, 900).astype(np.uint64), draw.integers(0, 2 ** 63, 2200).astype(np.uint64)
