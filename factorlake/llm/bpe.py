@@ -33,9 +33,9 @@ NONE = 1 << 30
 #: Pre-tokens of more bytes run alone.
 LONG = 256
 #: Distinct pre-tokens remembered by a task before it starts anew.
-KNOWN = 1_000_000
+KNOWN = 300_000
 #: Code points handled at once: bounds memory, not the texts.
-CHUNK = 6_000_000
+CHUNK = 2_000_000
 
 #: The pattern of the rank file for texts made of ASCII and Latin letters, in which both forms of
 #: the pattern agree; other texts take the pattern itself.

@@ -37,8 +37,8 @@ BUCKETS = 1 << 15
 GRAMS = (1, 2, 3, 4)
 ROUNDS = 40
 #: Distinct words remembered by a task before it starts anew, and code points handled at once.
-KNOWN = 1_000_000
-CHUNK = 4_000_000
+KNOWN = 300_000
+CHUNK = 2_000_000
 
 LETTERS = re.compile(r"[^\W\d_]+")
 UNKNOWN = "und"

@@ -47,7 +47,7 @@ SLACK = 10.0
 #: as many others; shingles that it holds and counts in one go.
 SMALL = 32
 BLOCK = 1_000
-VALUES = 4_000_000
+VALUES = 1_000_000
 SLICE = 4_096
 
 SEEDS = mixed(np.arange(1, REGISTERS + 1, dtype=np.uint64) * MIX[0])

@@ -28,7 +28,7 @@ from factorlake.llm.common import plain
 
 NEVER = 1 << 40
 #: Distinct words remembered by a task before it starts anew.
-KNOWN = 1_000_000
+KNOWN = 300_000
 
 #: The vocabulary's own pattern for texts made of ASCII and precomposed Latin letters, which its
 #: normaliser only lower-cases; other texts pass through the library's normaliser and pattern.
@@ -215,7 +215,7 @@ def token_counts(docs: DataFrame, vocabulary: str, id_col: str = "doc_id",
         counter = TokenCounter(settings.value)
         for batch in batches:
             texts = batch.column(1).to_pylist()
-            step = max(1, len(texts) * 6_000_000 // max(1, batch.column(1).nbytes))
+            step = max(1, len(texts) * 2_000_000 // max(1, batch.column(1).nbytes))
             n = [t for k in range(0, len(texts), step) for t in counter.totals(texts[k:k + step])]
             sizes = [len(t.encode()) for t in texts]
             yield pa.RecordBatch.from_arrays(

@@ -6,7 +6,7 @@ import numpy as np
 import xxhash
 
 #: Distinct words remembered by a task before it starts anew.
-KNOWN = 1_000_000
+KNOWN = 300_000
 #: Fixed odd multipliers of the mixing steps.
 MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
