@@ -27,7 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factorlake.llm.common import plain, stored
@@ -119,6 +119,8 @@ def likely(left: np.ndarray, right: np.ndarray, n_left: np.ndarray, n_right: np.
 
     With set sizes known, a register of one set is above, below or equal to the other's with
     probabilities that follow from the similarity; their product over registers is the likelihood.
+    Whether the sizes allow the threshold at all is for ``sizes_allow``, in integers: at equality
+    the quotients here may fall short of it.
     """
     above = (left > right).sum(1).astype(np.float64)
     below = (left < right).sum(1).astype(np.float64)
@@ -140,24 +142,31 @@ def likely(left: np.ndarray, right: np.ndarray, n_left: np.ndarray, n_right: np.
         value = above * np.log(p) + below * np.log(q) + equal * np.log(np.clip(1 - p - q, 1e-9, 1))
         best = np.maximum(best, value)
         if j >= threshold:
-            best_over = np.maximum(best_over, np.where(most >= threshold, value, -np.inf))
+            best_over = np.maximum(best_over, value)
     return best_over >= best - SLACK
 
 
+def sizes_allow(least: Column, greatest: Column, percent: int) -> Column:
+    """Can sets of these sizes reach the threshold? They do at best where one holds the other."""
+    return 100 * least >= percent * greatest
+
+
 def _matrix(registers: pd.Series) -> np.ndarray:
     return np.frombuffer(b"".join(registers), np.uint16).reshape(-1, REGISTERS)
 
 
-def _plausible(pairs: DataFrame, threshold: float) -> DataFrame:
-    """The pairs (a, b, n_a, n_b, registers_a, registers_b) that pass the likelihood."""
+def _plausible(pairs: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b, n_a, n_b, registers_a, registers_b) whose sizes allow the threshold and that
+    pass the likelihood."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in frames:
             passed = likely(_matrix(rows.registers_a), _matrix(rows.registers_b),
-                            rows.n_a.to_numpy(), rows.n_b.to_numpy(), threshold) if len(rows) else []
+                            rows.n_a.to_numpy(), rows.n_b.to_numpy(), percent / 100) if len(rows) else []
             yield rows.loc[passed, ["a", "b"]]
 
-    return pairs.mapInPandas(run, "a binary, b binary")
+    possible = sizes_allow(F.least("n_a", "n_b"), F.greatest("n_a", "n_b"), percent)
+    return pairs.where(possible).mapInPandas(run, "a binary, b binary")
 
 
 def _full_sets(classes: DataFrame, wanted: DataFrame, docs: DataFrame, k: int) -> DataFrame:
@@ -260,7 +269,6 @@ def _with_registers(pairs: DataFrame, classes: DataFrame) -> DataFrame:
 
 def _across(shared: DataFrame, full: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
     """Links between different components that share a bucket; enough of them to join these."""
-    threshold = percent / 100
     rooted = (shared.join(roots.withColumnRenamed("node", "set"), "set", "left")
               .select("bucket", "set", F.coalesce("root", "set").alias("root")))
     mixed_up = (rooted.groupBy("bucket").agg(F.min("root").alias("first"), F.max("root").alias("last"),
@@ -271,10 +279,10 @@ def _across(shared: DataFrame, full: DataFrame, roots: DataFrame, percent: int)
     few = rows.where(F.col("rows") <= SMALL)
     left = few.select("bucket", F.col("set").alias("a"), F.col("root").alias("root_a"), F.col("n").alias("n_a"))
     right = few.select("bucket", F.col("set").alias("b"), F.col("root").alias("root_b"), F.col("n").alias("n_b"))
-    near = F.least("n_a", "n_b") >= threshold * F.greatest("n_a", "n_b")
+    near = sizes_allow(F.least("n_a", "n_b"), F.greatest("n_a", "n_b"), percent)
     pairs = left.join(right, "bucket").where((F.col("a") > F.col("b")) & (F.col("root_a") != F.col("root_b"))
                                              & near).select("a", "b").distinct()
-    links = _verified(_plausible(_with_registers(pairs, full), threshold), full, percent)
+    links = _verified(_plausible(_with_registers(pairs, full), percent), full, percent)
 
     # Block i meets every block j from i on: a row goes to each pair of blocks that has its own.
     many = rows.where(F.col("rows") > SMALL)
@@ -350,7 +358,7 @@ def _grouped(docs: DataFrame, percent: int, k: int) -> DataFrame:
     star = (shared.where("set <> first")
             .groupBy(F.col("set").alias("a"), F.col("first").alias("b")).agg(F.count("*").alias("shared"))
             .groupBy("a").agg(F.max_by("b", F.struct("shared", "b")).alias("b")))
-    star = _plausible(_with_registers(star, full), percent / 100)
+    star = _plausible(_with_registers(star, full), percent)
     links = durable(_verified(star, full, percent))
     roots = durable(components(links))
     more = durable(_across(shared, full, roots, percent))

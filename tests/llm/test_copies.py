@@ -85,6 +85,37 @@ def test_near_duplicates(spark, percent):
     assert all(r.kept == (i == r.component_id) for i, r in found.items())
 
 
+@pytest.mark.parametrize("percent,sizes", [(80, [(15, 12), (20, 16), (55, 44)]), (85, [(20, 17), (40, 34), (100, 85)])])
+def test_near_duplicates_at_the_exact_threshold(spark, percent, sizes):
+    """Texts and their first words, whose shingle sets have exactly the threshold's ratio."""
+    pairs = []
+    for more, less in sizes:
+        for order in (1, -1):
+            words = prose(10_000 + len(pairs), more + 4).split()
+            both = [" ".join(f"{w}{len(pairs)}" for w in words[:n + 4]) for n in (more, less)][::order]
+            pairs += [(len(pairs) + k, text) for k, text in enumerate(both)]
+    want, _ = brute_components(pairs, percent)
+    assert len(set(want.values())) == len(pairs) // 2
+    found = setsketch.near_duplicates(table_of(spark, pairs), percent).collect()
+    assert {r.doc_id: r.component_id for r in found} == want
+
+
+@pytest.mark.parametrize("percent", [80, 85])
+def test_no_exact_pair_is_dropped_before_it_is_verified(spark, percent):
+    """Every size up to 1,000, in both orders, with the registers of contained sets."""
+    greatest = [n for n in range(1, 1001) if percent * n % 100 == 0]
+    rows = []
+    for n in greatest:
+        values = np.random.default_rng(n).integers(0, 2 ** 63, n).astype(np.uint64)
+        least = percent * n // 100
+        long, short = (setsketch.fill(v, np.array([0]))[0].tobytes() for v in (values, values[:least]))
+        rows += [(b"l", b"s", n, least, long, short), (b"s", b"l", least, n, short, long)]
+        rows += [(b"x", b"x", n, least - 1, long, short), (b"x", b"x", least - 1, n, short, long)]
+    pairs = spark.createDataFrame(rows, "a binary, b binary, n_a long, n_b long, registers_a binary, registers_b binary")
+    found = [bytes(r.a) for r in setsketch._plausible(pairs, percent).collect()]
+    assert sorted(found) == [b"l"] * len(greatest) + [b"s"] * len(greatest)
+
+
 def test_near_duplicates_in_small_blocks(spark, monkeypatch):
     """Chains whose ends are unlike, and buckets of several components, compared in blocks of 3."""
     monkeypatch.setattr(setsketch, "SMALL", 2)
