@@ -3,13 +3,16 @@
 A block of text that follows a licence template compresses much better if the compressor has
 the template as its dictionary. Blocks are the words around each cue, as many on both sides as the
 template has; templates are ranked by the reduction of their block's compressed size, and
-the best are confirmed by the exact differences in wording.
+the best are confirmed by the exact differences in wording. Only templates of whose words a text and a
+block hold enough to be confirmed are ranked, so whole licences cost nothing where none is.
 """
 
 from __future__ import annotations
 
+import pkgutil
 import re
 from bisect import bisect_right
+from collections import Counter
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 
@@ -19,10 +22,27 @@ from pyspark.sql import DataFrame
 
 from factorlake.llm.common import plain
 
+#: Whole licences, one file each: the terms without an appendix on how to apply them.
+WHOLE = [f"{name}-text" for name in (
+    "MIT", "BSD-2-Clause", "BSD-3-Clause", "Apache-2.0", "GPL-1.0", "GPL-2.0", "GPL-3.0", "LGPL-2.0", "LGPL-2.1",
+    "LGPL-3.0", "AGPL-3.0", "MPL-1.1", "MPL-2.0", "CC0-1.0", "Artistic-1.0")]
+GNU = {"GPL": "General", "LGPL": "Lesser General", "AGPL": "Affero General"}
+GNU_VERSIONS = [("GPL", "2.0"), ("GPL", "3.0"), ("LGPL", "2.1"), ("LGPL", "3.0"), ("AGPL", "3.0")]
+GNU_HEADER = (
+    "This {work} is free software{stop} you can redistribute it and/or modify it under the terms of the GNU {kind} "
+    "Public License as published by the Free Software Foundation, either version {number} of the License, or (at your "
+    "option) any later version.")
+
+
+def _gnu_header(kind: str, version: str) -> str:
+    return GNU_HEADER.format(work="library" if kind == "LGPL" else "program", stop=":" if version == "3.0" else ";",
+                             kind=GNU[kind], number=version.removesuffix(".0"))
+
+
 #: Public notices in their usual wording.
 TEMPLATES = {
     "MIT": "Released under the MIT License.",
-    "MIT-text": (
+    "MIT-opening": (
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software "
         "and associated documentation files, to deal in the Software without restriction, including "
         "without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, "
@@ -31,26 +51,30 @@ TEMPLATES = {
     "Apache-2.0-header": (
         "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file "
         "except in compliance with the License. You may obtain a copy of the License at"),
-    "BSD-3-Clause": (
+    # What the BSD licences share.
+    "BSD": (
         "Redistribution and use in source and binary forms, with or without modification, are "
         "permitted provided that the following conditions are met:"),
-    "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
-    "GPL-3.0-header": (
-        "This program is free software: you can redistribute it and/or modify it under the terms of "
-        "the GNU General Public License as published by the Free Software Foundation, either version 3 "
-        "of the License, or (at your option) any later version."),
-    "LGPL-2.1": "This work is licensed under the GNU Lesser General Public License, version 2.1.",
+    "MPL-1.1": "The contents of this file are subject to the Mozilla Public License Version 1.1.",
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
-    "CC-BY-4.0": "Licensed under CC BY 4.0.",
-    "CC-BY-SA-4.0": "Licensed under CC BY-SA 4.0.",
-    "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
+} | {
+    f"{kind}-{version}": f"This work is licensed under the GNU {GNU[kind]} Public License, version {version.removesuffix('.0')}."
+    for kind, version in GNU_VERSIONS
+} | {
+    f"{kind}-{version}-header": _gnu_header(kind, version) for kind, version in GNU_VERSIONS
+} | {
+    f"CC-{kind}-4.0": f"Licensed under CC {kind} 4.0." for kind in ("BY", "BY-SA", "BY-NC", "BY-ND", "BY-NC-SA", "BY-NC-ND")
+} | {
+    name: pkgutil.get_data(__package__, f"licences/{name}.txt").decode() for name in WHOLE
 }
-CUE = re.compile(r"licen[cs]e|permission is hereby|redistribution and use|free software", re.IGNORECASE)
+CUE = re.compile(r"licen[cs]e|permission\W+is\W+hereby|redistribution\W+and\W+use|free\W+software", re.IGNORECASE)
 WORDS = re.compile(r"[\w.+-]*\w")
 #: Templates that are confirmed for a cue, and the least reduction of the notice's compressed size.
 BEST, REDUCTION = 5, 0.25
 #: Words of the template that may be missing or added inside the notice, as shares of its words.
 MISSING, ADDED = 0.15, 0.15
+#: Templates from so many words on are aligned by their rarer words first; their blocks have room for words added.
+LONG = 150
 
 SCHEMA = ("doc_id long, start int, stop int, license string, reduction double, n_words int, "
           "missing string, added string")
@@ -60,9 +84,27 @@ def normal(text: str) -> list[str]:
     return WORDS.findall(text.lower())
 
 
+def aligned(words: list[str], template: list[str]) -> list[tuple[int, int, int]]:
+    """Runs of equal words: place among the words, place in the template, length."""
+    long = len(template) >= LONG
+    first = [tuple(b) for b in SequenceMatcher(None, words, template, autojunk=long).get_matching_blocks() if b.size]
+    if not long or not first:
+        return first
+    # Common words between the runs, which were no anchors.
+    out = []
+    for k, (a, b, n) in enumerate(first):
+        if k:
+            x, y = out[-1][0] + out[-1][2], out[-1][1] + out[-1][2]
+            gap = SequenceMatcher(None, words[x:a], template[y:b], autojunk=False)
+            out += [(x + g.a, y + g.b, g.size) for g in gap.get_matching_blocks() if g.size]
+        out.append((a, b, n))
+    return out
+
+
 class Scanner:
     def __init__(self, templates: dict[str, str]):
         self.words = {name: normal(t) for name, t in templates.items()}
+        self.bags = {name: Counter(words) for name, words in self.words.items()}
         self.alone = zstandard.ZstdCompressor(level=9, write_content_size=False)
         self.given = {}
         for name, words in self.words.items():
@@ -78,15 +120,20 @@ class Scanner:
         size = len(self.alone.compress(block))
         return (size - len(self.given[name].compress(block))) / size
 
+    def possible(self, bag: Counter, name: str) -> bool:
+        """Are there enough of the template's words, in whatever order?"""
+        size, get = len(self.words[name]), bag.get
+        return size - sum(min(n, get(w, 0)) for w, n in self.bags[name].items()) <= MISSING * size
+
     def differences(self, words: list[str], name: str) -> tuple[int, int, list[str], list[str]] | None:
         """Where the template stands among the words, and the words it lacks and has more."""
         template = self.words[name]
-        parts = [b for b in SequenceMatcher(None, words, template, autojunk=False).get_matching_blocks() if b.size]
+        parts = aligned(words, template)
         if not parts:
             return None
-        begin, end = parts[0].a, parts[-1].a + parts[-1].size
-        hit_a = {k for b in parts for k in range(b.a, b.a + b.size)}
-        hit_b = {k for b in parts for k in range(b.b, b.b + b.size)}
+        begin, end = parts[0][0], parts[-1][0] + parts[-1][2]
+        hit_a = {k for a, _, n in parts for k in range(a, a + n)}
+        hit_b = {k for _, b, n in parts for k in range(b, b + n)}
         missing = [w for k, w in enumerate(template) if k not in hit_b]
         added = [words[k] for k in range(begin, end) if k not in hit_a]
         return begin, end, missing, added
@@ -98,12 +145,20 @@ class Scanner:
             return []
         places = list(WORDS.finditer(text))
         words, starts = [m.group().lower() for m in places], [m.start() for m in places]
+        bag = Counter(words)
+        names = [name for name in self.words if self.possible(bag, name)]
         out, done = [], 0
         for cue in cues:
             at = max(0, bisect_right(starts, cue) - 1)
             if at < done:  # inside the last notice
                 continue
-            blocks = {name: (max(done, at - len(t)), at + len(t) + 1) for name, t in self.words.items()}
+            blocks = {}
+            for name in names:
+                size = len(self.words[name])
+                more = int(ADDED * size) if size >= LONG else 0
+                a, b = max(done, at - size - more), at + size + more + 1
+                if self.possible(Counter(words[a:b]), name):
+                    blocks[name] = a, b
             ranked = sorted(((self.reduction(words[a:b], name), name) for name, (a, b) in blocks.items()),
                             reverse=True)[:BEST]
             best = None

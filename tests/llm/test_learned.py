@@ -144,6 +144,21 @@ def test_licenses_against_wording(spark):
     assert found[0][1] == len("some prose here.\n")
 
 
+def test_whole_licenses_are_told_apart(spark):
+    """Each whole text, wrapped anew as a comment, after a title and before prose, is found from end to end."""
+    texts = {}
+    for k, name in enumerate(license_scan.WHOLE):
+        words = license_scan.TEMPLATES[name].split()
+        lines = [" # " + " ".join(words[i:i + 7]) for i in range(0, len(words), 7)]
+        texts[k] = "Copyright 2020 A. Writer. This is the License.\n" + "\n".join(lines) + "\n" + "more prose " * 100
+    found = license_scan.licenses(table_of(spark, list(texts.items()))).collect()
+    assert [(r.doc_id, r.license, r.missing) for r in sorted(found, key=lambda r: r.doc_id)] == [
+        (k, name, "") for k, name in enumerate(license_scan.WHOLE)]
+    # The opening that BSD licences share names none of them.
+    opening = table_of(spark, [(1, license_scan.TEMPLATES["BSD"].replace(" ", "\n"))])
+    assert [r.license for r in license_scan.licenses(opening).collect()] == ["BSD"]
+
+
 def test_planted_licenses_are_all_found(documents):
     lines = documents.where(F.rlike("text", F.lit("(?i)licen[cs]ed? under|MIT License"))).select("doc_id").distinct()
     found = license_scan.licenses(documents).select("doc_id").distinct()
