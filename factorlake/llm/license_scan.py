@@ -24,7 +24,7 @@ from factorlake.llm.common import plain
 
 #: Whole licences, one file each: the terms without an appendix on how to apply them.
 WHOLE = [f"{name}-text" for name in (
-    "MIT", "BSD-2-Clause", "BSD-3-Clause", "Apache-2.0", "GPL-1.0", "GPL-2.0", "GPL-3.0", "LGPL-2.0", "LGPL-2.1",
+    "MIT", "BSD-2-Clause", "BSD-3-Clause", "BSD-4-Clause", "Apache-2.0", "GPL-1.0", "GPL-2.0", "GPL-3.0", "LGPL-2.0", "LGPL-2.1",
     "LGPL-3.0", "AGPL-3.0", "MPL-1.1", "MPL-2.0", "CC0-1.0", "Artistic-1.0")]
 GNU = {"GPL": "General", "LGPL": "Lesser General", "AGPL": "Affero General"}
 GNU_VERSIONS = [("GPL", "2.0"), ("GPL", "3.0"), ("LGPL", "2.1"), ("LGPL", "3.0"), ("AGPL", "3.0")]
@@ -67,6 +67,37 @@ TEMPLATES = {
 } | {
     name: pkgutil.get_data(__package__, f"licences/{name}.txt").decode() for name in WHOLE
 }
+#: Names, variants and versions: phrases of a template that must stand in the text word for word. Whole licences
+#: have the clause that their next of kin lacks, or their title where there is none.
+MUST = {
+    "MIT": ["MIT License"],
+    "Apache-2.0": ["Apache License, Version 2.0"],
+    "Apache-2.0-header": ["Apache License, Version 2.0"],
+    "MPL-1.1": ["Mozilla Public License", "1.1"],
+    "MPL-2.0": ["Mozilla Public License", "2.0"],
+    "MIT-text": ["this permission notice shall be included in all copies"],
+    "BSD-2-Clause-text": ["Redistributions in binary form must reproduce"],
+    "BSD-3-Clause-text": ["to endorse or promote products derived from this software"],
+    "BSD-4-Clause-text": ["All advertising materials mentioning features or use of this software must display",
+                          "to endorse or promote products derived from this software"],
+    "Apache-2.0-text": ["Apache License Version 2.0"],
+    "GPL-1.0-text": ["GNU General Public License Version 1, February 1989"],
+    "GPL-2.0-text": ["consequence of a court judgment or allegation of patent infringement"],
+    "GPL-3.0-text": ["Use with the GNU Affero General Public License"],
+    "LGPL-2.0-text": ["versions of the Library General Public License from time to time"],
+    "LGPL-2.1-text": ["versions of the Lesser General Public License from time to time"],
+    "LGPL-3.0-text": ["incorporates the terms and conditions of version 3 of the GNU General Public License"],
+    "AGPL-3.0-text": ["Remote Network Interaction; Use with the GNU General Public License"],
+    "MPL-1.1-text": ["Mozilla Public License Version 1.1"],
+    "MPL-2.0-text": ["Mozilla Public License Version 2.0"],
+    "CC0-1.0-text": ["CC0 1.0 Universal"],
+    "Artistic-1.0-text": ["Artistic License"],
+} | {
+    f"{kind}-{version}{form}": [f"GNU {GNU[kind]} Public License", f"version {version}"]
+    for kind, version in GNU_VERSIONS for form in ("", "-header")
+} | {
+    name: [name.removeprefix("CC-").removesuffix("-4.0").join(("CC ", " 4.0"))] for name in TEMPLATES if name.startswith("CC-BY")
+}
 CUE = re.compile(r"licen[cs]e|permission\W+is\W+hereby|redistribution\W+and\W+use|free\W+software", re.IGNORECASE)
 WORDS = re.compile(r"[\w.+-]*\w")
 #: Templates that are confirmed for a cue, and the least reduction of the notice's compressed size.
@@ -80,8 +111,18 @@ SCHEMA = ("doc_id long, start int, stop int, license string, reduction double, n
           "missing string, added string")
 
 
+def same_version(word: str) -> str:
+    """Version 3.0 is version 3."""
+    return word[:-2] if word.endswith(".0") and word[:-2].isdigit() else word
+
+
 def normal(text: str) -> list[str]:
-    return WORDS.findall(text.lower())
+    return [same_version(w) for w in WORDS.findall(text.lower())]
+
+
+def occurrences(phrase: list[str], words: list[str]) -> list[tuple[int, int]]:
+    n = len(phrase)
+    return [(k, k + n) for k in range(len(words) - n + 1) if words[k:k + n] == phrase]
 
 
 def aligned(words: list[str], template: list[str]) -> list[tuple[int, int, int]]:
@@ -105,6 +146,10 @@ class Scanner:
     def __init__(self, templates: dict[str, str]):
         self.words = {name: normal(t) for name, t in templates.items()}
         self.bags = {name: Counter(words) for name, words in self.words.items()}
+        self.must = {name: [place for phrase in MUST.get(name, ()) for place in occurrences(normal(phrase), words)]
+                     for name, words in self.words.items()}
+        self.must_words = {name: {w for a, b in places for w in self.words[name][a:b]}
+                           for name, places in self.must.items()}
         self.alone = zstandard.ZstdCompressor(level=9, write_content_size=False)
         self.given = {}
         for name, words in self.words.items():
@@ -121,12 +166,16 @@ class Scanner:
         return (size - len(self.given[name].compress(block))) / size
 
     def possible(self, bag: Counter, name: str) -> bool:
-        """Are there enough of the template's words, in whatever order?"""
+        """Are there enough of the template's words, and all it must have, in whatever order?"""
+        if not all(w in bag for w in self.must_words[name]):
+            return False
         size, get = len(self.words[name]), bag.get
         return size - sum(min(n, get(w, 0)) for w, n in self.bags[name].items()) <= MISSING * size
 
-    def differences(self, words: list[str], name: str) -> tuple[int, int, list[str], list[str]] | None:
-        """Where the template stands among the words, and the words it lacks and has more."""
+    def differences(self, words: list[str], name: str) -> tuple[int, int, list[str], list[str], list[str]] | None:
+        """Where the template stands among the words, the words it lacks and has more, and those outside
+        that stand in the place of its first and last ones. None where a phrase it must have differs.
+        """
         template = self.words[name]
         parts = aligned(words, template)
         if not parts:
@@ -134,9 +183,14 @@ class Scanner:
         begin, end = parts[0][0], parts[-1][0] + parts[-1][2]
         hit_a = {k for a, _, n in parts for k in range(a, a + n)}
         hit_b = {k for _, b, n in parts for k in range(b, b + n)}
+        at = {b + k: a + k for a, b, n in parts for k in range(n)}
+        for first, stop in self.must[name]:
+            if any(at.get(k, -1) != at.get(first, -2) + k - first for k in range(first, stop)):
+                return None
         missing = [w for k, w in enumerate(template) if k not in hit_b]
         added = [words[k] for k in range(begin, end) if k not in hit_a]
-        return begin, end, missing, added
+        before, after = parts[0][1], len(template) - parts[-1][1] - parts[-1][2]
+        return begin, end, missing, added, words[max(0, begin - before):begin] + words[end:end + after]
 
     def find(self, text: str) -> list[tuple[int, int, str, float, int, str, str]]:
         """start, stop, license, reduction, n_words, missing, added of each notice, in order."""
@@ -144,7 +198,7 @@ class Scanner:
         if not cues:
             return []
         places = list(WORDS.finditer(text))
-        words, starts = [m.group().lower() for m in places], [m.start() for m in places]
+        words, starts = [same_version(m.group().lower()) for m in places], [m.start() for m in places]
         bag = Counter(words)
         names = [name for name in self.words if self.possible(bag, name)]
         out, done = [], 0
@@ -167,7 +221,7 @@ class Scanner:
                 place = self.differences(words[shift:stop], name)
                 if place is None:
                     continue
-                begin, end, missing, added = place[0] + shift, place[1] + shift, *place[2:]
+                begin, end, missing, added, outside = place[0] + shift, place[1] + shift, *place[2:]
                 size = len(self.words[name])
                 saved = self.reduction(words[begin:end], name)
                 if saved < REDUCTION or len(missing) > MISSING * size or len(added) > ADDED * size:
@@ -175,7 +229,7 @@ class Scanner:
                 # The longest confirmed wording, then the larger reduction.
                 score = (size - len(missing) - len(added), saved, name)
                 if best is None or score > best[0]:
-                    best = (score, begin, end, name, saved, " ".join(missing), " ".join(added))
+                    best = (score, begin, end, name, saved, " ".join(missing), " ".join(added + outside))
             if best:
                 _, begin, end, name, saved, missing, added = best
                 out.append((starts[begin], places[end - 1].end(), name, saved, end - begin, missing, added))
@@ -187,6 +241,8 @@ def licenses(docs: DataFrame, templates: dict[str, str] | None = None, id_col: s
              text_col: str = "text") -> DataFrame:
     """doc_id, start, stop (code points), license, reduction, n_words, missing, added words.
 
+    Words in the place of missing ones at either end are listed last among the added; ``start`` and ``stop``
+    leave them out. The phrases in ``MUST`` are never missing.
     One row for each notice. Texts without one, null and empty texts have no row; rows that repeat
     an identifier each have theirs; an empty table gives no row.
     """

@@ -159,6 +159,32 @@ def test_whole_licenses_are_told_apart(spark):
     assert [r.license for r in license_scan.licenses(opening).collect()] == ["BSD"]
 
 
+def test_names_and_versions_are_not_forgiven(spark):
+    work = "This work is licensed under the GNU {}."
+    bsd = license_scan.TEMPLATES["BSD-3-Clause-text"]
+    cases = [
+        (work.format("General Public License, version 2"), ["GPL-2.0"]),
+        (work.format("General Public License, version 3.0"), ["GPL-3.0"]),
+        (work.format("General Public License, version 4"), []),
+        (work.format("Lesser General Public License, version 3"), ["LGPL-3.0"]),
+        (work.format("Library General Public License, version 3"), []),
+        ("Licensed under the Apache License, Version 2", ["Apache-2.0"]),
+        ("Licensed under the Apache License, Version 1.1.", []),
+        (license_scan.TEMPLATES["MPL-2.0"].replace("2.0", "1.1"), []),
+        (license_scan.TEMPLATES["GPL-3.0-header"].replace("version 3", "version 1"), []),
+        (license_scan.TEMPLATES["BSD-2-Clause-text"], ["BSD-2-Clause-text"]),
+        (bsd, ["BSD-3-Clause-text"]),
+        (bsd.replace("the copyright holder nor", "A. Writer nor"), ["BSD-3-Clause-text"]),
+        (license_scan.TEMPLATES["BSD-4-Clause-text"].replace("by the organization", "by A. Writer"), ["BSD-4-Clause-text"]),
+    ]
+    found = license_scan.licenses(table_of(spark, [(k, text) for k, (text, _) in enumerate(cases)])).collect()
+    assert [[r.license for r in found if r.doc_id == k] for k in range(len(cases))] == [names for _, names in cases]
+    # What stands in the place of a missing last word is listed.
+    edge = license_scan.TEMPLATES["Apache-2.0-header"].removesuffix("at") + "from the author"
+    row, = license_scan.licenses(table_of(spark, [(1, edge)])).collect()
+    assert (row.license, row.missing, row.added) == ("Apache-2.0-header", "at", "from")
+
+
 def test_planted_licenses_are_all_found(documents):
     lines = documents.where(F.rlike("text", F.lit("(?i)licen[cs]ed? under|MIT License"))).select("doc_id").distinct()
     found = license_scan.licenses(documents).select("doc_id").distinct()
