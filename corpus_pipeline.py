@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from factorlake.llm import bpe, exact_dedup, language_crf, mixing, setsketch
@@ -54,15 +54,21 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     A document that the budget ends in is taken as a whole. Documents without words go.
     """
     mixed = mixing.mix(docs)
-    times = mixed.where("taken > 0").select(
-        F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__size"),
-        F.ceil(F.col("taken") / F.col("size")).cast("int").alias("__times")).dropDuplicates(
-        ["__id", "__source", "__size"])
-    keyed = docs.withColumn("__words", mixing.word_count(F.col("text")))
+    # Rows of one text, identifier and source share their copies: which of them gets one more does not matter.
+    times = F.when(F.col("taken") > 0, F.ceil(F.col("taken") / F.col("size"))).otherwise(F.lit(0)).cast("int")
+    times = mixed.groupBy(F.col("doc_id").alias("__id"), F.col("source").alias("__source"),
+                          F.col("mark").alias("__hash")).agg(
+        F.sum(times).cast("int").alias("__times"), F.count("*").cast("int").alias("__rows")).where("__times > 0")
     same = (F.col("doc_id").eqNullSafe(F.col("__id")) & F.col("source").eqNullSafe(F.col("__source"))
-            & (F.col("__words") == F.col("__size")))
-    return (keyed.join(times, same)
-            .withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(docs.columns))
+            & (F.col("__mark") == F.col("__hash")))
+    joined = docs.withColumn("__mark", mixing.text_mark(F.col("text"))).join(times, same)
+    each, more = F.floor(F.col("__times") / F.col("__rows")).cast("int"), F.col("__times") % F.col("__rows")
+    # At most one such group of a source, where its budget ends, does not divide evenly.
+    even = joined.where(more == 0).withColumn("__each", each)
+    place = F.row_number().over(Window.partitionBy("__id", "__source", "__hash").orderBy("__mark"))
+    odd = joined.where(more > 0).withColumn("__each", each + F.when(place <= more, 1).otherwise(0)).where("__each > 0")
+    return (even.unionByName(odd).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__each"))))
+            .select(docs.columns))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -10,7 +10,8 @@ The order is a prefix sum over one source, which may hold a third of all rows. I
 two steps: sums per (source, bin of keys), then prefix sums over the bins and inside each bin.
 Bins are equal steps of the probability of a smaller key, averaged over ``LEVELS`` of quality;
 their number follows the number of rows, so no window holds more than a few times ``BIN_ROWS``
-rows, whatever the qualities are.
+rows, whatever the qualities are. Rows of one identifier (null is one) and one quality have one key and
+stay in one bin, however many they are.
 """
 
 from __future__ import annotations
@@ -32,6 +33,11 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def text_mark(text: Column) -> Column:
+    """Tells texts of one identifier apart."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
 def text_quality(text: Column) -> Column:
     """0.1 to 1: the share of letters, digits and spaces among the bytes outside the usual marks.
 
@@ -52,14 +58,15 @@ def uniform(identifier: Column, seed: str = SEED) -> Column:
 
 def sized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
           source_col: str = "source", weight: Column | None = None) -> DataFrame:
-    """doc_id, source, size in words, key and the bin value in [0, 1) of each row."""
+    """doc_id, source, size in words, hash of the text, key and the bin value in [0, 1) of each row."""
     quality = text_quality(F.col(text_col)) if weight is None else weight
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"),
-                       word_count(F.col(text_col)).alias("size"), quality.alias("quality"),
+                       word_count(F.col(text_col)).alias("size"), text_mark(F.col(text_col)).alias("mark"),
+                       quality.alias("quality"),
                        uniform(F.col(id_col)).alias("u"))
     quality = F.least(F.greatest(F.coalesce("quality", F.lit(LEVELS[0])), F.lit(LEVELS[0])),
                       F.lit(LEVELS[-1]))
-    rows = rows.select("doc_id", "source", "size", (-F.log("u") / quality).alias("key"))
+    rows = rows.select("doc_id", "source", "size", "mark", (-F.log("u") / quality).alias("key"))
     part = 1 - sum(F.exp(-F.col("key") * level) for level in LEVELS) / len(LEVELS)
     return rows.withColumn("part", part)
 
@@ -98,13 +105,13 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), epochs: int
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         source_col: str = "source", weight: Column | None = None,
         weights: tuple[int, ...] = (1, 2, 3), epochs: int = EPOCHS) -> DataFrame:
-    """doc_id, source, size, source_size, target, key, taken of every row.
+    """doc_id, source, size, mark (hash of the text), source_size, target, key, taken of every row.
 
     ``taken`` is the number of words used: whole epochs, then ``size`` once more for documents
     that begin within the rest, the last of them only as far as the rest goes. So the taken words
     of a source are its target rounded down. Null texts have size 0 and take nothing; a null
-    source is a source; rows that repeat an identifier are rows of their own and tie in an order
-    that does not change the sums. An empty table gives no row.
+    source is a source; rows that repeat an identifier are rows of their own, in the order of
+    their sizes and texts. An empty table gives no row.
     """
     rows = stored(sized(docs, id_col, text_col, source_col, weight), "sized")
     per_source = rows.groupBy("source").agg(F.sum("size").alias("source_size"),
@@ -128,7 +135,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     earlier = Window.partitionBy("source").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
     bins = bins.select(F.col("source").alias("bin_source"), F.col("bin").alias("bin_no"),
                        F.coalesce(F.sum("bin_size").over(earlier), F.lit(0)).alias("before"))
-    inside = (Window.partitionBy("source", "bin").orderBy("key", "doc_id", "size")
+    inside = (Window.partitionBy("source", "bin").orderBy("key", "doc_id", "size", "mark")
               .rowsBetween(Window.unboundedPreceding, -1))
     rows = rows.withColumn("within", F.coalesce(F.sum("size").over(inside), F.lit(0)))
     rows = rows.join(bins, F.col("source").eqNullSafe(F.col("bin_source"))
@@ -136,5 +143,5 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     left = F.col("rest") - F.col("before") - F.col("within")
     part = F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), left.cast("long")))
     taken = F.col("epoch").cast("long") * F.col("size") + part
-    return rows.select("doc_id", "source", "size", "source_size", "target", "key",
+    return rows.select("doc_id", "source", "size", "mark", "source_size", "target", "key",
                        taken.alias("taken"))

@@ -1,6 +1,7 @@
 """The pipeline against its stages' brute-force versions."""
 
 import sys
+from collections import Counter
 from pathlib import Path
 
 sys.path[:0] = [str(Path(__file__).resolve().parent), str(Path(__file__).resolve().parents[2])]
@@ -9,6 +10,8 @@ import corpus_pipeline  # noqa: E402
 import numpy as np  # noqa: E402
 import public_tokenizers as P  # noqa: E402
 import tiktoken  # noqa: E402
+from data import table_of  # noqa: E402
+from pyspark.sql import functions as F  # noqa: E402
 from test_copies import brute_components, lower  # noqa: E402
 
 from factorlake.llm import bpe, mixing  # noqa: E402
@@ -40,3 +43,17 @@ def test_stages_keep_the_columns(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").limit(50)
     for name, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, SF).columns == docs.columns, name
+
+
+def test_mix_tells_rows_of_one_identifier_apart(spark):
+    """Null identifiers of equal size: a row not taken does not come in with its twin, ties share theirs."""
+    pairs = [(None, f"w{k} " * 10, "a") for k in range(20)] + [(7, "same text", "a")] * 3
+    pairs += [(k, "other words here", "b") for k in range(60, 64)]
+    docs = table_of(spark, [(i, t) for i, t, s in pairs if s == "a"], source="a").unionByName(
+        table_of(spark, [(i, t) for i, t, s in pairs if s == "b"], source="b"))
+    want = Counter()
+    for r in mixing.mix(docs).collect():
+        want[r.doc_id, r.source, r.mark] += -(-r.taken // r.size)
+    assert len({want[k] for k in want if k[0] is None}) > 1
+    marked = corpus_pipeline.source_mix(spark, docs, SF).withColumn("mark", mixing.text_mark(F.col("text")))
+    assert Counter((r.doc_id, r.source, r.mark) for r in marked.collect()) == +want
