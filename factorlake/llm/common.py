@@ -28,6 +28,17 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Bytes of one Arrow batch on its way to a Python task; rows may be as long as they like.
+BATCH_BYTES = 8 * 2 ** 20
+BATCH_KEY = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """The same rows; from here on the session hands Python tasks batches bounded by bytes, not only by rows."""
+    df.sparkSession.conf.set(BATCH_KEY, str(BATCH_BYTES))
+    return df
+
+
 def ascii_lower(text: Column) -> Column:
     """A-Z in lower case and nothing else: the fast way for pure ASCII, else one by one."""
     upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"

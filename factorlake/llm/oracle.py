@@ -128,3 +128,62 @@ reach(a, b) AS (SELECT doc_id, doc_id FROM documents
 least AS (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a)
 SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id, doc_id = component_id AS kept
 FROM least LEFT JOIN sizes USING (doc_id)"""
+
+
+def _told(field: str) -> str:
+    return f"CASE WHEN {field} IS NULL THEN '-' ELSE strlen({field}::VARCHAR) || ':' || {field}::VARCHAR END"
+
+
+def _leaf(n_chars: str) -> str:
+    return f"sha256({' || '.join(_told(c) for c in ('doc_id', 'source', 'lang', n_chars, 'text'))})"
+
+
+#: CRC-32, bit by bit: the decimal identifier's bytes from the lowest bit on.
+CRC = """xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(
+  range(1, length(doc_id::VARCHAR) + 1), lambda i: list_transform(range(8),
+  lambda b: (ascii((doc_id::VARCHAR)[i]) >> b::INTEGER)::BIGINT & 1)))),
+  lambda c, b: xor(c >> 1, (xor(c, b) & 1) * 3988292384)))"""
+
+
+def _tree(name: str, start: str) -> str:
+    """Nodes of all levels from rows (tree, pos, size, h)."""
+    return f"""{name}(tree, level, pos, size, h) AS (
+  SELECT tree, 0, pos, size, h FROM {start}
+  UNION ALL
+  SELECT tree, level + 1, pos // 2, (size + 1) // 2, sha256(string_agg(h, '' ORDER BY pos))
+  FROM {name} WHERE size > 1 GROUP BY tree, level, pos // 2, size)"""
+
+
+def _walk(name: str, nodes: str, start: str) -> str:
+    """From rows (k, tree, pos, size, h, proof) up to the top of their tree."""
+    return f"""{name}(k, tree, level, pos, size, h, proof) AS (
+  SELECT k, tree, 0, pos, size, h, proof FROM {start}
+  UNION ALL
+  SELECT k, w.tree, w.level + 1, w.pos // 2, (w.size + 1) // 2,
+         sha256(CASE WHEN n.pos < w.pos THEN n.h ELSE '' END || w.h || CASE WHEN n.pos > w.pos THEN n.h ELSE '' END),
+         proof || coalesce(n.h, '')
+  FROM {name} w LEFT JOIN {nodes} n ON n.tree = w.tree AND n.level = w.level AND n.pos = xor(w.pos, 1)
+  WHERE w.size > 1)"""
+
+
+ORACLE["op11_merkle_manifest"] = f"""
+WITH RECURSIVE hashed AS (
+  SELECT doc_id, coalesce('v' || lang, 'n') AS tree, {_leaf("n_chars")} AS h,
+         CASE WHEN doc_id IS NOT NULL AND {CRC} % 7 = 0 THEN {_leaf("(n_chars + 1)")} END AS changed
+  FROM documents),
+leaves AS (SELECT *, row_number() OVER () AS k,
+             row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, h, changed NULLS FIRST) - 1 AS pos,
+             count(*) OVER (PARTITION BY tree) AS size FROM hashed),
+{_tree("nodes", "leaves")},
+trees AS (SELECT tree AS name, h FROM nodes WHERE size = 1),
+places AS (SELECT name, '' AS tree, h, row_number() OVER (ORDER BY name) - 1 AS pos, count(*) OVER () AS size FROM trees),
+{_tree("upper", "places")},
+root AS (SELECT h FROM upper WHERE size = 1),
+starts AS (SELECT k, tree, pos, size, coalesce(changed, h) AS h, '' AS proof FROM leaves),
+{_walk("within", "nodes", "starts")},
+middles AS (SELECT k, p.tree, p.pos, p.size, w.h, w.proof
+            FROM within w JOIN places p ON p.name = w.tree WHERE w.size = 1),
+{_walk("over", "upper", "middles")}
+SELECT doc_id, l.h AS leaf, t.h AS subroot, root.h AS root, sha256(o.proof) AS proof_sha256, o.h AS folded_root,
+       o.h = root.h AS verified
+FROM leaves l JOIN trees t ON t.name = l.tree JOIN over o ON o.k = l.k AND o.size = 1, root"""

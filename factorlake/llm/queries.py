@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factorlake.llm import (bpe, decision_list, exact_dedup, language_crf, license_scan, mixing,
+from factorlake.llm import (bpe, decision_list, exact_dedup, language_crf, license_scan, merkle, mixing,
                             secret_ledger, setsketch, substring_dedup, token_counts)
 from factorlake.llm.common import stored, table
 
@@ -93,3 +93,13 @@ def op10_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decision_list.judge(stats, rules).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
         "kept", "rule")
+
+
+@query
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    doc_id, source, lang, n_chars, text = (F.col(c) for c in ("doc_id", "source", "lang", "n_chars", "text"))
+    changed = merkle.tampered_leaf(doc_id, n_chars, [source, lang], text)
+    found = merkle.manifest(docs, [doc_id, source, lang, n_chars, text], lang, doc_id, changed)
+    return found.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root",
+                        (F.col("folded_root") == F.col("root")).alias("verified"))
