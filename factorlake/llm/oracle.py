@@ -108,7 +108,10 @@ SELECT doc_id, len(w)::BIGINT AS n_words, n_removed::BIGINT AS n_removed,
        sha256(array_to_string(CASE WHEN n_removed = 0 THEN w ELSE left_over END, ' ')) AS kept_sha256
 FROM kept"""
 
-ORACLE["op9_setsketch"] = f"""
+
+
+def _near(percent: int, kept: str) -> str:
+    return f"""
 WITH RECURSIVE rows AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{UPPER.lower()}'), '{WORD}') AS w
   FROM documents),
@@ -121,15 +124,19 @@ sizes AS (SELECT doc_id, count(*) AS n FROM sets GROUP BY doc_id),
 common AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c
            FROM sets x JOIN sets y ON x.s = y.s AND x.doc_id < y.doc_id GROUP BY ALL),
 links AS (SELECT a, b FROM common JOIN sizes p ON p.doc_id = a JOIN sizes q ON q.doc_id = b
-          WHERE 100 * c >= 85 * (p.n + q.n - c)),
+          WHERE 100 * c >= {percent} * (p.n + q.n - c)),
 ways AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
 reach(a, b) AS (SELECT doc_id, doc_id FROM documents
                 UNION SELECT r.a, w.b FROM reach r JOIN ways w ON r.b = w.a),
 least AS (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a)
-SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id, doc_id = component_id AS kept
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id{kept}
 FROM least LEFT JOIN sizes USING (doc_id)"""
 
 
+ORACLE["op9_setsketch"] = _near(85, ", doc_id = component_id AS kept")
+ORACLE["op13_voronoi_join"] = _near(80, "")
+
+
 def _told(field: str) -> str:
     return f"CASE WHEN {field} IS NULL THEN '-' ELSE strlen({field}::VARCHAR) || ':' || {field}::VARCHAR END"
 
@@ -187,3 +194,28 @@ middles AS (SELECT k, p.tree, p.pos, p.size, w.h, w.proof
 SELECT doc_id, l.h AS leaf, t.h AS subroot, root.h AS root, sha256(o.proof) AS proof_sha256, o.h AS folded_root,
        o.h = root.h AS verified
 FROM leaves l JOIN trees t ON t.name = l.tree JOIN over o ON o.k = l.k AND o.size = 1, root"""
+
+ORACLE["op12_collocations"] = f"""
+WITH pieces AS (
+  SELECT lang, regexp_extract_all(p, '[^\\x20\\x09]+') AS w FROM (
+    SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(
+      translate(coalesce(text, ''), '{UPPER}', '{UPPER.lower()}'), '[.,;:!?\\x0A-\\x0D]')) AS p FROM documents)),
+counts AS (
+  SELECT lang, m, phrase, count(*) AS a FROM (
+    SELECT lang, m, unnest(list_transform(range(1, len(w) - m + 2), lambda k: array_to_string(w[k:k + m - 1], ' '))) AS phrase
+    FROM pieces, (SELECT unnest([1, 2, 3, 4]) AS m)) GROUP BY ALL),
+totals AS (SELECT lang, sum(a) AS n FROM counts WHERE m = 1 GROUP BY lang),
+candidates AS (SELECT * FROM counts WHERE m > 1 AND a >= 30),
+left_over AS (
+  SELECT * FROM candidates c WHERE NOT EXISTS (
+    SELECT 1 FROM candidates x WHERE x.lang = c.lang AND x.m > c.m AND 100 * x.a >= 80 * c.a
+      AND contains(' ' || x.phrase || ' ', ' ' || c.phrase || ' '))),
+cuts AS (SELECT lang, phrase, m, a, string_split(phrase, ' ') AS w, unnest(range(1, m)) AS k FROM left_over),
+scored AS (
+  SELECT c.lang, c.phrase, c.a, k, x.a AS l, y.a AS r, (2000000::HUGEINT * c.a) // (x.a + y.a) AS score
+  FROM cuts c JOIN counts x ON x.lang = c.lang AND x.m = k AND x.phrase = array_to_string(w[:k], ' ')
+  JOIN counts y ON y.lang = c.lang AND y.m = c.m - k AND y.phrase = array_to_string(w[k + 1:], ' ')),
+best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM best)
+SELECT lang, rank, phrase, a, l, r, n::BIGINT AS n, score::BIGINT AS score
+FROM ranked JOIN totals USING (lang) WHERE rank <= 2000"""

@@ -8,8 +8,9 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factorlake.llm import (bpe, decision_list, exact_dedup, language_crf, license_scan, merkle, mixing,
-                            secret_ledger, setsketch, substring_dedup, token_counts)
+from factorlake.llm import (bpe, collocations, decision_list, exact_dedup, language_crf, license_scan, merkle, mixing,
+                            secret_ledger, setsketch, substring_dedup, token_counts,
+                            voronoi_join)
 from factorlake.llm.common import stored, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -103,3 +104,13 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = merkle.manifest(docs, [doc_id, source, lang, n_chars, text], lang, doc_id, changed)
     return found.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root",
                         (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+@query
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"), least=30, longest=4, top=2000, subsumed=80)
+
+
+@query
+def op13_voronoi_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return voronoi_join.jaccard_join(table(spark, sf_dir, "documents"), percent=80)
