@@ -11,9 +11,10 @@ from __future__ import annotations
 
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from factorlake.llm.common import stored
 from factorlake.session import scratch
 
 #: Fixed values. (?i:) covers the letters of ``assign`` that stand for themselves.
@@ -51,34 +52,35 @@ SPAN = "struct<start:int,rank:int,kind:string,end:int>"
 LEDGER = f"blob binary, kind string, version int, spans array<{SPAN}>"
 
 
-def rule_spans(text: Column, rule: Rule, rank: int) -> Column:
-    """All spans of a rule, by start, in code points, end exclusive.
+PIECE = "struct<gap:int,size:int,long:boolean>"
 
-    The pieces between matches and the matches themselves alternate, so the end of the k-th
-    match is the length of the first k of both. Matches that are too short are dropped afterwards:
-    they still hide what they cover.
-    """
+
+def rule_pieces(text: Column, rule: Rule) -> Column:
+    """All matches of a rule in order: the length of the text since the match before, that of the match, in code
+    points, and whether the match is long enough. Those too short are no spans but hide what they cover."""
     found = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0))
     gaps = F.split(text, rule.pattern, -1)
-    # One piece more than matches: the last pair has no match and adds nothing.
-    pairs = F.zip_with(found, gaps, lambda m, g: F.struct(
-        F.length(g).alias("gap"), F.length(m).alias("size"), m.alias("match")))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{SPAN}>").alias("spans"))
-
-    def step(state: Column, x: Column) -> Column:
-        begin = state["at"] + x["gap"]
-        end = begin + x["size"]
-        body = F.regexp_replace(x["match"], rule.head, "") if rule.head else x["match"]
-        span = F.struct(begin.alias("start"), F.lit(rank).alias("rank"), F.lit(rule.kind).alias("kind"),
-                        end.alias("end"))
-        spans = F.when(F.length(body) >= rule.least, F.array_append(state["spans"], span)).otherwise(
-            state["spans"])
-        return F.struct(end.alias("at"), spans.alias("spans"))
-
-    walked = F.aggregate(pairs, start, step, lambda s: s["spans"])
+
+    def piece(m: Column, g: Column) -> Column:
+        body = F.regexp_replace(m, rule.head, "") if rule.head else m
+        return F.struct(F.length(g).alias("gap"), F.length(m).alias("size"), (F.length(body) >= rule.least).alias("long"))
+
+    # One piece of text more than matches: the last has no match.
+    pieces = F.filter(F.zip_with(found, gaps, piece), lambda p: p["size"].isNotNull())
     # Most texts have none of a kind: one test instead of the walk.
-    return F.when(F.rlike(text, F.lit(rule.sign)), walked).otherwise(
-        F.array().cast(f"array<{SPAN}>"))
+    return F.when(F.rlike(text, F.lit(rule.sign)), pieces).otherwise(F.array().cast(f"array<{PIECE}>"))
+
+
+def spans_of_pieces(pieces: DataFrame) -> DataFrame:
+    """(blob, kind, version, spans) from rows (blob, rank, kind, version, pieces): a match ends where all pieces
+    up to it end, which is a running sum over the rows of one blob and rule."""
+    key = ["blob", "rank", "kind", "version"]
+    rows = pieces.where(F.size("pieces") > 0).select(*key, F.posexplode("pieces").alias("at", "p"))
+    until = Window.partitionBy("blob", "rank").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    ends = rows.select(*key, "p.*", F.sum(F.col("p.gap") + F.col("p.size")).over(until).cast("int").alias("end"))
+    span = F.struct((F.col("end") - F.col("size")).alias("start"), "rank", "kind", "end")
+    listed = F.sort_array(F.collect_list(F.when(F.col("long"), span))).cast(f"array<{SPAN}>")
+    return ends.groupBy(*key).agg(listed.alias("spans")).select("blob", "kind", "version", "spans")
 
 
 def new_ledger(spark: SparkSession) -> str:
@@ -112,18 +114,20 @@ def scan(docs: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES, id_col:
     entries = []
     for rank, rule in enumerate(rules):
         done = F.array_contains(F.col("done"), ruled[rank])
-        spans = F.when(F.coalesce(done, F.lit(False)), F.lit(None)).otherwise(
-            rule_spans(F.col("text"), rule, rank))
+        pieces = F.when(F.coalesce(done, F.lit(False)), F.lit(None)).otherwise(rule_pieces(F.col("text"), rule))
         entries.append(F.struct(F.lit(rule.kind).alias("kind"), F.lit(rule.version).alias("version"),
-                                spans.alias("spans")))
-    fresh = (wanted.select("blob", F.explode(F.array(*entries)).alias("e"))
-             .select("blob", "e.*").where("spans is not null"))
-    fresh.write.mode("append").parquet(ledger)
-
-    found = (spark.read.schema(LEDGER).parquet(ledger)
-             .where((F.struct("kind", "version").isin(*ruled)) & (F.size("spans") > 0))
-             .groupBy("blob").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("spans"))))
-                                  .alias("spans"))
+                                F.lit(rank).alias("rank"), pieces.alias("pieces")))
+    searched = stored(wanted.select("blob", F.explode(F.array(*entries)).alias("e"))
+                      .select("blob", "e.*").where("pieces is not null"), "pieces")
+    none = searched.where(F.size("pieces") == 0).select(
+        "blob", "kind", "version", F.array().cast(f"array<{SPAN}>").alias("spans"))
+    spans_of_pieces(searched).unionByName(none).write.mode("append").parquet(ledger)
+
+    # A pair that a broken run left twice is one row.
+    entries = (spark.read.schema(LEDGER).parquet(ledger)
+               .where((F.struct("kind", "version").isin(*ruled)) & (F.size("spans") > 0))
+               .groupBy("blob", "kind", "version").agg(F.first("spans").alias("spans")))
+    found = (entries.groupBy("blob").agg(F.sort_array(F.flatten(F.collect_list("spans"))).alias("spans"))
              .withColumnRenamed("blob", "hit"))
     joined = paths.join(found, F.col("blob") == F.col("hit"), "left")
     return joined.select("doc_id", F.lower(F.hex("blob")).alias("blob"),

@@ -11,9 +11,9 @@ registers serve as buckets. Documents of equal sets are one class from the start
    of their registers and set sizes, and are then verified on the full sets.
 3. Components are built from the verified links.
 4. Buckets that still hold several components are compared between components. Small ones
-   give pairs, which go the same way. Large ones are cut into blocks; a task that holds two
-   blocks counts common shingles of all their classes at once and emits only links that
-   connect two components, fewer than it has rows.
+   give pairs, which go the same way. Large ones are cut into blocks, in which the bucket's largest
+   component meets only the others; a task that holds two blocks counts common shingles of all
+   their classes at once and emits only links that connect components, fewer than it has rows.
 
 So a bucket that holds a third of all rows emits its size, not its square, and no link between
 different components is left out.
@@ -30,7 +30,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factorlake.llm.common import plain, stored
+from factorlake.llm.blocks import block_links, crossed, few_pairs, sizes_allow
+from factorlake.llm.common import plain, small_batches, stored
 from factorlake.llm.components import components
 from factorlake.llm.words import MIX, WordHash, lower_words, mixed, shingles
 from factorlake.session import durable
@@ -43,12 +44,6 @@ TOP = 2 ** 12 - 1
 CHUNK = 500_000
 #: Log-likelihood that a pair may lack at the threshold: 4.5 standard deviations.
 SLACK = 10.0
-#: Rows of a bucket that is joined with itself; classes of a larger one that one task compares with
-#: as many others; shingles that it holds and counts in one go.
-SMALL = 32
-BLOCK = 1_000
-VALUES = 1_000_000
-SLICE = 4_096
 
 SEEDS = mixed(np.arange(1, REGISTERS + 1, dtype=np.uint64) * MIX[0])
 
@@ -91,8 +86,8 @@ def sketches(docs: DataFrame, k: int = 5, id_col: str = "doc_id", text_col: str
                     registers.extend(row.tobytes() for row in filled)
                 waiting.clear()
 
-            for text in batch.column(1).to_pylist():
-                found = shingles(hashes.of(lower_words(text)), k)
+            for text in batch.column(1):
+                found = shingles(hashes.of(lower_words(text.as_py())), k)
                 sizes.append(len(found))
                 digests.append(hashlib.sha256(found.tobytes()).digest()[:16] if len(found) else None)
                 if len(found):
@@ -110,7 +105,7 @@ def sketches(docs: DataFrame, k: int = 5, id_col: str = "doc_id", text_col: str
                 names=["doc_id", "mark", "n_shingles", "set", "registers"])
 
     docs = plain(docs, id_col, text_col)
-    return docs.select("doc_id", "text", F.xxhash64("text").alias("mark")).mapInArrow(run, SKETCH)
+    return small_batches(docs.select("doc_id", "text", F.xxhash64("text").alias("mark"))).mapInArrow(run, SKETCH)
 
 
 def likely(left: np.ndarray, right: np.ndarray, n_left: np.ndarray, n_right: np.ndarray,
@@ -146,11 +141,6 @@ def likely(left: np.ndarray, right: np.ndarray, n_left: np.ndarray, n_right: np.
     return best_over >= best - SLACK
 
 
-def sizes_allow(least: Column, greatest: Column, percent: int) -> Column:
-    """Can sets of these sizes reach the threshold? They do at best where one holds the other."""
-    return 100 * least >= percent * greatest
-
-
 def _matrix(registers: pd.Series) -> np.ndarray:
     return np.frombuffer(b"".join(registers), np.uint16).reshape(-1, REGISTERS)
 
@@ -172,18 +162,19 @@ def _plausible(pairs: DataFrame, percent: int) -> DataFrame:
 def _full_sets(classes: DataFrame, wanted: DataFrame, docs: DataFrame, k: int) -> DataFrame:
     """set, n, registers, shingles (sorted, 8 bytes each) of the wanted classes.
 
-    A class is read from the document that stands for it. Rows that repeat this identifier with
-    another text are told apart by the digest of their set.
+    A class is read from the row that stands for it, named by identifier and hash of the text, so that rows
+    of one identifier, or of none, meet only their own class.
     """
-    texts = docs.join(wanted.join(classes.select("set", "rep"), "set"),
-                      F.col("doc_id").eqNullSafe(F.col("rep"))).select("set", "text")
+    asked = wanted.join(classes.select("set", "rep"), "set")
+    texts = docs.withColumn("mark", F.xxhash64("text")).join(
+        asked, F.col("doc_id").eqNullSafe(F.col("rep.doc_id")) & (F.col("mark") == F.col("rep.mark"))).select("set", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHash()
         for batch in batches:
             sets, shingled = [], []
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                raw = shingles(hashes.of(lower_words(text)), k).tobytes()
+            for key, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                raw = shingles(hashes.of(lower_words(text.as_py())), k).tobytes()
                 if hashlib.sha256(raw).digest()[:16] == key:
                     sets.append(key)
                     shingled.append(raw)
@@ -191,7 +182,7 @@ def _full_sets(classes: DataFrame, wanted: DataFrame, docs: DataFrame, k: int) -
                                              names=["set", "shingles"])
 
     # Rows listed twice give one set.
-    found = texts.mapInArrow(run, "set binary, shingles binary").dropDuplicates(["set"])
+    found = small_batches(texts).mapInArrow(run, "set binary, shingles binary").dropDuplicates(["set"])
     return found.join(classes.select("set", "n", "registers"), "set")
 
 
@@ -202,10 +193,9 @@ def _verified(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b, set_a, set_b = (batch.column(i).to_pylist() for i in range(4))
             links = []
-            for x, y, s, t in zip(a, b, set_a, set_b):
-                union = np.concatenate([np.frombuffer(s, np.uint64), np.frombuffer(t, np.uint64)])
+            for x, y, s, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3)):
+                union = np.concatenate([np.frombuffer(v.as_buffer(), np.uint64) for v in (s, t)])
                 union.sort()
                 common = int((union[1:] == union[:-1]).sum())
                 if 100 * common >= percent * (len(union) - common):
@@ -214,43 +204,7 @@ def _verified(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
                 [pa.array([x for x, _ in links], pa.binary()), pa.array([y for _, y in links], pa.binary())],
                 names=["a", "b"])
 
-    return pairs.select("a", "b", "set_a", "set_b").mapInArrow(run, "a binary, b binary")
-
-
-def common_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
-    """How many values each set of the left has in common with each of the right.
-
-    Values are dealt into as many parts as keep one part small, however long the sets are.
-    """
-    parts = -(-(sum(map(len, left)) + sum(map(len, right))) // VALUES) or 1
-    out = np.zeros((len(left), len(right)), np.float32)
-    for part in range(parts):
-        out += _common([x[x % np.uint64(parts) == part] for x in left],
-                       [x[x % np.uint64(parts) == part] for x in right])
-    return out
-
-
-def _common(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
-    sizes_l, sizes_r = [len(x) for x in left], [len(x) for x in right]
-    values, column = np.unique(np.concatenate([*left, *right]), return_inverse=True)
-    row_l, row_r = np.repeat(np.arange(len(left)), sizes_l), np.repeat(np.arange(len(right)), sizes_r)
-    column_l, column_r = column[:len(row_l)], column[len(row_l):]
-    out = np.zeros((len(left), len(right)), np.float32)
-    # Values on one side only are in no intersection; the others go through in slices.
-    shared = np.flatnonzero((np.bincount(column_l, minlength=len(values)) > 0)
-                            & (np.bincount(column_r, minlength=len(values)) > 0))
-    place = np.full(len(values), -1)
-    place[shared] = np.arange(len(shared))
-    at_l, at_r = place[column_l], place[column_r]
-    for begin in range(0, len(shared), SLICE):
-        parts = []
-        for rows, at, n in ((row_l, at_l, len(left)), (row_r, at_r, len(right))):
-            inside = (at >= begin) & (at < begin + SLICE)
-            part = np.zeros((n, min(SLICE, len(shared) - begin)), np.float32)
-            part[rows[inside], at[inside] - begin] = 1
-            parts.append(part)
-        out += parts[0] @ parts[1].T
-    return out
+    return small_batches(pairs.select("a", "b", "set_a", "set_b")).mapInArrow(run, "a binary, b binary")
 
 
 def _buckets(classes: DataFrame) -> DataFrame:
@@ -269,64 +223,11 @@ def _with_registers(pairs: DataFrame, classes: DataFrame) -> DataFrame:
 
 def _across(shared: DataFrame, full: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
     """Links between different components that share a bucket; enough of them to join these."""
-    rooted = (shared.join(roots.withColumnRenamed("node", "set"), "set", "left")
-              .select("bucket", "set", F.coalesce("root", "set").alias("root")))
-    mixed_up = (rooted.groupBy("bucket").agg(F.min("root").alias("first"), F.max("root").alias("last"),
-                                             F.count("*").alias("rows"))
-                .where("first <> last").select("bucket", "rows"))
-    rows = durable(rooted.join(mixed_up, "bucket").join(full.select("set", "n"), "set"))
-
-    few = rows.where(F.col("rows") <= SMALL)
-    left = few.select("bucket", F.col("set").alias("a"), F.col("root").alias("root_a"), F.col("n").alias("n_a"))
-    right = few.select("bucket", F.col("set").alias("b"), F.col("root").alias("root_b"), F.col("n").alias("n_b"))
-    near = sizes_allow(F.least("n_a", "n_b"), F.greatest("n_a", "n_b"), percent)
-    pairs = left.join(right, "bucket").where((F.col("a") > F.col("b")) & (F.col("root_a") != F.col("root_b"))
-                                             & near).select("a", "b").distinct()
-    links = _verified(_plausible(_with_registers(pairs, full), percent), full, percent)
-
-    # Block i meets every block j from i on: a row goes to each pair of blocks that has its own.
-    many = rows.where(F.col("rows") > SMALL)
-    blocks = F.ceil(F.col("rows") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("set"), F.col("blocks")).cast("int")
-    many = many.withColumn("blocks", blocks).withColumn("own", own).withColumn(
-        "other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    many = many.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")}).join(
-        full.select("set", "shingles"), "set")
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        own, names = group.own.to_numpy(), group["set"].to_numpy()
-        sets = [np.frombuffer(x, np.uint64) for x in group.shingles]
-        n = np.array([len(x) for x in sets])
-        _, root = np.unique(group.root.to_numpy(), return_inverse=True)
-        x, y = np.flatnonzero(own == group.i.iloc[0]), np.flatnonzero(own == group.j.iloc[0])
-        if not len(x) or not len(y):
-            return pd.DataFrame({"a": [], "b": []})
-        common = common_counts([sets[k] for k in x], [sets[k] for k in y])
-        union = n[x][:, None] + n[y][None] - common
-        linked = (100 * common >= percent * union) & (root[x][:, None] != root[y][None])
-        # One link for each pair of components is enough, and of these those that still connect.
-        p, q = np.nonzero(linked)
-        ends = np.sort(np.stack([root[x[p]], root[y[q]]], 1), 1)
-        _, chosen = np.unique(ends, axis=0, return_index=True)
-        parent = list(range(int(root.max()) + 1))
-
-        def find(r: int) -> int:
-            while parent[r] != r:
-                parent[r] = parent[parent[r]]
-                r = parent[r]
-            return r
-
-        out = []
-        for c in chosen.tolist():
-            r, s = find(int(ends[c, 0])), find(int(ends[c, 1]))
-            if r != s:
-                parent[max(r, s)] = min(r, s)
-                out.append((names[x[p[c]]], names[y[q[c]]]))
-        return pd.DataFrame({"a": [u for u, _ in out], "b": [v for _, v in out]})
-
-    found = many.select("bucket", "i", "j", "own", "set", "root", "shingles").groupBy(
-        "bucket", "i", "j").applyInPandas(run, "a binary, b binary")
-    return links.unionByName(found)
+    rooted = shared.join(roots.withColumnRenamed("node", "set"), "set", "left").join(full.select("set", "n"), "set")
+    rows = durable(crossed(rooted.select(F.col("bucket").alias("cell"), F.col("set").alias("id"),
+                                         F.coalesce("root", "set").alias("root"), "n")))
+    links = _verified(_plausible(_with_registers(few_pairs(rows, percent), full), percent), full, percent)
+    return links.unionByName(block_links(rows, full.withColumnRenamed("set", "id"), percent))
 
 
 def near_duplicates(docs: DataFrame, percent: int = 80, k: int = 5, id_col: str = "doc_id",
@@ -346,8 +247,8 @@ def _grouped(docs: DataFrame, percent: int, k: int) -> DataFrame:
     """``near_duplicates`` with the hash of each row's text."""
     rows = stored(sketches(docs, k), "sketches")
     classes = stored(rows.where("set is not null").groupBy("set").agg(
-        F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"),
-        F.first("registers").alias("registers")), "classes")
+        F.min(F.struct("doc_id", "mark")).alias("rep"), F.min("doc_id").alias("least"),
+        F.first("n_shingles").alias("n"), F.first("registers").alias("registers")), "classes")
     buckets = _buckets(classes)
     # Buckets of one class say nothing and are left behind.
     first = buckets.groupBy("bucket").agg(F.min("set").alias("first"), F.max("set").alias("last")).where(
@@ -365,8 +266,8 @@ def _grouped(docs: DataFrame, percent: int, k: int) -> DataFrame:
     final = roots if more.isEmpty() else durable(components(links.unionByName(more)))
 
     member = classes.join(final.withColumnRenamed("node", "set"), "set", "left").select(
-        "set", "rep", F.coalesce("root", "set").alias("root"))
-    least = member.groupBy("root").agg(F.min("rep").alias("component"))
+        "set", "least", F.coalesce("root", "set").alias("root"))
+    least = member.groupBy("root").agg(F.min("least").alias("component"))
     named = member.join(least, "root").select("set", "component")
     found = rows.join(named, "set", "left")
     component = F.when(F.col("set").isNull(), F.col("doc_id")).otherwise(F.col("component"))

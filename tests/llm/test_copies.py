@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 from data import prose, table_of
-from factorlake.llm import components, exact_dedup, setsketch, substring_dedup
+from factorlake.llm import blocks, components, exact_dedup, setsketch, substring_dedup, voronoi_join
 
 
 def lower(text):
@@ -118,8 +118,8 @@ def test_no_exact_pair_is_dropped_before_it_is_verified(spark, percent):
 
 def test_near_duplicates_in_small_blocks(spark, monkeypatch):
     """Chains whose ends are unlike, and buckets of several components, compared in blocks of 3."""
-    monkeypatch.setattr(setsketch, "SMALL", 2)
-    monkeypatch.setattr(setsketch, "BLOCK", 3)
+    monkeypatch.setattr(blocks, "FEW", 2)
+    monkeypatch.setattr(blocks, "BLOCK_ROWS", 3)
     base = prose(5, 100).split()
     pairs = []
     for i in range(30):
@@ -131,6 +131,55 @@ def test_near_duplicates_in_small_blocks(spark, monkeypatch):
     assert {r.doc_id: r.component_id for r in found} == want
 
 
+@pytest.mark.parametrize("join", [setsketch.near_duplicates, voronoi_join.jaccard_join])
+def test_many_null_identifiers(spark, join):
+    """Rows without an identifier meet only their own class: linear time, and each text its own set."""
+    pairs = [(None, f"alpha beta gamma delta epsilon zeta number {k % 7_000} tail") for k in range(20_000)]
+    docs = table_of(spark, pairs).union(table_of(spark, [(5, "one two three four five six")]))
+    found = join(docs).collect()
+    assert len(found) == 20_001
+    assert {(r.doc_id, r.component_id) for r in found} == {(None, None), (5, 5)}
+
+
+def bridges(percent):
+    """Chains, rings around centres and a common passage: what cells, boundaries and far regions are for."""
+    pick, pairs = random.Random(percent), []
+    passage = prose(77, 60)
+    for c in range(4):
+        centre = prose(500 + c, 120).split()
+        for _ in range(25):
+            words = list(centre)
+            for _ in range(pick.choice([0, 1, 2, 3, 4, 6, 8])):
+                words[pick.randrange(len(words))] = f"n{pick.randrange(50)}"
+            pairs.append((len(pairs), " ".join(words)))
+    for k in range(60):
+        pairs.append((len(pairs), f"{prose(900 + k, pick.choice([5, 12, 300]))} {passage}"))
+    return pairs
+
+
+@pytest.mark.parametrize("percent", [80, 90])
+@pytest.mark.parametrize("few,rows,rounds", [(1024, 1000, 4), (4, 3, 2), (4, 3, 1)])
+def test_voronoi_join(spark, monkeypatch, percent, few, rows, rounds):
+    for module in (blocks, voronoi_join):
+        monkeypatch.setattr(module, "FEW", few)
+    monkeypatch.setattr(blocks, "BLOCK_ROWS", rows)
+    monkeypatch.setattr(voronoi_join, "ROUNDS", rounds)
+    pairs = bridges(percent) + [(1000 + i, t) for i, t in near_table(percent, 80)] + [(2000, None), (2001, "")]
+    want, sizes = brute_components(pairs, percent)
+    found = {r.doc_id: r for r in voronoi_join.jaccard_join(table_of(spark, pairs), percent).collect()}
+    assert {i: r.component_id for i, r in found.items()} == want
+    assert {i: r.n_shingles for i, r in found.items()} == sizes
+
+
+def test_window_covers_every_overlap():
+    """Two sets at the threshold share one of their first shingles, whatever the order."""
+    for n in range(1, 200):
+        for m in range(-(-80 * n // 100), n + 1):
+            # The larger holds the smaller, at best; all that is missing stands first.
+            assert voronoi_join.window(n, 80) > n - m
+            assert voronoi_join.window(n, 80) <= n
+
+
 def test_registers_merge():
     one, two = (np.random.default_rng(k).integers(0, 2 ** 63, 500).astype(np.uint64) for k in (1, 2))
     first = np.array([0])
@@ -141,12 +190,12 @@ def test_registers_merge():
 
 @pytest.mark.parametrize("values,piece", [(4_000_000, 4_096), (50, 7)])
 def test_common_counts(monkeypatch, values, piece):
-    monkeypatch.setattr(setsketch, "VALUES", values)
-    monkeypatch.setattr(setsketch, "SLICE", piece)
+    monkeypatch.setattr(blocks, "VALUES", values)
+    monkeypatch.setattr(blocks, "SLICE", piece)
     draw = np.random.default_rng(6)
     sets = [np.unique(draw.integers(0, 60, draw.integers(1, 50))).astype(np.uint64) for _ in range(12)]
     want = [[len(np.intersect1d(x, y)) for y in sets[5:]] for x in sets[:5]]
-    assert setsketch.common_counts(sets[:5], sets[5:]).tolist() == want
+    assert blocks.common_counts(sets[:5], sets[5:]).tolist() == want
 
 
 def test_likelihood_tells_likely_pairs():

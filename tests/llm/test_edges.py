@@ -12,7 +12,7 @@ import public_tokenizers as P  # noqa: E402
 from data import EDGE, edge, empty  # noqa: E402
 
 from factorlake.llm import (bpe, decision_list, exact_dedup, language_crf, license_scan,  # noqa: E402
-                            mixing, secret_ledger, setsketch, substring_dedup, token_counts)
+                            mixing, secret_ledger, setsketch, substring_dedup, token_counts, voronoi_join)
 
 RANKS, WORDS = P.path("byte_bpe_50k.tiktoken"), P.path("word_bpe_49k.json")
 PER_ROW = {
@@ -24,6 +24,7 @@ PER_ROW = {
     "mix": mixing.mix,
     "remove_repeats": lambda d: substring_dedup.remove_repeats(d, width=20, gram=5),
     "near_duplicates": setsketch.near_duplicates,
+    "jaccard_join": voronoi_join.jaccard_join,
     "statistics": lambda d: decision_list.judge(decision_list.statistics(d), []),
 }
 #: Rows that stay of the edge table: by stage, on the table itself.

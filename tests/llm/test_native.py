@@ -139,3 +139,13 @@ def db():
 @pytest.mark.parametrize("name", sorted(ORACLE))
 def test_query_equals_sql(spark, db, name):
     assert compare(spark, db, SF, name).startswith("ok")
+
+
+def test_a_text_of_many_spans(spark):
+    """200,000 hashes in one text: a running sum, not an array that is copied for every match."""
+    n = 200_000
+    text = " ".join(f"{k:032x}" for k in range(n))
+    docs = table_of(spark, [(1, text), (2, "no secret")])
+    found = {r.doc_id: r.spans for r in secret_ledger.scan(docs, secret_ledger.new_ledger(spark)).collect()}
+    assert [(s.start, s.end) for s in found[1]] == [(33 * k, 33 * k + 32) for k in range(n)]
+    assert found[2] == []
