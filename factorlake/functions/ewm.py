@@ -24,6 +24,23 @@ FORGOTTEN = 40.0
 # Rows after which the means of the default factors no longer depend on what came before.
 MEMORY = 1024
 _SEG = "__segment"
+# Columns of a series that goes on from a stored state: is the row one kept from before, how many of these
+# rows there are, how many rows the state covers, and the value of each mean at the last of them.
+OLD, TAIL, COUNT = "__old", "__tail", "__count"
+
+
+def carry(name: str) -> str:
+    return f"__carry_{name}"
+
+
+def so_far(name: str) -> str:
+    """The mean of a row, whether or not it has the periods to be shown."""
+    return f"__y_{name}"
+
+
+def place(resumed: bool) -> Column:
+    """0-based position of a row in its whole series."""
+    return F.col(POS) - F.col(TAIL) + F.col(COUNT) if resumed else F.col(POS)
 
 
 @dataclass(frozen=True)
@@ -51,9 +68,14 @@ class Ewm:
         return math.ceil(FORGOTTEN / -math.log(self.keep))
 
 
-def add_ewms(df: DataFrame, series: Series, specs: list[Ewm]) -> DataFrame:
-    """Add the columns of ``specs``; the sources must have no null from their seed on."""
+def add_ewms(df: DataFrame, series: Series, specs: list[Ewm], resumed: bool = False) -> DataFrame:
+    """Add the columns of ``specs``; the sources must have no null from their seed on.
+
+    A ``resumed`` series starts with rows of its state: they feed no mean, whose value at the last of
+    them is carried on instead. It also gets the ``so_far`` columns, to go on from later.
+    """
     kept = df.columns
+    at = place(resumed)
     segment_rows = min(max(1, int(DIGITS / -math.log10(s.keep))) for s in specs)
     inside = F.col(POS) % segment_rows
     running = (
@@ -63,7 +85,9 @@ def add_ewms(df: DataFrame, series: Series, specs: list[Ewm]) -> DataFrame:
 
     def local(s: Ewm) -> Column:
         keep = F.lit(s.keep)
-        weight = F.when(F.col(POS) > s.seed, s.alpha).when(F.col(POS) == s.seed, 1.0)
+        weight = F.when(at > s.seed, s.alpha).when(at == s.seed, 1.0)
+        if resumed:
+            weight = F.when(~F.col(OLD), weight)
         term = F.coalesce(weight * F.col(s.source), F.lit(0.0)) * F.pow(keep, -inside)
         return F.pow(keep, inside) * F.sum(term).over(running)
 
@@ -77,10 +101,17 @@ def add_ewms(df: DataFrame, series: Series, specs: list[Ewm]) -> DataFrame:
     df = df.select("*", *[local(s).alias(f"__local_{s.name}") for s in specs])
     df = df.select("*", *[closing(s, b).alias(f"__close{b}_{s.name}") for s in specs for b in backs[s.name]])
 
-    def total(s: Ewm) -> Column:
+    def value(s: Ewm) -> Column:
         carried = sum(F.col(f"__close{b}_{s.name}") * F.lit(s.keep ** (segment_rows * (b - 1)))
                       for b in backs[s.name])
         y = F.col(f"__local_{s.name}") + carried * F.pow(F.lit(s.keep), inside + 1)
-        return F.when(F.col(POS) >= s.seed + s.min_periods - 1, y)
+        if not resumed:
+            return y
+        since = F.pow(F.lit(s.keep), F.greatest(at - F.col(COUNT) + 1, F.lit(0)))
+        return F.when(at >= s.seed, y + F.coalesce(F.col(carry(s.name)), F.lit(0.0)) * since)
+
+    def shown(s: Ewm) -> Column:
+        return F.when(at >= s.seed + s.min_periods - 1, F.col(so_far(s.name))).alias(s.name)
 
-    return df.select(*kept, *[total(s).alias(s.name) for s in specs])
+    df = df.select(*kept, *[value(s).alias(so_far(s.name)) for s in specs])
+    return df.select(*kept, *[shown(s) for s in specs], *[so_far(s.name) for s in specs if resumed])

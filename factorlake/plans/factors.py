@@ -124,8 +124,9 @@ def select_factors(names: list[str] | None) -> list[Factor]:
     return [REGISTRY[n] for n in names or DEFAULT_NAMES]
 
 
-def _needed(factors: list[Factor]) -> list:
-    wanted, queue = set(), [n for f in factors for n in f.needs]
+def needed_features(factors: list[Factor], also: tuple[str, ...] = ()) -> list:
+    """The features of ``factors`` and those named in ``also``, each after what it needs."""
+    wanted, queue = set(), [n for f in factors for n in f.needs] + list(also)
     while queue:
         name = queue.pop()
         if name not in wanted:
@@ -139,11 +140,11 @@ def _needed(factors: list[Factor]) -> list:
 _BY_NAME["close"] = Derived("close", (), lambda: F.col("close"))
 
 
-def add_features(df: DataFrame, series: Series, features: list) -> DataFrame:
+def add_features(df: DataFrame, series: Series, features: list, resumed: bool = False) -> DataFrame:
     for kind, run in groupby(features, key=type):
         run = list(run)
         if kind is Ewm:
-            df = add_ewms(df, series, run)
+            df = add_ewms(df, series, run, resumed)
         elif kind is LookBack:
             df = df.select("*", *[f.build(series).alias(f.name) for f in run])
         else:
@@ -158,7 +159,7 @@ def factor_columns(bars: DataFrame, names: list[str] | None = None,
     ``bound`` is an upper bound on the rows of one symbol, if known; see ``over_series``.
     """
     factors = select_factors(names)
-    features = _needed(factors)
+    features = needed_features(factors)
     ewms = sum(isinstance(f, Ewm) for f in features)
     before = max([f.rows for f in features if isinstance(f, LookBack)], default=0)
     # An EWM over an EWM (the MACD signal) needs the memory of both.

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from factorlake.operators.columns import in_range
 from factorlake.operators.joins import keep_dates, missing_dates
+from factorlake.plans.carry import carried_factors, long_factors
 from factorlake.plans.factors import compute_factors
 from factorlake.sources.lake import Lake
 from factorlake.sources.landing import ingest_order, normalize_bars
@@ -43,8 +44,10 @@ def update_factors(lake: Lake, as_of: date, lookback_days: int = LOOKBACK_DAYS,
                    grain: list[str] | None = None) -> int:
     """Compute and store the factors of recent market days that have none; returns the row count.
 
-    Values come from the whole history of each symbol, so they do not depend on when the run
-    happened; ``warmup_days`` starts that many calendar days before the first gap instead.
+    Values are those of the whole history of each symbol, so they do not depend on when the run
+    happened: the run goes on from the state of each symbol at the end of the month before the first gap
+    (see ``carry``) and reads no older bars. ``warmup_days`` starts afresh that many calendar days before the
+    first gap instead.
     ``grain=["time", "symbol"]`` looks for gaps per symbol as well. A failing run leaves an error
     status and raises.
     """
@@ -66,8 +69,10 @@ def _update_factors(lake: Lake, as_of: date, lookback_days: int, force: bool, na
     if span["lo"] is None:
         record_sync(lake, "factors", last, error_limit=FACTOR_ERRORS)
         return 0
-    since = None if warmup_days is None else span["lo"] - timedelta(days=warmup_days)
-    computed = compute_factors(lake.load_ohlcv(since, end), names)
+    if warmup_days is None:
+        computed = long_factors(carried_factors(lake, span["lo"], end, names)[0], names)
+    else:
+        computed = compute_factors(lake.load_ohlcv(span["lo"] - timedelta(days=warmup_days), end), names)
     rows = keep_dates(computed, gaps, grain)
     n = lake.upsert("daily_factors", rows)
     record_sync(lake, "factors", span["hi"], error_limit=FACTOR_ERRORS)

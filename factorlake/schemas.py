@@ -96,5 +96,31 @@ _ROLLUP_UPDATE = ("open", "high", "low", "close", "volume", "amount")
 WEEKLY = Table("weekly", _ROLLUP, ("time", "symbol"), ("ym",), _ROLLUP_UPDATE)
 MONTHLY = Table("monthly", _ROLLUP, ("time", "symbol"), ("ym",), _ROLLUP_UPDATE)
 
+# State of every factor of a symbol at the end of a month (``time`` is its first day): rows so far, rows of
+# the month and a hash of them, the last closes, and the exponentially weighted means.
+FACTOR_STATE = Table(
+    "factor_state",
+    _struct(time=_TS, symbol=_STR, n=_LONG, month_n=_LONG, month_hash=_LONG, closes=T.ArrayType(_DBL),
+            avg_gain=_DBL, avg_loss=_DBL, ema_fast=_DBL, ema_slow=_DBL, macd_signal=_DBL),
+    key=("time", "symbol"),
+    partitions=("ym",),
+    update=("n", "month_n", "month_hash", "closes", "avg_gain", "avg_loss", "ema_fast", "ema_slow", "macd_signal"),
+)
+# Bars that came after the watermark of a rollup.
+LATE_BARS = Table(
+    "late_bars",
+    _struct(view=_STR, time=_TS, symbol=_STR, **_OHLC, volume=_LONG, amount=MONEY),
+    key=("view", "time", "symbol"),
+    partitions=("view", "ym"),
+    update=_ROLLUP_UPDATE,
+)
+# The last finished micro-batch of each stream.
+BATCHES = Table(
+    "batches",
+    _struct(stream=_STR, batch=_LONG, n_rows=_LONG, last_date=T.DateType(), finished_at=_TS),
+    key=("stream",),
+    update=("batch", "n_rows", "last_date", "finished_at"),
+)
+
 TABLES = {t.name: t for t in (STOCKS, DAILY, MINUTE, INDEX_DAILY, FACTORS, SIGNALS, SYNC_STATUS,
-                              WEEKLY, MONTHLY)}
+                              WEEKLY, MONTHLY, FACTOR_STATE, LATE_BARS, BATCHES)}

@@ -155,8 +155,13 @@ class Lake:
             for head, last in tail.items()]
         return base.filter(reduce(lambda a, b: a | b, conditions))
 
-    def upsert(self, name: str, incoming: DataFrame, order: str | list[str] | None = None) -> int:
-        """Insert or update by key; returns the number of batch rows."""
+    def upsert(self, name: str, incoming: DataFrame, order: str | list[str] | None = None,
+               keep_states: bool = False) -> int:
+        """Insert or update by key; returns the number of batch rows.
+
+        New bars outdate the factor states of their months and all later ones, which are dropped, unless
+        ``keep_states`` says that the caller sees to them.
+        """
         table = TABLES[name]
         partitions = list(table.partitions)
         extra = [p for p in partitions if p not in table.columns]
@@ -169,6 +174,8 @@ class Lake:
         incoming = incoming.persist()
         try:
             n = incoming.count()
+            if n and name == "daily" and not keep_states and self.months("factor_state"):
+                self.drop_months("factor_state", incoming.agg(F.min("ym").alias("ym")).first()["ym"])
             if n:
                 self._merge_into(table, incoming, extra, order)
             return n
@@ -198,25 +205,35 @@ class Lake:
         rows = rows.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in stored])
         self._overwrite(table, self._clustered(table, rows), self.path(name))
 
-    def drop_partitions_before(self, name: str, day: Day) -> int:
-        """Retention: remove whole months that end before ``day``; returns how many."""
+    def _partitions(self, name: str) -> list[tuple[str, object]]:
+        """(month, path) of every partition."""
         table = TABLES[name]
         if "ym" not in table.partitions or not self._exists(self.path(name)):
-            return 0
+            return []
         fs_path = self.spark._jvm.org.apache.hadoop.fs.Path
-        root = fs_path(self.path(name))
-        fs = root.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        fs = fs_path(self.path(name)).getFileSystem(self.spark._jsc.hadoopConfiguration())
         levels = "/".join(f"{p}=*" for p in table.partitions)
+        paths = [s.getPath() for s in fs.globStatus(fs_path(f"{self.path(name)}/{levels}")) or []]
+        return [(next(part.split("=", 1)[1] for part in p.toString().split("/") if part.startswith("ym=")), p)
+                for p in paths]
+
+    def months(self, name: str) -> list[str]:
+        """The months that have a partition, ascending."""
+        return sorted({month for month, _ in self._partitions(name)})
+
+    def drop_months(self, name: str, first: str | None = None, before: str | None = None) -> int:
+        """Remove the partitions from month ``first`` on and before month ``before``; returns how many."""
         dropped = 0
-        for status in fs.globStatus(fs_path(f"{self.path(name)}/{levels}")) or []:
-            path = status.getPath()
-            month = next(part.split("=", 1)[1] for part in path.toString().split("/")
-                         if part.startswith("ym="))
-            if month < str(day)[:7]:
-                fs.delete(path, True)
+        for month, path in self._partitions(name):
+            if (first is None or month >= first) and (before is None or month < before):
+                path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
                 dropped += 1
         return dropped
 
+    def drop_partitions_before(self, name: str, day: Day) -> int:
+        """Retention: remove whole months that end before ``day``; returns how many."""
+        return self.drop_months(name, before=str(day)[:7])
+
     # -- catalog -------------------------------------------------------------------------
 
     def create_tables(self, database: str) -> list[str]:

@@ -1,4 +1,4 @@
-from datetime import date
+from datetime import date, datetime, timedelta
 
 import pytest
 from conftest import rows_of
@@ -125,3 +125,97 @@ def test_minutes_and_unknown_units(make_bars):
         resample_minutes(bars, "7m")
     with pytest.raises(ValueError, match="week, month"):
         resample(bars, "year")
+
+
+@pytest.mark.parametrize("unit,watermark", [("week", 7), ("month", 3)])
+def test_watermarked_rollup_closes_buckets_and_sets_late_bars_apart(spark, bars, drops, folder, unit, watermark):
+    lake, view = Lake(spark, f"{folder}/lake"), rollups.VIEWS[unit]
+
+    def run():
+        rollups.stream_closed(normalize_bars(stream(spark, drops)), lake, f"{folder}/cp", unit,
+                              timedelta(days=watermark)).awaitTermination()
+
+    run()
+    batch = resample(bars, unit)
+    got = as_double(lake.scan(view)).select(BAR)
+    # Bars run to 2024-04-09; a bucket is written once it ended more than the watermark before that.
+    end = {"week": datetime(2024, 4, 9) - timedelta(days=7 + watermark), "month": datetime(2024, 2, 20)}[unit]
+    assert rows_of(got) == rows_of(batch.filter(F.col("time") <= F.lit(end)).select(BAR))
+    assert lake.scan("late_bars").count() == 0
+    # One bar of an open bucket, one of a closed one, and one that was delivered before.
+    def land(day, high):
+        row = bars.filter((F.col("time") == day) & (F.col("symbol") == "a")).withColumn("high", F.lit(high))
+        to_vendor(row).coalesce(1).write.mode("append").parquet(drops)
+
+    land("2024-01-10", 999.0)
+    land("2024-04-08", 999.0)
+    new = bars.filter("symbol = 'a'").limit(1).withColumn("time", F.lit("2024-06-30").cast("timestamp"))
+    to_vendor(new).coalesce(1).write.mode("append").parquet(drops)
+    run()
+    late = lake.scan("late_bars").select("view", F.col("time").cast("date"), "symbol").collect()
+    assert [tuple(r) for r in late] == [(view, date(2024, 1, 10), "a")]
+    got = as_double(lake.scan(view)).select(BAR)
+    assert rows_of(got) == rows_of(batch.select(BAR))  # nothing counts twice, nothing late gets in
+
+
+def test_factor_stream_reads_two_months_of_an_on_time_batch(spark, make_bars, folder, monkeypatch):
+    """A year of bars, then a current day, then a day that is late by months; the same as a full run."""
+    bars = make_bars({s: [float(50 + (k * n) % 17) for k in range(366)] for n, s in enumerate("abc", 3)}).withColumn(
+        "pct_change", F.lit(0.5))
+    names = ["price_to_ma20", "ma_cross", "rsi14", "macd_norm", "limit_up"]
+    late = (F.col("time") == "2024-05-17") & (F.col("symbol") == "b")
+    last = F.col("time") >= "2024-12-30"
+    lake, scans = Lake(spark, f"{folder}/lake"), []
+    scan = lake.scan
+
+    def counted(name, *args, **kw):
+        df = scan(name, *args, **kw)
+        if name == "daily":
+            scans.append({r[0].split("ym=")[1][:7] for r in df.select(F.input_file_name()).distinct().collect()})
+        return df
+
+    monkeypatch.setattr(lake, "scan", counted)
+    for part in (~late & ~last, last & (F.col("time") < "2024-12-31"), F.col("time") == "2024-12-31", late):
+        to_vendor(bars.filter(part)).coalesce(1).write.mode("append").parquet(f"{folder}/landing")
+        scans.clear()
+        source = normalize_bars(stream(spark, f"{folder}/landing"))
+        ingest.stream_factors(source, lake, f"{folder}/cp", names).awaitTermination()
+    assert rows_of(lake.scan("daily_factors")) == rows_of(compute_factors(bars, names))
+    # One more day: only its month and the one before are read.
+    more = make_bars({"a": [60.0]}, start="2025-01-01").withColumn("pct_change", F.lit(0.5))
+    to_vendor(more).coalesce(1).write.mode("append").parquet(f"{folder}/landing")
+    ingest.stream_factors(normalize_bars(stream(spark, f"{folder}/landing")), lake, f"{folder}/cp", names).awaitTermination()
+    more = make_bars({"a": [61.0]}, start="2025-01-02").withColumn("pct_change", F.lit(0.5))
+    to_vendor(more).coalesce(1).write.mode("append").parquet(f"{folder}/landing")
+    scans.clear()
+    ingest.stream_factors(normalize_bars(stream(spark, f"{folder}/landing")), lake, f"{folder}/cp", names).awaitTermination()
+    on_time = set().union(*scans)
+    assert on_time == {"2024-12", "2025-01"}
+    whole = as_double(lake.scan("daily")).select("time", "symbol", "open", "high", "low", "close", "volume")
+    assert rows_of(lake.scan("daily_factors")) == rows_of(compute_factors(whole, names))
+
+
+def test_a_batch_that_is_run_again_changes_nothing(spark, bars, drops, folder, monkeypatch):
+    """A crash after the ledger was written and before the stream's own commit."""
+    from factorlake.streaming.ledger import Ledger
+    lake = Lake(spark, f"{folder}/lake")
+    ingest.stream_bars(stream(spark, drops), lake, f"{folder}/cp").awaitTermination()
+    ledger = Ledger(lake, f"{folder}/cp", "daily")
+    before = ledger.finished()
+    assert (before["batch"], before["last_date"]) == (3, date(2024, 4, 9))
+    status = rows_of(lake.scan("sync_status"))
+    newer = bars.filter("symbol = 'a'").withColumn("close", F.lit(1.0))
+    lake.upsert("daily", newer)
+    stored = rows_of(lake.scan("daily"))
+    ledger.once(lambda rows, _: lake.upsert("daily", rows), bars, 3)
+    assert rows_of(lake.scan("daily")) == stored
+    assert rows_of(lake.scan("sync_status")) == status
+    assert ledger.finished() == before
+    # A crash between the tables and the ledger: the batch is upserted again by key, and counted once.
+    monkeypatch.setattr(Ledger, "_note", lambda *a: (_ for _ in ()).throw(RuntimeError("crash")))
+    with pytest.raises(RuntimeError):
+        ledger.once(lambda rows, _: lake.upsert("daily", rows), newer, 4)
+    monkeypatch.undo()
+    ledger.once(lambda rows, _: lake.upsert("daily", rows), newer, 4)
+    assert rows_of(lake.scan("daily")) == stored
+    assert ledger.finished()["n_rows"] == newer.count()
