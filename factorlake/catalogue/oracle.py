@@ -243,15 +243,19 @@ CTES = {
     "new_bars": f"""
         SELECT time, symbol, open, high, low, close, volume + 1 AS volume, amount, pct_change
         FROM bars WHERE day(time) % 3 = 0""",
+    "bar_versions": """
+        SELECT *, 0 AS version FROM base_bars UNION ALL BY NAME SELECT *, 1 AS version FROM new_bars""",
     "stored_bars": """
-        SELECT coalesce(n.time, o.time) AS time, coalesce(n.symbol, o.symbol) AS symbol,
-               coalesce(n.open, o.open) AS open, coalesce(n.high, o.high) AS high,
-               coalesce(n.low, o.low) AS low, coalesce(n.close, o.close) AS close,
-               coalesce(n.volume, o.volume) AS volume, coalesce(n.amount, o.amount) AS amount,
-               CASE WHEN n.time IS NULL THEN o.pct_change ELSE n.pct_change END AS pct_change,
-               o.adj_factor, coalesce(o.is_st, false) AS is_st,
-               coalesce(o.is_suspended, false) AS is_suspended
-        FROM base_bars o FULL OUTER JOIN new_bars n ON n.time = o.time AND n.symbol = o.symbol""",
+        SELECT time, symbol, arg_max(open, version) AS open, arg_max(high, version) AS high, arg_max(low, version) AS low,
+               arg_max(close, version) AS close, arg_max(volume, version) AS volume, arg_max(amount, version) AS amount,
+               CASE WHEN max(version) = 0 THEN max(pct_change) ELSE max(pct_change) FILTER (version = 1) END AS pct_change,
+               max(adj_factor) AS adj_factor, coalesce(bool_or(is_st), false) AS is_st,
+               coalesce(bool_or(is_suspended), false) AS is_suspended
+        FROM bar_versions GROUP BY time, symbol""",
+    "in_time": """
+        SELECT * FROM raw WHERE day(time) % 10 <> 7
+          OR time > (SELECT max(time) FROM raw WHERE day(time) % 10 <> 7) - INTERVAL 7 DAY""",
+    "in_time_weeks": f"SELECT date_trunc('week', time) AS bucket, symbol, {_ROLL} FROM in_time GROUP BY 1, 2",
 }
 
 
@@ -642,6 +646,13 @@ ORACLE = {
         WHERE time >= date_trunc('week', DATE '1999-06-30' - INTERVAL 400 DAY)
           AND time < date_trunc('week', DATE '1999-06-28') + INTERVAL 7 DAY GROUP BY date_trunc('week', raw.time), symbol"""),
     "weekly_stream": _shown(_OHLCV, _ROLLED + "weekly_bars"),
+    "weekly_closed_stream": _shown(_OHLCV, _ROLLED + """in_time_weeks
+        WHERE bucket + INTERVAL 7 DAY <= (SELECT max(time) FROM in_time) - INTERVAL 7 DAY"""),
+    "late_bars_stream": _shown("view:s " + _OHLCV, """
+        SELECT 'weekly' AS view, * FROM raw WHERE day(time) % 10 = 7
+          AND time <= (SELECT max(time) FROM raw WHERE day(time) % 10 <> 7) - INTERVAL 7 DAY"""),
+    "missing_factors": _shown("factor_name:s",
+        "SELECT unnest(['ma60', 'turnover']) AS factor_name FROM (SELECT count(*) FROM raw)"),
     "bar_stream": _shown(_OHLCV, "SELECT * FROM raw"),
     "monthly_stream": _shown(_OHLCV, _ROLLED + "monthly_bars"),
     "factor_stream": _shown(_LONG, _unpivot(["price_to_ma20", "ma_cross", "limit_up"], "sma_factors")),

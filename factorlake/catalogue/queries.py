@@ -369,12 +369,12 @@ def instrument_lines(i: Inputs) -> DataFrame:
 
 @query
 def dense_panel(i: Inputs) -> DataFrame:
-    return export.dense_panel(export.scan_export(i.bars))
+    return export.dense_panel(export.scan_export(i.bars), bound=i.rows)
 
 
 @query
 def dense_arrays(i: Inputs) -> DataFrame:
-    arrays = export.dense_panel(export.scan_export(i.bars), as_arrays=True)
+    arrays = export.dense_panel(export.scan_export(i.bars), as_arrays=True, bound=i.rows)
     def total(c):
         return F.aggregate(c, F.lit(0.0), lambda a, x: a + F.coalesce(x.cast("double"), F.lit(0.0)))
     return arrays.select("instrument", F.size("close").alias("n_days"),
@@ -482,6 +482,11 @@ def factors_wide(i: Inputs) -> DataFrame:
     return reshape.to_wide(i.long(), fac.DEFAULT_NAMES)
 
 
+@query
+def missing_factors(i: Inputs) -> DataFrame:
+    return reshape.missing_factors(i.long(), [*fac.DEFAULT_NAMES, "ma60", "turnover"])
+
+
 @query
 def custom_factor(i: Inputs) -> DataFrame:
     amplitude = fac.PandasFactor(
@@ -987,3 +992,24 @@ def factor_stream(i: Inputs) -> DataFrame:
     _finish(ingest.stream_factors(bars, lake, f"{lake.root}/checkpoint",
                                   ["price_to_ma20", "ma_cross", "limit_up"]))
     return lake.scan("daily_factors")
+
+
+def _closed_weeks(i: Inputs) -> Lake:
+    """Weekly bars with a watermark of 7 days, from two drops: the second brings every tenth day."""
+    lake = i.lake()
+    landed, tenth = f"{lake.root}/landing", F.dayofmonth("time") % 10 == 7
+    for part in (~tenth, tenth):
+        landing.to_vendor(i.bars.filter(part)).write.mode("append").parquet(landed)
+        rows = landing.normalize_bars(ingest.read_landing(i.spark, landed))
+        _finish(rollups.stream_weekly(rows, lake, f"{lake.root}/checkpoint", watermark=timedelta(days=7)))
+    return lake
+
+
+@query
+def weekly_closed_stream(i: Inputs) -> DataFrame:
+    return as_double(_closed_weeks(i).scan("weekly"))
+
+
+@query
+def late_bars_stream(i: Inputs) -> DataFrame:
+    return as_double(_closed_weeks(i).scan("late_bars"))

@@ -18,6 +18,12 @@ def require(available, names: list[str]) -> None:
         raise ValueError(f"missing {', '.join(missing)}; available: {', '.join(have)}")
 
 
+def missing_factors(long: DataFrame, names: list[str]) -> DataFrame:
+    """factor_name: those of ``names`` without a row in a long table. Names found combine before the shuffle."""
+    wanted = long.sparkSession.createDataFrame([(n,) for n in dict.fromkeys(names)], "factor_name string")
+    return wanted.join(long.select("factor_name").distinct(), "factor_name", "left_anti")
+
+
 def to_long(wide: DataFrame, factors: list[str]) -> DataFrame:
     """One row per (time, symbol, factor) that has a value: a single expand, no shuffle."""
     long = wide.unpivot(ID, factors, "factor_name", "factor_value")

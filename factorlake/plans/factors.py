@@ -8,11 +8,12 @@ symbol once however many factors are asked for.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from decimal import Decimal
 from itertools import groupby
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -20,7 +21,7 @@ from pyspark.sql import types as T
 
 from factorlake.functions.ewm import MEMORY, Ewm, add_ewms
 from factorlake.functions.missing import clean
-from factorlake.operators.groups import row_limit
+from factorlake.operators.groups import oversized
 from factorlake.operators.ordered import BLOCK, POS, Series, over_series
 from factorlake.operators.reshape import ID, to_long
 
@@ -29,8 +30,8 @@ SHORT_MA, LONG_MA, RSI_N = 20, 60, 14
 MACD_FAST, MACD_SLOW, MACD_SIGN = 12, 26, 9
 LIMIT_RATIO = Decimal("1.1")
 
-# Most rows of one symbol that are handed to pandas at once.
-PANDAS_ROWS = 1_000_000
+# Rows of one symbol that are handed to pandas at once.
+BLOCK_ROWS = 4_096
 
 
 @dataclass(frozen=True)
@@ -191,11 +192,12 @@ def compute_factors(bars: DataFrame, names: list[str] | None = None,
 
 @dataclass(frozen=True)
 class PandasFactor:
-    """A factor that only pandas can express: ``fn`` maps the bars of one symbol to a series.
+    """A factor that only pandas can express: ``fn`` maps consecutive bars of one symbol to a series.
 
-    ``lookback`` is the number of earlier rows a value depends on. Groups above ``PANDAS_ROWS``
-    (or the row limit, if lower) are handed over in blocks that carry that many earlier rows, so that no
-    task ever holds a whole large symbol.
+    ``lookback`` is the number of earlier rows a value depends on. ``fn`` always gets a block of ``BLOCK_ROWS`` rows,
+    counted from the symbol's first, behind that many earlier rows, whose values are not used. So a value does not
+    depend on how many rows there are or how they arrive: a task reads its symbols in order, batch by
+    batch, and hands the last rows of a block over to the next.
     """
 
     name: str
@@ -203,21 +205,62 @@ class PandasFactor:
     lookback: int
 
     def compute(self, bars: DataFrame, bound: int | None = None) -> DataFrame:
-        name, fn = self.name, self.fn
-
-        def add(df: DataFrame, series: Series) -> DataFrame:
-            schema = T.StructType([*df.schema.fields, T.StructField(name, T.DoubleType())])
-            # Only plain values go into the task: workers need not have this package.
-            order = series.order
-
-            def one(rows: pd.DataFrame) -> pd.DataFrame:
-                rows = rows.sort_values(order, ignore_index=True)
-                return rows.assign(**{name: fn(rows).astype("float64")})
-
-            return df.groupBy(*series.by).applyInPandas(one, schema)
-
-        limit = min(PANDAS_ROWS, row_limit(bars.sparkSession))
-        wide = over_series(bars, add, by=["symbol"], order="time", before=self.lookback,
-                           bound=bound, limit=limit)
-        return clean(wide.select(*ID, F.lit(name).alias("factor_name"),
-                                 F.col(name).alias("factor_value")))
+        if oversized(bars, ["symbol"], bound) is None:
+            wide = self._in_order(bars)
+        else:
+            # One symbol is too many rows for one task: its blocks are groups of their own.
+            wide = over_series(bars, self._in_blocks, by=["symbol"], order="time", before=self.lookback, bound=bound,
+                               limit=max(BLOCK_ROWS, self.lookback))
+        return clean(wide.select(*ID, F.lit(self.name).alias("factor_name"),
+                                 F.col(self.name).alias("factor_value")))
+
+    def _schema(self, df: DataFrame) -> T.StructType:
+        return T.StructType([*df.schema.fields, T.StructField(self.name, T.DoubleType())])
+
+    def _in_blocks(self, df: DataFrame, series: Series) -> DataFrame:
+        # Only plain values go into the task: workers need not have this package.
+        name, fn, order = self.name, self.fn, series.order
+
+        def one(rows: pd.DataFrame) -> pd.DataFrame:
+            rows = rows.sort_values(order, ignore_index=True)
+            return rows.assign(**{name: fn(rows).astype("float64")})
+
+        return df.groupBy(*series.by).applyInPandas(one, self._schema(df))
+
+    def _in_order(self, bars: DataFrame) -> DataFrame:
+        name, fn, lookback = self.name, self.fn, self.lookback
+        size = max(BLOCK_ROWS, lookback)
+
+        def blocks(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            """Rows of each symbol in turn: (rows handed over, rows of the block)."""
+            symbol, before, held, count = None, None, [], 0
+            for frame in frames:
+                codes = pd.factorize(frame["symbol"])[0]
+                starts = [0, *(np.flatnonzero(codes[1:] != codes[:-1]) + 1).tolist()] if len(frame) else []
+                for lo, hi in zip(starts, [*starts[1:], len(frame)]):
+                    # In a list: a missing symbol is one like any other.
+                    here = [None if codes[lo] < 0 else frame["symbol"].iloc[lo]]
+                    if here != symbol:
+                        if count:
+                            yield before, pd.concat(held, ignore_index=True)
+                        symbol, before, held, count = here, None, [], 0
+                    while lo < hi:
+                        part = frame.iloc[lo:min(hi, lo + size - count)]
+                        held.append(part)
+                        count += len(part)
+                        lo += len(part)
+                        if count == size:
+                            block = pd.concat(held, ignore_index=True)
+                            yield before, block
+                            before, held, count = block.tail(lookback), [], 0
+            if count:
+                yield before, pd.concat(held, ignore_index=True)
+
+        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for before, block in blocks(frames):
+                rows = block if before is None else pd.concat([before, block], ignore_index=True)
+                values = fn(rows).astype("float64").tail(len(block))
+                yield block.assign(**{name: values.to_numpy()})
+
+        sorted_rows = bars.repartition("symbol").sortWithinPartitions("symbol", "time")
+        return sorted_rows.mapInPandas(run, self._schema(bars))

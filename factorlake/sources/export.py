@@ -26,13 +26,13 @@ def scan_export(bars: DataFrame, symbols=None) -> DataFrame:
 
 
 def dense_panel(exported: DataFrame, fields: dict[str, str] | None = None,
-                as_arrays: bool = False) -> DataFrame:
+                as_arrays: bool = False, bound: int | None = None) -> DataFrame:
     """Every instrument on every trading day; with ``as_arrays`` one float array per field.
 
     An array has one element per trading day, in calendar order, null where there is no bar.
     """
     fields = fields or FIELDS
-    grid = align_calendar(exported, calendar(exported))
+    grid = align_calendar(exported.select("time", "symbol", *fields.values()), calendar(exported), bound)
     code = F.lower(to_prefix_code("symbol")).alias("instrument")
     panel = grid.select("time", code, *[F.col(c).cast("double").alias(n) for n, c in fields.items()])
     if not as_arrays:

@@ -17,6 +17,8 @@ from factorlake.sources.upsert import merge_table
 Day = str | date | datetime
 # Partition values of a batch that are listed on the driver.
 MAX_LISTED = 10_000
+# Symbols a Bloom filter of a row group is sized for, and rows of a page.
+SYMBOLS, PAGE_ROWS = 10_000, 4_096
 
 
 def as_double(df: DataFrame) -> DataFrame:
@@ -125,6 +127,11 @@ class Lake:
             lead = [c for c in ("symbol", "time") if c in table.columns]
             rows = rows.sortWithinPartitions(*table.partitions, *lead)
         writer = rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        if "symbol" in table.columns:
+            # Files are sorted by symbol: a scan of one symbol reads the row groups and pages that may hold it.
+            writer = writer.options(**{"parquet.bloom.filter.enabled#symbol": "true",
+                                       "parquet.bloom.filter.expected.ndv#symbol": str(SYMBOLS),
+                                       "parquet.page.row.count.limit": str(PAGE_ROWS)})
         (writer.partitionBy(*table.partitions) if table.partitions else writer).parquet(path)
 
     def _touched(self, table: Table, base: DataFrame, incoming: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from factorlake.operators.groups import LIMIT_KEY
 from factorlake.operators.reshape import duplicate_keys, to_long, to_wide
+from factorlake.plans import factors
 from factorlake.plans.factors import (
     DEFAULT_NAMES, Factor, PandasFactor, REGISTRY, compute_factors, compute_wide, register)
 
@@ -111,13 +112,27 @@ def test_plug_in_factor_shares_features(make_bars):
         REGISTRY.pop("gap60")
 
 
-def test_pandas_factor_in_blocks(make_bars, tiny_limit):
+@pytest.mark.parametrize("block,batch", [(3, 3), (7, 1_000_000), (50, 20), (4_096, 3)])
+def test_pandas_factor_hands_rows_over(spark, make_bars, monkeypatch, block, batch):
+    """The same values whatever a batch holds, in one task per symbol or in blocks of it."""
     random.seed(7)
-    bars = make_bars({"a": [100 + random.gauss(0, 3) for _ in range(130)], "b": [1.0, 2.0, 3.0]})
+    bars = make_bars({"a": [100 + random.gauss(0, 3) for _ in range(130)], "b": [1.0, 2.0, 3.0], "c": [5.0] * 9})
     seen = PandasFactor("peak5", lambda p: p["close"].rolling(5).max(), lookback=4)
-    split, plain = seen.compute(bars), seen.compute(bars, bound=1)
-    assert rows_of(split) == rows_of(plain)
-    assert split.count() == 126
+    want = rows_of(seen.compute(bars, bound=130))
+    assert len(want) == 126 + 5
+    monkeypatch.setattr(factors, "BLOCK_ROWS", block)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch))
+    try:
+        assert rows_of(seen.compute(bars, bound=130)) == want
+        # An expanding plug-in looks back further than it says: its blocks are the same in both layouts.
+        grown = PandasFactor("top", lambda p: p["close"].expanding().max(), lookback=2)
+        in_order = rows_of(grown.compute(bars, bound=130))
+        spark.conf.set(LIMIT_KEY, "40")
+        assert rows_of(grown.compute(bars)) == in_order
+        assert rows_of(seen.compute(bars)) == want
+    finally:
+        spark.conf.unset(LIMIT_KEY)
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
 def test_repeated_keys_and_missing_factors_are_errors(spark):
