@@ -16,7 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from factorlake.operators.ordered import POS, Series
+from factorlake.operators.ordered import POS, RANGE, Series, split_ranges
+from factorlake.session import durable
 
 # Decimal digits that the weights inside a segment may span, and what double precision forgets.
 DIGITS = 200.0
@@ -115,3 +116,47 @@ def add_ewms(df: DataFrame, series: Series, specs: list[Ewm], resumed: bool = Fa
 
     df = df.select(*kept, *[value(s).alias(so_far(s.name)) for s in specs])
     return df.select(*kept, *[shown(s) for s in specs], *[so_far(s.name) for s in specs if resumed])
+
+
+def range_ewms(df: DataFrame, by: list[str], order: str, specs: list[Ewm], total: int) -> DataFrame:
+    """The columns of ``specs`` for groups too large for one task, for any weight and without copied rows.
+
+    ``total`` rows are split into ranges of (group, order). What a range does to a mean is an affine map
+    y -> a*y + b: a is what is left of the mean after its rows, b the mean of its rows alone. The maps of
+    earlier ranges are composed by a parallel prefix over a table of one row per (group, range), in as many
+    steps as the number of ranges has binary digits, and give the mean that a range goes on from.
+    """
+    kept = df.columns
+    rows = split_ranges(df, by, order, total)
+    sizes = durable(rows.groupBy(*by, RANGE).agg(F.count("*").alias("__rows")))
+    earlier = Window.partitionBy(*by).orderBy(RANGE).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select(*by, RANGE, F.coalesce(F.sum("__rows").over(earlier), F.lit(0)).alias(COUNT))
+    inside = Window.partitionBy(*by, RANGE).orderBy(order)
+    placed = rows.withColumn(POS, F.row_number().over(inside).cast("long") - 1).join(offsets, [*by, RANGE]).withColumns(
+        {TAIL: F.lit(0).cast("long"), OLD: F.lit(False), **{carry(s.name): F.lit(None).cast("double") for s in specs}})
+    local = add_ewms(placed, Series((*by, RANGE), order), specs, resumed=True)
+
+    alone = [F.coalesce(F.max_by(so_far(s.name), POS), F.lit(0.0)).alias(f"__b_{s.name}") for s in specs]
+    maps = local.groupBy(*by, RANGE).agg(F.count("*").alias("__rows"), *alone).select(
+        *by, RANGE, *[f"__b_{s.name}" for s in specs],
+        *[F.pow(F.lit(s.keep), F.col("__rows")).alias(f"__a_{s.name}") for s in specs])
+    maps = durable(maps)
+    most = sizes.groupBy(*by).count().agg(F.max("count").alias("n")).first()["n"] or 1
+    across, step = Window.partitionBy(*by).orderBy(RANGE), 1
+    while step < most:
+        # The map of twice as many ranges: first that of the ranges further back, then one's own.
+        def back(c: str, none: float, step: int = step) -> Column:
+            return F.coalesce(F.lag(c, step).over(across), F.lit(none))
+
+        maps = maps.select(*by, RANGE, *[c for s in specs for c in (
+            (F.col(f"__a_{s.name}") * back(f"__a_{s.name}", 1.0)).alias(f"__a_{s.name}"),
+            (F.col(f"__b_{s.name}") + F.col(f"__a_{s.name}") * back(f"__b_{s.name}", 0.0)).alias(f"__b_{s.name}"))])
+        step *= 2
+    before = maps.select(*by, RANGE, *[F.coalesce(F.lag(f"__b_{s.name}", 1).over(across), F.lit(0.0)).alias(
+        f"__in_{s.name}") for s in specs])
+
+    def value(s: Ewm) -> Column:
+        y = F.col(so_far(s.name)) + F.col(f"__in_{s.name}") * F.pow(F.lit(s.keep), F.col(POS) + 1)
+        return F.when(place(True) >= s.seed + s.min_periods - 1, y).alias(s.name)
+
+    return local.join(before, [*by, RANGE]).select(*kept, *[value(s) for s in specs])

@@ -19,10 +19,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from factorlake.functions.ewm import MEMORY, Ewm, add_ewms
+from factorlake.functions.ewm import Ewm, add_ewms, range_ewms
 from factorlake.functions.missing import clean
 from factorlake.operators.groups import oversized
-from factorlake.operators.ordered import BLOCK, POS, Series, over_series
+from factorlake.operators.ordered import POS, Series, over_series
 from factorlake.operators.reshape import ID, to_long
 
 # Indicator windows and the daily price limit.
@@ -161,19 +161,33 @@ def factor_columns(bars: DataFrame, names: list[str] | None = None,
     """
     factors = select_factors(names)
     features = needed_features(factors)
-    ewms = sum(isinstance(f, Ewm) for f in features)
-    before = max([f.rows for f in features if isinstance(f, LookBack)], default=0)
-    # An EWM over an EWM (the MACD signal) needs the memory of both.
-    before += 2 * MEMORY if ewms else 0
     traded = bars.filter(F.col("close").isNotNull())
     kept = [c for c in bars.columns if c not in {f.name for f in factors}]
+    sizes = oversized(traded, ["symbol"], bound)
+    if sizes is not None:
+        rows = _split_features(traded, features, sizes.total)
+        return rows.select(*kept, *[f.build().alias(f.name) for f in factors])
 
     def add(df, series):
         df = add_features(df, series, features)
-        keys = [c for c in (POS, BLOCK) if c in df.columns]
-        return df.select(*kept, *keys, *[f.build().alias(f.name) for f in factors])
+        return df.select(*kept, POS, *[f.build().alias(f.name) for f in factors])
 
-    return over_series(traded, add, by=["symbol"], order="time", before=before, bound=bound)
+    return over_series(traded, add, by=["symbol"], order="time", bound=0)
+
+
+def _split_features(rows: DataFrame, features: list, total: int) -> DataFrame:
+    """The features where a symbol is too many rows for one task: look-backs in blocks that carry the few
+    rows they reach for, means by ranges."""
+    for kind, run in groupby(features, key=type):
+        run = list(run)
+        if kind is Ewm:
+            rows = range_ewms(rows, ["symbol"], "time", run, total)
+        elif kind is LookBack:
+            rows = over_series(rows, lambda df, s, run=run: df.select("*", *[f.build(s).alias(f.name) for f in run]),
+                               by=["symbol"], order="time", before=max(f.rows for f in run))
+        else:
+            rows = rows.select("*", *[f.build().alias(f.name) for f in run])
+    return rows
 
 
 def compute_wide(bars: DataFrame, names: list[str] | None = None,

@@ -181,3 +181,26 @@ def test_fast_and_slow_means_in_one_call(spark):
 def test_ewm_refuses_impossible_weights(alpha):
     with pytest.raises(ValueError):
         Ewm("y", "v", alpha)
+
+
+@pytest.mark.parametrize("alpha", [1e-4, 0.02, 1 / 14, 0.5, 1.0])
+def test_ewm_over_five_ranges_equals_pandas(spark, make_bars, alpha):
+    """Affine maps of ranges, composed: weights that never forget and weights that forget at once."""
+    import pandas as pd
+
+    from factorlake.functions.ewm import Ewm, range_ewms
+
+    series = {"a": [100 + (k * 37) % 23 + k / 9 for k in range(230)], "b": [5.0, 7.0], "c": [1.0] * 45}
+    spark.conf.set(LIMIT_KEY, "110")  # ranges of 55 rows
+    try:
+        got = range_ewms(make_bars(series), ["symbol"], "time", [Ewm("y", "close", alpha), Ewm("z", "close", alpha, 60, 3)], 277)
+        rows = got.orderBy("symbol", "time").collect()
+    finally:
+        spark.conf.unset(LIMIT_KEY)
+    for symbol, closes in series.items():
+        mine = [r for r in rows if r["symbol"] == symbol]
+        want = pd.Series(closes).ewm(alpha=alpha, adjust=False).mean()
+        assert [r["y"] for r in mine] == pytest.approx(want.tolist(), rel=1e-12)
+        late = pd.Series(closes[60:]).ewm(alpha=alpha, adjust=False).mean().tolist()
+        assert [r["z"] for r in mine[:62]] == [None] * len(mine[:62])
+        assert [r["z"] for r in mine[62:]] == pytest.approx(late[2:], rel=1e-12)
