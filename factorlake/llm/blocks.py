@@ -96,16 +96,14 @@ def few_pairs(rows: DataFrame, percent: int) -> DataFrame:
         F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
-def block_links(rows: DataFrame, full: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) of the large cells; ``full`` has the shingles of every id (sorted, 8 bytes each).
+def placed_in_blocks(rows: DataFrame) -> DataFrame:
+    """Rows (cell, of_main, i, j, first, id, root) of the large cells, once for every pair of blocks they belong to.
 
-    A pair of blocks gives only links that connect components, fewer than it has rows.
+    ``of_main``: block i is of the largest component; ``first``: the row is in block i, else in block j.
     """
-    kind = dict(rows.dtypes)["id"]
     many = rows.where(F.col("pairs") > FEW)
     mark = F.pmod(F.xxhash64("id"), F.when(F.col("main"), F.col("left")).otherwise(F.col("right"))).cast("int")
     many = many.withColumn("own", mark)
-    # (first block, second block, is the first of the largest component, do I stand first).
     against = F.sequence(F.lit(0), F.col("right") - 1)
     to_others = F.transform(against, lambda j: F.struct(F.col("own").alias("i"), j.alias("j"),
                                                         F.lit(True).alias("of_main"), F.lit(True).alias("first")))
@@ -114,15 +112,31 @@ def block_links(rows: DataFrame, full: DataFrame, percent: int) -> DataFrame:
     among = F.transform(against, lambda j: F.struct(
         F.least(F.col("own"), j).alias("i"), F.greatest(F.col("own"), j).alias("j"), F.lit(False).alias("of_main"),
         (F.col("own") <= j).alias("first")))
-    placed = many.withColumn("at", F.explode(F.when(F.col("main"), to_others).otherwise(F.concat(to_main, among))))
-    placed = placed.select("cell", "id", "root", "own", "at.*").join(full.select("id", "shingles"), "id")
+    return many.withColumn("at", F.explode(F.when(F.col("main"), to_others).otherwise(F.concat(to_main, among)))).select(
+        "cell", "id", "root", "at.*")
+
+
+def sides(group: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of the two blocks of a group; a block of others against itself is both."""
+    first = group["first"].to_numpy(bool)
+    x, y = np.flatnonzero(first), np.flatnonzero(~first)
+    if len(group) and not group.of_main.iloc[0] and group.i.iloc[0] == group.j.iloc[0]:
+        y = x
+    return x, y
+
+
+def block_links(rows: DataFrame, full: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) of the large cells; ``full`` has the shingles of every id (sorted, 8 bytes each).
+
+    A pair of blocks gives only links that connect components, fewer than it has rows.
+    """
+    kind = dict(rows.dtypes)["id"]
+    placed = placed_in_blocks(rows).join(full.select("id", "shingles"), "id")
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        first, names = group["first"].to_numpy(bool), group["id"].to_numpy()
+        names = group["id"].to_numpy()
         _, root = np.unique(group.root.to_numpy(), return_inverse=True)
-        x, y = np.flatnonzero(first), np.flatnonzero(~first)
-        if not group.of_main.iloc[0] and group.i.iloc[0] == group.j.iloc[0]:
-            y = x  # a block of the others against itself
+        x, y = sides(group)
         if not len(x) or not len(y):
             return pd.DataFrame({"a": [], "b": []})
         sets = [np.frombuffer(s, np.uint64) for s in group.shingles]

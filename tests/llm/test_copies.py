@@ -285,3 +285,20 @@ def test_index_against_brute_force():
             covered[d] |= set(range(a, b))
         for d, (_, n, _) in brute_repeats(list(enumerate(texts)), width).items():
             assert len(covered[d]) == n
+
+
+def test_profiles_are_never_farther_apart_than_their_sets():
+    """Also between sizes that are counted in different numbers of parts."""
+    r = np.random.default_rng(3)
+    sets = []
+    for size in (1, 30, 2_000, 2_048, 2_049, 2_300, 4_096, 4_200, 9_000):
+        base = np.unique(r.integers(0, 2 ** 63, size).astype(np.uint64) * np.uint64(2))
+        sets += [base, np.unique(np.concatenate([base[len(base) // 10:], r.integers(0, 2 ** 63, 1 + size // 9).astype(np.uint64) * np.uint64(2)]))]
+    pairs = [(x, y) for x in sets for y in sets]
+    apart = voronoi_join.profiles_apart([voronoi_join.profile_of(x) for x, _ in pairs],
+                                        [voronoi_join.profile_of(y) for _, y in pairs])
+    for (x, y), a in zip(pairs, apart.tolist()):
+        assert a <= len(np.setxor1d(x, y))
+        assert a == 0 if x is y else True
+    far = [a > (len(x) + len(y)) / 9 for (x, y), a in zip(pairs, apart.tolist()) if len(x) > 100 and len(np.intersect1d(x, y)) < 5]
+    assert all(far)
