@@ -15,12 +15,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def plain(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Only the identifier and the text, under fixed names: other columns cannot clash."""
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"),
-                       F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-
-
 def stored(df: DataFrame, name: str) -> DataFrame:
     """The rows as a Parquet table in the shared folder: computed once, whatever executor is lost."""
     path = scratch(df.sparkSession, f"llm-{name}")
@@ -29,7 +23,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 
 #: Bytes of one Arrow batch on its way to a Python task; rows may be as long as they like.
-BATCH_BYTES = 8 * 2 ** 20
+BATCH_BYTES = 4 * 2 ** 20
 BATCH_KEY = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
@@ -39,6 +33,13 @@ def small_batches(df: DataFrame) -> DataFrame:
     return df
 
 
+def plain(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Only the identifier and the text, under fixed names, so that other columns cannot clash; for Python tasks
+    in small batches."""
+    return small_batches(docs.select(F.col(id_col).cast("long").alias("doc_id"),
+                                     F.coalesce(F.col(text_col), F.lit("")).alias("text")))
+
+
 def ascii_lower(text: Column) -> Column:
     """A-Z in lower case and nothing else: the fast way for pure ASCII, else one by one."""
     upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"

@@ -194,8 +194,10 @@ def fit(stats: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col:
     of = measures()
     names = list(of)
     rows = (stats.join(chosen, F.col("doc_id") == F.col("id")).where(~base_failed())
-            .select(*[c.alias(n) for n, c in of.items()], "label").orderBy(*names, "label")
-            .limit(2 * sample).toPandas())
+            .select(*[c.alias(n) for n, c in of.items()], "label")
+            # Identifiers that repeat could add rows: of all values alike, not of the least.
+            .orderBy(F.xxhash64(*names, "label"), *names, "label").limit(2 * sample).toPandas()
+            .sort_values([*names, "label"], ignore_index=True))
     if rows.empty:
         return []
     return learn(rows[names].to_numpy(float), (rows["label"] == 0).to_numpy(), names)

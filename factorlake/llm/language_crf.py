@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from factorlake.llm.common import plain
+from factorlake.llm.common import plain, small_batches
 from factorlake.llm.words import MIX, mixed
 
 DOCS = 300
@@ -224,15 +224,14 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                            F.col(label_col).cast("string").alias("label")).where(
         "label is not null and text is not null")
     # The least hashes in two steps: inside parts of a label, then of what these leave. The limit
-    # holds before each shuffle too. The chosen rows are docs times labels at most, which bounds
-    # what is broadcast: an identifier and a label each.
+    # holds before each shuffle too.
     least = [F.xxhash64("doc_id"), F.col("doc_id")]
     chosen = rows.select("label", "doc_id", F.pmod(F.xxhash64(F.lit(1), "doc_id"), F.lit(64)).alias("part"))
     for by in (["label", "part"], ["label"]):
         place = F.row_number().over(Window.partitionBy(*by).orderBy(*least))
         chosen = chosen.withColumn("place", place).where(F.col("place") <= docs).drop("place")
     chosen = chosen.select(F.col("label").alias("of"), F.col("doc_id").alias("id"))
-    picked = rows.join(F.broadcast(chosen.distinct()), (F.col("label") == F.col("of"))
+    picked = rows.join(chosen.distinct(), (F.col("label") == F.col("of"))
                        & F.col("doc_id").eqNullSafe(F.col("id")), "left_semi").select("label", "text")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -245,9 +244,10 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 out.append("\n".join(" ".join(words[b:b + RUN]) for b in begins))
             yield pd.DataFrame({"label": frame.label, "runs": out})
 
-    # Repeated identifiers could add rows: the same bound holds again here.
-    sample = picked.mapInPandas(run, "label string, runs string").orderBy(
-        F.xxhash64("runs"), "label").limit(docs * 256).collect()
+    # Repeated identifiers could add rows: the same bound holds again here, for each label.
+    again = F.row_number().over(Window.partitionBy("label").orderBy(F.xxhash64("runs"), "runs"))
+    sample = picked.mapInPandas(run, "label string, runs string").withColumn("place", again).where(
+        F.col("place") <= docs).orderBy(F.xxhash64("runs"), "label").collect()
     return train([(r.label, [x.split(" ") for x in r.runs.split("\n") if x]) for r in sample])
 
 
@@ -289,6 +289,28 @@ def _batches(texts: list[str]) -> Iterator[tuple[int, int]]:
     yield begin, len(texts)
 
 
+def judged(labeller: Labeller | None, texts: list[str]) -> tuple[list[str], list[float]]:
+    """The language of each text and its mean probability."""
+    best, score = [], []
+    for begin, end in _batches(texts):
+        if labeller is None:
+            best += [UNKNOWN] * (end - begin)
+            score += [0.0] * (end - begin)
+            continue
+        chance, lengths = labeller.label([words_of(t) for t in texts[begin:end]])
+        sums = np.zeros((len(lengths), chance.shape[1]))
+        some = np.flatnonzero(lengths)
+        if len(some):
+            starts = np.cumsum(lengths[some]) - lengths[some]
+            sums[some] = np.add.reduceat(chance, starts) / lengths[some, None]
+        labels = labeller.model.labels
+        for k, n in enumerate(lengths):
+            top = int(sums[k].argmax())
+            best.append(labels[top] if n else UNKNOWN)
+            score.append(min(1.0, float(sums[k, top])) if n else 0.0)
+    return best, score
+
+
 def languages(docs: DataFrame, model: Model | None, id_col: str = "doc_id",
               text_col: str = "text") -> DataFrame:
     """doc_id, lang_pred, score of every row: the language of most of the text, by mean probability.
@@ -302,24 +324,7 @@ def languages(docs: DataFrame, model: Model | None, id_col: str = "doc_id",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         labeller = Labeller(Model(*known.value)) if known.value else None
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            best, score = [], []
-            for begin, end in _batches(texts):
-                if labeller is None:
-                    best += [UNKNOWN] * (end - begin)
-                    score += [0.0] * (end - begin)
-                    continue
-                chance, lengths = labeller.label([words_of(t) for t in texts[begin:end]])
-                sums = np.zeros((len(lengths), chance.shape[1]))
-                some = np.flatnonzero(lengths)
-                if len(some):
-                    starts = np.cumsum(lengths[some]) - lengths[some]
-                    sums[some] = np.add.reduceat(chance, starts) / lengths[some, None]
-                labels = labeller.model.labels
-                for k, n in enumerate(lengths):
-                    top = int(sums[k].argmax())
-                    best.append(labels[top] if n else UNKNOWN)
-                    score.append(min(1.0, float(sums[k, top])) if n else 0.0)
+            best, score = judged(labeller, batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(best, pa.string()), pa.array(score, pa.float64())],
                 names=["doc_id", "lang_pred", "score"])
@@ -327,6 +332,24 @@ def languages(docs: DataFrame, model: Model | None, id_col: str = "doc_id",
     return plain(docs, id_col, text_col).mapInArrow(run, "doc_id long, lang_pred string, score double")
 
 
+def keep_known(docs: DataFrame, model: Model, least: float, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose text has a letter and a language with at least this mean probability.
+
+    Each row is judged by its own text where it stands: rows that repeat an identifier, or have none, do not
+    speak for each other, and nothing is shuffled. Texts that are null or have no letter go.
+    """
+    known = docs.sparkSession.sparkContext.broadcast(tuple(model))
+    place = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        labeller = Labeller(Model(*known.value))
+        for batch in batches:
+            best, score = judged(labeller, [t or "" for t in batch.column(place).to_pylist()])
+            yield batch.filter(pa.array([b != UNKNOWN and s >= least for b, s in zip(best, score)], pa.bool_()))
+
+    return small_batches(docs).mapInArrow(run, docs.schema)
+
+
 SPANS = "doc_id long, start int, stop int, lang string, n_words int, score double"
 
 

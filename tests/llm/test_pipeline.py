@@ -57,3 +57,13 @@ def test_mix_tells_rows_of_one_identifier_apart(spark):
     assert len({want[k] for k in want if k[0] is None}) > 1
     marked = corpus_pipeline.source_mix(spark, docs, SF).withColumn("mark", mixing.text_mark(F.col("text")))
     assert Counter((r.doc_id, r.source, r.mark) for r in marked.collect()) == +want
+
+
+def test_language_is_judged_row_by_row(spark):
+    """Rows of one identifier, or of none, do not speak for each other."""
+    train = table_of(spark, [(k, f"the quick brown fox number {k} jumps over a lazy dog") for k in range(30)])
+    odd = [(None, None), (None, "12345 67"), (None, "the lazy dog"), (3, "..."), (3, "the quick fox")]
+    docs = train.unionByName(table_of(spark, odd))
+    kept = Counter((r.doc_id, r.text) for r in corpus_pipeline.language_id(spark, docs, SF).collect())
+    want = Counter((r.doc_id, r.text) for r in docs.collect() if r.text and any(c.isalpha() for c in r.text))
+    assert kept == want
