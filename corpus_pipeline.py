@@ -31,11 +31,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = language_crf.fit(docs)
     if model is None:
         return docs.where(F.rlike(F.coalesce("text", F.lit("")), F.lit(r"\p{L}")))
-    found = language_crf.languages(docs, model).where(F.col("score") >= LEAST_SCORE)
-    kept = found.select(F.col("doc_id").alias("__id")).distinct()
-    # A repeated identifier stands for several texts: those without a letter still go.
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi").where(
-        F.rlike(F.col("text"), F.lit(r"\p{L}")))
+    return language_crf.keep_known(docs, model, LEAST_SCORE).where(F.rlike(F.col("text"), F.lit(r"\p{L}")))
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
