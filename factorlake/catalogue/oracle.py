@@ -549,6 +549,12 @@ ORACLE = {
                count(*) FILTER (WHERE signal <> 0) AS n_active FROM signals GROUP BY strategy"""),
     "signal_returns": _shown("time:d symbol:s strategy:s strategy_ret:f", "SELECT * FROM returns"),
     "signal_returns_joined": _shown("time:d symbol:s strategy:s strategy_ret:f", "SELECT * FROM returns"),
+    "signal_returns_bucketed": _shown("time:d symbol:s strategy:s strategy_ret:f", f"""
+        SELECT * FROM (
+          SELECT time, symbol, strategy,
+                 lag(signal) OVER ({WINDOW}) * round(pct_change, 4) / 100 AS strategy_ret
+          FROM signals JOIN bars USING (time, symbol))
+        WHERE strategy_ret IS NOT NULL"""),
     "equity_curve": _shown("time:d symbol:s strategy:s equity:f drawdown:f", "SELECT * FROM curves"),
     "metrics": _shown("strategy:s symbol:s " + _METRIC, _metrics("returns", "strategy, symbol")),
     "metrics_weekly": _shown("strategy:s symbol:s " + _METRIC, _metrics(

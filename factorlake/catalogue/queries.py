@@ -647,6 +647,17 @@ def signal_returns_joined(i: Inputs) -> DataFrame:
     return bt.signal_returns(i.signals, i.bars, i.rows)
 
 
+@query
+def signal_returns_bucketed(i: Inputs) -> DataFrame:
+    """The same from catalog tables bucketed by symbol."""
+    lake, database = i.lake(), "factorlake_buckets"
+    i.spark.sql(f"DROP DATABASE IF EXISTS {database} CASCADE")
+    lake.upsert("daily", i.bars)
+    lake.upsert("trading_signals", i.signals.withColumn("metadata", fn.metadata_to_json()))
+    bars, signals = (lake.publish_by_symbol(database, n, 8) for n in ("daily", "trading_signals"))
+    return bt.signal_returns(signals.drop("metadata"), bars.select("time", "symbol", "pct_change"), i.rows)
+
+
 @query
 def equity_curve(i: Inputs) -> DataFrame:
     return bt.equity_curve(i.returns, ["strategy", "symbol"], bound=i.rows).select(

@@ -255,6 +255,21 @@ class Lake:
                 f"{by} LOCATION '{self.path(table.name)}'")
         return list(TABLES)
 
+    def publish_by_symbol(self, database: str, name: str, buckets: int = 64) -> DataFrame:
+        """A copy of a panel table in the catalog, ``<name>_by_symbol``, bucketed and sorted by symbol.
+
+        Panel joins and windows by symbol over such tables of equally many buckets need no shuffle: co-partitioning by
+        a part of the join keys is allowed in this session from here on. A symbol is one bucket, so this is for
+        panels whose symbols are of like size; runs over skewed ones read the tables by path.
+        """
+        self.spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
+        target = f"{database}.{name}_by_symbol"
+        self.spark.sql(f"CREATE DATABASE IF NOT EXISTS {database} LOCATION '{self.path('_catalog')}'")
+        rows = as_double(self.scan(name)).repartition(buckets, "symbol")
+        rows.write.mode("overwrite").format("parquet").bucketBy(buckets, "symbol").sortBy("symbol", "time").option(
+            "path", self.path(f"_by_symbol/{name}")).saveAsTable(target)
+        return self.spark.table(target)
+
     def refresh_tables(self, database: str) -> None:
         """Make partitions written by path visible to the catalog tables."""
         written = [t for t in TABLES.values() if self._exists(self.path(t.name))]

@@ -271,3 +271,46 @@ def test_jobs_from_arguments(spark, bars, folder):
     assert status == {"daily": "ok", "factors": "ok"}
     with pytest.raises(ValueError, match="missing rsi14"):
         run(spark, [*root, "ic", "--start", "2024-01-01", "--end", "2024-02-09", "--names", "rsi14"])
+
+
+def test_bucketed_panels_join_without_a_shuffle(spark, make_bars, folder):
+    from factorlake.plans.backtest import signal_returns
+    lake = Lake(spark, f"{folder}/lake")
+    bars = make_bars({s: [float(9 + (k * n) % 5) for k in range(40)] for n, s in enumerate("abcd", 2)}).withColumn(
+        "pct_change", F.lit(0.5))
+    lake.upsert("daily", bars)
+    lake.upsert("trading_signals", bars.select("time", "symbol", F.lit("s").alias("strategy"), F.lit(1).alias("signal"),
+                                                F.lit(0.1).alias("score"), F.lit("{}").alias("metadata")))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        daily, signals = (lake.publish_by_symbol("buckets_test", n, 4) for n in ("daily", "trading_signals"))
+        returns = signal_returns(signals, daily, bound=40)
+        joined = signals.select("time", "symbol", "signal").join(daily.select("time", "symbol", "close"), ["time", "symbol"])
+        assert "Exchange" not in joined._jdf.queryExecution().executedPlan().toString()
+        assert joined.count() == 160 and returns.count() == 156
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.requireAllClusterKeysForCoPartition")
+        spark.sql("DROP DATABASE IF EXISTS buckets_test CASCADE")
+
+
+def test_one_symbol_reads_few_row_groups(spark, make_bars, folder):
+    """Files are sorted by symbol and have Bloom filters: other row groups are not read."""
+    lake = Lake(spark, f"{folder}/lake")
+    bars = make_bars({f"{k:06d}.SZ": [float(k % 7 + d) for d in range(20)] for k in range(0, 4_000, 2)})
+    spark.conf.set("parquet.block.size", "65536")
+    try:
+        lake.upsert("daily", bars.repartition(1))
+    finally:
+        spark.conf.unset("parquet.block.size")
+
+    def rows_read(df):
+        df.collect()
+        leaves = df._jdf.queryExecution().executedPlan().collectLeaves()
+        return sum(leaves.apply(k).metrics().apply("numOutputRows").value() for k in range(leaves.size()))
+
+    whole = rows_read(lake.scan("daily"))
+    assert whole == 40_000
+    assert rows_read(lake.scan("daily", symbol=["001000.SZ"])) < whole / 4
+    # A symbol that lies between others and has no bar: told by the Bloom filters.
+    assert rows_read(lake.scan("daily", symbol=["001001.SZ"])) == 0
