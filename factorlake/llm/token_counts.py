@@ -174,6 +174,17 @@ class TokenCounter:
         parts = self.special.split(text)
         return [w for part in parts for w in self.split(part)], len(parts) - 1
 
+    def units(self, text: str) -> list[str | None]:
+        """Words and special strings (None) in the order of the text."""
+        if self.special is None or not self.special.search(text):
+            return self.split(text)
+        found: list[str | None] = []
+        for k, part in enumerate(self.special.split(text)):
+            if k:
+                found.append(None)
+            found += self.split(part)
+        return found
+
     def totals(self, texts: list[str]) -> list[int]:
         if len(self.words) > KNOWN:
             self.forget()
@@ -185,16 +196,28 @@ class TokenCounter:
         self.learn()
         return [int(self.counts[n].sum()) + e for n, e in zip(numbers, extra)]
 
-    def running(self, text: str) -> np.ndarray:
-        """Tokens at the end of each word of a text without special strings."""
-        words = self.split(text)
-        numbers = np.fromiter(map(self.words.__getitem__, words), np.int32, len(words))
+    def running(self, text: str) -> tuple[list[str | None], np.ndarray]:
+        """The units of a text and the tokens at the end of each."""
+        if len(self.words) > KNOWN:
+            self.forget()
+        units = self.units(text)
+        numbers = np.fromiter((-1 if u is None else self.words[u] for u in units), np.int64, len(units))
         self.learn()
-        return np.cumsum(self.counts[numbers])
-
-    def words_within(self, text: str, limit: int) -> int:
-        """How many whole words of a text fit into ``limit`` tokens."""
-        return int(np.searchsorted(self.running(text), limit, side="right"))
+        return units, np.cumsum(np.where(numbers < 0, 1, np.append(self.counts, 1)[numbers]))
+
+    def within(self, text: str, limit: int) -> tuple[int, int, int, int]:
+        """What of a text fits into ``limit`` tokens: whole units and their tokens; then of the word in which
+        the budget ends the most bytes that still fit, and the tokens with these."""
+        units, running = self.running(text)
+        whole = int(np.searchsorted(running, limit, side="right"))
+        used = int(running[whole - 1]) if whole else 0
+        if whole == len(units) or units[whole] is None or used >= limit:
+            return whole, used, 0, used
+        # The counts of a word's prefixes are in its table: no second encoding.
+        fits = [i for i, n in enumerate(self.table.at_every_prefix(units[whole]), 1) if used + n <= limit]
+        if not fits:
+            return whole, used, 0, used
+        return whole, used, fits[-1], used + self.table.at_every_prefix(units[whole])[fits[-1] - 1]
 
 
 SCHEMA = "doc_id long, n_bytes long, n_tokens long"
@@ -223,3 +246,32 @@ def token_counts(docs: DataFrame, vocabulary: str, id_col: str = "doc_id",
                 names=["doc_id", "n_bytes", "n_tokens"])
 
     return plain(docs, id_col, text_col).mapInArrow(run, SCHEMA)
+
+
+BUDGET = "doc_id long, n_units long, n_units_kept long, n_tokens_kept long, n_bytes_more long, n_tokens_cut long"
+
+
+def within_budget(docs: DataFrame, vocabulary: str, limit: int, id_col: str = "doc_id",
+                  text_col: str = "text") -> DataFrame:
+    """What of every whole text fits into ``limit`` tokens, from the counts of its prefixes.
+
+    doc_id; n_units: its words and special strings; n_units_kept: as many of these from the start as fit, with
+    n_tokens_kept tokens; n_bytes_more: bytes of the next word, normalised, that fit as well if it is cut there, and
+    n_tokens_cut, the tokens of the text so cut. Special strings are never cut. Null or empty text: zeros; rows
+    that repeat an identifier are answered one by one.
+    """
+    with open(vocabulary, encoding="utf-8") as file:
+        settings = docs.sparkSession.sparkContext.broadcast(file.read())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counter = TokenCounter(settings.value)
+        for batch in batches:
+            rows = []
+            for text in batch.column(1):
+                whole, used, more, cut = counter.within(text.as_py(), limit)
+                rows.append((len(counter.units(text.as_py())), whole, used, more, cut))
+            columns = list(zip(*rows)) if rows else [()] * 5
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, pa.int64()) for c in columns]],
+                                             names=[f.split()[0] for f in BUDGET.split(", ")])
+
+    return plain(docs, id_col, text_col).mapInArrow(run, BUDGET)

@@ -9,6 +9,7 @@ import pytest
 import tiktoken
 from tokenizers import Tokenizer
 
+from data import table_of  # noqa: E402
 from factorlake.llm import bpe, token_counts
 
 ODD = ["", " ", "  ", "a", "a" * 700, "ab" * 400, "the" * 300, "  \n\n x\t\ty  ", "it's WE'LL I'D 'S",
@@ -108,14 +109,26 @@ def test_every_prefix_of_a_word(counter, library, word):
     assert counter.table.at_every_prefix(word) == counts_of(library, prefixes)
 
 
-def test_budgets_need_no_second_encoding(counter, library):
-    text = " ".join(noise(40, "etaoin", 6))
-    words = text.split()
-    running = counter.running(text).tolist()
-    assert running == [counts_of(library, [" ".join(words[:k])])[0] for k in range(1, len(words) + 1)]
-    for limit in (0, 1, 50, 10 ** 6):
-        n = counter.words_within(text, limit)
-        assert (n == 0 or running[n - 1] <= limit) and (n == len(words) or running[n] > limit)
+@pytest.mark.parametrize("limit", [0, 1, 7, 50, 10 ** 6])
+def test_budgets_equal_the_library(spark, library, limit):
+    """Whole texts, special strings included: the longest part that fits, against encoding every prefix."""
+    words = noise(40, "etaoin", 6) + ["internationalisation", "tokenization"]
+    texts = [" ".join(words), "", None, "<|endoftext|>", "one <|endoftext|> two <|endoftext|><|endoftext|> " + " ".join(words[:9])]
+    docs = table_of(spark, list(enumerate(texts)))
+    found = {r.doc_id: r for r in token_counts.within_budget(docs, P.path("word_bpe_49k.json"), limit).collect()}
+    assert len(found) == len(texts)
+    for k, text in enumerate(texts):
+        units = (text or "").replace("<|endoftext|>", " <|endoftext|> ").split()
+        upto = counts_of(library, [" ".join(units[:n]) for n in range(len(units) + 1)])
+        kept = max(n for n, tokens in enumerate(upto) if tokens <= limit)
+        more, cut = 0, upto[kept]
+        if kept < len(units) and not units[kept].startswith("<"):
+            heads = [units[kept][:n] for n in range(1, len(units[kept]) + 1)]
+            tokens = counts_of(library, [" ".join([*units[:kept], head]) for head in heads])
+            fits = [n for n, t in enumerate(tokens, 1) if t <= limit and upto[kept] < limit]
+            if fits:
+                more, cut = fits[-1], tokens[fits[-1] - 1]
+        assert tuple(found[k])[1:] == (len(units), kept, upto[kept], more, cut), (k, limit)
 
 
 def test_a_second_merge_of_a_token_is_refused():
