@@ -100,8 +100,8 @@ MUST = {
 }
 CUE = re.compile(r"licen[cs]e|permission\W+is\W+hereby|redistribution\W+and\W+use|free\W+software", re.IGNORECASE)
 WORDS = re.compile(r"[\w.+-]*\w")
-#: Templates that are confirmed for a cue, and the least reduction of the notice's compressed size.
-BEST, REDUCTION = 5, 0.25
+#: The least reduction of the compressed size of a notice.
+REDUCTION = 0.25
 #: Words of the template that may be missing or added inside the notice, as shares of its words.
 MISSING, ADDED = 0.15, 0.15
 #: Templates from so many words on are aligned by their rarer words first; their blocks have room for words added.
@@ -214,7 +214,7 @@ class Scanner:
                 if self.possible(Counter(words[a:b]), name):
                     blocks[name] = a, b
             ranked = sorted(((self.reduction(words[a:b], name), name) for name, (a, b) in blocks.items()),
-                            reverse=True)[:BEST]
+                            reverse=True)
             best = None
             for _, name in ranked:
                 shift, stop = blocks[name]
