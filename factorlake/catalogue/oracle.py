@@ -631,6 +631,9 @@ ORACLE = {
         FROM raw, (VALUES ('daily', 'ok', NULL), ('factors', 'error', 'a; b'),
                           ('ic', 'error', 'ValueError: no factors')) v(data_type, status, error_msg)
         GROUP BY data_type, status, error_msg"""),
+    "ic_store": _shown(_DAILY, """
+        SELECT time, lag, factor_name, ic, rank_ic, n_stocks FROM stored_daily
+        WHERE factor_name IN ('price_to_ma20', 'limit_up') AND lag IN (1, 5, 20)"""),
     "ic_run": _shown(_SUMMARY, "SELECT * FROM stored_summary"),
     "loaders": _shown("loader:s n_rows:i n_symbols:i total:f", """
         SELECT 'returns' AS loader, count(*) AS n_rows, count(DISTINCT symbol) AS n_symbols,

@@ -891,6 +891,18 @@ def ic_run(i: Inputs) -> DataFrame:
     return research.ic_run(lake, first, last, fac.DEFAULT_NAMES, tuple(LAGS)).summary
 
 
+@query
+def ic_store(i: Inputs) -> DataFrame:
+    """Daily ICs kept up to date in two runs, the second of which completes days of the first."""
+    lake, names, lags = i.lake(), ["price_to_ma20", "limit_up"], (1, 5, 20)
+    lake.upsert("daily", i.bars)
+    lake.upsert("daily_factors", fac.compute_factors(i.bars, names, bound=i.rows))
+    first, last = research.stored_span(lake)
+    for day in (first + (last - first) * 2 / 3, last):
+        research.update_ic(lake, day, names, lags, give_up_days=(last - first).days)
+    return lake.scan("ic_daily").select("time", "lag", "factor_name", "ic", "rank_ic", "n_stocks")
+
+
 @query
 def loaders(i: Inputs) -> DataFrame:
     """Rows and sums of every loader of a stored table, over all of it."""

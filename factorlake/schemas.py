@@ -114,6 +114,14 @@ LATE_BARS = Table(
     partitions=("view", "ym"),
     update=_ROLLUP_UPDATE,
 )
+# Daily ICs, with the number of stocks whose return is not known yet.
+IC_DAILY = Table(
+    "ic_daily",
+    _struct(time=_TS, lag=_LONG, factor_name=_STR, ic=_DBL, rank_ic=_DBL, n_stocks=_LONG, n_open=_LONG),
+    key=("time", "lag", "factor_name"),
+    partitions=("ym",),
+    update=("ic", "rank_ic", "n_stocks", "n_open"),
+)
 # The last finished micro-batch of each stream.
 BATCHES = Table(
     "batches",
@@ -123,4 +131,4 @@ BATCHES = Table(
 )
 
 TABLES = {t.name: t for t in (STOCKS, DAILY, MINUTE, INDEX_DAILY, FACTORS, SIGNALS, SYNC_STATUS,
-                              WEEKLY, MONTHLY, FACTOR_STATE, LATE_BARS, BATCHES)}
+                              WEEKLY, MONTHLY, FACTOR_STATE, LATE_BARS, IC_DAILY, BATCHES)}

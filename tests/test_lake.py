@@ -314,3 +314,27 @@ def test_one_symbol_reads_few_row_groups(spark, make_bars, folder):
     assert rows_read(lake.scan("daily", symbol=["001000.SZ"])) < whole / 4
     # A symbol that lies between others and has no bar: told by the Bloom filters.
     assert rows_read(lake.scan("daily", symbol=["001001.SZ"])) == 0
+
+
+def test_ic_of_days_is_completed_later(spark, make_bars, folder):
+    """Runs in steps leave the rows of one run; settled days are not read again."""
+    from datetime import date
+
+    from factorlake.plans import research
+    from factorlake.plans.factors import compute_factors
+    names, lags = ["price_to_ma20", "limit_up"], (1, 5)
+    bars = make_bars({s: [float(20 + (k * n) % 13) for k in range(90)] for n, s in enumerate("abcdef", 2)}).withColumn(
+        "pct_change", (F.col("close") % 5) - 2)
+    bars = bars.filter(~((F.col("symbol") == "c") & F.col("time").between("2024-02-10", "2024-02-28")))
+    lakes = [Lake(spark, f"{folder}/{n}") for n in ("steps", "once")]
+    for lake, days in zip(lakes, ([date(2024, 2, 14), date(2024, 2, 15), date(2024, 3, 30)], [date(2024, 3, 30)])):
+        lake.upsert("daily", bars)
+        lake.upsert("daily_factors", compute_factors(bars, names))
+        for day in days:
+            assert research.update_ic(lake, day, names, lags) > 0
+    assert rows_of(lakes[0].scan("ic_daily")) == rows_of(lakes[1].scan("ic_daily"))
+    scans, scan = [], lakes[0].scan
+    lakes[0].scan = lambda name, *a, **kw: (scans.append((name, a)), scan(name, *a, **kw))[1]
+    research.update_ic(lakes[0], date(2024, 3, 30), names, lags)
+    # Only the last five rows of each symbol are open.
+    assert min(a[0] for name, a in scans if name == "daily") >= date(2024, 3, 20)
