@@ -1,24 +1,28 @@
-"""Exact duplicates by a tree merge of digest runs.
+"""Exact duplicates by a tree merge of sorted digest runs.
 
-Every input partition is one run: its rows are combined by digest before anything moves. Then
-runs are merged in rounds: ``FAN`` neighbours become one, their equal digests meet, and the best
-identifier and the number of rows are kept, so a text that fills a third of the table arrives
-at each merge as one row per run. A run is itself spread over tasks by digest; the last run
-is the table of groups.
+Every input partition belongs to one run of ``RUNS``. Its rows are combined by digest before anything moves,
+so a text that fills a third of the table is one row per run from then on. Then runs are merged in
+binomial rounds: in round k, run r hands its entries to the run that has bit k of r cleared. The entries of both
+runs are sorted by digest, so that equal digests are neighbours, and a window over neighbours keeps
+one of them, with the best identifier and the number of rows of both. A digest is in a run once, so no window holds
+more than two entries, however large a group is. After the last round one run is left: the table of groups.
 
-An entry is verified at every level: the key holds the SHA-256 digest, a second, unrelated hash and
-the length in bytes, so that a collision of one digest would give two groups, not one.
+A run is not one task: it is cut into slices by the first two bytes of the digest, and a slice of a pair of
+runs is sorted and merged by itself, spilling where it has to.
+
+An entry is verified at every level: neighbours are merged only if the SHA-256 digest, a second, unrelated
+hash and the length in bytes agree, so that a collision of one digest would give two groups, not one.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factorlake.llm.common import ascii_lower, stored
 
+#: A power of two: eight rounds.
 RUNS = 256
-FAN = 16
 KEY = ["sha", "hash", "size"]
 
 
@@ -31,20 +35,24 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
                        F.pmod(F.spark_partition_id(), F.lit(RUNS)).alias("run"))
 
 
-def merge(runs: DataFrame, best) -> DataFrame:
-    return runs.groupBy("run", *KEY).agg(best("keep_id").alias("keep_id"), F.sum("n").alias("n"))
+def merge_pairs(runs: DataFrame, first: Column) -> DataFrame:
+    """One binomial round: half as many runs, each the merged entries of two. ``first`` puts the better identifier first."""
+    runs = runs.withColumn("run", F.shiftright("run", 1)).repartition("run", "slice")
+    same = Window.partitionBy("run", "slice", *KEY).orderBy(first)
+    both = same.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    runs = runs.select("run", "slice", *KEY, "keep_id", F.sum("n").over(both).alias("n"),
+                       F.row_number().over(same).alias("place"))
+    return runs.where("place = 1").drop("place")
 
 
 def tree_merge(rows: DataFrame, keep: str = "smallest") -> DataFrame:
     """One row per distinct text: its key, the identifier to keep and the number of rows."""
-    best = {"smallest": F.min, "largest": F.max}[keep]
-    runs = merge(rows.select("run", *KEY, F.col("doc_id").alias("keep_id"),
-                             F.lit(1).cast("long").alias("n")), best)
-    width = RUNS
-    while width > 1:
-        width = -(-width // FAN)
-        runs = merge(runs.withColumn("run", F.floor(F.col("run") / FAN).cast("int")), best)
-    return runs.drop("run")
+    best, first = {"smallest": (F.min, F.asc_nulls_last), "largest": (F.max, F.desc_nulls_last)}[keep]
+    runs = rows.groupBy("run", F.substring("sha", 1, 2).alias("slice"), *KEY).agg(
+        best("doc_id").alias("keep_id"), F.count("*").alias("n"))
+    for _ in range(RUNS.bit_length() - 1):
+        runs = merge_pairs(runs, first("keep_id"))
+    return runs.drop("run", "slice")
 
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",

@@ -31,6 +31,26 @@ def test_exact_groups(spark, keep):
     assert exact_dedup.drop_copies(docs, keep=keep).count() == len(groups)
 
 
+@pytest.mark.parametrize("runs", [1, 2, 64])
+def test_runs_merge_in_rounds(spark, monkeypatch, runs):
+    """One text in every run, others in some; entries of one digest differ in hash or size: these are not merged."""
+    monkeypatch.setattr(exact_dedup, "RUNS", runs)
+    pick = random.Random(runs)
+    rows = [(pick.choice([None, *range(50)]), bytes([d, 7, d]), h, 1, pick.randrange(runs))
+            for d, h in [(0, 5)] * 300 + [(d, h) for d in range(40) for h in (5, 6)] * 4]
+    want = defaultdict(list)
+    for i, sha, h, size, _ in rows:
+        want[sha, h, size].append(i)
+    table = spark.createDataFrame(rows, "doc_id long, sha binary, hash long, size int, run int").repartition(23)
+    for keep, best in (("smallest", min), ("largest", max)):
+        found = exact_dedup.tree_merge(table, keep).collect()
+        assert len(found) == len(want)
+        for r in found:
+            ids = want[bytes(r.sha), r.hash, r.size]
+            assert r.n == len(ids)
+            assert r.keep_id == best([i for i in ids if i is not None], default=None)
+
+
 def shingles(text, k=5):
     words = lower(text).split()
     if not words:
