@@ -25,7 +25,7 @@ from factorlake.llm.common import plain
 #: Whole licences, one file each: the terms without an appendix on how to apply them.
 WHOLE = [f"{name}-text" for name in (
     "MIT", "BSD-2-Clause", "BSD-3-Clause", "BSD-4-Clause", "Apache-2.0", "GPL-1.0", "GPL-2.0", "GPL-3.0", "LGPL-2.0", "LGPL-2.1",
-    "LGPL-3.0", "AGPL-3.0", "MPL-1.1", "MPL-2.0", "CC0-1.0", "Artistic-1.0")]
+    "LGPL-3.0", "AGPL-3.0", "MPL-1.1", "MPL-2.0", "CC0-1.0", "Artistic-1.0", "ISC")]
 GNU = {"GPL": "General", "LGPL": "Lesser General", "AGPL": "Affero General"}
 GNU_VERSIONS = [("GPL", "2.0"), ("GPL", "3.0"), ("LGPL", "2.1"), ("LGPL", "3.0"), ("AGPL", "3.0")]
 GNU_HEADER = (
@@ -92,28 +92,87 @@ MUST = {
     "MPL-2.0-text": ["Mozilla Public License Version 2.0"],
     "CC0-1.0-text": ["CC0 1.0 Universal"],
     "Artistic-1.0-text": ["Artistic License"],
+    "ISC-text": ["this permission notice appear in all copies"],
 } | {
     f"{kind}-{version}{form}": [f"GNU {GNU[kind]} Public License", f"version {version}"]
     for kind, version in GNU_VERSIONS for form in ("", "-header")
 } | {
     name: [name.removeprefix("CC-").removesuffix("-4.0").join(("CC ", " 4.0"))] for name in TEMPLATES if name.startswith("CC-BY")
 }
-CUE = re.compile(r"licen[cs]e|permission\W+is\W+hereby|redistribution\W+and\W+use|free\W+software", re.IGNORECASE)
+#: How licences are called, without versions where these follow by rule.
+NAMES = {
+    "MIT": ["MIT License", "MIT"],
+    "ISC": ["ISC License", "ISC"],
+    "Apache-2.0": ["Apache License, Version 2.0", "Apache License v2.0", "Apache License 2.0", "Apache 2.0 License",
+                   "Apache-2.0 License", "Apache 2.0", "Apache-2.0"],
+    "BSD-2-Clause": ["BSD 2-Clause License", "2-Clause BSD License", "Simplified BSD License", "BSD-2-Clause License"],
+    "BSD-3-Clause": ["BSD 3-Clause License", "3-Clause BSD License", "New BSD License", "BSD-3-Clause License"],
+    "BSD-4-Clause": ["BSD 4-Clause License", "4-Clause BSD License", "Original BSD License", "BSD-4-Clause License"],
+    "CC0-1.0": ["CC0 1.0 Universal", "CC0 1.0", "CC0-1.0"],
+    "Artistic-1.0": ["Artistic License 1.0", "Artistic License, Version 1.0"],
+}
+NUMBERED = {
+    "MPL": (["1.0", "1.1", "2.0"], ["Mozilla Public License, Version {n}", "Mozilla Public License {n}",
+                                    "Mozilla Public License, v. {n}", "Mozilla Public License v{n}", "MPL {n}", "MPL-{n}"]),
+    **{short: (versions, [f"GNU {kind} Public License, version {{n}}", f"GNU {kind} Public License v{{n}}",
+                          f"GNU {kind} Public License {{n}}", f"GNU {short} version {{n}}", f"GNU {short} v{{n}}",
+                          f"GNU {short}v{{n}}", f"{short} version {{n}}", f"{short} v{{n}}", f"{short}v{{n}}",
+                          f"{short} {{n}}", f"{short}-{{n}}"])
+       for short, versions, kind in (("GPL", ["1.0", "2.0", "3.0"], "General"), ("LGPL", ["2.0", "2.1", "3.0"], "Lesser General"),
+                                     ("AGPL", ["1.0", "3.0"], "Affero General"))},
+}
+CC_PARTS = {"BY": "Attribution", "SA": "ShareAlike", "NC": "NonCommercial", "ND": "NoDerivatives"}
+CC_KINDS = ["BY", "BY-SA", "BY-NC", "BY-ND", "BY-NC-SA", "BY-NC-ND"]
+CC_VERSIONS = {"1.0": "Generic", "2.0": "Generic", "2.5": "Generic", "3.0": "Unported", "4.0": "International"}
+#: What stands before a name in a notice. Creative Commons licences and SPDX tags are notices without it.
+LEADS = ["under {}", "under the {}", "under the terms of the {}"]
+
+
+def short_notices() -> dict[str, str]:
+    """Every short notice by ``license/number``. They must stand in a text word for word."""
+    names = dict(NAMES)
+    for short, (versions, forms) in NUMBERED.items():
+        for v in versions:
+            numbers = dict.fromkeys([v, v.removesuffix(".0")])
+            names[f"{short}-{v}"] = [form.format(n=n) for form in forms for n in numbers]
+    out = {name: [lead.format(form) for form in forms for lead in LEADS] for name, forms in names.items()}
+    for kind in CC_KINDS:
+        long = "-".join(CC_PARTS[p] for p in kind.split("-"))
+        for v, place in CC_VERSIONS.items():
+            out[f"CC-{kind}-{v}"] = [f"CC {kind} {v}", f"CC-{kind} {v}", f"CC-{kind}-{v}", f"Creative Commons {long} {v}",
+                                     f"Creative Commons {long} {v} {place}"]
+    out["CC0-1.0"] += NAMES["CC0-1.0"]
+    for name in list(out):
+        gnu = name.split("-")[0] in GNU
+        for tag in [name, *([f"{name}-only", f"{name}-or-later"] if gnu else [])]:
+            out.setdefault(tag, []).append(f"SPDX-License-Identifier: {tag}")
+    found = {}
+    for name, forms in out.items():
+        # Forms that read the same, such as version 3 and 3.0, once.
+        for k, form in enumerate({tuple(normal(form)): form for form in forms}.values()):
+            found[f"{name}/{k}"] = form
+    return found
+
+
+CUE = re.compile(r"licen[cs]e|permission\W+is\W+hereby|permission\W+to\W+use|redistribution\W+and\W+use|free\W+software"
+                 r"|spdx|creative\W+commons|\bcc\W+by\b|\bcc0\b|gpl|(?:released|distributed|available)\W+under", re.IGNORECASE)
 WORDS = re.compile(r"[\w.+-]*\w")
+#: zstandard does not index the last eight bytes of a dictionary.
+PADDING = "\n" * 8
 #: The least reduction of the compressed size of a notice.
 REDUCTION = 0.25
 #: Words of the template that may be missing or added inside the notice, as shares of its words.
 MISSING, ADDED = 0.15, 0.15
-#: Templates from so many words on are aligned by their rarer words first; their blocks have room for words added.
-LONG = 150
+#: Words that stand more often in a template than once in so many words are no anchors of the alignment.
+COMMON = 100
 
 SCHEMA = ("doc_id long, start int, stop int, license string, reduction double, n_words int, "
           "missing string, added string")
 
 
 def same_version(word: str) -> str:
-    """Version 3.0 is version 3."""
-    return word[:-2] if word.endswith(".0") and word[:-2].isdigit() else word
+    """Version 3.0 is version 3, and v3.0 is v3."""
+    return word[:-2] if word.endswith(".0") and word[:-2].removeprefix("v").isdigit() else word
 
 
 def normal(text: str) -> list[str]:
@@ -125,45 +184,66 @@ def occurrences(phrase: list[str], words: list[str]) -> list[tuple[int, int]]:
     return [(k, k + n) for k in range(len(words) - n + 1) if words[k:k + n] == phrase]
 
 
+def matches(words: list[str], template: list[str], common: frozenset[str] = frozenset()) -> list[tuple[int, int, int]]:
+    found = SequenceMatcher(common.__contains__, words, template, autojunk=False)
+    return [(m.a, m.b, m.size) for m in found.get_matching_blocks() if m.size]
+
+
 def aligned(words: list[str], template: list[str]) -> list[tuple[int, int, int]]:
-    """Runs of equal words: place among the words, place in the template, length."""
-    long = len(template) >= LONG
-    first = [tuple(b) for b in SequenceMatcher(None, words, template, autojunk=long).get_matching_blocks() if b.size]
-    if not long or not first:
-        return first
-    # Common words between the runs, which were no anchors.
-    out = []
-    for k, (a, b, n) in enumerate(first):
-        if k:
-            x, y = out[-1][0] + out[-1][2], out[-1][1] + out[-1][2]
-            gap = SequenceMatcher(None, words[x:a], template[y:b], autojunk=False)
-            out += [(x + g.a, y + g.b, g.size) for g in gap.get_matching_blocks() if g.size]
-        out.append((a, b, n))
+    """Runs of equal words: place among the words, place in the template, length.
+
+    Rarer words are the anchors; then what lies between and beside the anchored runs is aligned by all words. A
+    template of any length is aligned by the same rule.
+    """
+    most = 1 + len(template) // COMMON
+    common = frozenset(w for w, n in Counter(template).items() if n > most)
+    anchored = matches(words, template, common)
+    if not common or not anchored:
+        return anchored or matches(words, template)
+    out, x, y = [], max(0, anchored[0][0] - anchored[0][1]), 0
+    ends = min(len(words), anchored[-1][0] + len(template) - anchored[-1][1])
+    for a, b, n in [*anchored, (ends, len(template), 0)]:
+        out += [(x + i, y + k, size) for i, k, size in matches(words[x:a], template[y:b])]
+        if n:
+            out.append((a, b, n))
+        x, y = a + n, b + n
     return out
 
 
+SHORT = short_notices()
+TEMPLATES |= SHORT
+
+
 class Scanner:
     def __init__(self, templates: dict[str, str]):
         self.words = {name: normal(t) for name, t in templates.items()}
         self.bags = {name: Counter(words) for name, words in self.words.items()}
-        self.must = {name: [place for phrase in MUST.get(name, ()) for place in occurrences(normal(phrase), words)]
+        phrases = MUST | {name: [wording] for name, wording in SHORT.items()}
+        self.must = {name: [place for phrase in phrases.get(name, ()) for place in occurrences(normal(phrase), words)]
                      for name, words in self.words.items()}
         self.must_words = {name: {w for a, b in places for w in self.words[name][a:b]}
                            for name, places in self.must.items()}
         self.alone = zstandard.ZstdCompressor(level=9, write_content_size=False)
-        self.given = {}
-        for name, words in self.words.items():
-            held = zstandard.ZstdCompressionDict(" ".join(words).encode(),
+        self.frame = len(self.alone.compress(b""))
+        self.given: dict[str, zstandard.ZstdCompressor] = {}
+
+    def compressor(self, name: str) -> zstandard.ZstdCompressor:
+        if name not in self.given:
+            held = zstandard.ZstdCompressionDict((" ".join(self.words[name]) + PADDING).encode(),
                                                  dict_type=zstandard.DICT_TYPE_RAWCONTENT)
             held.precompute_compress(level=9)
             self.given[name] = zstandard.ZstdCompressor(
                 level=9, dict_data=held, write_content_size=False, write_dict_id=False)
+        return self.given[name]
 
     def reduction(self, words: list[str], name: str) -> float:
-        """The share of the compressed size that the template saves."""
-        block = " ".join(words).encode()
-        size = len(self.alone.compress(block))
-        return (size - len(self.given[name].compress(block))) / size
+        """The share of the compressed size, without the empty frame, that the template saves.
+
+        The block is written three times: a few bytes alone would be stored as they are, with or without a dictionary.
+        """
+        block = " ".join(words * 3).encode()
+        size = len(self.alone.compress(block)) - self.frame
+        return (size + self.frame - len(self.compressor(name).compress(block))) / size
 
     def possible(self, bag: Counter, name: str) -> bool:
         """Are there enough of the template's words, and all it must have, in whatever order?"""
@@ -209,7 +289,7 @@ class Scanner:
             blocks = {}
             for name in names:
                 size = len(self.words[name])
-                more = int(ADDED * size) if size >= LONG else 0
+                more = int(ADDED * size)
                 a, b = max(done, at - size - more), at + size + more + 1
                 if self.possible(Counter(words[a:b]), name):
                     blocks[name] = a, b
@@ -232,7 +312,8 @@ class Scanner:
                     best = (score, begin, end, name, saved, " ".join(missing), " ".join(added + outside))
             if best:
                 _, begin, end, name, saved, missing, added = best
-                out.append((starts[begin], places[end - 1].end(), name, saved, end - begin, missing, added))
+                label = name.split("/")[0]
+                out.append((starts[begin], places[end - 1].end(), label, saved, end - begin, missing, added))
                 done = end
         return out
 

@@ -189,3 +189,74 @@ def test_planted_licenses_are_all_found(documents):
     lines = documents.where(F.rlike("text", F.lit("(?i)licen[cs]ed? under|MIT License"))).select("doc_id").distinct()
     found = license_scan.licenses(documents).select("doc_id").distinct()
     assert {r.doc_id for r in lines.collect()} == {r.doc_id for r in found.collect()}
+
+
+def test_short_wordings(spark):
+    cases = {
+        "Licensed under the MIT License.": "MIT",
+        "This project is licensed under the MIT License": "MIT",
+        "SPDX-License-Identifier: MIT": "MIT",
+        "# SPDX-License-Identifier: GPL-2.0-or-later": "GPL-2.0-or-later",
+        "released under the Apache 2.0 license": "Apache-2.0",
+        "Licensed under the GNU General Public License, version 3.": "GPL-3.0",
+        "under the terms of the GNU LGPL v2.1": "LGPL-2.1",
+        "distributed under MPL 2.0": "MPL-2.0",
+        "released under\n * GPLv3.0": "GPL-3.0",
+        "available under MIT": "MIT",
+        "CC BY-SA 4.0": "CC-BY-SA-4.0",
+        "CC BY 3.0": "CC-BY-3.0",
+        "CC-BY-4.0": "CC-BY-4.0",
+        "CC0 1.0 Universal": "CC0-1.0",
+        "Creative Commons Attribution-ShareAlike 4.0 International": "CC-BY-SA-4.0",
+        license_scan.TEMPLATES["ISC-text"].replace("THE AUTHOR", "ISC"): "ISC-text",
+        # No notices.
+        "I went to MIT for a license": None,
+        "licensed under the license of mit": None,
+        "a license under the GNU General Public License version 7": None,
+        "CC BY 9.0": None,
+    }
+    around = [("", ""), ("some more prose here. " * 9, " And again more prose." * 9)]
+    texts = [before + text + after for text in cases for before, after in around]
+    found = license_scan.licenses(table_of(spark, list(enumerate(texts)))).collect()
+    got = [[r.license for r in found if r.doc_id == k] for k in range(len(texts))]
+    assert got == [[name] if name else [] for name in cases.values() for _ in around]
+
+
+def test_every_template_at_every_cue():
+    """Without the filter by words, every template compared at every cue gives the same notices."""
+    names = ["MIT", "MIT-opening", "Apache-2.0", "Apache-2.0-header", "BSD", "MPL-2.0", "GPL-2.0", "GPL-3.0-header", "LGPL-3.0",
+             "CC-BY-4.0", "CC-BY-SA-4.0", "MIT-text", "BSD-2-Clause-text", "BSD-3-Clause-text", "ISC-text",
+             *[name for name in license_scan.SHORT if name.startswith(("MIT", "GPL-3.0", "CC-BY", "Apache"))][::7]]
+    templates = {name: license_scan.TEMPLATES[name] for name in names}
+
+    class Every(license_scan.Scanner):
+        def possible(self, bag, name):
+            return True
+
+    every = Every(dict(reversed(templates.items())))
+    scanner = license_scan.Scanner(templates)
+    pick = random.Random(4)
+    n = 0
+    for _ in range(60):
+        parts = []
+        for _ in range(pick.randint(1, 4)):
+            words = templates[pick.choice(names)].split()
+            for _ in range(pick.choice([0, 0, 1, 2, len(words) // 8])):
+                k = pick.randrange(len(words))
+                words[k:k + 1] = pick.choice([[], ["license"], ["other"], [words[k], "the"]])
+            parts += [" ".join(words), "prose of a license " * pick.randint(0, 3)]
+        text = " ".join(parts)
+        assert scanner.find(text) == every.find(text)
+        n += len(scanner.find(text))
+    assert n > 60
+
+
+def test_alignment_is_one_rule():
+    """With the rarer words as anchors nothing is lost on texts that hold the whole template, whatever its length."""
+    for name in ["MIT", "GPL-2.0-header", "ISC-text", "BSD-2-Clause-text", "Apache-2.0-text"]:
+        words = license_scan.normal(license_scan.TEMPLATES[name])
+        for text in (words, ["the"] * 5 + words + ["of"] * 5, words[:len(words) // 2] + ["new"] + words[len(words) // 2:]):
+            runs = license_scan.aligned(text, words)
+            assert sum(n for _, _, n in runs) == len(words)
+            assert all(text[a:a + n] == words[b:b + n] for a, b, n in runs)
+            assert all(a + n <= c and b + n <= d for (a, b, n), (c, d, _) in zip(runs, runs[1:]))
