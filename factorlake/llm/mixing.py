@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factorlake.llm.common import WORD, stored
+from factorlake.operators.ordered import POS, Running, cumulative, positions
 
 BIN_ROWS = 2_000
 EPOCHS = 3
@@ -78,27 +79,26 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), epochs: int
     sizes. A share above ``epochs`` times its source stops there and the excess is shared again by
     weight. The final level is found directly: a source of weight w and size s is full from
     level s * epochs / w on, so with sources in the order of that ratio, the level is what the
-    full ones leave, divided by the weights of the others. It is a window over sources, not rows.
+    full ones leave, divided by the weights of the others. Sources may be hosts: both orders are cut into ranges
+    where they are more than one task may hold, and only sums over sources and the level reach the driver.
     """
-    order = Window.orderBy(F.col("source").isNull(), F.col("source").cast("binary"))
-    n = len(weights)
-    turn = F.pmod(F.row_number().over(order) - 1, F.lit(n))
+    sizes = stored(sizes, "source-sizes")
+    bound = sizes.count()
+    place = F.struct(F.col("source").isNull().alias("none"), F.col("source").cast("binary").alias("name"))
+    placed = positions(sizes.withColumns({"__all": F.lit(0), "__place": place}), ["__all"], "__place", bound)
+    turn = F.pmod(F.col(POS), F.lit(len(weights)))
     weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (turn + 1).cast("int"))
     cap = F.col("source_size") * F.lit(float(epochs))
-    shares = sizes.withColumn("weight", weight).withColumns(
-        {"cap": cap, "ratio": cap / F.col("weight")})
-    whole = Window.partitionBy()
-    by_ratio = Window.orderBy("ratio", F.col("source").isNull(), F.col("source").cast("binary"))
-    before = by_ratio.rowsBetween(Window.unboundedPreceding, -1)
-    shares = shares.withColumns({
-        "total": F.sum("source_size").over(whole).cast("double"),
-        "full": F.coalesce(F.sum("cap").over(before), F.lit(0.0)),
-        "weights": F.sum("weight").over(whole) - F.coalesce(F.sum("weight").over(before), F.lit(0.0)),
-    })
-    level = (F.col("total") - F.col("full")) / F.col("weights")
+    shares = placed.withColumn("weight", weight).withColumns(
+        {"cap": cap, "ratio": cap / F.col("weight"), "__ratio": F.struct((cap / F.col("weight")).alias("ratio"), "__place")})
+    whole = shares.agg(F.sum("source_size").cast("double").alias("size"), F.sum("weight").alias("weight")).first()
+    shares = cumulative(shares, ["__all"], "__ratio", [Running("full", "sum", F.col("cap")),
+                                                       Running("weights", "sum", F.col("weight"))], bound)
+    level = ((F.lit(whole["size"]) - (F.col("full") - F.col("cap")))
+             / (F.lit(whole["weight"]) - (F.col("weights") - F.col("weight"))))
     # The first source that stays below its cap sets the level; for later ones it would be lower.
-    shares = shares.withColumn("level", F.max(F.when(F.col("ratio") >= level, level)).over(whole))
-    target = F.least(F.col("cap"), F.coalesce(F.col("level") * F.col("weight"), F.col("cap")))
+    found = shares.agg(F.max(F.when(F.col("ratio") >= level, level)).alias("level")).first()["level"]
+    target = F.least(F.col("cap"), F.coalesce(F.lit(found).cast("double") * F.col("weight"), F.col("cap")))
     return shares.select("source", "source_size", target.alias("target"))
 
 

@@ -111,6 +111,17 @@ def test_mix_meets_its_targets(spark, monkeypatch, bin_rows):
         assert not any(extra[cut + 1:])
 
 
+def test_targets_of_many_sources(spark, tiny_limit):
+    """300 sources in ranges: more than one window may hold here."""
+    pick = random.Random(3)
+    sizes = {None: 7, **{f"host{k}": pick.choice([0, 1, 5, 50, 5_000]) for k in range(300)}}
+    table = spark.createDataFrame(list(sizes.items()), "source string, source_size long").repartition(5)
+    want = brute_targets(sizes)
+    found = {r.source: r.target for r in mixing.targets(table).collect()}
+    assert found.keys() == want.keys()
+    assert all(abs(found[s] - want[s]) < 1e-6 for s in want)
+
+
 def test_mix_reruns_agree_in_any_layout(spark):
     docs = spark.createDataFrame(mix_rows(), SCHEMA)
 
