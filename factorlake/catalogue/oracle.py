@@ -621,6 +621,9 @@ ORACLE = {
         GROUP BY time"""),
     "update_bars_run": _shown(_BARS, """
         SELECT * REPLACE (round(pct_change, 4) AS pct_change) FROM bars"""),
+    "update_bars_partial": _shown(_BARS, """
+        SELECT * REPLACE (round(pct_change, 4) AS pct_change) FROM bars
+        WHERE time NOT IN (SELECT time FROM bars WHERE day(time) = 15 AND symbol LIKE '%1%')"""),
     "update_factors_run": _shown(_LONG, f"""
         SELECT * FROM ({_unpivot(["price_to_ma20", "limit_up"], "sma_factors")})"""),
     "sync_status_run": _shown(

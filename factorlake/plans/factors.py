@@ -24,6 +24,7 @@ from factorlake.functions.missing import clean
 from factorlake.operators.groups import oversized
 from factorlake.operators.ordered import POS, Series, over_series
 from factorlake.operators.reshape import ID, to_long
+from factorlake.session import durable
 
 # Indicator windows and the daily price limit.
 SHORT_MA, LONG_MA, RSI_N = 20, 60, 14
@@ -32,6 +33,8 @@ LIMIT_RATIO = Decimal("1.1")
 
 # Rows of one symbol that are handed to pandas at once.
 BLOCK_ROWS = 4_096
+# Column of the text of an error where a plug-in fails.
+FAULT = "__fault"
 
 
 @dataclass(frozen=True)
@@ -219,30 +222,58 @@ class PandasFactor:
     lookback: int
 
     def compute(self, bars: DataFrame, bound: int | None = None) -> DataFrame:
+        """Long rows of the factor; a symbol for which ``fn`` raises fails the job."""
+        return self._long(self._wide(bars, bound))
+
+    def compute_isolated(self, bars: DataFrame, bound: int | None = None) -> tuple[DataFrame, DataFrame]:
+        """Long rows of the symbols for which ``fn`` never raises, and (symbol, error) of the others."""
+        wide = durable(self._wide(bars, bound, isolate=True).select(*ID, self.name, FAULT))
+        failed = wide.filter(F.col(FAULT).isNotNull()).groupBy("symbol").agg(F.min(FAULT).alias("error"))
+        # How many symbols fail is not bounded, so this is a join and no list.
+        names = failed.select(F.col("symbol").alias("__failed"))
+        kept = wide.join(names, F.col("symbol").eqNullSafe(F.col("__failed")), "left_anti")
+        return self._long(kept), failed
+
+    def _wide(self, bars: DataFrame, bound: int | None, isolate: bool = False) -> DataFrame:
         if oversized(bars, ["symbol"], bound) is None:
-            wide = self._in_order(bars)
-        else:
-            # One symbol is too many rows for one task: its blocks are groups of their own.
-            wide = over_series(bars, self._in_blocks, by=["symbol"], order="time", before=self.lookback, bound=bound,
-                               limit=max(BLOCK_ROWS, self.lookback))
-        return clean(wide.select(*ID, F.lit(self.name).alias("factor_name"),
-                                 F.col(self.name).alias("factor_value")))
+            return self._in_order(bars, isolate)
+        # One symbol is too many rows for one task: its blocks are groups of their own.
+        return over_series(bars, lambda df, series: self._in_blocks(df, series, isolate), by=["symbol"], order="time",
+                           before=self.lookback, bound=bound, limit=max(BLOCK_ROWS, self.lookback))
+
+    def _long(self, wide: DataFrame) -> DataFrame:
+        return clean(wide.select(*ID, F.lit(self.name).alias("factor_name"), F.col(self.name).alias("factor_value")))
+
+    def _schema(self, df: DataFrame, isolate: bool) -> T.StructType:
+        fault = [T.StructField(FAULT, T.StringType())] if isolate else []
+        return T.StructType([*df.schema.fields, T.StructField(self.name, T.DoubleType()), *fault])
+
+    def _values(self, isolate: bool) -> Callable[[pd.DataFrame, int], dict]:
+        """The columns to add to the last rows of a block."""
+        name, fn, fault = self.name, self.fn, FAULT
+
+        def values(rows: pd.DataFrame, n: int) -> dict:
+            if not isolate:
+                return {name: fn(rows).astype("float64").tail(n).to_numpy()}
+            try:
+                return {name: fn(rows).astype("float64").tail(n).to_numpy(), fault: None}
+            except Exception as error:
+                return {name: np.nan, fault: f"{type(error).__name__}: {error}"}
 
-    def _schema(self, df: DataFrame) -> T.StructType:
-        return T.StructType([*df.schema.fields, T.StructField(self.name, T.DoubleType())])
+        return values
 
-    def _in_blocks(self, df: DataFrame, series: Series) -> DataFrame:
+    def _in_blocks(self, df: DataFrame, series: Series, isolate: bool) -> DataFrame:
         # Only plain values go into the task: workers need not have this package.
-        name, fn, order = self.name, self.fn, series.order
+        values, order = self._values(isolate), series.order
 
         def one(rows: pd.DataFrame) -> pd.DataFrame:
             rows = rows.sort_values(order, ignore_index=True)
-            return rows.assign(**{name: fn(rows).astype("float64")})
+            return rows.assign(**values(rows, len(rows)))
 
-        return df.groupBy(*series.by).applyInPandas(one, self._schema(df))
+        return df.groupBy(*series.by).applyInPandas(one, self._schema(df, isolate))
 
-    def _in_order(self, bars: DataFrame) -> DataFrame:
-        name, fn, lookback = self.name, self.fn, self.lookback
+    def _in_order(self, bars: DataFrame, isolate: bool) -> DataFrame:
+        values, lookback = self._values(isolate), self.lookback
         size = max(BLOCK_ROWS, lookback)
 
         def blocks(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -273,8 +304,7 @@ class PandasFactor:
         def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for before, block in blocks(frames):
                 rows = block if before is None else pd.concat([before, block], ignore_index=True)
-                values = fn(rows).astype("float64").tail(len(block))
-                yield block.assign(**{name: values.to_numpy()})
+                yield block.assign(**values(rows, len(block)))
 
         sorted_rows = bars.repartition("symbol").sortWithinPartitions("symbol", "time")
-        return sorted_rows.mapInPandas(run, self._schema(bars))
+        return sorted_rows.mapInPandas(run, self._schema(bars, isolate))

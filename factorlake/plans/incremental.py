@@ -4,21 +4,23 @@ from __future__ import annotations
 
 from datetime import date, timedelta
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
+from factorlake.functions.scalars import VENDOR_DAY
 from factorlake.operators.columns import in_range
 from factorlake.operators.joins import keep_dates, missing_dates
 from factorlake.plans.carry import carried_factors, long_factors
-from factorlake.plans.factors import compute_factors
+from factorlake.plans.factors import PandasFactor, compute_factors
 from factorlake.sources.lake import Lake
-from factorlake.sources.landing import ingest_order, normalize_bars
-from factorlake.sources.status import record_sync, reported
+from factorlake.sources.landing import ingest_order, normalize_bars, unreadable
+from factorlake.sources.status import PartialRun, record_sync, reported
 
 # Fixed value: days re-checked by a run.
 LOOKBACK_DAYS = 7
 # Errors kept in the status text of a factor run.
 FACTOR_ERRORS = 5
+NO_DAY = "unreadable day"
 
 
 def _last_day(days: DataFrame) -> date | None:
@@ -41,22 +43,24 @@ def factor_gaps(bars: DataFrame, gaps: DataFrame, names: list[str] | None = None
 
 def update_factors(lake: Lake, as_of: date, lookback_days: int = LOOKBACK_DAYS, force: bool = False,
                    names: list[str] | None = None, warmup_days: int | None = None,
-                   grain: list[str] | None = None) -> int:
+                   grain: list[str] | None = None, plugins: list[PandasFactor] | None = None) -> int:
     """Compute and store the factors of recent market days that have none; returns the row count.
 
     Values are those of the whole history of each symbol, so they do not depend on when the run
     happened: the run goes on from the state of each symbol at the end of the month before the first gap
     (see ``carry``) and reads no older bars. ``warmup_days`` starts afresh that many calendar days before the
     first gap instead.
-    ``grain=["time", "symbol"]`` looks for gaps per symbol as well. A failing run leaves an error
-    status and raises.
+    ``grain=["time", "symbol"]`` looks for gaps per symbol as well. ``plugins`` are computed for the same gaps, from
+    all history or from ``warmup_days`` before the first gap. Where a plug-in fails for a symbol, the
+    values of that symbol are left out and all else is stored; then the status names the first of these symbols, and
+    ``PartialRun`` is raised. A run that fails otherwise leaves an error status and raises.
     """
     with reported(lake, "factors"):
-        return _update_factors(lake, as_of, lookback_days, force, names, warmup_days, grain)
+        return _update_factors(lake, as_of, lookback_days, force, names, warmup_days, grain, plugins or [])
 
 
 def _update_factors(lake: Lake, as_of: date, lookback_days: int, force: bool, names: list[str] | None,
-                    warmup_days: int | None, grain: list[str] | None) -> int:
+                    warmup_days: int | None, grain: list[str] | None, plugins: list[PandasFactor]) -> int:
     start = as_of - timedelta(days=lookback_days)
     end = as_of + timedelta(days=1)
     recent = lake.scan("daily", start, end, closed="left")
@@ -73,9 +77,17 @@ def _update_factors(lake: Lake, as_of: date, lookback_days: int, force: bool, na
         computed = long_factors(carried_factors(lake, span["lo"], end, names)[0], names)
     else:
         computed = compute_factors(lake.load_ohlcv(span["lo"] - timedelta(days=warmup_days), end), names)
+    errors = []
+    for plugin in plugins:
+        first = None if warmup_days is None else span["lo"] - timedelta(days=warmup_days)
+        found, failed = plugin.compute_isolated(lake.load_ohlcv(first, end))
+        computed = computed.unionByName(found)
+        errors += [f"{r['symbol']}: {plugin.name}: {r['error']}" for r in failed.orderBy("symbol").limit(FACTOR_ERRORS).collect()]
     rows = keep_dates(computed, gaps, grain)
     n = lake.upsert("daily_factors", rows)
-    record_sync(lake, "factors", span["hi"], error_limit=FACTOR_ERRORS)
+    record_sync(lake, "factors", span["hi"], errors, error_limit=FACTOR_ERRORS)
+    if errors:
+        raise PartialRun(n, errors[:FACTOR_ERRORS])
     return n
 
 
@@ -86,7 +98,11 @@ def update_bars(lake: Lake, landed: DataFrame, calendar: DataFrame, as_of: date,
 
     ``order`` names ingest sequence columns of ``landed`` for batches with repeated keys; by
     default those of ``landing.with_ingest``, if it has them. Only days of the run are read from
-    the landing files. A failing run leaves an error status and raises.
+    the landing files.
+
+    A day with a row that cannot be read is left out as a whole and stays a gap, so the next run tries it again; all
+    other days are stored. Then the status names each such day, and ``PartialRun`` is raised. A run that fails
+    otherwise leaves an error status and raises.
     """
     with reported(lake, "daily"):
         return _update_bars(lake, landed, calendar, as_of, lookback_days, force, order)
@@ -101,8 +117,24 @@ def _update_bars(lake: Lake, landed: DataFrame, calendar: DataFrame, as_of: date
     order = [order] if isinstance(order, str) else order or ingest_order(landed)
     # The text of the day is what the files hold: this filter reaches their scan.
     recent = landed.filter(F.col("trade_date").between(start.strftime("%Y%m%d"), as_of.strftime("%Y%m%d")))
-    rows = keep_dates(normalize_bars(recent, order), gaps)
+    failed = _failed_days(recent, gaps)
+    days = F.coalesce(F.col("trade_date").isin([r["day"] for r in failed]), F.lit(False))
+    rows = keep_dates(normalize_bars(recent.filter(~days & unreadable(recent).isNull()), order), gaps)
     n = lake.upsert("daily", rows, order)
-    record_sync(lake, "daily", _last_day(lake.scan("daily", start, end, closed="left")))
+    errors = [f"{r['day']}: {r['n']} rows cannot be read ({r['columns']})" for r in failed]
+    record_sync(lake, "daily", _last_day(lake.scan("daily", start, end, closed="left")), errors)
+    if errors:
+        raise PartialRun(n, errors)
     return n
 
+
+def _failed_days(landed: DataFrame, gaps: DataFrame) -> list[Row]:
+    """One row for each gap with rows that cannot be read, and one for all rows whose day cannot be read."""
+    bad = landed.withColumn("columns", unreadable(landed)).filter("columns is not null")
+    bad = bad.withColumn("time", F.try_to_timestamp("trade_date", F.lit(VENDOR_DAY)))
+    of_gaps = bad.filter("time is null").unionByName(keep_dates(bad.filter("time is not null"), gaps))
+    day = F.when(F.col("time").isNull(), F.lit(NO_DAY)).otherwise(F.col("trade_date"))
+    return of_gaps.groupBy(day.alias("day")).agg(
+        F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_set("columns")), ",").alias("columns"),
+    ).orderBy("day").collect()
+

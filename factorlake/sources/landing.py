@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factorlake.functions.scalars import VENDOR_DAY, fmt_day, parse_day
@@ -29,6 +29,21 @@ def ingest_order(df: DataFrame) -> list[str]:
     return [c for c in INGEST if c in df.columns]
 
 
+def unreadable(raw: DataFrame) -> Column:
+    """The vendor columns of a row that hold no value of their kind, joined by commas; null where all can be read."""
+    def number(c: str) -> Column:
+        return F.col(c).try_cast("double")
+
+    broken = {"ts_code": F.col("ts_code").isNull(), "trade_date": F.try_to_timestamp("trade_date", F.lit(VENDOR_DAY)).isNull()}
+    for c in raw.columns:
+        if VENDOR_NAMES.get(c, c) in BAR_COLUMNS and c not in broken:
+            broken[c] = F.col(c).isNotNull() & number(c).isNull()
+    volume = number("vol")
+    broken["vol"] |= volume.isNotNull() & ~F.isnan(volume) & volume.try_cast("long").isNull()
+    names = F.concat_ws(",", *[F.when(test, F.lit(c)) for c, test in broken.items()])
+    return F.when(names != "", names)
+
+
 def normalize_bars(raw: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """Vendor columns to bar columns: renamed, dates parsed, volume whole.
 

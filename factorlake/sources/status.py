@@ -37,11 +37,21 @@ def record_sync(lake: Lake, data_type: str, last_date, errors: list[str] | None
                 status_row(lake.spark, data_type, last_date, errors, error_limit, as_of))
 
 
+class PartialRun(RuntimeError):
+    """A run that stored what it could; its status row names what failed."""
+
+    def __init__(self, stored: int, errors: list[str]):
+        super().__init__(f"{stored} rows stored; " + "; ".join(errors))
+        self.stored, self.errors = stored, errors
+
+
 @contextmanager
 def reported(lake: Lake, data_type: str, as_of: datetime | None = None) -> Iterator[None]:
     """Leave an error status of ``data_type`` if the work inside raises; its last day stays."""
     try:
         yield
+    except PartialRun:
+        raise
     except Exception as error:
         known = lake.scan("sync_status").filter(F.col("data_type") == data_type).select("last_date").first()
         text = f"{type(error).__name__}: {str(error).splitlines()[0] if str(error) else ''}"

@@ -5,12 +5,12 @@ from conftest import rows_of
 from pyspark.sql import functions as F
 
 from factorlake.functions import join_errors, metadata_to_json
-from factorlake.plans.factors import DEFAULT_NAMES, compute_factors
+from factorlake.plans.factors import DEFAULT_NAMES, PandasFactor, compute_factors
 from factorlake.plans.incremental import update_bars, update_factors
 from factorlake.sources import export
 from factorlake.sources.lake import Lake, as_double
 from factorlake.sources.landing import normalize_bars, scan_bars, scan_landing, to_vendor
-from factorlake.sources.status import record_sync
+from factorlake.sources.status import PartialRun, record_sync
 from factorlake.sources.upsert import merge
 
 
@@ -240,6 +240,45 @@ def test_a_failing_run_leaves_an_error_status(lake, bars):
     assert row["status"] == "error" and row["last_date"] == date(2024, 2, 9) and "nothing" in row["error_msg"]
 
 
+def test_a_day_that_cannot_be_read_does_not_stop_the_others(lake, bars):
+    landed = to_vendor(bars).withColumn("close", F.col("close").cast("string"))
+    bad = F.when((F.col("trade_date") == "20240205") & F.col("ts_code").startswith("000001"), "n/a").otherwise(F.col("close"))
+    landed_bad = landed.withColumn("close", bad).withColumn("vol", F.when(
+        F.col("trade_date") == "20240207", float("inf")).otherwise(F.col("vol")))
+    extra = landed_bad.limit(1).withColumn("trade_date", F.lit("2024010x"))
+    days = bars.select("time").distinct()
+    with pytest.raises(PartialRun) as partial:
+        update_bars(lake, landed_bad.unionByName(extra), days, date(2024, 2, 9), 60)
+    assert [e.split(":")[0] for e in partial.value.errors] == ["20240205", "20240207", "unreadable day"]
+    assert "(close)" in partial.value.errors[0] and "(vol)" in partial.value.errors[1]
+    stored = {str(r.time.date()) for r in lake.scan("daily").select("time").distinct().collect()}
+    assert stored == {str(r.time.date()) for r in days.collect()} - {"2024-02-05", "2024-02-07"}
+    row = lake.scan("sync_status").first()
+    assert row["status"] == "error" and row["error_msg"] == "; ".join(partial.value.errors)
+    # The days are still gaps: once they can be read, they come in.
+    assert update_bars(lake, landed, days, date(2024, 2, 9), 60) == 4
+    assert lake.scan("daily").count() == bars.count() and lake.scan("sync_status").first()["status"] == "ok"
+
+
+def test_a_plugin_that_fails_for_a_symbol_does_not_stop_the_others(lake, bars):
+    def top(rows):
+        if rows["symbol"].iloc[0].startswith("000001"):
+            raise ValueError("no such stock")
+        return rows["close"].rolling(2).max()
+
+    lake.upsert("daily", bars)
+    plugin = PandasFactor("top2", top, lookback=1)
+    with pytest.raises(PartialRun, match="000001.SZ: top2: ValueError: no such stock"):
+        update_factors(lake, date(2024, 2, 9), 60, names=["limit_up"], plugins=[plugin])
+    found = lake.load_factors(names=["top2", "limit_up"]).groupBy("factor_name", "symbol").count().collect()
+    assert {(r.factor_name, r.symbol) for r in found} == {
+        ("limit_up", "000001.SZ"), ("limit_up", "000002.SH"), ("top2", "000002.SH")}
+    row = lake.scan("sync_status").first()
+    assert row["status"] == "error" and "000001.SZ" in row["error_msg"]
+    with pytest.raises(Exception, match="no such stock"):
+        plugin.compute(bars).collect()
+
+
 def test_landing_scan_reads_only_the_days_of_the_run(lake, bars, folder):
     to_vendor(bars).write.parquet(f"{folder}/landing")
     landed = scan_landing(lake.spark, f"{folder}/landing")
