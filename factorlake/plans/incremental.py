@@ -119,7 +119,10 @@ def _update_bars(lake: Lake, landed: DataFrame, calendar: DataFrame, as_of: date
     recent = landed.filter(F.col("trade_date").between(start.strftime("%Y%m%d"), as_of.strftime("%Y%m%d")))
     failed = _failed_days(recent, gaps)
     days = F.coalesce(F.col("trade_date").isin([r["day"] for r in failed]), F.lit(False))
-    rows = keep_dates(normalize_bars(recent.filter(~days & unreadable(recent).isNull()), order), gaps)
+    good = ~days & unreadable(recent).isNull()
+    # The join below parses the day in a filter of its own, which may run before the one here.
+    readable = recent.filter(good).withColumn("trade_date", F.when(good, F.col("trade_date")))
+    rows = keep_dates(normalize_bars(readable, order), gaps)
     n = lake.upsert("daily", rows, order)
     errors = [f"{r['day']}: {r['n']} rows cannot be read ({r['columns']})" for r in failed]
     record_sync(lake, "daily", _last_day(lake.scan("daily", start, end, closed="left")), errors)
