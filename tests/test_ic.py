@@ -101,3 +101,16 @@ def test_ic_is_bounded_and_summary_is_consistent(spark, returns):
 def test_rank_factors_puts_missing_ratios_first(spark):
     df = spark.createDataFrame([(1, "a", 0.5), (1, "b", None), (1, "c", 0.9)], "lag int, factor_name string, ic_ir double")
     assert [r["factor_name"] for r in ic.rank_factors(df).collect()] == ["b", "c", "a"]
+
+
+def test_day_in_one_task_equals_split_day(spark):
+    """Ties, gaps, a constant factor and a day of one stock: numpy per day gives what value counts give."""
+    rows = [(f"2024-01-0{1 + k % 3}" if k else "2024-01-09", 0.1, None if k % 5 == 0 else float(k * 7 % 11),
+             None if k % 4 == 1 else float(k % 6)) for k in range(80)]
+    df = spark.createDataFrame(rows, "day string, flat double, x double, fwd_1 double").selectExpr(
+        "to_timestamp(day) AS time", "flat", "x", "fwd_1")
+    whole = ic._daily_ic(df, ["flat", "x"], [1], 80)
+    plan = whole._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapGroupsInArrow" in plan and "Window" not in plan
+    assert rows_of(whole) == rows_of(ic._daily_ic_split(df, ["flat", "x"], [1]))
+    assert whole.filter("factor_name = 'flat' and (ic is not null or rank_ic is not null)").isEmpty()
