@@ -12,6 +12,7 @@ from factorlake.sources.lake import Lake, as_double
 from factorlake.sources.landing import normalize_bars, scan_bars, scan_landing, to_vendor
 from factorlake.sources.status import PartialRun, record_sync
 from factorlake.sources.upsert import merge
+from factorlake.session import bound_tasks
 
 
 @pytest.fixture
@@ -377,3 +378,29 @@ def test_ic_of_days_is_completed_later(spark, make_bars, folder):
     research.update_ic(lakes[0], date(2024, 3, 30), names, lags)
     # Only the last five rows of each symbol are open.
     assert min(a[0] for name, a in scans if name == "daily") >= date(2024, 3, 20)
+
+
+def test_upsert_shuffles_rows_once_and_writes_them_once(spark, make_bars, folder):
+    """A row is dealt out by partition and slot, merged where it lies, and written without a staging table."""
+    lake = Lake(spark, folder)
+    bars = make_bars({"a": [float(k) for k in range(1, 61)], "b": [float(k) for k in range(2, 62)]})
+    assert lake.upsert("daily", bars) == 120
+    assert lake.upsert("daily", bars.filter("symbol = 'a'").withColumn("close", F.lit(9.0))) == 60
+    assert rows_of(as_double(lake.scan("daily")), "symbol", "close")[:2] == [("a", 9.0)] * 2
+    assert lake.scan("daily").count() == 120
+    assert not lake._exists(f"{folder}/_staging/daily")
+
+
+def test_tasks_are_bounded_by_rows(spark):
+    number = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+    keys = [number, "spark.sql.adaptive.advisoryPartitionSizeInBytes", "spark.sql.files.maxPartitionBytes"]
+    before = {k: spark.conf.get(k, None) for k in keys}
+    try:
+        bound_tasks(spark, 36_000_000)
+        one = int(spark.conf.get(number))
+        bound_tasks(spark, 6 * 36_000_000)
+        assert int(spark.conf.get(number)) == 6 * one
+        assert 36_000_000 / one <= 50_000
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
