@@ -5,10 +5,15 @@ these trees are the leaves of the tree above them. Both are built in tiers: alig
 neighbours (1,024) become one node each, which are the entries of the next tier, until one is left. A
 task holds one block at a time, so a partition that holds a third of all rows is as many blocks.
 
-A changed leaf makes a version. It copies the ancestors of the leaf within its block and shares
-every other node with the first version; then it goes on with the ancestors of the block, one
-node a level, up to a root of its own. The path above a block is handed down from tier to
-tier, at most 1,024 entries from each block, so versions of one block meet only that block's path.
+Every node is hashed once, when its block is built, and stored with it. All that follows reads stored nodes:
+the proof of a leaf is its own sibling and those of its ancestors, and folding any leaf along its proof has to
+end in the root, so an untouched leaf is verified by the same steps as a changed one.
+
+A changed leaf makes a version. It copies the ancestors of the leaf, up to a root of its own; each copy
+names its two children, of which one is the copy below and the other a node that the version shares with the
+first one. Copies are stored beside the nodes, so the leaves of every version can be reached from its root. The
+path above a block is handed down from tier to tier, at most 1,024 entries from each block, so versions of
+one block meet only that block's path.
 """
 
 from __future__ import annotations
@@ -16,10 +21,12 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType, StructType
 
 from factorlake.llm.common import small_batches, stored
 
@@ -27,6 +34,8 @@ from factorlake.llm.common import small_batches, stored
 BITS = 10
 
 STEP = "struct<sibling:string,left:boolean>"
+STEPS = pa.list_(pa.struct([("sibling", pa.string()), ("left", pa.bool_())]))
+COPIES = pa.list_(pa.struct([("hash", pa.string()), ("left", pa.string()), ("right", pa.string())]))
 
 
 def joined(*parts: str) -> str:
@@ -43,36 +52,35 @@ def leaf_hash(*fields: Column) -> Column:
     return F.sha2(F.concat(*told), 256)
 
 
-class Block:
-    """The nodes above up to ``2 ** bits`` neighbours of a tree of ``size`` entries. If the tree has other
-    blocks, the block's top stands ``bits`` levels above its entries, however few these are."""
+def above_entries(entries: list[str], size: int, bits: int) -> list[list[str]]:
+    """The nodes above up to ``2 ** bits`` neighbours of a tree of ``size`` entries, level by level. If the tree
+    has other blocks, the block's top stands ``bits`` levels above its entries, however few these are."""
+    levels = []
+    below = entries
+    while len(below) > 1 or (size > 1 << bits and len(levels) < bits):
+        below = [joined(*below[k:k + 2]) for k in range(0, len(below), 2)]
+        levels.append(below)
+    return levels
 
-    def __init__(self, entries: list[str], size: int, bits: int):
-        self.levels = [entries]
-        while len(self.levels[-1]) > 1 or (size > 1 << bits and len(self.levels) <= bits):
-            below = self.levels[-1]
-            self.levels.append([joined(*below[k:k + 2]) for k in range(0, len(below), 2)])
 
-    @property
-    def top(self) -> str:
-        return self.levels[-1][0]
+def siblings(levels: list[list[str]], at: int) -> list[tuple[str | None, bool]]:
+    """(sibling or None, is it on the left) from the entry ``at`` of the lowest level up to the top."""
+    steps = []
+    for level in levels[:-1]:
+        other = at ^ 1
+        steps.append((level[other] if other < len(level) else None, other < at))
+        at >>= 1
+    return steps
 
-    def path(self, at: int) -> list[tuple[str | None, bool]]:
-        """(sibling or None, is it on the left) from the entry up to the top."""
-        steps = []
-        for level in self.levels[:-1]:
-            other = at ^ 1
-            steps.append((level[other] if other < len(level) else None, other < at))
-            at >>= 1
-        return steps
 
-
-def copied(leaf: str, steps: list[tuple[str | None, bool]]) -> list[str]:
-    """The ancestors of a changed entry along its path, from the bottom up: all that a version adds."""
+def fold(leaf: str, steps: list[tuple[str | None, bool]]) -> list[tuple[str, str, str | None]]:
+    """The ancestors (hash, left child, right child) of an entry along its path, from the bottom up. For a changed
+    entry these are the copies of a version, else the nodes that are there."""
     nodes = []
     for sibling, left in steps:
-        leaf = joined(leaf) if sibling is None else joined(sibling, leaf) if left else joined(leaf, sibling)
-        nodes.append(leaf)
+        children = (leaf, None) if sibling is None else (sibling, leaf) if left else (leaf, sibling)
+        leaf = joined(*[c for c in children if c is not None])
+        nodes.append((leaf, *children))
     return nodes
 
 
@@ -97,57 +105,73 @@ def placed(rows: DataFrame, by: str, order: list[str]) -> DataFrame:
 
 @dataclass
 class Trees:
-    """Built trees: ``tiers[0]`` holds the blocks of leaves; ``roots`` (tree, root)."""
+    """Stored trees: ``tiers`` from the leaves up, each a table of blocks (tree, size, block, entries, nodes, top),
+    whose ``nodes`` are the levels above the entries; ``roots`` (tree, root)."""
 
     tiers: list[DataFrame]
     roots: DataFrame
     bits: int
 
-
-def build(nodes: DataFrame, bits: int = BITS) -> Trees:
+    def nodes(self) -> DataFrame:
+        """(tree, level, pos, hash, left, right) of every stored node; leaves are level 0 and have no row."""
+        found = []
+        for tier, blocks in enumerate(self.tiers):
+            levels = blocks.withColumn("below", F.concat(F.array("entries.hash"), "nodes")).select(
+                "tree", "block", "below", F.posexplode("nodes").alias("k", "level")).select(
+                "tree", "block", "k", F.get("below", "k").alias("below"), F.posexplode("level").alias("at", "hash"))
+            found.append(levels.select(
+                "tree", (F.lit(tier * self.bits + 1) + F.col("k")).alias("level"),
+                (F.col("block") * F.expr(f"shiftleft(1L, greatest({self.bits - 1} - k, 0))") + F.col("at")).alias("pos"),
+                "hash", F.get("below", 2 * F.col("at")).alias("left"), F.get("below", 2 * F.col("at") + 1).alias("right")))
+        return reduce(DataFrame.unionByName, found)
+
+
+def build(entries: DataFrame, bits: int = BITS) -> Trees:
     """Trees over rows (tree, pos, size, hash, and any others, which stay with their block)."""
-    extra = [c for c in nodes.columns if c not in ("tree", "size")]
-    tiers = []
-    while True:
-        blocks = stored(nodes.groupBy("tree", "size", F.shiftright("pos", bits).alias("block")).agg(
-            F.sort_array(F.collect_list(F.struct("pos", *[c for c in extra if c != "pos"]))).alias("entries")), "blocks")
-        tiers.append(blocks)
-        extra = ["pos", "hash"]
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                tops = []
-                sizes = batch.column(1).to_pylist()
-                for k, size in enumerate(sizes):
-                    hashes = batch.column(3).slice(k, 1)[0].as_py()
-                    tops.append(Block(hashes, size, bits).top)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), batch.column(2), pa.array([-(-s >> bits) for s in sizes], pa.int64()),
-                     pa.array(tops, pa.string())], names=["tree", "pos", "size", "hash"])
-
-        nodes = stored(small_batches(blocks.select("tree", "size", "block", F.col("entries.hash").alias("hashes")))
-                       .mapInArrow(run, "tree string, pos long, size long, hash string"), "tops")
-        if nodes.where("size > 1").isEmpty():
-            return Trees(tiers, nodes.select("tree", F.col("hash").alias("root")), bits)
+    extra = [c for c in entries.columns if c not in ("tree", "size", "pos")]
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = batch.column("size").to_pylist()
+            hashes = batch.column("hashes").to_pylist()
+            nodes = [above_entries(h, s, bits) for h, s in zip(hashes, sizes)]
+            tops = [n[-1][0] if n else h[0] for n, h in zip(nodes, hashes)]
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(c) for c in ("tree", "size", "block", "entries")),
+                 pa.array(nodes, pa.list_(pa.list_(pa.string()))), pa.array(tops, pa.string())],
+                names=["tree", "size", "block", "entries", "nodes", "top"])
 
-def _with_paths(blocks: DataFrame, above: DataFrame, bits: int) -> DataFrame:
+    tiers = []
+    while True:
+        blocks = entries.groupBy("tree", "size", F.shiftright("pos", bits).alias("block")).agg(
+            F.sort_array(F.collect_list(F.struct("pos", *extra))).alias("entries"))
+        schema = StructType(blocks.schema.fields).add("nodes", ArrayType(ArrayType(StringType()))).add("top", StringType())
+        tiers.append(stored(small_batches(blocks.withColumn("hashes", F.col("entries.hash"))).mapInArrow(run, schema),
+                            "nodes"))
+        entries = tiers[-1].select("tree", F.col("block").alias("pos"),
+                                   F.shiftright(F.col("size") + (1 << bits) - 1, bits).alias("size"),
+                                   F.col("top").alias("hash"))
+        extra = ["hash"]
+        if entries.where("size > 1").isEmpty():
+            return Trees(tiers, entries.select("tree", F.col("hash").alias("root")), bits)
+
+
+def _with_paths(blocks: DataFrame, above: DataFrame) -> DataFrame:
     """Entries of blocks with their path: within the block, then what ``above`` (tree, pos, path) says of it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
-                tree, size, entries, path = (batch.column(c)[k].as_py() for c in range(4))
-                block = Block([e["hash"] for e in entries], size, bits)
-                paths = [[{"sibling": s, "left": left} for s, left in block.path(i)] + path
-                         for i in range(len(entries))]
+                tree, places, hashes, nodes, path = (batch.column(c)[k].as_py() for c in range(5))
+                levels = [hashes, *nodes]
+                paths = [[{"sibling": s, "left": left} for s, left in siblings(levels, i)] + path
+                         for i in range(len(hashes))]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([tree] * len(entries)), pa.array([e["pos"] for e in entries], pa.int64()),
-                     pa.array(paths, pa.list_(pa.struct([("sibling", pa.string()), ("left", pa.bool_())])))],
+                    [pa.array([tree] * len(hashes)), pa.array(places, pa.int64()), pa.array(paths, STEPS)],
                     names=["tree", "pos", "path"])
 
     joined_up = blocks.join(above.select("tree", F.col("pos").alias("block"), "path"), ["tree", "block"])
-    return small_batches(joined_up.select("tree", "size", "entries", "path")).mapInArrow(
+    return small_batches(joined_up.select("tree", "entries.pos", "entries.hash", "nodes", "path")).mapInArrow(
         run, f"tree string, pos long, path array<{STEP}>")
 
 
@@ -156,26 +180,23 @@ def paths_to_blocks(trees: Trees, above: DataFrame) -> DataFrame:
     each root."""
     paths = above.withColumn("pos", F.lit(0).cast("long"))
     for blocks in reversed(trees.tiers[1:]):
-        paths = stored(_with_paths(blocks, paths, trees.bits), "paths")
+        paths = stored(_with_paths(blocks, paths), "paths")
     return paths
 
 
-PROOF = ("doc_id long, leaf string, subroot string, proof_sha256 string, folded_root string, "
-         "n_copied long, copied array<string>")
+@dataclass
+class Store:
+    """Stored nodes of the first version: ``trees`` of the partitions, the ``forest`` over their roots, and the
+    ``root`` (None without rows)."""
 
+    trees: Trees
+    forest: Trees
+    root: str | None
 
-def manifest(docs: DataFrame, fields: list[Column], part: Column, key: Column, changed: Column | None = None,
-             nodes: bool = False, bits: int = BITS) -> DataFrame:
-    """doc_id (the key), leaf, subroot, root, proof_sha256, folded_root, n_copied of every row.
 
-    ``part`` names the tree of a row, ``fields`` are hashed to its leaf, and ``changed`` is a leaf that
-    stands in its place in a version of its own (null or equal: no version). ``folded_root`` is the
-    root of that version, the root itself without one; ``n_copied`` the nodes the version does not share,
-    which ``nodes`` adds as ``copied``, from the leaf's parent to the root.
-
-    A null part is a tree before all others. Leaves of one tree stand by key, null before all others, and rows
-    that repeat a key by leaf, so that equal rows are interchangeable. An empty table gives no row.
-    """
+def keep(docs: DataFrame, fields: list[Column], part: Column, key: Column, changed: Column | None = None,
+         bits: int = BITS) -> Store:
+    """Builds and stores the first version; changed leaves wait beside the leaves they stand for."""
     # 'v' keeps the byte order and null apart from every name.
     tree = F.coalesce(F.concat(F.lit("v"), part.cast("string")), F.lit("n"))
     rows = stored(docs.select(tree.alias("tree"), key.cast("long").alias("doc_id"), leaf_hash(*fields).alias("hash"),
@@ -184,12 +205,25 @@ def manifest(docs: DataFrame, fields: list[Column], part: Column, key: Column, c
     forest = build(placed(trees.roots.select(F.lit("").alias("tree"), F.col("tree").alias("name"),
                                              F.col("root").alias("hash")), "tree", ["name"]), bits)
     top = forest.roots.first()
-    root = F.lit(None if top is None else top["root"]).cast("string")
+    return Store(trees, forest, None if top is None else top["root"])
+
+
+VERSION = ("doc_id long, leaf string, subroot string, proof_sha256 string, folded_root string, "
+           "copied array<struct<hash:string,left:string,right:string>>")
+
+
+def versions(store: Store) -> DataFrame:
+    """doc_id, leaf, subroot, proof_sha256, folded_root and copied of every leaf, stored.
 
+    The leaf, or the changed one in its place, is folded along the siblings that the store holds. For a changed
+    leaf the nodes on the way are its version: ``copied`` (hash, left, right) from the leaf's parent to
+    ``folded_root``, the root of the version. Other leaves copy nothing.
+    """
+    trees, forest = store.trees, store.forest
     start = forest.roots.select("tree", F.array().cast(f"array<{STEP}>").alias("path"))
     upper = paths_to_blocks(forest, start)
     # The entries of the forest's lowest blocks are the trees.
-    in_forest = stored(_with_paths(forest.tiers[0], upper, bits), "forest")
+    in_forest = stored(_with_paths(forest.tiers[0], upper), "forest")
     names = forest.tiers[0].select("tree", F.explode("entries").alias("e")).select(
         F.col("e.pos").alias("pos"), F.col("e.name").alias("name"), F.col("e.hash").alias("subroot"))
     per_tree = in_forest.join(names, "pos").select(F.col("name").alias("tree"), "subroot", "path")
@@ -199,35 +233,45 @@ def manifest(docs: DataFrame, fields: list[Column], part: Column, key: Column, c
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
-                size, entries, path, subroot = (batch.column(c)[k].as_py() for c in range(4))
-                block = Block([e["hash"] for e in entries], size, bits)
+                keys, hashes, changed, nodes, path, subroot = (batch.column(c)[k].as_py() for c in range(6))
+                levels = [hashes, *nodes]
                 shared = [(step["sibling"], step["left"]) for step in path]
-                over = "".join(s for s, _ in shared if s is not None)
-                proofs, roots, added = [], [], []
-                for at, entry in enumerate(entries):
-                    within = block.path(at)
-                    proofs.append(joined(*[s for s, _ in within if s is not None], over))
-                    if entry["changed"] is None or entry["changed"] == entry["hash"]:
-                        roots.append(None)
-                        added.append([])
-                        continue
-                    new = copied(entry["changed"], within)
-                    new += copied(new[-1] if new else entry["changed"], shared)
-                    # A tree of one leaf in a forest of one tree: the changed leaf is the root.
-                    roots.append(new[-1] if new else entry["changed"])
-                    added.append(new)
+                proofs, roots, copies = [], [], []
+                for at, (leaf, new) in enumerate(zip(hashes, changed)):
+                    steps = siblings(levels, at) + shared
+                    proofs.append(joined(*[s for s, _ in steps if s is not None]))
+                    folded = fold(leaf if new is None else new, steps)
+                    # A tree of one leaf in a forest of one tree: the leaf is the root.
+                    roots.append(folded[-1][0] if folded else leaf if new is None else new)
+                    copies.append([] if new is None or new == leaf else folded)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([e["doc_id"] for e in entries], pa.int64()), pa.array([e["hash"] for e in entries]),
-                     pa.array([subroot] * len(entries)), pa.array(proofs), pa.array(roots, pa.string()),
-                     pa.array([len(a) for a in added], pa.int64()),
-                     pa.array(added if nodes else [None] * len(added), pa.list_(pa.string()))],
-                    names=["doc_id", "leaf", "subroot", "proof_sha256", "folded_root", "n_copied", "copied"])
+                    [pa.array(keys, pa.int64()), pa.array(hashes, pa.string()),
+                     pa.array([subroot] * len(hashes), pa.string()), pa.array(proofs, pa.string()),
+                     pa.array(roots, pa.string()), pa.array(copies, COPIES)],
+                    names=["doc_id", "leaf", "subroot", "proof_sha256", "folded_root", "copied"])
 
     leaves = trees.tiers[0].join(above.withColumnRenamed("pos", "block"), ["tree", "block"])
-    found = small_batches(leaves.select("size", "entries", "path", "subroot")).mapInArrow(run, PROOF)
-    return found.select("doc_id", "leaf", "subroot", root.alias("root"), "proof_sha256",
-                        F.coalesce("folded_root", root).alias("folded_root"), "n_copied",
-                        *(["copied"] if nodes else []))
+    return stored(small_batches(leaves.select("entries.doc_id", "entries.hash", "entries.changed", "nodes", "path",
+                                              "subroot")).mapInArrow(run, VERSION), "versions")
+
+
+def manifest(docs: DataFrame, fields: list[Column], part: Column, key: Column, changed: Column | None = None,
+             nodes: bool = False, bits: int = BITS) -> DataFrame:
+    """doc_id (the key), leaf, subroot, root, proof_sha256, folded_root, n_copied of every row.
+
+    ``part`` names the tree of a row, ``fields`` are hashed to its leaf, and ``changed`` is a leaf that
+    stands in its place in a version of its own (null or equal: no version). ``folded_root`` is where the
+    changed, else the original leaf ends along its stored siblings: the root of that version, or the root itself;
+    ``n_copied`` the nodes the version does not share, which ``nodes`` adds as ``copied``, from the leaf's
+    parent to the root.
+
+    A null part is a tree before all others. Leaves of one tree stand by key, null before all others, and rows
+    that repeat a key by leaf, so that equal rows are interchangeable. An empty table gives no row.
+    """
+    store = keep(docs, fields, part, key, changed, bits)
+    return versions(store).select(
+        "doc_id", "leaf", "subroot", F.lit(store.root).cast("string").alias("root"), "proof_sha256", "folded_root",
+        F.size("copied").cast("long").alias("n_copied"), *([F.col("copied.hash").alias("copied")] if nodes else []))
 
 
 def tampered_leaf(docs_key: Column, n_chars: Column, others: list[Column], text: Column, every: int = 7) -> Column:

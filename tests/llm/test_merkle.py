@@ -87,3 +87,62 @@ def test_one_changed_leaf_is_its_own_root(spark):
     got = found(spark.createDataFrame(table, table_of(spark, []).schema)).first()
     assert (got.leaf == got.root) and got.folded_root != got.root and got.n_copied == 0
     assert rows((hit, "alone"))[0][0] == hit
+
+
+def kept(spark, n=97):
+    table = [(i, f"text {i}", None if i % 13 == 0 else "a" if i < 70 else "b", "s", i, *["x"] * 7) for i in range(n)]
+    docs = spark.createDataFrame(table, table_of(spark, []).schema).repartition(7)
+    fields = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars", "text")]
+    changed = merkle.tampered_leaf(fields[0], fields[3], fields[1:3], fields[4])
+    return table, merkle.keep(docs, fields, F.col("lang"), F.col("doc_id"), changed, bits=3)
+
+
+def test_every_version_is_read_from_stored_nodes(spark):
+    table, store = kept(spark)
+    known = {}
+    for trees in (store.trees, store.forest):
+        for r in trees.nodes().collect():
+            assert r.hash == h(*[c for c in (r.left, r.right) if c is not None])
+            known[r.hash] = (r.left, r.right)
+    rows_ = merkle.versions(store).collect()
+    places = {}
+    for i, _, lang, *_ in sorted(table, key=lambda r: (r[2] is not None, r[2] or "", r[0])):
+        places[i] = len(places)
+
+    def leaves(node, nodes):
+        if node not in nodes:
+            return [node]
+        return [leaf for child in nodes[node] if child is not None for leaf in leaves(child, nodes)]
+
+    first = leaves(store.root, known)
+    assert first == [r.leaf for r in sorted(rows_, key=lambda r: places[r.doc_id])]
+    seen = 0
+    for r in rows_:
+        added = {c.hash: (c.left, c.right) for c in r.copied}
+        assert not set(added) & set(known)
+        now = leaves(r.folded_root, known | added)
+        assert [k for k, (a, b) in enumerate(zip(first, now, strict=True)) if a != b] == ([places[r.doc_id]] if added else [])
+        seen += bool(added)
+    assert seen == sum(zlib.crc32(str(r[0]).encode()) % 7 == 0 for r in table)
+
+
+def test_places_of_stored_nodes(spark):
+    table, store = kept(spark)
+    want = set()
+    for lang in {r[2] for r in table}:
+        of = [h(*map(told, (i, s, lang_, n, t))) for i, t, lang_, s, n, *_ in table if lang_ == lang]
+        for level, nodes in enumerate(tree(of)):
+            want |= {("n" if lang is None else f"v{lang}", level, pos, node) for pos, node in enumerate(nodes) if level}
+    assert {(r.tree, r.level, r.pos, r.hash) for r in store.trees.nodes().collect()} == want
+
+
+def test_untouched_leaves_are_folded_too(spark):
+    _, store = kept(spark)
+    # One stored node of the tree of "a" is damaged: parent of its leaves 0 and 1, so sibling of 2 and 3.
+    damaged = F.when((F.col("tree") == "va") & (F.col("block") == 0), F.transform(
+        "nodes", lambda level, k: F.when(k == 0, F.concat(F.array(F.lit("0" * 64)), F.slice(level, 2, F.size(level) - 1)))
+        .otherwise(level))).otherwise(F.col("nodes"))
+    store.trees.tiers[0] = store.trees.tiers[0].withColumn("nodes", damaged)
+    off = {r.doc_id for r in merkle.versions(store).collect() if r.folded_root != store.root and not r.copied}
+    hit = {i for i in (3, 4) if zlib.crc32(str(i).encode()) % 7 == 0}
+    assert off == {3, 4} - hit and off
