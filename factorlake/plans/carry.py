@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from factorlake.functions.ewm import COUNT, MEMORY, OLD, TAIL, Ewm, carry, place, so_far
+from factorlake.operators.groups import measure
 from factorlake.operators.ordered import BLOCK, POS, over_series
 from factorlake.operators.reshape import ID, to_long
 from factorlake.plans.factors import FEATURES, LONG_MA, LookBack, add_features, needed_features, select_factors
@@ -43,20 +44,24 @@ def _resumed(bars: DataFrame, state: DataFrame | None) -> DataFrame:
 
 
 def replay(bars: DataFrame, state: DataFrame | None, names: list[str] | None = None,
-           bound: int | None = None) -> DataFrame:
+           bound: int | None = None, ends: bool = True) -> DataFrame:
     """One column per factor for the bars, which all come after the month of ``state`` (None: from the start).
 
     With the columns of a state (n, closes and means, the closes only on the last row of a symbol's month)
-    and ``month_end``, which tells these rows.
+    and ``month_end``, which tells these rows. Without ``ends`` there are none of these, and only the means that the
+    factors need are computed.
     """
     factors = select_factors(names)
-    features = needed_features(factors, MEANS)
+    features = needed_features(factors, MEANS if ends else ())
     before = max(CLOSES, *[f.rows for f in features if isinstance(f, LookBack)]) + 2 * MEMORY
     rows = _resumed(bars.filter(F.col("close").isNotNull()), state).withColumn(MONTH, F.trunc("time", "month"))
     kept = [c for c in bars.columns if c not in {f.name for f in factors}]
 
     def add(df, series):
         df = add_features(df, series, features, resumed=True)
+        if not ends:
+            keys = [c for c in (POS, BLOCK) if c in df.columns]
+            return df.select(*kept, *keys, OLD, *[f.build().alias(f.name) for f in factors])
         last = F.coalesce(series.ahead(MONTH) != F.col(MONTH), F.lit(True))
         closes = F.collect_list("close").over(series.last(CLOSES))
         df = df.select("*", (place(True) + 1).alias("n"), last.alias("month_end"), closes.alias("__closes"))
@@ -153,17 +158,19 @@ def base_state(lake: Lake, first: date) -> tuple[DataFrame | None, date | None]:
 
 
 def carried_factors(lake: Lake, first: date, end_excl: date | None, names: list[str] | None = None,
-                    symbols: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame | None]:
-    """Long factor rows of the bars from month ``first`` on, with the bars they are made of and their state.
+                    symbols: DataFrame | None = None, ends: bool = True) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """Factor columns of the bars from month ``first`` on, with the bars they are made of and their state.
 
-    ``symbols`` (one column) keeps the rows of these only.
+    ``symbols`` (one row each) keeps the rows of these only and gives them its other columns.
     """
     state, start = base_state(lake, first)
     bars = _bars(lake, start, end_excl)
+    # Counted before the join, whose shuffle serves the windows too.
+    bound = measure(bars, ["symbol"]).largest + CLOSES
     if symbols is not None:
-        bars = bars.join(symbols, "symbol", "left_semi")
+        bars = bars.join(symbols, "symbol")
         state = state and state.join(symbols, "symbol", "left_semi")
-    return replay(bars, state, names), bars, state
+    return replay(bars, state, names, bound, ends), bars, state
 
 
 def long_factors(rows: DataFrame, names: list[str] | None = None) -> DataFrame:

@@ -74,7 +74,7 @@ def _update_factors(lake: Lake, as_of: date, lookback_days: int, force: bool, na
         record_sync(lake, "factors", last, error_limit=FACTOR_ERRORS)
         return 0
     if warmup_days is None:
-        computed = long_factors(carried_factors(lake, span["lo"], end, names)[0], names)
+        computed = long_factors(carried_factors(lake, span["lo"], end, names, ends=False)[0], names)
     else:
         computed = compute_factors(lake.load_ohlcv(span["lo"] - timedelta(days=warmup_days), end), names)
     errors = []

@@ -48,24 +48,21 @@ def stream_factors(bars: DataFrame, lake: Lake, checkpoint: str, names: list[str
     """
 
     def refresh(rows: DataFrame, _: int) -> int:
-        rows = rows.persist()
-        try:
-            n = lake.upsert("daily", rows, ingest_order(rows), keep_states=True)
+        with lake.staged(rows) as rows:
+            n = lake.upsert("daily", rows, ingest_order(rows), keep_states=True, staged=True)
             if not n:
                 return 0
             since = rows.groupBy("symbol").agg(F.min("time").alias("__since"))
             first = rows.agg(F.min("time").cast("date").alias("d")).first()["d"]
             stale = [m for m in lake.months("factor_state") if m >= str(first)[:7]]
-            computed, stored, state = carried_factors(lake, first, None, names, since.select("symbol"))
-            computed = durable(computed)
-            late = long_factors(computed, names).join(since, "symbol").filter("time >= __since")
-            lake.upsert("daily_factors", late.drop("__since"))
+            computed, stored, state = carried_factors(lake, first, None, names, since, ends=bool(stale))
+            if stale:
+                computed = durable(computed)  # read for the factors and for the states
+            lake.upsert("daily_factors", long_factors(computed.filter("time >= __since"), names))
             if stale:
                 # States that the batch came too late for, of the symbols it touches.
                 again = [date.fromisoformat(f"{m}-01") for m in (str(first)[:7], stale[-1])]
                 lake.upsert("factor_state", states(computed, stored, state, *again))
             return n
-        finally:
-            rows.unpersist()
 
     return _start(bars, checkpoint, once, refresh, mode="append", ledger=Ledger(lake, checkpoint, "factors"))

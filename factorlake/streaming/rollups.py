@@ -53,9 +53,8 @@ def _stream(bars: DataFrame, lake: Lake, checkpoint: str, unit: str, once: bool)
     """
 
     def refresh(rows: DataFrame, _: int) -> None:
-        rows = rows.persist()
-        try:
-            if not lake.upsert("daily", rows, ingest_order(rows)):
+        with lake.staged(rows) as rows:
+            if not lake.upsert("daily", rows, ingest_order(rows), staged=True):
                 return
             buckets = rows.select(bucket("time", unit).alias("bucket")).distinct()
             ends = buckets.agg(F.min("bucket").alias("lo"), F.max("bucket").alias("hi")).first()
@@ -65,8 +64,6 @@ def _stream(bars: DataFrame, lake: Lake, checkpoint: str, unit: str, once: bool)
             touched = (as_double(stored).withColumn("bucket", bucket("time", unit))
                        .join(buckets, "bucket", "left_semi"))
             lake.upsert(VIEWS[unit], resample(touched, unit))
-        finally:
-            rows.unpersist()
 
     return _start(bars, checkpoint, once, refresh, mode="append")
 
