@@ -14,6 +14,7 @@ from pyspark.sql.streaming import StreamingQuery
 from factorlake.functions.scalars import bucket
 from factorlake.operators.resample import ohlcv, resample
 from factorlake.schemas import TABLES
+from factorlake.session import state_on_disk
 from factorlake.sources.lake import Lake, as_double
 from factorlake.sources.landing import ingest_order
 from factorlake.streaming.ledger import Ledger
@@ -137,19 +138,17 @@ def stream_closed(bars: DataFrame, lake: Lake, checkpoint: str, unit: str, water
     def admit(rows: DataFrame, batch: int) -> None:
         if newest(batch) is not None:
             return  # done before
-        rows = rows.withColumn("__event", _event(unit)).filter(F.col("__event").isNotNull()).persist()
-        try:
+        with lake.staged(rows.withColumn("__event", _event(unit)).filter(F.col("__event").isNotNull())) as rows:
             earlier = newest(batch - 1) if batch else None
             known = earlier and earlier["event"]
             late = F.lit(False) if known is None else F.col("__event") <= F.lit(known - delay)
-            lake.upsert("late_bars", rows.filter(late).withColumn("view", F.lit(view)), ingest_order(rows))
+            lake.upsert("late_bars", rows.filter(late).withColumn("view", F.lit(view)), ingest_order(rows), staged=True)
             fresh = as_double(rows.filter(~late)).select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema])
             fresh.write.mode("overwrite").parquet(f"{accepted}/batch={batch}")
             top = rows.agg(F.greatest(F.max("__event"), F.lit(known).cast("timestamp")).alias("event"))
             top.write.mode("overwrite").parquet(f"{progress}/batch={batch}")
-        finally:
-            rows.unpersist()
 
+    state_on_disk(spark)
     # A folder that holds no batch yet can be listed by the second query.
     spark.createDataFrame([], schema).write.mode("ignore").parquet(f"{accepted}/batch=-1")
     first = _start(bars, f"{checkpoint}/admit", once, admit, mode="append")

@@ -1,16 +1,18 @@
 """What stored runs leave behind and what they do without: room on disk, memory and passes over the rows."""
 
 import os
+from datetime import timedelta
 
 import pytest
 from conftest import rows_of
 from pyspark.sql import functions as F
 
 from factorlake.plans.factors import compute_factors
+from factorlake.session import STATE
 from factorlake.sources.lake import Lake
 from factorlake.sources.landing import normalize_bars, to_vendor
 from factorlake.sources.upsert import merge
-from factorlake.streaming import ingest
+from factorlake.streaming import ingest, rollups
 
 BASE = "k int, p string, v int, w double, kept int"
 
@@ -63,3 +65,26 @@ def test_factor_stream_without_stored_states_computes_none(spark, make_bars, fol
     ingest.stream_factors(source, lake, f"{folder}/cp", names).awaitTermination()
     assert rows_of(lake.scan("daily_factors")) == rows_of(compute_factors(bars, names))
     assert len(asked) == 2 and not {"closes", "month_end"} & {c for found in asked for c in found[0].columns}
+
+
+def test_state_of_a_watermarked_rollup_is_on_disk_in_bounded_memory(spark, make_bars, folder):
+    """Whatever store the session names, no row of a state is held on the heap."""
+    bars = make_bars({s: [float(50 + (k * n) % 13) for k in range(40)] for n, s in enumerate("ab", 3)}).withColumn(
+        "pct_change", F.lit(0.5))
+    to_vendor(bars).coalesce(1).write.parquet(f"{folder}/landing")
+    confs = {f"{STATE}{c}": None for c in ("providerClass", "rocksdb.boundedMemoryUsage", "rocksdb.maxMemoryUsageMB",
+                                           "rocksdb.trackTotalNumberOfRows")}
+    before = {c: spark.conf.get(c, None) for c in confs}
+    spark.conf.set(f"{STATE}providerClass",
+                   "org.apache.spark.sql.execution.streaming.state.HDFSBackedStateStoreProvider")
+    try:
+        source = normalize_bars(ingest.read_landing(spark, f"{folder}/landing"))
+        lake = Lake(spark, f"{folder}/lake")
+        rollups.stream_closed(source, lake, f"{folder}/cp", "week", timedelta(days=7)).awaitTermination()
+        assert spark.conf.get(f"{STATE}rocksdb.boundedMemoryUsage") == "true"
+    finally:
+        for c, v in before.items():
+            spark.conf.unset(c) if v is None else spark.conf.set(c, v)
+    kinds = {os.path.splitext(n)[1] for _, _, names in os.walk(f"{folder}/cp/close/state") for n in names}
+    assert ".zip" in kinds and ".delta" not in kinds
+    assert not os.listdir(f"{folder}/lake/_batch")
