@@ -1,12 +1,14 @@
 """What stored runs leave behind and what they do without: room on disk, memory and passes over the rows."""
 
 import os
-from datetime import timedelta
+from datetime import date, datetime, timedelta
 
 import pytest
 from conftest import rows_of
 from pyspark.sql import functions as F
 
+from factorlake.operators.groups import LIMIT_KEY
+from factorlake.plans import ic
 from factorlake.plans.factors import compute_factors
 from factorlake.session import STATE
 from factorlake.sources.lake import Lake
@@ -88,3 +90,42 @@ def test_state_of_a_watermarked_rollup_is_on_disk_in_bounded_memory(spark, make_
     kinds = {os.path.splitext(n)[1] for _, _, names in os.walk(f"{folder}/cp/close/state") for n in names}
     assert ".zip" in kinds and ".delta" not in kinds
     assert not os.listdir(f"{folder}/lake/_batch")
+
+
+LONG = "time timestamp, symbol string, factor_name string, factor_value double"
+
+
+def panel(spark):
+    """Values without a bar, bars without a value, missing and infinite values, a day of one side only."""
+    day = [datetime(2024, 1, d) for d in range(1, 12)]
+    returns = [(day[d], s, None if (d + k) % 6 == 5 else float((d * 7 + k * 3) % 11 - 5))
+               for d in range(8) for k, s in enumerate("abcdef") if (d * k) % 7 != 6]
+    values = [(day[d], s, f, None if (d + k) % 9 == 8 else float("inf") if (d * k) % 13 == 12 else float((d + k * k * n) % 7))
+              for d in (0, 1, 2, 4, 5, 6, 7, 9) for k, s in enumerate("abcdefg") for n, f in enumerate("fg", 1) if (d + k * n) % 5]
+    return (spark.createDataFrame(values, LONG),
+            spark.createDataFrame([*returns, (None, "a", 1.0), (day[3], None, 2.0)], "time timestamp, symbol string, pct_change double"))
+
+
+def test_long_daily_ics_shuffle_each_side_by_day_once(spark):
+    factors, returns = panel(spark)
+    whole = ic.daily_ic(factors, returns, ["f", "g"], [1, 3], 100, 100, counts=True)
+    plan = whole._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(") == 3 and "Join" not in plan and "Aggregate" not in plan
+    spark.conf.set(LIMIT_KEY, "3")
+    try:
+        split = rows_of(ic.daily_ic(factors, returns, ["f", "g"], [1, 3], counts=True))
+    finally:
+        spark.conf.unset(LIMIT_KEY)
+    assert rows_of(whole) == split and len(split) == 20
+    assert ic.daily_ic(factors, returns.filter("false"), ["f"], [1], 9, 9).isEmpty()
+    assert ic.daily_ic(factors.filter("false"), returns, ["f"], [1], 9, 9).isEmpty()
+    with pytest.raises(Exception, match="repeated key for factor g"):
+        ic.daily_ic(factors.unionByName(factors.filter("factor_name = 'g'")), returns, ["f", "g"], [1], 9, 9).collect()
+
+
+def test_long_daily_ics_of_factors_and_returns_from_one_table(spark):
+    factors, returns = panel(spark)
+    both = returns.filter("time is not null and symbol is not null")
+    values = both.select("time", "symbol", F.lit("f").alias("factor_name"), F.col("pct_change").alias("factor_value"))
+    apart = spark.createDataFrame(values.collect(), LONG)
+    assert rows_of(ic.daily_ic(values, both, ["f"], [1], 9, 9)) == rows_of(ic.daily_ic(apart, both, ["f"], [1], 9, 9))
