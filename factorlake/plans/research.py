@@ -63,15 +63,14 @@ def update_ic(lake: Lake, as_of: date, names: list[str], lags: tuple[int, ...] =
     first = todo.agg(F.min("time").cast("date").alias("d")).first()["d"]
     if first is None:
         return 0
-    values = lake.load_factors(first, as_of, names).join(todo, ["time", "factor_name"], "left_semi")
+    values = lake.load_factors(first, as_of, names)
     returns = as_double(lake.scan("daily", first, as_of)).select("time", "symbol", "pct_change")
     days = (as_of - first).days + 1
-    daily = ic.daily_ic(values, returns, names, list(lags), symbol_bound=days)
-    # Stocks that could have a return: values on days with a bar.
-    there = values.join(returns.select("time", "symbol"), ["time", "symbol"], "left_semi").groupBy(
-        "time", "factor_name").agg(F.count("*").alias("there"))
-    rows = daily.join(there, ["time", "factor_name"]).withColumn("n_open", F.col("there") - F.col("n_stocks"))
-    return lake.upsert("ic_daily", rows.drop("there"))
+    # Stocks that could have a return are the values on days with a bar. What is settled is left out of the small result:
+    # days of one factor do not depend on each other.
+    daily = ic.daily_ic(values, returns, names, list(lags), symbol_bound=days, counts=True)
+    rows = daily.join(todo, ["time", "factor_name"], "left_semi").withColumn("n_open", F.col("n_values") - F.col("n_stocks"))
+    return lake.upsert("ic_daily", rows.drop("n_values"))
 
 
 def stored_span(lake: Lake) -> tuple[date, date] | None:

@@ -8,7 +8,7 @@ from conftest import rows_of
 from pyspark.sql import functions as F
 
 from factorlake.operators.groups import LIMIT_KEY
-from factorlake.plans import ic
+from factorlake.plans import ic, research
 from factorlake.plans.factors import compute_factors
 from factorlake.session import STATE
 from factorlake.sources.lake import Lake
@@ -129,3 +129,22 @@ def test_long_daily_ics_of_factors_and_returns_from_one_table(spark):
     values = both.select("time", "symbol", F.lit("f").alias("factor_name"), F.col("pct_change").alias("factor_value"))
     apart = spark.createDataFrame(values.collect(), LONG)
     assert rows_of(ic.daily_ic(values, both, ["f"], [1], 9, 9)) == rows_of(ic.daily_ic(apart, both, ["f"], [1], 9, 9))
+
+
+def test_ics_are_kept_up_to_date_without_a_join_of_the_panel(spark, make_bars, folder, monkeypatch):
+    """Open stocks are counted where the ICs are made: only the small result meets the pending days."""
+    bars = make_bars({s: [float(20 + (k * n) % 13) for k in range(70)] for n, s in enumerate("abcdef", 2)}).withColumn(
+        "pct_change", (F.col("close") % 5) - 2)
+    bars = bars.filter("symbol <> 'f' or time <= '2024-03-05'")
+    lake, names = Lake(spark, folder), ["price_to_ma20", "limit_up"]
+    lake.upsert("daily", bars)
+    lake.upsert("daily_factors", compute_factors(bars, names))
+    plans, upsert = [], lake.upsert
+    monkeypatch.setattr(lake, "upsert", lambda name, df, *a, **kw: (
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString()), upsert(name, df, *a, **kw))[1])
+    research.update_ic(lake, date(2024, 3, 1), names, (1, 5))
+    research.update_ic(lake, date(2024, 3, 10), names, (1, 5))
+    joins = [line for plan in plans for line in plan.splitlines() if "Join " in line]
+    assert len(plans) == 2 and joins and not any("symbol" in line for line in joins)
+    pending = lake.scan("ic_daily").filter("n_open > 0").groupBy("lag").agg(F.min("time").cast("date").alias("d")).collect()
+    assert {r["lag"]: str(r["d"]) for r in pending} == {1: "2024-03-05", 5: "2024-03-01"}
